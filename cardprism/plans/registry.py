@@ -13,7 +13,7 @@ MONEY = frozenset({
     "avg_amount", "std_amount", "median_amount", "total_amount", "min_amount", "max_amount",
     "customer_lifetime_value", "avg_daily_amount", "clv", "total_volume", "avg_volume_per_customer",
     "total_revenue", "estimated_total_revenue", "value", "avg_clv", "median_avg_amount", "std_avg_amount",
-    "q1", "q3", "iqr", "lower_fence", "upper_fence", "lower_whisker", "upper_whisker", "sum_x", "sum_xx",
+    "q1", "q3", "iqr", "most_valuable_clv", "lower_fence", "upper_fence", "lower_whisker", "upper_whisker", "sum_x", "sum_xx",
 })
 
 QUERIES: dict = {}
