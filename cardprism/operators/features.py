@@ -17,7 +17,8 @@ from cardprism.functions.columns import (
     day_part_flag, elapsed_days, flag_ratio, hour_of, is_holiday, is_weekend,
     month_of, nan_to_null, safe_div, weekday_mon0,
 )
-from cardprism.operators.quantiles import grouped_quantiles
+from cardprism.operators.quantiles import histogram_quantiles
+from cardprism.session import cut_lineage
 from cardprism.schema import AGGREGATE_FEATURES, DERIVED_FEATURES, INTEGER_FEATURES
 
 TS = "transaction_timestamp"
@@ -62,40 +63,64 @@ def aggregate_cards(tx: DataFrame, cfg: SegmentationConfig = SegmentationConfig(
          .transform(lambda d: add_day_parts(d, cfg))
     first = F.min(TS)
     last = F.max(TS)
-    # Monetary sums are exact (decimal) so that totals, means and everything
-    # derived from them do not depend on how partial sums are merged.
-    exact_total = F.sum(F.col(AMT).cast(MONEY_DECIMAL)).cast("double")
+    first = F.min(TS)
+    last = F.max(TS)
+    amt = F.col(AMT)
     agg = t.groupBy("card_id").agg(
         F.count("transaction_id").alias("tx_count"),
-        safe_div(exact_total, F.count(AMT)).alias("avg_amount"),
+        exact_sum(amt).alias("total_amount"),
+        F.count(amt).alias("_n"),
         F.stddev_samp(AMT).alias("std_amount"),
-        exact_total.alias("total_amount"),
         F.min(AMT).alias("min_amount"),
         F.max(AMT).alias("max_amount"),
         flag_ratio("is_digital_wallet").alias("digital_wallet_ratio"),
         flag_ratio("is_international").alias("international_ratio"),
         flag_ratio("is_contactless").alias("contactless_ratio"),
-        F.count_distinct("transaction_type").alias("tx_type_variety"),
-        F.count_distinct("pos_entry_mode").alias("payment_method_variety"),
+        distinct_count("transaction_type").alias("tx_type_variety"),
+        distinct_count("pos_entry_mode").alias("payment_method_variety"),
         *[flag_ratio(f"is_{name}").alias(f"{name}_ratio") for name, _, _ in cfg.day_parts],
         flag_ratio("is_weekend").alias("weekend_ratio"),
         flag_ratio("is_holiday_season").alias("holiday_ratio"),
-        F.count_distinct("merchant_city").alias("city_diversity"),
-        F.count_distinct("merchant_mcc").alias("mcc_diversity"),
-        F.count_distinct("acquirer_country_iso").alias("country_diversity"),
-        F.count_distinct("issuer_bank_name").alias("bank_diversity"),
+        distinct_count("merchant_city").alias("city_diversity"),
+        distinct_count("merchant_mcc").alias("mcc_diversity"),
+        distinct_count("acquirer_country_iso").alias("country_diversity"),
+        distinct_count("issuer_bank_name").alias("bank_diversity"),
         (elapsed_days(first, last) + 1).alias("days_active"),
         F.count(F.lit(1)).alias("_rows"),
-    ).withColumn("tx_frequency", safe_div(F.col("_rows"), F.col("days_active"))).drop("_rows")
-    agg = agg.withColumn("total_amount", F.coalesce("total_amount", F.lit(0.0)))
-    med = card_medians(t, cfg)
+    )
+    agg = (agg.withColumn("avg_amount", safe_div(F.col("total_amount"), F.col("_n")))
+              .withColumn("total_amount", F.coalesce("total_amount", F.lit(0.0)))
+              .withColumn("tx_frequency", safe_div(F.col("_rows"), F.col("days_active"))))
+    # the per-card table is small next to the transactions and feeds the
+    # median pass (sizes) and everything downstream: cut the lineage here
+    agg = cut_lineage(agg)
+    med = card_medians(t, agg, cfg)
     return agg.join(med, "card_id", "left").select("card_id", *AGGREGATE_FEATURES)
 
 
-def card_medians(t: DataFrame, cfg: SegmentationConfig) -> DataFrame:
+def exact_sum(x):
+    """Order-independent sum of money amounts: integer parts and micro-unit
+    fractions are summed as longs (exact, associative), then combined.  The
+    result does not depend on partitioning or merge order (reproducible
+    runs, bit-identical to the DuckDB twin)."""
+    fl = F.floor(x)
+    frac = F.floor((x - fl) * 1e6 + 0.5)
+    return F.sum(fl).cast("double") + F.sum(frac).cast("double") / 1e6
+
+
+def distinct_count(c):
+    """Distinct non-null values per card.  ``size(collect_set)`` is one
+    object-hash aggregation whose state is bounded by the column's value
+    domain (types, entry modes, cities, MCCs, countries, banks), not by the
+    card's row count; ``count_distinct`` x6 would make Catalyst expand every
+    row seven times."""
+    return F.size(F.collect_set(c)).cast("long")
+
+
+def card_medians(t: DataFrame, sizes: DataFrame, cfg: SegmentationConfig) -> DataFrame:
     if cfg.median_mode == "approx":
         return t.groupBy("card_id").agg(F.percentile_approx(AMT, 0.5, 10000).cast("double").alias("median_amount"))
-    return grouped_quantiles(t, ["card_id"], AMT, [0.5], ["median_amount"])
+    return histogram_quantiles(t, ["card_id"], AMT, [0.5], ["median_amount"], sizes.select("card_id", "_n"))
 
 
 def derive(features: DataFrame) -> DataFrame:

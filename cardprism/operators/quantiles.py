@@ -2,21 +2,21 @@
 
 Spark's exact ``percentile``/``median`` aggregates keep every distinct value
 of a group in one buffer, merged in a single final task: a hot card (or a
-global quantile over millions of cards) would end in one task.  This operator
-gives the same numbers (linear interpolation between order statistics, as
-DuckDB ``quantile_cont`` / pandas ``median``) in bounded memory:
-
-1. a mergeable sketch (``percentile_approx``) brackets each target rank
-   with a narrow value window ``[lo, hi]``;
-2. one pass counts, per (group, quantile), the values below ``lo`` and inside
-   the window, which *verifies* the bracket (exactness does not depend on
-   the sketch's error bound);
-3. windows still larger than ``max_window`` are narrowed again with a
-   finer sketch restricted to the window rows; a failed bracket falls back
-   to the full ``[min, max]`` range, which is always valid;
-4. the candidates are collapsed to a (value, count) histogram - ties of a
-   hot value become one row - and a running sum over at most ``max_window``
-   distinct values locates the two order statistics.
+quantile over millions of cards) would end in one task.  This operator gives
+the same numbers (linear interpolation between order statistics, as DuckDB
+``quantile_cont`` / pandas ``median``) in bounded memory:
+
+1. sketch pass: ``percentile_approx`` (mergeable, partial-aggregated)
+   brackets each target rank with a narrow value window ``[lo, hi]``;
+   groups so large that the window could exceed ``max_window`` values are
+   narrowed further with a finer sketch restricted to the window rows;
+2. selection pass: rows below ``lo`` collapse into one count, rows inside the
+   window into a (value, count) histogram (ties of a hot value become one
+   row); a running sum over at most ``max_window`` entries finds the two
+   order statistics and *verifies* the bracket, so exactness never rests on
+   the sketch's error bound;
+3. groups whose bracket failed (not expected) are recomputed over their
+   full ``[min, max]`` range.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 from cardprism.session import cut_lineage
 
+_BCOLS = ("_i", "_p", "_n", "_mn", "_mx", "_pos", "_r0", "_r1", "_lo", "_hi")
+
 
 def grouped_quantiles(df: DataFrame, keys, value: str, probs, names=None, *,
                       accuracy: int = 10000, max_window: int = 200_000, max_rounds: int = 4,
@@ -33,8 +35,8 @@ def grouped_quantiles(df: DataFrame, keys, value: str, probs, names=None, *,
     """Return one row per group with columns ``keys + names`` (one per prob).
 
     ``bounded_groups=True`` states that the number of groups is small and
-    fixed (e.g. feature names, cluster ids), which allows broadcasting the
-    per-group bounds; otherwise AQE chooses the join from runtime sizes.
+    fixed (feature names, cluster ids), which allows broadcasting the
+    per-group bounds; otherwise AQE plans the join from runtime sizes.
     Groups without non-null values are absent (callers left-join)."""
     keys = list(keys)
     probs = [float(p) for p in probs]
@@ -60,63 +62,110 @@ def grouped_quantiles(df: DataFrame, keys, value: str, probs, names=None, *,
               .select(*gkeys, "_n", "_mn", "_mx", "_b.*")
               .withColumn("_pos", F.col("_p") * (F.col("_n") - 1))
               .withColumn("_r0", F.floor("_pos").cast("long"))
-              .withColumn("_r1", F.ceil("_pos").cast("long")))
+              .withColumn("_r1", F.ceil("_pos").cast("long"))
+              .select(*gkeys, *_BCOLS))
+    bounds = cut_lineage(bounds)
 
     def join_bounds(b):
         return base.join(F.broadcast(b) if small else b, gkeys)
 
     inside = F.col("_x").between(F.col("_lo"), F.col("_hi"))
+    # a window holds about 2 * margin * n values; only larger groups need narrowing
+    big_n = int(max_window / (2.5 * margin))
     for _ in range(max_rounds):
-        b0 = cut_lineage(bounds.select(*gkeys, "_i", "_p", "_n", "_mn", "_mx", "_pos", "_r0", "_r1", "_lo", "_hi"))
-        counts = join_bounds(b0).groupBy(*gkeys, "_i").agg(
-            F.sum(F.when(F.col("_x") < F.col("_lo"), 1).otherwise(0)).cast("long").alias("_below"),
-            F.sum(F.when(inside, 1).otherwise(0)).cast("long").alias("_win"))
-        b1 = b0.join(counts, gkeys + ["_i"], "left").na.fill(0, ["_below", "_win"])
-        ok = (F.col("_below") <= F.col("_r0")) & (F.col("_below") + F.col("_win") >= F.col("_r1") + 1)
-        b1 = cut_lineage(b1.withColumn("_ok", ok).withColumn("_big", F.col("_win") > max_window))
-        pending = b1.where(~F.col("_ok") | F.col("_big")).count()
-        bounds = b1
-        if pending == 0:
+        if bounds.where(F.col("_n") > big_n).limit(1).count() == 0:
             break
-        # failed brackets: full range (always valid, possibly big -> refined next round)
-        full = b1.where(~F.col("_ok")).withColumn("_lo", F.col("_mn")).withColumn("_hi", F.col("_mx"))
-        keep = b1.where(F.col("_ok") & ~F.col("_big"))
-        big = b1.where(F.col("_ok") & F.col("_big"))
+        big = bounds.where(F.col("_n") > big_n)
+        counts = join_bounds(big).groupBy(*gkeys, "_i").agg(
+            F.count_if(F.col("_x") < F.col("_lo")).alias("_below"), F.count_if(inside).alias("_win"))
+        big = big.join(counts, gkeys + ["_i"])
         grid_n = 1000
         grid = [j / grid_n for j in range(grid_n + 1)]
-        sketch = (base.join(big.select(*gkeys, "_i", "_lo", "_hi"), gkeys).where(inside)
-                  .groupBy(*gkeys, "_i").agg(F.percentile_approx("_x", grid, accuracy * 100).alias("_grid")))
+        sketch = (base.join(big.where(F.col("_win") > max_window).select(*gkeys, "_i", "_lo", "_hi"), gkeys)
+                  .where(inside).groupBy(*gkeys, "_i")
+                  .agg(F.percentile_approx("_x", grid, accuracy * 100).alias("_grid")))
         t0 = (F.col("_r0") - F.col("_below")) / F.col("_win")
         t1 = (F.col("_r1") - F.col("_below") + 1) / F.col("_win")
         lo_i = F.greatest(F.floor(t0 * grid_n) - 2, F.lit(0)).cast("int")
         hi_i = F.least(F.ceil(t1 * grid_n) + 2, F.lit(grid_n)).cast("int")
         refined = (big.join(sketch, gkeys + ["_i"])
                    .withColumn("_lo", F.element_at("_grid", lo_i + 1))
-                   .withColumn("_hi", F.element_at("_grid", hi_i + 1)).drop("_grid"))
-        cols = b0.columns
-        bounds = keep.select(cols).unionByName(full.select(cols)).unionByName(refined.select(cols))
-    else:
-        # rounds exhausted: any unverified bracket becomes the full range
-        bounds = bounds.withColumn("_lo", F.when(F.col("_ok"), F.col("_lo")).otherwise(F.col("_mn"))) \
-                       .withColumn("_hi", F.when(F.col("_ok"), F.col("_hi")).otherwise(F.col("_mx"))) \
-                       .withColumn("_below", F.when(F.col("_ok"), F.col("_below")).otherwise(F.lit(0)))
-
-    fb = bounds.select(*gkeys, "_i", "_lo", "_hi", "_below", "_pos", "_r0", "_r1")
-    hist = (join_bounds(fb).where(inside)
-            .groupBy(*gkeys, "_i", "_below", "_pos", "_r0", "_r1", "_x").agg(F.count(F.lit(1)).alias("_c")))
-    w = Window.partitionBy(*gkeys, "_i").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hist = hist.withColumn("_cum", F.col("_below") + F.sum("_c").over(w))
-    sel = hist.groupBy(*gkeys, "_i", "_pos", "_r0").agg(
-        F.min(F.when(F.col("_cum") > F.col("_r0"), F.col("_x"))).alias("_v0"),
-        F.min(F.when(F.col("_cum") > F.col("_r1"), F.col("_x"))).alias("_v1"))
-    sel = sel.withColumn("_q", F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("_pos") - F.col("_r0")))
-    out = sel.groupBy(*gkeys).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(n)
+                   .withColumn("_hi", F.element_at("_grid", hi_i + 1))
+                   .withColumn("_n", F.col("_win"))       # now bounded by the window size
+                   .select(*gkeys, *_BCOLS))
+        rest = bounds.join(refined.select(*gkeys, "_i"), gkeys + ["_i"], "left_anti")
+        bounds = cut_lineage(rest.unionByName(refined))
+
+    res = cut_lineage(_select(join_bounds(bounds), gkeys))
+    failed = res.where(~F.col("_ok"))
+    if failed.limit(1).count() > 0:
+        full = (bounds.join(failed.select(*gkeys, "_i"), gkeys + ["_i"])
+                .withColumn("_lo", F.col("_mn")).withColumn("_hi", F.col("_mx")))
+        res = res.where(F.col("_ok")).unionByName(_select(join_bounds(full), gkeys))
+    out = res.groupBy(*gkeys).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(n)
                                     for i, n in enumerate(names)])
     return out.drop("_g") if not keys else out
 
 
+def _select(joined: DataFrame, gkeys) -> DataFrame:
+    """Histogram of the window (plus one 'below' bucket) -> order statistics."""
+    rows = joined.where(F.col("_x") <= F.col("_hi"))
+    inwin = F.col("_x") >= F.col("_lo")
+    hist = rows.groupBy(*gkeys, "_i", "_pos", "_r0", "_r1", inwin.alias("_in"),
+                        F.when(inwin, F.col("_x")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*gkeys, "_i").orderBy("_in", "_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hist = hist.withColumn("_cum", F.sum("_c").over(w))
+    sel = hist.groupBy(*gkeys, "_i", "_pos", "_r0", "_r1").agg(
+        F.coalesce(F.sum(F.when(~F.col("_in"), F.col("_c"))), F.lit(0)).alias("_below"),
+        F.sum("_c").alias("_tot"),
+        F.min(F.when(F.col("_in") & (F.col("_cum") > F.col("_r0")), F.col("_v"))).alias("_v0"),
+        F.min(F.when(F.col("_in") & (F.col("_cum") > F.col("_r1")), F.col("_v"))).alias("_v1"))
+    ok = (F.col("_below") <= F.col("_r0")) & (F.col("_tot") >= F.col("_r1") + 1)
+    return sel.select(*gkeys, "_i", ok.alias("_ok"),
+                      (F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("_pos") - F.col("_r0"))).alias("_q"))
+
+
 def column_quantiles(df: DataFrame, columns, probs, names=None, **kw) -> DataFrame:
     """Exact quantiles of several columns at once: unpivot to (feature, x)
     and group by the feature name (a bounded set of groups)."""
     long = df.select([F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "feature", "x")
     return grouped_quantiles(long, ["feature"], "x", probs, names, bounded_groups=True, **kw)
+
+
+def histogram_quantiles(df: DataFrame, keys, value: str, probs, names, group_sizes: DataFrame, *,
+                        max_group: int = 200_000) -> DataFrame:
+    """Exact quantiles for MANY groups (e.g. one median per card) in one pass.
+
+    ``group_sizes`` holds (keys, _n) with the non-null value count per group,
+    typically a by-product of an aggregation that already ran.  Groups with
+    at most ``max_group`` values are solved from a (group, value, count)
+    histogram - partial-aggregated, so ties collapse map-side - with a
+    running sum per group (bounded by ``max_group`` entries).  Larger groups
+    (a hot key) are routed to the sketch-bracketed ``grouped_quantiles``;
+    their ids are at most rows / max_group, a proven bound for broadcasting."""
+    keys = list(keys)
+    probs = [float(p) for p in probs]
+    x = F.col(value).cast("double")
+    base = df.select(*keys, x.alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    heavy = group_sizes.where(F.col("_n") > max_group).select(*keys)
+    n_heavy = heavy.count()
+    hist = base.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    if n_heavy:
+        hist = hist.join(F.broadcast(heavy), keys, "left_anti")
+    w = Window.partitionBy(*keys).orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hist = hist.withColumn("_cum", F.sum("_c").over(w)) \
+               .withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
+    aggs = []
+    for p, name in zip(probs, names):
+        pos = F.lit(p) * (F.col("_n") - 1)
+        r0, r1 = F.floor(pos), F.ceil(pos)
+        v0 = F.min(F.when(F.col("_cum") > r0, F.col("_x")))
+        v1 = F.min(F.when(F.col("_cum") > r1, F.col("_x")))
+        aggs += [v0.alias(f"_v0_{name}"), v1.alias(f"_v1_{name}"), F.first(pos).alias(f"_pos_{name}")]
+    light = hist.groupBy(*keys).agg(*aggs).select(*keys, *[
+        (F.col(f"_v0_{n}") + (F.col(f"_v1_{n}") - F.col(f"_v0_{n}"))
+         * (F.col(f"_pos_{n}") - F.floor(F.col(f"_pos_{n}")))).alias(n) for n in names])
+    if not n_heavy:
+        return light
+    hot = grouped_quantiles(df.join(F.broadcast(heavy), keys, "left_semi"), keys, value, probs, names)
+    return light.unionByName(hot)

@@ -37,6 +37,10 @@ def tx_cte(adapter: str) -> str:
     return f"tx as ({ADAPTER_SQL[adapter]})"
 
 
+EXACT_SUM = ("(sum(floor(transaction_amount_kzt)::bigint)::double + sum(floor((transaction_amount_kzt - "
+             "floor(transaction_amount_kzt)) * 1000000.0::double + 0.5::double)::bigint)::double / 1000000.0::double)")
+
+
 def features_ctes(adapter: str) -> str:
     """CTEs ``tx``, ``fagg``, ``features`` (unrounded card_id + 30 features)."""
     one = "1.0::double"
@@ -47,10 +51,10 @@ ft as (select *, hour(transaction_timestamp) as h, isodow(transaction_timestamp)
 fagg as (
   select card_id,
     count(transaction_id) as tx_count,
-    sum(transaction_amount_kzt::decimal(28,6))::double / nullif(count(transaction_amount_kzt), 0) as avg_amount,
+    {EXACT_SUM} / nullif(count(transaction_amount_kzt), 0) as avg_amount,
     stddev_samp(transaction_amount_kzt) as std_amount,
     median(transaction_amount_kzt) as median_amount,
-    coalesce(sum(transaction_amount_kzt::decimal(28,6))::double, 0) as total_amount,
+    coalesce({EXACT_SUM}, 0) as total_amount,
     min(transaction_amount_kzt) as min_amount,
     max(transaction_amount_kzt) as max_amount,
     avg(case when wallet_type is not null then {one} else {zero} end) as digital_wallet_ratio,
