@@ -45,12 +45,13 @@ def fround(c, digits: int = 6):
     return F.when(f < 0, y - f - 1.0).otherwise(y - f) / k
 
 
-def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every floating column (deterministic comparison with DuckDB)."""
+def round_doubles(df: DataFrame, digits: int = 6, money: bool = True) -> DataFrame:
+    """Round every floating column (deterministic comparison with DuckDB);
+    ``money=False`` for outputs that keep feature names but are rescaled."""
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            out.append(fround(f.name, 2 if f.name in MONEY else digits).alias(f.name))
+            out.append(fround(f.name, 2 if (money and f.name in MONEY) else digits).alias(f.name))
         else:
             out.append(F.col(f.name))
     return df.select(*out)
