@@ -59,23 +59,63 @@ def standard_scale(df: DataFrame, cols=FEATURE_COLUMNS, keep=("card_id",)) -> Da
 # --- correlation -------------------------------------------------------------------
 
 def covariance(df: DataFrame, cols) -> tuple[np.ndarray, np.ndarray, int]:
-    """Mean vector and sample covariance (d x d) in two passes: means, then
-    centred cross products (stable for large magnitudes).  One aggregation
-    with d(d+1)/2 sums, partial-aggregated."""
+    """Mean vector and sample covariance (d x d) in ONE pass: each partition
+    returns (n, mean, centred cross-products) computed in numpy, and the
+    partials are merged with the pairwise update of Chan et al. (stable for
+    large magnitudes, independent of partitioning up to rounding).  What
+    reaches the driver is partitions x d^2 numbers, never rows."""
+    import pandas as pd
     cols = list(cols)
-    r = df.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    n = r["n"]
-    mu = np.array([r[f"m{i}"] or 0.0 for i in range(len(cols))])
-    cen = [(F.col(c) - F.lit(float(mu[i]))) for i, c in enumerate(cols)]
-    aggs = [F.sum(cen[i] * cen[j]).alias(f"c{i}_{j}") for i in range(len(cols)) for j in range(i, len(cols))]
-    s = df.agg(*aggs).first()
     d = len(cols)
-    cov = np.zeros((d, d))
-    for i in range(d):
-        for j in range(i, d):
-            v = (s[f"c{i}_{j}"] or 0.0) / (n - 1) if n > 1 else float("nan")
-            cov[i, j] = cov[j, i] = v
-    return mu, cov, n
+
+    def mapper(it):
+        n, mean, m2 = 0, np.zeros(d), np.zeros((d, d))
+        for pdf in it:
+            X = pdf[cols].to_numpy(dtype=np.float64)
+            if not len(X):
+                continue
+            nb = len(X)
+            mb = X.mean(0)
+            C = X - mb
+            m2b = C.T @ C
+            delta = mb - mean
+            tot = n + nb
+            m2 = m2 + m2b + np.outer(delta, delta) * n * nb / tot
+            mean = mean + delta * nb / tot
+            n = tot
+        yield pd.DataFrame({"n": [n], "mean": [mean.tolist()], "m2": [m2.ravel().tolist()]})
+
+    parts = df.select(*[F.col(c).cast("double") for c in cols]).mapInPandas(
+        mapper, "n long, mean array<double>, m2 array<double>").collect()
+    n, mean, m2 = 0, np.zeros(d), np.zeros((d, d))
+    for r in parts:
+        nb = r["n"]
+        if not nb:
+            continue
+        mb, m2b = np.array(r["mean"]), np.array(r["m2"]).reshape(d, d)
+        delta = mb - mean
+        tot = n + nb
+        m2 = m2 + m2b + np.outer(delta, delta) * n * nb / tot
+        mean = mean + delta * nb / tot
+        n = tot
+    cov = m2 / (n - 1) if n > 1 else np.full((d, d), np.nan)
+    return mean, cov, n
+
+
+def correlation_matrix(df: DataFrame, cols) -> np.ndarray:
+    _, cov, _ = covariance(df, cols)
+    sd = np.sqrt(np.clip(np.diag(cov), 0, None))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r = cov / np.outer(sd, sd)
+    r[~np.isfinite(r)] = np.nan
+    return r
+
+
+def drop_rule(corr: np.ndarray, threshold: float) -> list[int]:
+    """M03b on the driver-side d x d matrix (same rule as ``correlated_drop``)."""
+    d = len(corr)
+    return sorted({j for i in range(d) for j in range(i + 1, d)
+                   if not np.isnan(corr[i, j]) and abs(corr[i, j]) > threshold})
 
 
 def correlation_pairs(df: DataFrame, cols) -> DataFrame:
@@ -237,9 +277,7 @@ def fit_preprocess(features: DataFrame, cfg: SegmentationConfig = SegmentationCo
     cols = list(cols)
     params = robust_params(features, cols) if cfg.scaler == "robust" else standard_params(features, cols)
     scaled = apply_scaling(features, params, (key,))
-    pairs = correlation_pairs(scaled, cols)
-    drop = correlated_drop(pairs, cols, cfg.correlation_threshold).collect()
-    removed = [r["feature"] for r in sorted(drop, key=lambda r: r["j"]) if r["removed"]]
+    removed = [cols[j] for j in drop_rule(correlation_matrix(scaled, cols), cfg.correlation_threshold)]
     kept = [c for c in cols if c not in removed]
     pca = pca_fit(scaled, kept, cfg.pca_variance_ratio) if cfg.pca_variance_ratio else None
     lambdas = yj_std = None

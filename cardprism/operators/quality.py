@@ -234,3 +234,87 @@ def quality_report(points: DataFrame, algorithm: str = "", block_size: int = 204
                                  "non_noise_points long, silhouette_score double, davies_bouldin double, "
                                  "calinski_harabasz double, min_cluster_size long, max_cluster_size long, "
                                  "avg_cluster_size double, cluster_balance double")
+
+
+# --- many labelings at once (model selection) ---------------------------------------
+
+def _many_fn(n_cands: int, kmax: int):
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        left = pdf[pdf["side"] == 0]
+        right = pdf[pdf["side"] == 1]
+        if left.empty or right.empty:
+            return pd.DataFrame({"id": [], "cand": [], "cluster": [], "other": [], "dsum": [], "cnt": []})
+        L = np.stack(left["v"].to_numpy()).astype(np.float64)
+        R = np.stack(right["v"].to_numpy()).astype(np.float64)
+        LL = np.stack(left["labs"].to_numpy()).astype(np.int64)
+        RL = np.stack(right["labs"].to_numpy()).astype(np.int64)
+        d2 = (L * L).sum(1)[:, None] + (R * R).sum(1)[None, :] - 2.0 * L @ R.T
+        D = np.sqrt(np.maximum(d2, 0.0))
+        out = []
+        ids = left["id"].to_numpy()
+        for m in range(n_cands):
+            rl = RL[:, m]
+            onehot = (rl[:, None] == np.arange(kmax)[None, :]).astype(np.float64)
+            cnt = onehot.sum(0)
+            present = np.nonzero(cnt)[0]
+            sums = D @ onehot[:, present]
+            nl = len(ids)
+            out.append(pd.DataFrame({
+                "id": np.repeat(ids, len(present)), "cand": m,
+                "cluster": np.repeat(LL[:, m], len(present)),
+                "other": np.tile(present, nl), "dsum": sums.reshape(-1),
+                "cnt": np.tile(cnt[present], nl).astype(np.int64)}))
+        return pd.concat(out, ignore_index=True)
+    return fn
+
+
+def silhouette_many(points: DataFrame, labels: DataFrame, block_size: int = 2048) -> DataFrame:
+    """Euclidean silhouette of many labelings in ONE blocked pass: the
+    distances are shared, each labeling only changes the per-cluster
+    reduction.  ``labels``: (id, cand, cluster) with cand = 0..m-1 and
+    cluster >= 0 (no noise).  Returns (cand, silhouette) with NULL where a
+    labeling has < 2 clusters or a cluster with < 2 points."""
+    info = labels.groupBy("cand").agg(F.max("cluster").alias("mx")).collect()
+    n_cands = len(info)
+    kmax = max(r["mx"] for r in info) + 1
+    labs = labels.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("cand", "cluster"))).alias("_l")) \
+                 .select("id", F.col("_l.cluster").alias("labs"))
+    p = points.select("id", "v").join(labs, "id")
+    n = p.count()
+    nb = max(1, math.ceil(n / block_size))
+    blk = F.pmod(F.xxhash64("id"), F.lit(nb))
+    others = F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))
+    left = p.select("id", "v", "labs", blk.alias("bi"), others.alias("bj"), F.lit(0).alias("side"))
+    right = p.select("id", "v", "labs", others.alias("bi"), blk.alias("bj"), F.lit(1).alias("side"))
+    sums = left.unionByName(right).groupBy("bi", "bj").applyInPandas(
+        _many_fn(n_cands, kmax), "id long, cand int, cluster long, other long, dsum double, cnt long")
+    s = sums.groupBy("id", "cand", "cluster", "other").agg(F.sum("dsum").alias("dsum"), F.sum("cnt").alias("cnt"))
+    own = F.col("other") == F.col("cluster")
+    per = s.groupBy("id", "cand", "cluster").agg(
+        F.max(F.when(own, F.col("dsum") / (F.col("cnt") - 1))).alias("a"),
+        F.max(F.when(own, F.col("cnt"))).alias("own"),
+        F.min(F.when(~own, F.col("dsum") / F.col("cnt"))).alias("b"))
+    sil = F.when(F.col("own") <= 1, F.lit(0.0)).otherwise(F.coalesce((F.col("b") - F.col("a")) / F.greatest("a", "b"), F.lit(0.0)))
+    val = per.groupBy("cand").agg(F.avg(sil).alias("silhouette"))
+    sizes = labels.groupBy("cand", "cluster").agg(F.count(F.lit(1)).alias("n")).groupBy("cand").agg(
+        ((F.count(F.lit(1)) >= 2) & (F.min("n") >= 2)).alias("ok"))
+    return sizes.join(val, "cand", "left").select("cand", F.when(F.col("ok"), F.col("silhouette")).alias("silhouette"))
+
+
+def balance_many(labels: DataFrame) -> DataFrame:
+    """Q02 for many labelings at once: (cand, n_clusters, balance_ratio,
+    largest_cluster_pct, noise_ratio)."""
+    sizes = labels.groupBy("cand", "cluster").agg(F.count(F.lit(1)).alias("size"))
+    is_noise = F.col("cluster") == NOISE
+    w = Window.partitionBy("cand").orderBy(is_noise.cast("int"), "size", "cluster")
+    r = sizes.withColumn("r", F.row_number().over(w))
+    valid = ~is_noise
+    g = r.groupBy("cand").agg(
+        F.count_if(valid).alias("n"), F.sum(F.when(valid, F.col("size"))).alias("s"),
+        F.sum(F.when(valid, F.col("r") * F.col("size"))).alias("rs"), F.max(F.when(valid, F.col("size"))).alias("mx"),
+        F.sum("size").alias("total"), F.coalesce(F.sum(F.when(is_noise, F.col("size"))), F.lit(0)).alias("noise"))
+    gini = 2.0 * F.col("rs") / (F.col("n") * F.col("s")) - (F.col("n") + 1.0) / F.col("n")
+    return g.select("cand", F.col("n").cast("long").alias("n_clusters"),
+                    F.when(F.col("n") > 0, 1.0 - gini).otherwise(F.lit(0.0)).alias("balance_ratio"),
+                    F.when(F.col("n") > 0, F.col("mx") * 100.0 / F.col("s")).otherwise(F.lit(100.0)).alias("largest_cluster_pct"),
+                    (F.col("noise") / F.col("total")).alias("noise_ratio"))

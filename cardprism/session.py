@@ -50,7 +50,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df, eager: bool = True):
-    """Reliable checkpoint into the shared checkpoint directory (survives the
-    loss of executors, unlike local checkpoints)."""
+    """Reliable checkpoint into the shared ``spark.checkpoint.dir`` (never a
+    local checkpoint).  The input is persisted first so it is computed once
+    (an RDD checkpoint otherwise recomputes it for the write), and the
+    checkpointed frame is cached for the iterative passes that follow; a
+    lost cached block is rebuilt from the checkpoint files, not from the
+    original lineage.  Used for per-card and smaller tables only."""
+    from pyspark import StorageLevel
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    cp = src.checkpoint(eager=eager)
+    out = cp.persist(StorageLevel.MEMORY_AND_DISK)
+    src.unpersist()
+    return out
