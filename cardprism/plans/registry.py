@@ -55,3 +55,15 @@ def round_doubles(df: DataFrame, digits: int = 6, money: bool = True) -> DataFra
         else:
             out.append(F.col(f.name))
     return df.select(*out)
+
+
+_MEMO: dict = {}
+
+
+def memo(spark: SparkSession, key: tuple, build):
+    """Reuse an already materialised (checkpointed) intermediate table within
+    one session - e.g. the card matrix that several model queries read."""
+    k = (id(spark), spark.sparkContext.applicationId) + tuple(key)
+    if k not in _MEMO:
+        _MEMO[k] = build()
+    return _MEMO[k]
