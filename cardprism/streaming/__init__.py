@@ -1,0 +1,2 @@
+"""Intentionally empty: the reference pipeline has no streaming sources,
+windows, watermarks or state (see README, "items not built")."""
