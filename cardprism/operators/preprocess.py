@@ -191,19 +191,71 @@ def yeo_johnson(x: Column, lam: Column | float) -> Column:
 
 
 def yj_loglik_grid(df: DataFrame, cols, grids: dict) -> DataFrame:
-    """Log-likelihood of every (column, lambda) candidate in one pass:
-    unpivot to (feature, x), expand the (small) per-column lambda grid with a
-    generator, aggregate var_pop(psi) and sum(sign * log1p|x|) by
-    (feature, lambda).  LL = -n/2 ln var + (lambda - 1) * sum."""
-    long = df.select([F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "feature", "x")
-    gmap = F.create_map(*[v for c in cols for v in (F.lit(c), F.array(*[F.lit(float(g)) for g in grids[c]]))])
-    e = long.select("feature", "x", F.explode(gmap[F.col("feature")]).alias("lam"))
-    psi = yeo_johnson(F.col("x"), F.col("lam"))
-    g = e.groupBy("feature", "lam").agg(
-        F.count(F.lit(1)).alias("n"), F.var_pop(psi).alias("var"),
-        F.sum(F.signum("x") * F.log1p(F.abs("x"))).alias("slog"))
-    ll = F.when(F.col("var") > 0, -F.col("n") / 2.0 * F.log("var") + (F.col("lam") - 1.0) * F.col("slog"))
-    return g.select("feature", "lam", ll.alias("ll"))
+    """Log-likelihood of every (column, lambda) candidate in ONE pass: each
+    partition evaluates psi for all candidates in numpy and returns
+    (n, mean, M2) of psi plus sum(sign * log1p|x|) per (column, lambda);
+    partials are merged with Chan's pairwise update on the driver
+    (partitions x d x grid numbers).  LL = -n/2 ln var_pop + (lambda - 1) sum."""
+    import pandas as pd
+    cols = list(cols)
+    G = {c: np.asarray(grids[c], dtype=np.float64) for c in cols}
+
+    def psi(x, lam):
+        x = x[:, None]
+        lam = lam[None, :]
+        pos = x >= 0
+        with np.errstate(all="ignore"):
+            lz = np.abs(lam) < 1e-12
+            l2 = np.abs(lam - 2.0) < 1e-12
+            a = np.where(lz, np.log1p(np.where(pos, x, 0.0)),
+                         (np.power(np.where(pos, x, 0.0) + 1.0, lam) - 1.0) / np.where(lz, 1.0, lam))
+            b = np.where(l2, -np.log1p(-np.where(pos, 0.0, x)),
+                         -(np.power(1.0 - np.where(pos, 0.0, x), 2.0 - lam) - 1.0) / np.where(l2, 1.0, 2.0 - lam))
+        return np.where(pos, a, b)
+
+    def mapper(it):
+        acc = {}
+        for pdf in it:
+            for c in cols:
+                x = pdf[c].to_numpy(dtype=np.float64)
+                x = x[~np.isnan(x)]
+                if not len(x):
+                    continue
+                P = psi(x, G[c])
+                nb, mb = len(x), P.mean(0)
+                m2b = ((P - mb) ** 2).sum(0)
+                sl = float((np.sign(x) * np.log1p(np.abs(x))).sum())
+                if c in acc:
+                    n, m, m2, s = acc[c]
+                    delta = mb - m
+                    tot = n + nb
+                    acc[c] = (tot, m + delta * nb / tot, m2 + m2b + delta ** 2 * n * nb / tot, s + sl)
+                else:
+                    acc[c] = (nb, mb, m2b, sl)
+        rows = [(c, int(v[0]), v[1].tolist(), v[2].tolist(), v[3]) for c, v in acc.items()]
+        if rows:
+            yield pd.DataFrame(rows, columns=["feature", "n", "mean", "m2", "slog"])
+
+    parts = df.select(*[F.col(c).cast("double") for c in cols]).mapInPandas(
+        mapper, "feature string, n long, mean array<double>, m2 array<double>, slog double").collect()
+    merged = {}
+    for r in parts:
+        c = r["feature"]
+        nb, mb, m2b, sl = r["n"], np.array(r["mean"]), np.array(r["m2"]), r["slog"]
+        if c in merged:
+            n, m, m2, s = merged[c]
+            delta = mb - m
+            tot = n + nb
+            merged[c] = (tot, m + delta * nb / tot, m2 + m2b + delta ** 2 * n * nb / tot, s + sl)
+        else:
+            merged[c] = (nb, mb, m2b, sl)
+    out = []
+    for c, (n, m, m2, s) in merged.items():
+        var = m2 / n
+        for lam, v in zip(G[c], var):
+            ll = float(-n / 2.0 * np.log(v) + (lam - 1.0) * s) if v > 0 and np.isfinite(v) else None
+            out.append((c, float(lam), ll))
+    return df.sparkSession.createDataFrame(out, "feature string, lam double, ll double")
 
 
 def lambda_grid(lo: float, hi: float, points: int) -> list:

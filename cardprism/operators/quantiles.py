@@ -64,7 +64,7 @@ def grouped_quantiles(df: DataFrame, keys, value: str, probs, names=None, *,
               .withColumn("_r0", F.floor("_pos").cast("long"))
               .withColumn("_r1", F.ceil("_pos").cast("long"))
               .select(*gkeys, *_BCOLS))
-    bounds = cut_lineage(bounds)
+    bounds = _materialise(bounds, small)
 
     def join_bounds(b):
         return base.join(F.broadcast(b) if small else b, gkeys)
@@ -73,7 +73,10 @@ def grouped_quantiles(df: DataFrame, keys, value: str, probs, names=None, *,
     # a window holds about 2 * margin * n values; only larger groups need narrowing
     big_n = int(max_window / (2.5 * margin))
     for _ in range(max_rounds):
-        if bounds.where(F.col("_n") > big_n).limit(1).count() == 0:
+        if small:
+            if not any(r["_n"] > big_n for r in bounds.collect()):   # local rows, no job
+                break
+        elif bounds.where(F.col("_n") > big_n).limit(1).count() == 0:
             break
         big = bounds.where(F.col("_n") > big_n)
         counts = join_bounds(big).groupBy(*gkeys, "_i").agg(
@@ -96,9 +99,10 @@ def grouped_quantiles(df: DataFrame, keys, value: str, probs, names=None, *,
         rest = bounds.join(refined.select(*gkeys, "_i"), gkeys + ["_i"], "left_anti")
         bounds = cut_lineage(rest.unionByName(refined))
 
-    res = cut_lineage(_select(join_bounds(bounds), gkeys))
+    res = _materialise(_select(join_bounds(bounds), gkeys), small)
     failed = res.where(~F.col("_ok"))
-    if failed.limit(1).count() > 0:
+    any_failed = (not all(r["_ok"] for r in res.collect())) if small else failed.limit(1).count() > 0
+    if any_failed:
         full = (bounds.join(failed.select(*gkeys, "_i"), gkeys + ["_i"])
                 .withColumn("_lo", F.col("_mn")).withColumn("_hi", F.col("_mx")))
         res = res.where(F.col("_ok")).unionByName(_select(join_bounds(full), gkeys))
@@ -107,6 +111,15 @@ def grouped_quantiles(df: DataFrame, keys, value: str, probs, names=None, *,
     return out.drop("_g") if not keys else out
 
 
+def _materialise(df: DataFrame, small: bool) -> DataFrame:
+    """Per-group bound / result tables: with a bounded number of groups they
+    are collected (groups x quantiles rows) and re-created locally, else
+    checkpointed to the shared checkpoint folder."""
+    if small:
+        return df.sparkSession.createDataFrame(df.collect(), df.schema)
+    return cut_lineage(df)
+
+
 def _select(joined: DataFrame, gkeys) -> DataFrame:
     """Histogram of the window (plus one 'below' bucket) -> order statistics."""
     rows = joined.where(F.col("_x") <= F.col("_hi"))

@@ -52,20 +52,22 @@ def predict_centers(points: DataFrame, centers: dict) -> DataFrame:
     return points.select("id", "v").mapInPandas(mapper, "id long, cand int, cluster int")
 
 
-def _score_candidates(spark, points, labels, cands: list[Candidate], block_size: int) -> DataFrame:
-    """Balance and silhouette of every candidate labelling (one pass each)."""
+def _score_candidates(spark, points, labels, cands: list[Candidate], block_size: int, sil_for=None) -> DataFrame:
+    """Balance of every candidate and silhouette of the candidates in
+    ``sil_for`` (default: all) - one blocked distance pass for all of them."""
     labels = cut_lineage(labels)
-    idx = {c.cand: i for i, c in enumerate(cands)}
+    sil_cands = [c for c in cands if sil_for is None or c.cand in sil_for]
+    idx = {c.cand: i for i, c in enumerate(sil_cands)}
     remap = spark.createDataFrame([(c, i) for c, i in idx.items()], "cand int, pos int")
     lab_pos = labels.join(F.broadcast(remap), "cand").select("id", F.col("pos").alias("cand"), "cluster")
-    sil = {r["cand"]: r["silhouette"] for r in silhouette_many(points, lab_pos, block_size).collect()}
+    sil = {r["cand"]: r["silhouette"] for r in silhouette_many(points, lab_pos, block_size).collect()} if idx else {}
     bal = {r["cand"]: r for r in balance_many(labels).collect()}
     rows = []
     for seq, c in enumerate(cands):
         b = bal[c.cand]
         rows.append((c.cand, c.algorithm, c.k, c.cov_type, None, None, c.bic, c.aic, b["n_clusters"],
                      float(b["balance_ratio"]), float(b["largest_cluster_pct"]), float(b["noise_ratio"]),
-                     None if sil.get(idx[c.cand]) is None else float(sil[idx[c.cand]]), seq))
+                     None if c.cand not in idx or sil.get(idx[c.cand]) is None else float(sil[idx[c.cand]]), seq))
     return spark.createDataFrame(rows, RUNS_SCHEMA)
 
 
@@ -81,11 +83,21 @@ def gmm_candidates(points, specs: dict, algorithm: str, cfg: SegmentationConfig,
     return out
 
 
+def size_partitions(points: DataFrame, target_bytes: int = 16 << 20) -> DataFrame:
+    """Partition the card matrix by its size (about ``target_bytes`` each),
+    not by the shuffle setting: every model pass schedules one task per
+    partition, so a 1 MB matrix in 200 partitions is pure overhead while a
+    100 GB matrix still gets thousands of tasks."""
+    n, d = points.select(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    parts = max(1, -(-int(n * max(d or 1, 1) * 8 * 2) // target_bytes))
+    return cut_lineage(points.repartition(parts, "id"))
+
+
 def perform_clustering(points: DataFrame, cfg: SegmentationConfig = SegmentationConfig(), block_size: int = 2048):
     """C01-C08 dispatch.  Returns (model_runs DataFrame, labels (id, cand,
     cluster), best candidate id, candidates)."""
     spark: SparkSession = points.sparkSession
-    points = cut_lineage(points.select("id", "v"))
+    points = size_partitions(points.select("id", "v"))
     n = points.count()
     alg = cfg.algorithm.lower()
     cands: list[Candidate] = []
@@ -123,9 +135,19 @@ def perform_clustering(points: DataFrame, cfg: SegmentationConfig = Segmentation
     lab = labels[0]
     for extra in labels[1:]:
         lab = lab.unionByName(extra)
-    runs = _score_candidates(spark, points, lab, cands, block_size)
+    # Silhouettes (O(n^2)) are computed where they enter a decision: the
+    # auto-search candidates only need them for the "combined" criterion.
+    search = [c for c in cands if c.algorithm == "gmm_auto_search"]
+    pre_n = None
+    if search and cfg.gmm_auto_criterion in ("bic", "aic"):
+        crit = (lambda c: c.bic) if cfg.gmm_auto_criterion == "bic" else (lambda c: c.aic)
+        pre_n = min(search, key=lambda c: (crit(c), search.index(c))).k
+        sil_for = {c.cand for c in cands if c.algorithm != "gmm_auto_search" or c.k == pre_n}
+    else:
+        sil_for = None
+    runs = _score_candidates(spark, points, lab, cands, block_size, sil_for)
     runs = cut_lineage(runs)
-    if any(c.algorithm == "gmm_auto_search" for c in cands):
+    if search:
         n_best = choose_n_components(runs, cfg.gmm_auto_criterion).first()[0]
         auto_rows = runs.where((F.col("algorithm") == "gmm_auto_search") & (F.col("k") == n_best)) \
                         .withColumn("algorithm", F.lit("gmm_auto"))

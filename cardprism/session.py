@@ -49,17 +49,44 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df, eager: bool = True):
+def cut_lineage(df, eager: bool = True, target_bytes: int = 64 << 20):
     """Reliable checkpoint into the shared ``spark.checkpoint.dir`` (never a
     local checkpoint).  The input is persisted first so it is computed once
-    (an RDD checkpoint otherwise recomputes it for the write), and the
-    checkpointed frame is cached for the iterative passes that follow; a
-    lost cached block is rebuilt from the checkpoint files, not from the
-    original lineage.  Used for per-card and smaller tables only."""
+    (an RDD checkpoint otherwise recomputes it for the write), narrowed to
+    about ``target_bytes`` per partition (estimated from the row count and
+    the schema's row width: one partition for a small per-card table, many
+    at scale), and the checkpointed frame is cached for the iterative passes
+    that follow; a lost cached block is rebuilt from the checkpoint files,
+    not from the original lineage."""
     from pyspark import StorageLevel
     ensure_checkpoint_dir(df.sparkSession)
     src = df.persist(StorageLevel.MEMORY_AND_DISK)
-    cp = src.checkpoint(eager=eager)
+    n = src.count()
+    width = max(8, sum(_width(f.dataType) for f in df.schema.fields))
+    have = src.rdd.getNumPartitions()
+    parts = max(1, min(have, -(-n * width // target_bytes)))
+    narrowed = src.coalesce(parts) if parts < have else src
+    cp = narrowed.checkpoint(eager=eager)
     out = cp.persist(StorageLevel.MEMORY_AND_DISK)
     src.unpersist()
     return out
+
+
+def _width(dt) -> int:
+    """Rough in-memory width of a value (bytes) for partition sizing."""
+    from pyspark.sql import types as T
+    if isinstance(dt, (T.ByteType, T.BooleanType)):
+        return 1
+    if isinstance(dt, (T.ShortType,)):
+        return 2
+    if isinstance(dt, (T.IntegerType, T.FloatType, T.DateType)):
+        return 4
+    if isinstance(dt, (T.StringType, T.BinaryType)):
+        return 24
+    if isinstance(dt, T.ArrayType):
+        return 16 * _width(dt.elementType)
+    if isinstance(dt, T.MapType):
+        return 16 * (_width(dt.keyType) + _width(dt.valueType))
+    if isinstance(dt, T.StructType):
+        return sum(_width(f.dataType) for f in dt.fields)
+    return 8
