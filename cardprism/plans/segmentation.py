@@ -59,7 +59,8 @@ def _score_candidates(spark, points, labels, cands: list[Candidate], block_size:
     sil_cands = [c for c in cands if sil_for is None or c.cand in sil_for]
     idx = {c.cand: i for i, c in enumerate(sil_cands)}
     remap = spark.createDataFrame([(c, i) for c, i in idx.items()], "cand int, pos int")
-    lab_pos = labels.join(F.broadcast(remap), "cand").select("id", F.col("pos").alias("cand"), "cluster")
+    lab_pos = labels.where(F.col("cluster") >= 0).join(F.broadcast(remap), "cand") \
+                    .select("id", F.col("pos").alias("cand"), "cluster")
     sil = {r["cand"]: r["silhouette"] for r in silhouette_many(points, lab_pos, block_size).collect()} if idx else {}
     bal = {r["cand"]: r for r in balance_many(labels).collect()}
     rows = []
@@ -130,8 +131,15 @@ def perform_clustering(points: DataFrame, cfg: SegmentationConfig = Segmentation
             centers[nxt] = res[k].centers
             nxt += 1
         labels.append(predict_centers(points, centers))
-    if alg == "hdbscan":
-        raise NotImplementedError("density clustering sweep: see operators/density.py (core distances, cuts)")
+    if alg == "hdbscan" or (alg not in ("gmm_auto", "gmm", "kmeans") and cfg.extra.get("density_in_all", False)):
+        from cardprism.operators.density import density_cluster
+        # the reference tries the first two values of each list (4 runs)
+        for mcs in cfg.density_min_cluster_sizes[:2]:
+            for ms in cfg.density_min_samples[:2]:
+                d = density_cluster(points, mcs, ms)
+                labels.append(d.select("id", F.lit(nxt).alias("cand"), "cluster"))
+                cands.append(Candidate(nxt, "hdbscan", -1, None, (mcs, ms)))
+                nxt += 1
     lab = labels[0]
     for extra in labels[1:]:
         lab = lab.unionByName(extra)
