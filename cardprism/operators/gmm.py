@@ -71,7 +71,7 @@ def _stats(X, resp, cov_type):
     N = resp.sum(0)
     S1 = resp.T @ X
     if cov_type in ("full", "tied"):
-        S2 = np.einsum("nk,ni,nj->kij", resp, X, X)
+        S2 = np.stack([(X * resp[:, j:j + 1]).T @ X for j in range(resp.shape[1])])
     else:
         S2 = resp.T @ (X * X)
     return N, S1, S2

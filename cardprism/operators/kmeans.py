@@ -144,3 +144,26 @@ def lloyd_step(points: DataFrame, centers) -> DataFrame:
     a = assign_nearest(points, centers)
     e = a.select("cluster", F.posexplode("v").alias("i", "x"))
     return e.groupBy("cluster", "i").agg(F.avg("x").alias("center"), F.count(F.lit(1)).alias("size"))
+
+
+def lloyd_local(X: np.ndarray, k: int, seed: int, max_iter: int = 300, tol: float = 1e-4) -> np.ndarray:
+    """K-Means (k-means++ seeding + Lloyd) in numpy on a bounded matrix.
+    Used only to initialise mixtures from a bounded sample (the sample size
+    is a fixed cap, independent of the data size)."""
+    rng = np.random.RandomState(seed)
+    C = kmeanspp(X, k, rng)
+    thr = tol * float(np.mean(X.var(axis=0))) if len(X) else 0.0
+    xn = (X * X).sum(1)
+    for _ in range(max_iter):
+        d2 = xn[:, None] + (C * C).sum(1)[None, :] - 2.0 * X @ C.T
+        lab = d2.argmin(1)
+        newC = C.copy()
+        for j in range(k):
+            m = lab == j
+            if m.any():
+                newC[j] = X[m].mean(0)
+        shift = float(((newC - C) ** 2).sum())
+        C = newC
+        if shift <= thr:
+            break
+    return C

@@ -201,17 +201,21 @@ def yj_loglik_grid(df: DataFrame, cols, grids: dict) -> DataFrame:
     G = {c: np.asarray(grids[c], dtype=np.float64) for c in cols}
 
     def psi(x, lam):
-        x = x[:, None]
-        lam = lam[None, :]
+        """psi for all candidates: (x+1)^l = exp(l * log1p(x)) on the
+        non-negative part, (1-x)^(2-l) = exp((2-l) * log1p(-x)) on the rest."""
+        out = np.empty((len(x), len(lam)))
         pos = x >= 0
+        lz = np.abs(lam) < 1e-12
+        l2 = np.abs(lam - 2.0) < 1e-12
+        lp = np.log1p(x[pos])[:, None]
         with np.errstate(all="ignore"):
-            lz = np.abs(lam) < 1e-12
-            l2 = np.abs(lam - 2.0) < 1e-12
-            a = np.where(lz, np.log1p(np.where(pos, x, 0.0)),
-                         (np.power(np.where(pos, x, 0.0) + 1.0, lam) - 1.0) / np.where(lz, 1.0, lam))
-            b = np.where(l2, -np.log1p(-np.where(pos, 0.0, x)),
-                         -(np.power(1.0 - np.where(pos, 0.0, x), 2.0 - lam) - 1.0) / np.where(l2, 1.0, 2.0 - lam))
-        return np.where(pos, a, b)
+            a = np.expm1(lp * lam[None, :]) / np.where(lz, 1.0, lam)[None, :]
+        out[pos] = np.where(lz[None, :], lp, a)
+        ln = np.log1p(-x[~pos])[:, None]
+        with np.errstate(all="ignore"):
+            b = -np.expm1(ln * (2.0 - lam)[None, :]) / np.where(l2, 1.0, 2.0 - lam)[None, :]
+        out[~pos] = np.where(l2[None, :], -ln, b)
+        return out
 
     def mapper(it):
         acc = {}

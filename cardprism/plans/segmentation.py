@@ -74,9 +74,12 @@ def _score_candidates(spark, points, labels, cands: list[Candidate], block_size:
 
 def gmm_candidates(points, specs: dict, algorithm: str, cfg: SegmentationConfig, n: int, start: int) -> list[Candidate]:
     ks = sorted({k for k, _ in specs.values()})
-    init = KM.best_per_k(KM.kmeans_sweep(points, ks, restarts=1, max_iter=cfg.kmeans_max_iter, seed=cfg.seed))
-    models = G.fit_many(points, specs, {k: init[k].centers for k in ks}, n, cfg.gmm_max_iter, cfg.gmm_tol,
-                        cfg.gmm_reg_covar)
+    # initial centres: K-Means on a bounded deterministic sample (the whole
+    # matrix when it has at most ``init_sample`` rows); EM then uses all rows
+    from cardprism.operators.batched import sample_matrix
+    X0 = sample_matrix(points, int(cfg.extra.get("init_sample", 20000)), cfg.seed)
+    init = {k: KM.lloyd_local(X0, k, cfg.seed, cfg.kmeans_max_iter) for k in ks}
+    models = G.fit_many(points, specs, init, n, cfg.gmm_max_iter, cfg.gmm_tol, cfg.gmm_reg_covar)
     out = []
     for c, (k, cov) in specs.items():
         g = models[c]
@@ -90,7 +93,11 @@ def size_partitions(points: DataFrame, target_bytes: int = 16 << 20) -> DataFram
     partition, so a 1 MB matrix in 200 partitions is pure overhead while a
     100 GB matrix still gets thousands of tasks."""
     n, d = points.select(F.count(F.lit(1)), F.max(F.size("v"))).first()
-    parts = max(1, -(-int(n * max(d or 1, 1) * 8 * 2) // target_bytes))
+    by_size = -(-int(n * max(d or 1, 1) * 8 * 2) // target_bytes)
+    # passes are compute-bound (numpy per candidate): use the cores even
+    # when the matrix is small, but keep >= ~2000 rows per task
+    cores = points.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, by_size, min(cores, -(-int(n) // 2000)))
     return cut_lineage(points.repartition(parts, "id"))
 
 
