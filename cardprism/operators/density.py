@@ -6,8 +6,10 @@
   pair returns only the m smallest distances per point, then a window keeps
   the m smallest over all blocks (<= blocks x m rows per point);
 * mutual reachability (C06b) on the k-NN edges: max(core a, core b, d(a, b));
-* connected components (C06d): min-label propagation with pointer jumping,
-  checkpointed each round; components below ``min_cluster_size`` are noise;
+* connected components (C06d): partition-local contraction (vectorised
+  per-partition solve, only cross-partition root links go to the next
+  round), finished by pointer-jumping label propagation when contraction
+  stops shrinking; components below ``min_cluster_size`` are noise;
 * minimum spanning forest (C06c): Borůvka rounds - per component the
   lightest outgoing edge (``min_by``), then components merged;
 * cluster selection (C06e): excess of mass over a bounded ladder of density
@@ -87,38 +89,128 @@ def mutual_reachability(neigh: DataFrame, core: DataFrame) -> DataFrame:
     return e.join(cs, "src").join(cd, "dst").select("src", "dst", F.greatest("cs", "cd", "d").alias("weight"))
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 100,
-                         init: DataFrame | None = None, checkpoint_every: int = 4) -> DataFrame:
-    """(id, comp = smallest id of the component).  Each round: every vertex
-    takes the smallest label among itself and its neighbours, then jumps to
-    its label's label (pointer jumping), so long chains collapse fast.
-    ``init`` warm-starts from a finer partition (labels must be member ids).
-    Rounds are persisted and cut by a reliable checkpoint every few rounds."""
+def _local_components(it):
+    """Components of the edges held by one partition (numpy min-label
+    propagation with pointer doubling): every vertex seen -> smallest vertex
+    id of its local component."""
+    for pdf in it:
+        if not len(pdf):
+            continue
+        src, dst = pdf["src"].to_numpy(), pdf["dst"].to_numpy()
+        ids, inv = np.unique(np.concatenate([src, dst]), return_inverse=True)
+        a, b = inv[:len(src)], inv[len(src):]
+        lab = np.arange(len(ids))
+        while True:
+            nl = lab.copy()
+            np.minimum.at(nl, a, lab[b])
+            np.minimum.at(nl, b, lab[a])
+            while True:
+                nn = nl[nl]
+                if np.array_equal(nn, nl):
+                    break
+                nl = nn
+            if np.array_equal(nl, lab):
+                break
+            lab = nl
+        yield pd.DataFrame({"v": ids, "root": ids[lab]})
+
+
+def _propagate(vertices: DataFrame, edges: DataFrame, checkpoint_every: int = 4) -> DataFrame:
+    """(id, comp = smallest id of the component) by min-label propagation
+    with pointer jumping: each round every vertex takes the smallest label
+    among itself and its neighbours, then jumps to its label's label.  Runs
+    until no label changes (labels only decrease, so a round changed
+    something iff the label sum dropped)."""
     from pyspark import StorageLevel
-    if init is not None:
-        lab = vertices.select("id").join(init.select("id", "comp"), "id", "left") \
-                      .select("id", F.coalesce("comp", "id").alias("comp"))
-    else:
-        lab = vertices.select("id", F.col("id").alias("comp"))
-    lab = cut_lineage(lab)
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    both = cut_lineage(both)
+    lab = cut_lineage(vertices.select("id", F.col("id").alias("comp")))
+    both = cut_lineage(edges.select("src", "dst").unionByName(
+        edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
     last = lab.agg(F.sum("comp")).first()[0]
-    for r in range(max_rounds):
+    r = 0
+    while True:
+        r += 1
         nb = both.join(lab.select(F.col("id").alias("dst"), F.col("comp").alias("c")), "dst") \
                  .groupBy("src").agg(F.min("c").alias("m"))
         step = lab.join(nb.withColumnRenamed("src", "id"), "id", "left") \
                   .select("id", F.least("comp", F.coalesce("m", "comp")).alias("comp"))
         hop = step.select(F.col("id").alias("h"), F.col("comp").alias("hc"))
         new = step.join(hop, step.comp == hop.h, "left").select("id", F.least("comp", F.coalesce("hc", "comp")).alias("comp"))
-        new = cut_lineage(new) if (r + 1) % checkpoint_every == 0 else new.persist(StorageLevel.MEMORY_AND_DISK)
-        # labels only decrease, so a round changed something iff the sum dropped
+        new = cut_lineage(new) if r % checkpoint_every == 0 else new.persist(StorageLevel.MEMORY_AND_DISK)
         cur = new.agg(F.sum("comp")).first()[0]
         lab = new
         if cur == last:
-            break
+            return lab
         last = cur
-    return lab
+
+
+def _local_components(it):
+    """Components of the edges held by one partition (numpy min-label
+    propagation with pointer doubling): every vertex seen -> smallest vertex
+    id of its local component."""
+    for pdf in it:
+        if not len(pdf):
+            continue
+        src, dst = pdf["src"].to_numpy(), pdf["dst"].to_numpy()
+        ids, inv = np.unique(np.concatenate([src, dst]), return_inverse=True)
+        a, b = inv[:len(src)], inv[len(src):]
+        lab = np.arange(len(ids))
+        while True:
+            nl = lab.copy()
+            np.minimum.at(nl, a, lab[b])
+            np.minimum.at(nl, b, lab[a])
+            while True:
+                nn = nl[nl]
+                if np.array_equal(nn, nl):
+                    break
+                nl = nn
+            if np.array_equal(nl, lab):
+                break
+            lab = nl
+        yield pd.DataFrame({"v": ids, "root": ids[lab]})
+
+
+def connected_components(vertices: DataFrame, edges: DataFrame, init: DataFrame | None = None) -> DataFrame:
+    """(id, comp = smallest id of the component).
+
+    Partition-local contraction first: each round every partition of the
+    (remaining) edges solves its own components in a vectorised task; a
+    vertex seen by several partitions links their local roots, and only
+    those root links go to the next round, in root space.  A graph held in
+    one partition finishes in one round.  Contraction continues while the
+    edge set at least halves per round; whatever remains (adversarially
+    scattered graphs) is solved by pointer-jumping label propagation in
+    root space.  Labels of successive stages are composed by joins.
+    ``init`` warm-starts from a finer partition (id, comp) whose labels are
+    the smallest member ids (as returned here)."""
+    e = edges.select("src", "dst")
+    maps = []
+    if init is not None:
+        m0 = init.select(F.col("id").alias("v"), F.col("comp").alias("r"))
+        maps.append(m0)
+        e = e.join(m0.withColumnRenamed("v", "src"), "src", "left") \
+             .select(F.coalesce("r", "src").alias("src"), "dst") \
+             .join(m0.withColumnRenamed("v", "dst"), "dst", "left") \
+             .select("src", F.coalesce("r", "dst").alias("dst"))
+    cur = cut_lineage(e.where(F.col("src") != F.col("dst")).distinct())
+    n_cur = cur.count()
+    while n_cur > 0:
+        local = cur.mapInPandas(_local_components, "v long, root long")
+        per_v = cut_lineage(local.groupBy("v").agg(F.min("root").alias("r"), F.collect_set("root").alias("rs")))
+        maps.append(per_v.select("v", "r"))
+        links = per_v.select(F.explode("rs").alias("src"), F.col("r").alias("dst")).where(F.col("src") != F.col("dst"))
+        nxt = cut_lineage(links.distinct())
+        n_nxt = nxt.count()
+        if n_nxt > 0 and 2 * n_nxt > n_cur:
+            # not shrinking: finish the root-space graph by propagation
+            roots = nxt.select(F.col("src").alias("id")).unionByName(nxt.select(F.col("dst").alias("id"))).distinct()
+            maps.append(_propagate(roots, nxt).select(F.col("id").alias("v"), F.col("comp").alias("r")))
+            break
+        cur, n_cur = nxt, n_nxt
+    lab = vertices.select("id", F.col("id").alias("comp"))
+    for m in maps:
+        lab = lab.join(m.select(F.col("v").alias("comp"), "r"), "comp", "left") \
+                 .select("id", F.coalesce("r", "comp").alias("comp"))
+    return cut_lineage(lab)
 
 
 def density_cut(points: DataFrame, edges: DataFrame, eps: float, min_cluster_size: int) -> DataFrame:

@@ -36,6 +36,46 @@ def test_components_and_cut(pts, spark):
     assert cut[1] == 0 and cut[10] == -1 and cut[12] == -1
 
 
+def _union_find(n, pairs):
+    par = list(range(n))
+
+    def find(x):
+        while par[x] != x:
+            par[x] = par[par[x]]
+            x = par[x]
+        return x
+    for a, b in pairs:
+        ra, rb = find(a), find(b)
+        if ra != rb:
+            par[max(ra, rb)] = min(ra, rb)
+    groups = {}
+    for i in range(n):
+        groups.setdefault(find(i), []).append(i)
+    return {i: min(g) for g in groups.values() for i in g}
+
+
+def test_components_random_graph_and_fallback(spark):
+    rng = np.random.RandomState(11)
+    n = 300
+    pairs = [(int(a), int(b)) for a, b in rng.randint(0, n, size=(260, 2))]
+    # a long chain in shuffled order as well (many propagation rounds)
+    chain = list(range(200, 300))
+    rng.shuffle(chain)
+    pairs += list(zip(chain[:-1], chain[1:]))
+    exp = _union_find(n, pairs)
+    v = spark.createDataFrame([(i,) for i in range(n)], "id long")
+    e = spark.createDataFrame(pairs, "src long, dst long").repartition(7)
+    got = {r["id"]: r["comp"] for r in D.connected_components(v, e).collect()}
+    assert got == exp
+    # the propagation stage alone (the fallback when contraction stalls)
+    prop = {r["id"]: r["comp"] for r in D._propagate(v, e).collect()}
+    assert prop == exp
+    # warm start from a finer partition (components of the first half of the edges)
+    fine = D.connected_components(v, spark.createDataFrame(pairs[:150], "src long, dst long"))
+    warm = {r["id"]: r["comp"] for r in D.connected_components(v, e, init=fine).collect()}
+    assert warm == exp
+
+
 def test_forest_weight_is_minimal(spark):
     rng = np.random.RandomState(2)
     n = 12
