@@ -92,10 +92,12 @@ def mutual_reachability(neigh: DataFrame, core: DataFrame) -> DataFrame:
 def _local_components(it):
     """Components of the edges held by one partition (numpy min-label
     propagation with pointer doubling): every vertex seen -> smallest vertex
-    id of its local component."""
-    for pdf in it:
-        if not len(pdf):
-            continue
+    id of its local component.  The partition's Arrow batches are solved
+    together (partitions are size-bounded by ``cut_lineage``), so a graph
+    held in one partition contracts completely."""
+    parts = [b for b in it if len(b)]
+    if parts:
+        pdf = pd.concat(parts, ignore_index=True)
         src, dst = pdf["src"].to_numpy(), pdf["dst"].to_numpy()
         ids, inv = np.unique(np.concatenate([src, dst]), return_inverse=True)
         a, b = inv[:len(src)], inv[len(src):]
@@ -146,10 +148,12 @@ def _propagate(vertices: DataFrame, edges: DataFrame, checkpoint_every: int = 4)
 def _local_components(it):
     """Components of the edges held by one partition (numpy min-label
     propagation with pointer doubling): every vertex seen -> smallest vertex
-    id of its local component."""
-    for pdf in it:
-        if not len(pdf):
-            continue
+    id of its local component.  The partition's Arrow batches are solved
+    together (partitions are size-bounded by ``cut_lineage``), so a graph
+    held in one partition contracts completely."""
+    parts = [b for b in it if len(b)]
+    if parts:
+        pdf = pd.concat(parts, ignore_index=True)
         src, dst = pdf["src"].to_numpy(), pdf["dst"].to_numpy()
         ids, inv = np.unique(np.concatenate([src, dst]), return_inverse=True)
         a, b = inv[:len(src)], inv[len(src):]

@@ -63,8 +63,6 @@ def aggregate_cards(tx: DataFrame, cfg: SegmentationConfig = SegmentationConfig(
          .transform(lambda d: add_day_parts(d, cfg))
     first = F.min(TS)
     last = F.max(TS)
-    first = F.min(TS)
-    last = F.max(TS)
     amt = F.col(AMT)
     agg = t.groupBy("card_id").agg(
         F.count("transaction_id").alias("tx_count"),
