@@ -254,14 +254,16 @@ def _many_fn(n_cands: int, kmax: int):
         ids = left["id"].to_numpy()
         for m in range(n_cands):
             rl = RL[:, m]
+            # label -1: the point is noise (or unlabelled) in this labelling
+            keep = LL[:, m] >= 0
             onehot = (rl[:, None] == np.arange(kmax)[None, :]).astype(np.float64)
             cnt = onehot.sum(0)
             present = np.nonzero(cnt)[0]
-            sums = D @ onehot[:, present]
-            nl = len(ids)
+            sums = D[keep] @ onehot[:, present]
+            nl = int(keep.sum())
             out.append(pd.DataFrame({
-                "id": np.repeat(ids, len(present)), "cand": m,
-                "cluster": np.repeat(LL[:, m], len(present)),
+                "id": np.repeat(ids[keep], len(present)), "cand": m,
+                "cluster": np.repeat(LL[keep, m], len(present)),
                 "other": np.tile(present, nl), "dsum": sums.reshape(-1),
                 "cnt": np.tile(cnt[present], nl).astype(np.int64)}))
         return pd.concat(out, ignore_index=True)
@@ -272,13 +274,17 @@ def silhouette_many(points: DataFrame, labels: DataFrame, block_size: int = 2048
     """Euclidean silhouette of many labelings in ONE blocked pass: the
     distances are shared, each labeling only changes the per-cluster
     reduction.  ``labels``: (id, cand, cluster) with cand = 0..m-1 and
-    cluster >= 0 (no noise).  Returns (cand, silhouette) with NULL where a
-    labeling has < 2 clusters or a cluster with < 2 points."""
+    cluster >= 0; noise points are simply absent from their labelling (a
+    point may be labelled by some candidates only).  Returns (cand,
+    silhouette) with NULL where a labeling has < 2 clusters or a cluster
+    with < 2 points."""
     info = labels.groupBy("cand").agg(F.max("cluster").alias("mx")).collect()
-    n_cands = len(info)
+    n_cands = max(r["cand"] for r in info) + 1
     kmax = max(r["mx"] for r in info) + 1
-    labs = labels.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("cand", "cluster"))).alias("_l")) \
-                 .select("id", F.col("_l.cluster").alias("labs"))
+    # dense per-point label vector (bounded by the number of candidates), -1 = absent
+    m = labels.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("cand", "cluster"))).alias("_m"))
+    labs = m.select("id", F.transform(F.sequence(F.lit(0), F.lit(n_cands - 1)),
+                                      lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(-1))).alias("labs"))
     p = points.select("id", "v").join(labs, "id")
     n = p.count()
     nb = max(1, math.ceil(n / block_size))

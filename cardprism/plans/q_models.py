@@ -171,6 +171,7 @@ def _runs_df(alg):
 register("kmeans_sweep")(_runs_df("kmeans"))
 register("gmm_sweep")(_runs_df("gmm"))
 register("gmm_auto")(_runs_df("gmm_auto"))
+register("hdbscan_sweep")(_runs_df("hdbscan"))      # C06: the reference's 2 x 2 density grid
 register("gmm_choose_n")(lambda spark, sf: choose_n_components(_runs("gmm_auto")(spark, sf)[0], "bic"))
 register("model_score")(lambda spark, sf: model_score(_runs("gmm_auto")(spark, sf)[0]).select(
     "cand", "algorithm", "k", "cov_type", "combined_score"))

@@ -66,7 +66,8 @@ def _score_candidates(spark, points, labels, cands: list[Candidate], block_size:
     rows = []
     for seq, c in enumerate(cands):
         b = bal[c.cand]
-        rows.append((c.cand, c.algorithm, c.k, c.cov_type, None, None, c.bic, c.aic, b["n_clusters"],
+        mcs, ms = c.model if c.algorithm == "hdbscan" else (None, None)
+        rows.append((c.cand, c.algorithm, c.k, c.cov_type, mcs, ms, c.bic, c.aic, b["n_clusters"],
                      float(b["balance_ratio"]), float(b["largest_cluster_pct"]), float(b["noise_ratio"]),
                      None if c.cand not in idx or sil.get(idx[c.cand]) is None else float(sil[idx[c.cand]]), seq))
     return spark.createDataFrame(rows, RUNS_SCHEMA)

@@ -50,6 +50,19 @@ def test_silhouette_many_matches_single(blobs, spark):
     assert got[1] == pytest.approx(brute_silhouette(X, alt), abs=1e-9)
 
 
+def test_silhouette_many_with_noise(blobs, spark):
+    """A labelling with noise points (absent rows) is scored on its
+    non-noise points only, alongside a complete labelling."""
+    df, X, lab = blobs
+    noise = np.arange(len(lab)) % 7 == 0
+    labels = spark.createDataFrame([(i, 0, int(l)) for i, l in enumerate(lab)] +
+                                   [(i, 1, int(l)) for i, l in enumerate(lab) if not noise[i]],
+                                   "id long, cand int, cluster int")
+    got = {r["cand"]: r["silhouette"] for r in silhouette_many(df, labels, block_size=64).collect()}
+    assert got[0] == pytest.approx(brute_silhouette(X, lab), abs=1e-9)
+    assert got[1] == pytest.approx(brute_silhouette(X[~noise], np.asarray(lab)[~noise]), abs=1e-9)
+
+
 def test_silhouette_null_rules(spark):
     df = spark.createDataFrame([(0, 0, [0.0]), (1, 0, [1.0]), (2, 1, [5.0])], "id long, cluster int, v array<double>")
     assert silhouette(df).first()[0] is None          # a singleton cluster
