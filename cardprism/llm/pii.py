@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -37,7 +38,7 @@ MIN_DIGITS = 7
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
@@ -206,10 +207,12 @@ def find_spans(text: str | None, deobfuscate: Deobfuscator) -> tuple[list, list]
     mapped = deobfuscate(text)
     if mapped is None:
         return base, base
+    own = {k: [(a, b) for a, b, kind in base if kind == k] for k in KINDS}
     spans = list(base)
     for a, b, kind in detect(mapped.text):
         start, end = mapped.source(a, b)
-        near = [(s, e) for s, e, k in spans if k == kind and s < end and start < e]
+        known = own[kind]  # in order, not overlapping
+        near = known[bisect_left(known, start, key=lambda s: s[1] - 1):bisect_left(known, end, key=lambda s: s[0])]
         if all(start <= s and e <= end and (s, e) != (start, end) for s, e in near):
             spans.append((start, end, kind))
     spans.sort(key=lambda s: (s[0], KINDS.index(s[2])))

@@ -154,7 +154,7 @@ class Restorer:
     def _disguised(token: str) -> bool:
         letters = sum("a" <= c <= "z" for c in token)
         signs = sum(c in LEET for c in token.rstrip("!.,;:?$"))
-        return letters >= 2 and signs <= letters and not ("@" in token and "." in token) and "://" not in token
+        return letters >= 2 and signs <= 2 * letters and not ("@" in token and "." in token) and "://" not in token
 
     def spans(self, text: str) -> Iterator[tuple[int, int]]:
         """Disguised stretches of a folded text, not overlapping."""
