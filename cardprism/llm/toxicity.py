@@ -23,6 +23,7 @@ count once, as the largest.
 
 from __future__ import annotations
 
+import codecs
 import math
 import re
 import unicodedata
@@ -43,35 +44,53 @@ SAMPLE_ROWS, MAX_FEATURES = 20_000, 2000
 # Letters that a sign may stand for.
 LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
-    "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¥": "y",
+    "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "\xa3": "l", "\xa5": "y",
 }
 SEPARATORS = frozenset(" ._*-~'")
 SWAP, DROP, MERGE = 1.0, 2.0, 2.0  # channel costs in nats
 
-_LOOK = {ord(k): v for k, v in _LOOKALIKE.items()} | {ord(k): k for k in "€£¥"} | dict.fromkeys([*range(0x300, 0x370), 0x200B, 0x200C, 0x200D, 0xAD, 0xFEFF])
 _SIGN = re.escape("".join(LEET))
-_INSIDE = re.compile(rf"[a-z][{_SIGN}]+[a-z]|(?<!\S)[@$€0-9][a-z]{{2}}|[a-z]{{2}}[@$€013457](?![^\s.,;:?!])")
+_INSIDE = re.compile(rf"[a-z][{_SIGN}]+[a-z]|(?<!\S)[@$0-9][a-z]{{2}}|[a-z]{{2}}[@$013457](?![^\s.,;:?!])")
 _SPACED = re.compile(rf"(?<![a-z0-9])(?:[a-z{_SIGN}][ ._*~-]){{3,}}[a-z{_SIGN}](?![a-z0-9])")
 _TRIPLE = re.compile(r"([a-z])\1\1")
 _TOKEN = re.compile(r"\S+")
-_WORD = re.compile(r"[a-z]+")
-_TABLE = np.zeros(256, np.int64)
-_TABLE[97:123] = np.arange(1, 27)
 N = 27
 
 
-def fold(text: str) -> str:
-    """Lower case without accents; look-alikes of Latin letters replaced."""
-    text = text.translate(_LOOK) if not text.isascii() else text
-    text = text.casefold()
-    if text.isascii():
-        return text
-    return unicodedata.normalize("NFKD", text).translate(_LOOK).encode("latin-1", "replace").decode("latin-1")
+def _plain_byte(c: int) -> int:
+    """Latin-1 code to its lower-case base letter, or itself."""
+    base = unicodedata.normalize("NFKD", chr(c).lower())[:1]
+    return {0xDF: ord("s"), 0xE6: ord("a"), 0xF8: ord("o"), 0xF0: ord("d"), 0xFE: ord("t")}.get(ord(chr(c).lower()), ord(base) if base.isascii() else c)
 
 
-def codes(folded: str) -> np.ndarray:
-    """Symbols 1-26 for a-z and 0 for all else."""
-    return _TABLE[np.frombuffer(folded.encode("latin-1", "replace"), np.uint8)]
+_BASE = bytes(_plain_byte(c) for c in range(256))
+_LETTERS = bytes(c if 97 <= c <= 122 else 32 for c in range(256))
+_CODE = np.array([c - 96 if 97 <= c <= 122 else 0 for c in range(256)], np.int64)
+_LETTER = np.array([97 <= c <= 122 for c in range(256)])
+_MARK = np.array([chr(c) in LEET for c in range(256)])
+
+
+def _outside_latin1(error):
+    """Codec error handler: look-alikes and compatibility forms become plain
+    letters, marks and invisible characters vanish, the rest is a blank."""
+    out = []
+    for c in error.object[error.start:error.end]:
+        base = _LOOKALIKE.get(c) or "".join(x for x in unicodedata.normalize("NFKD", c) if x.isascii())
+        out.append(base.lower() or ("" if unicodedata.category(c) in ("Mn", "Cf") else "e" if c == "\u20ac" else " "))
+    return "".join(out), error.end
+
+
+codecs.register_error("cardprism.fold", _outside_latin1)
+
+
+def fold(text: str) -> bytes:
+    """Lower case without accents, look-alikes of Latin letters replaced, as
+    Latin-1."""
+    return text.encode("latin-1", "cardprism.fold").translate(_BASE)
+
+
+def words_in(folded: bytes) -> set[str]:
+    return set(folded.translate(_LETTERS).decode("ascii").split())
 
 
 def char_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -82,7 +101,7 @@ def char_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for pdf in batches:
             for text in pdf["text"]:
                 if text:
-                    c = np.concatenate(([0, 0], codes(fold(text)), [0]))
+                    c = np.concatenate(([0, 0], _CODE[np.frombuffer(fold(text), np.uint8)], [0]))
                     total += np.bincount(c[:-2] * (N * N) + c[1:-1] * N + c[2:], minlength=N**3)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"code": at, "n": total[at]})
@@ -156,29 +175,46 @@ class Restorer:
         signs = sum(c in LEET for c in token.rstrip("!.,;:?$"))
         return letters >= 2 and signs <= 2 * letters and not ("@" in token and "." in token) and "://" not in token
 
-    def spans(self, text: str) -> Iterator[tuple[int, int]]:
-        """Disguised stretches of a folded text, not overlapping."""
-        found = [m.span() for m in _SPACED.finditer(text) if sum("a" <= c <= "z" for c in m[0]) >= 3]
-        if _INSIDE.search(text):
-            found += [m.span() for m in _TOKEN.finditer(text) if _INSIDE.search(m[0]) and self._disguised(m[0])]
-        c = np.frombuffer(text.encode("latin-1", "replace"), np.uint8)
-        same = (c[2:] == c[1:-1]) & (c[1:-1] == c[:-2]) & (c[2:] >= 97) & (c[2:] <= 122)
-        if same.any():
-            found += [m.span() for m in re.finditer(r"[a-z]+", text) if m.end() - m.start() > 2 and _TRIPLE.search(m[0])]
-        end = 0
+    def spans(self, folded: bytes) -> list[tuple[int, int]]:
+        """Disguised stretches of a folded text, in order, not overlapping.
+        Byte classes rule out most texts before a pattern is tried."""
+        c = np.frombuffer(folded, np.uint8)
+        if len(c) < 3:
+            return []
+        letter, mark = _LETTER[c], _MARK[c]
+        text, found = None, []
+        if ((c[2:] == c[1:-1]) & (c[1:-1] == c[:-2]) & letter[2:]).any():
+            text = folded.decode("latin-1")
+            found += [m.span() for m in re.finditer(r"[a-z]{3,}", text) if _TRIPLE.search(m[0])]
+        if (mark[1:] & letter[:-1]).any() or (mark[:-1] & letter[1:]).any():
+            text = text or folded.decode("latin-1")
+            if _INSIDE.search(text):
+                found += [m.span() for m in _TOKEN.finditer(text) if _INSIDE.search(m[0]) and self._disguised(m[0])]
+        body = letter | mark
+        alone = body.copy()
+        alone[1:] &= ~body[:-1]
+        alone[:-1] &= ~body[1:]
+        if len(c) > 6 and (alone[:-6] & alone[2:-4] & alone[4:-2] & alone[6:]).any():
+            text = text or folded.decode("latin-1")
+            found += [m.span() for m in _SPACED.finditer(text) if sum("a" <= x <= "z" for x in m[0]) >= 3]
+        out, end = [], 0
         for a, b in sorted(found):
             if a >= end:
-                yield a, b
+                out.append((a, b))
                 end = b
+        return out
 
-    def __call__(self, text: str | None) -> tuple[str, int]:
+    def __call__(self, text: str | None) -> tuple[bytes, int]:
         """(restored text, number of stretches decoded); restored is folded."""
-        text = fold(text or "")
-        out, at, n = [], 0, 0
-        for a, b in self.spans(text):
-            out += [text[at:a], self.decode(text[a:b])]
-            at, n = b, n + 1
-        return "".join([*out, text[at:]]), n
+        folded = fold(text or "")
+        spans = self.spans(folded)
+        if not spans:
+            return folded, 0
+        out, at = [], 0
+        for a, b in spans:
+            out += [folded[at:a], self.decode(folded[a:b].decode("latin-1")).encode("latin-1")]
+            at = b
+        return b"".join([*out, folded[at:]]), len(spans)
 
 
 def features_of(word: str) -> list[str]:
@@ -190,13 +226,17 @@ class Classifier:
 
     def __init__(self, weights: dict[str, float], bias: float, memory: int = 300_000):
         self.weights, self.bias, self.memory = weights, bias, memory
+        self.heads = {f[1:1 + PREFIXES[0]] for f in weights}   # a word without such a beginning has no feature
 
     def score(self, words: set[str], known: dict) -> float:
         if len(known) > self.memory:
             known.clear()
-        for w in words.difference(known):
-            known[w] = tuple(f for f in features_of(w) if f in self.weights)
-        found = {f for w in words if known[w] for f in known[w]}
+        k, heads, found = PREFIXES[0], self.heads, set()
+        for w in words:
+            if w[:k] in heads:
+                if w not in known:
+                    known[w] = tuple(f for f in features_of(w) if f in self.weights)
+                found.update(known[w])
         z = self.bias + sum(self.weights[f] for f in sorted(found))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
@@ -231,7 +271,7 @@ def train(docs: DataFrame, labels: DataFrame, lm: np.ndarray, scratch: Scratch,
     def words(batches):
         restore = Restorer(lm_b.value)
         for pdf in batches:
-            yield pd.DataFrame({"toxic": pdf["toxic"], "words": [sorted(set(_WORD.findall(restore(t)[0]))) for t in pdf["text"]]})
+            yield pd.DataFrame({"toxic": pdf["toxic"], "words": [sorted(words_in(restore(t)[0])) for t in pdf["text"]]})
 
     texts = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text")
     sample = texts.mapInPandas(words, "toxic int, words array<string>")
@@ -284,7 +324,7 @@ class ToxicityModel:
                 rows = []
                 for t in texts:
                     plain, n = restore(t)
-                    rows.append((model.value.classifier.score(set(_WORD.findall(plain)), known), n))
+                    rows.append((model.value.classifier.score(words_in(plain), known), n))
                 yield pd.DataFrame(rows, columns=["score", "n_restored"])
 
         return score
