@@ -1,14 +1,22 @@
 import random
 
+import numpy as np
+
 from cardprism.llm import components, minhash
-from cardprism.llm.common import Scratch
+from cardprism.llm.common import Scratch, words_of
+
+
+def shingle_set(text, k=5):
+    words = words_of(text)
+    k = min(k, len(words))
+    return {tuple(words[i:i + k]) for i in range(len(words) - k + 1)} if words else set()
 
 
 def brute(rows, percent=85):
     sets = {}
     for i, t in rows:
         if i is not None:
-            sets.setdefault(i, []).append(minhash.shingle_set(t))
+            sets.setdefault(i, []).append(shingle_set(t))
     parent = {i: i for i in sets}
 
     def find(x):
@@ -56,21 +64,28 @@ def test_components_against_brute_force(docs):
     rows = list(enumerate(texts))
     got = {r.doc_id: r for r in check(docs, rows)}
     for i, t in rows:
-        assert got[i].n_shingles == len(minhash.shingle_set(t))
+        assert got[i].n_shingles == len(shingle_set(t))
 
 
-def test_large_buckets_take_pivots(docs, monkeypatch):
-    """Buckets beyond SMALL go through pivot rounds and lose no link."""
+def test_large_buckets_meet_in_blocks(docs, monkeypatch):
+    """Buckets beyond SMALL are compared block by block and lose no link;
+    nothing is broadcast."""
     monkeypatch.setattr(minhash, "SMALL", 2)
-    monkeypatch.setattr(minhash, "PIVOTS", 2)
+    monkeypatch.setattr(minhash, "BLOCK", 4)
     monkeypatch.setattr(minhash, "BROADCAST_PAIRS", 0)
     rng = random.Random(2)
-    base = [f"v{i}" for i in range(120)]
-    texts = family(rng, base, 25, 1)
+    texts = family(rng, [f"v{i}" for i in range(120)], 25, 1) + family(rng, [f"v{i}" for i in range(90)], 15, 2)
     rows = list(enumerate(rng.sample(texts, len(texts))))
     check(docs, rows, rows=1, bands=20)
 
 
+def test_intersections():
+    rng = np.random.default_rng(3)
+    a, b = ([np.unique(rng.integers(0, 60, rng.integers(1, 40)).astype(np.uint64)) for _ in range(9)] for _ in range(2))
+    got = minhash.intersections(a, b, columns=7)
+    assert all(got[i, j] == len(np.intersect1d(a[i], b[j])) for i in range(9) for j in range(9))
+
+
 def test_repeated_and_missing_ids(docs):
     text = " ".join(f"w{i}" for i in range(50))
     other = " ".join(f"u{i}" for i in range(50))
