@@ -1,14 +1,15 @@
-"""Per-card behavioural features (row flags -> one aggregation -> derived).
+"""Per-card behavioural features (row flags -> aggregation -> derived).
 
-Physical plan: scan (pruned to the 11 columns read) -> projection of flags ->
-partial aggregate -> shuffle on ``card_id`` -> final aggregate.  Distinct
-counts are planned by Catalyst as a two-level aggregation keyed by
-(card, value), so a card holding a third of all rows is still spread over
-many tasks; the exact median uses the bounded-memory quantile operator.
+The transactions are read once: projected to the columns that the features
+need and cached (memory, then local disk; a lost block is read again).  From
+there come the aggregation of 23 features, keyed by ``card_id`` with partial
+aggregation, and the (card, amount, count) histogram behind the exact median,
+keyed by both, so a card holding a third of all rows is spread over all tasks.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +23,6 @@ from cardprism.session import cut_lineage
 from cardprism.schema import AGGREGATE_FEATURES, DERIVED_FEATURES, INTEGER_FEATURES
 
 TS = "transaction_timestamp"
-MONEY_DECIMAL = "decimal(28,6)"
 AMT = "transaction_amount_kzt"
 
 
@@ -57,16 +57,18 @@ def add_day_parts(df: DataFrame, cfg: SegmentationConfig = SegmentationConfig())
 
 def aggregate_cards(tx: DataFrame, cfg: SegmentationConfig = SegmentationConfig()) -> DataFrame:
     """The 24 aggregated features, one row per non-null card_id."""
-    t = (tx.where(F.col("card_id").isNotNull())
-         .withColumn(AMT, nan_to_null(F.col(AMT).cast("double"))))
-    t = t.transform(lambda d: add_time_features(d, cfg)).transform(lambda d: add_behaviour_flags(d, cfg)) \
-         .transform(lambda d: add_day_parts(d, cfg))
+    t = tx.where(F.col("card_id").isNotNull()).select(
+        "card_id", "transaction_id", TS, nan_to_null(F.col(AMT).cast("double")).alias(AMT), "wallet_type", "transaction_currency",
+        "pos_entry_mode", "transaction_type", "merchant_city", "merchant_mcc", "acquirer_country_iso", "issuer_bank_name")
+    t = t.persist(StorageLevel.MEMORY_AND_DISK)
+    flagged = t.transform(lambda d: add_time_features(d, cfg)).transform(lambda d: add_behaviour_flags(d, cfg)) \
+               .transform(lambda d: add_day_parts(d, cfg))
     first = F.min(TS)
     last = F.max(TS)
     amt = F.col(AMT)
-    agg = t.groupBy("card_id").agg(
+    agg = flagged.groupBy("card_id").agg(
         F.count("transaction_id").alias("tx_count"),
-        exact_sum(amt).alias("total_amount"),
+        F.sum(amt).alias("total_amount"),
         F.count(amt).alias("_n"),
         F.stddev_samp(AMT).alias("std_amount"),
         F.min(AMT).alias("min_amount"),
@@ -89,21 +91,10 @@ def aggregate_cards(tx: DataFrame, cfg: SegmentationConfig = SegmentationConfig(
     agg = (agg.withColumn("avg_amount", safe_div(F.col("total_amount"), F.col("_n")))
               .withColumn("total_amount", F.coalesce("total_amount", F.lit(0.0)))
               .withColumn("tx_frequency", safe_div(F.col("_rows"), F.col("days_active"))))
-    # the per-card table is small next to the transactions and feeds the
-    # median pass (sizes) and everything downstream: cut the lineage here
     agg = cut_lineage(agg)
-    med = card_medians(t, agg, cfg)
-    return agg.join(med, "card_id", "left").select("card_id", *AGGREGATE_FEATURES)
-
-
-def exact_sum(x):
-    """Order-independent sum of money amounts: integer parts and micro-unit
-    fractions are summed as longs (exact, associative), then combined.  The
-    result does not depend on partitioning or merge order (reproducible
-    runs, bit-identical to the DuckDB twin)."""
-    fl = F.floor(x)
-    frac = F.floor((x - fl) * 1e6 + 0.5)
-    return F.sum(fl).cast("double") + F.sum(frac).cast("double") / 1e6
+    out = cut_lineage(agg.join(card_medians(t, agg, cfg), "card_id", "left").select("card_id", *AGGREGATE_FEATURES))
+    t.unpersist()
+    return out
 
 
 def distinct_count(c):
@@ -150,7 +141,8 @@ def fill_missing(features: DataFrame) -> DataFrame:
 
 
 def customer_features(tx: DataFrame, cfg: SegmentationConfig = SegmentationConfig()) -> DataFrame:
-    """card_id + 30 features (the flagship query)."""
+    """card_id + 30 features (the flagship query), on a checkpointed
+    per-card table."""
     return fill_missing(derive(aggregate_cards(tx, cfg)))
 
 

@@ -30,7 +30,7 @@ _BCOLS = ("_i", "_p", "_n", "_mn", "_mx", "_pos", "_r0", "_r1", "_lo", "_hi")
 
 
 def grouped_quantiles(df: DataFrame, keys, value: str, probs, names=None, *,
-                      accuracy: int = 10000, max_window: int = 200_000, max_rounds: int = 4,
+                      accuracy: int = 10000, max_window: int = 200_000,
                       bounded_groups: bool = False) -> DataFrame:
     """Return one row per group with columns ``keys + names`` (one per prob).
 
@@ -72,12 +72,12 @@ def grouped_quantiles(df: DataFrame, keys, value: str, probs, names=None, *,
     inside = F.col("_x").between(F.col("_lo"), F.col("_hi"))
     # a window holds about 2 * margin * n values; only larger groups need narrowing
     big_n = int(max_window / (2.5 * margin))
-    for _ in range(max_rounds):
-        if small:
-            if not any(r["_n"] > big_n for r in bounds.collect()):   # local rows, no job
-                break
-        elif bounds.where(F.col("_n") > big_n).limit(1).count() == 0:
+    last = None
+    while True:   # until no window is too large, or none of them shrinks (one value fills it)
+        now = bounds.where(F.col("_n") > big_n).agg(F.count(F.lit(1)), F.sum("_n")).first()
+        if not now[0] or now == last:
             break
+        last = now
         big = bounds.where(F.col("_n") > big_n)
         counts = join_bounds(big).groupBy(*gkeys, "_i").agg(
             F.count_if(F.col("_x") < F.col("_lo")).alias("_below"), F.count_if(inside).alias("_win"))

@@ -12,10 +12,14 @@ from pyspark.sql import types as T
 MONEY = frozenset({
     "avg_amount", "std_amount", "median_amount", "total_amount", "min_amount", "max_amount",
     "customer_lifetime_value", "avg_daily_amount", "clv", "total_volume", "avg_volume_per_customer",
-    "total_revenue", "estimated_total_revenue", "value", "avg_clv", "median_avg_amount", "std_avg_amount",
+    "total_revenue", "estimated_total_revenue", "avg_clv", "median_avg_amount", "std_avg_amount",
     "q1", "q3", "iqr", "most_valuable_clv", "lower_fence", "upper_fence", "lower_whisker", "upper_whisker", "sum_x", "sum_xx",
 })
 
+# A little above one half: a value that lies exactly between two outputs goes
+# up in both engines although their sums differ in the last bits.
+HALF = 0.50001
+
 QUERIES: dict = {}
 ORACLE: dict = {}
 
@@ -40,7 +44,7 @@ def fround(c, digits: int = 6):
     fmod, divide) so that Spark and the DuckDB twin (``sqlgen.rnd``) produce
     bit-identical doubles; the engines' own ``round`` disagree on ties."""
     k = float(10 ** digits)
-    y = F.col(c).cast("double") * k + 0.5 if isinstance(c, str) else c.cast("double") * k + 0.5
+    y = (F.col(c) if isinstance(c, str) else c).cast("double") * k + HALF
     f = y % 1.0
     return F.when(f < 0, y - f - 1.0).otherwise(y - f) / k
 
@@ -57,6 +61,12 @@ def round_doubles(df: DataFrame, digits: int = 6, money: bool = True) -> DataFra
     return df.select(*out)
 
 
+def round_by_metric(df: DataFrame, key: str, money=MONEY) -> DataFrame:
+    """Round ``value`` at 2 decimals where ``key`` names a money metric, else 6."""
+    value = F.when(F.col(key).isin(*money), fround("value", 2)).otherwise(fround("value", 6))
+    return df.select(*[value.alias("value") if c == "value" else F.col(c) for c in df.columns])
+
+
 _MEMO: dict = {}
 
 

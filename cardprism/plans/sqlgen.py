@@ -14,7 +14,7 @@ FEATURES = AGGREGATE_FEATURES + DERIVED_FEATURES
 DOUBLE_FEATURES = tuple(c for c in FEATURES if c not in INTEGER_FEATURES)
 
 
-from cardprism.plans.registry import MONEY
+from cardprism.plans.registry import HALF, MONEY
 
 
 def rc(c: str, expr: str | None = None) -> str:
@@ -25,7 +25,7 @@ def rc(c: str, expr: str | None = None) -> str:
 def rnd(expr: str, digits: int = 6) -> str:
     """Twin of ``registry.fround``: identical IEEE operations in DuckDB."""
     k = f"{float(10 ** digits)!r}::double"
-    y = f"(({expr})::double * {k} + 0.5::double)"
+    y = f"(({expr})::double * {k} + {HALF}::double)"
     return f"(({y} - fmod({y}, 1.0::double) - case when fmod({y}, 1.0::double) < 0 then 1.0::double else 0.0::double end) / {k})"
 
 
@@ -37,10 +37,6 @@ def tx_cte(adapter: str) -> str:
     return f"tx as ({ADAPTER_SQL[adapter]})"
 
 
-EXACT_SUM = ("(sum(floor(transaction_amount_kzt)::bigint)::double + sum(floor((transaction_amount_kzt - "
-             "floor(transaction_amount_kzt)) * 1000000.0::double + 0.5::double)::bigint)::double / 1000000.0::double)")
-
-
 def features_ctes(adapter: str) -> str:
     """CTEs ``tx``, ``fagg``, ``features`` (unrounded card_id + 30 features)."""
     one = "1.0::double"
@@ -51,10 +47,10 @@ ft as (select *, hour(transaction_timestamp) as h, isodow(transaction_timestamp)
 fagg as (
   select card_id,
     count(transaction_id) as tx_count,
-    {EXACT_SUM} / nullif(count(transaction_amount_kzt), 0) as avg_amount,
+    sum(transaction_amount_kzt) / nullif(count(transaction_amount_kzt), 0) as avg_amount,
     stddev_samp(transaction_amount_kzt) as std_amount,
     median(transaction_amount_kzt) as median_amount,
-    coalesce({EXACT_SUM}, 0) as total_amount,
+    coalesce(sum(transaction_amount_kzt), 0) as total_amount,
     min(transaction_amount_kzt) as min_amount,
     max(transaction_amount_kzt) as max_amount,
     avg(case when wallet_type is not null then {one} else {zero} end) as digital_wallet_ratio,

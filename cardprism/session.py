@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
-              app_name: str = "cardprism") -> SparkSession:
+              app_name: str = "cardprism", checkpoint_dir: str | None = None) -> SparkSession:
     master = master or os.environ.get("CARDPRISM_MASTER", "local[8]")
     builder = (
         SparkSession.builder.master(master).appName(app_name)
@@ -25,68 +27,68 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("CARDPRISM_DRIVER_MEMORY", "16g"))
     )
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when it is unset
-    (tests, local runs) fall back to a fresh scratch folder."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, which the driver and all
+    executors see.  Only a local master (tests, the benchmark) may do without
+    it: then a fresh temporary folder is set for the session.  On a cluster an
+    unset folder is an error, since a local one is seen by one machine only."""
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
+    if current := sc.getCheckpointDir():
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="cardprism-ckpt-", dir="/tmp")
-    sc.setCheckpointDir(configured)
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="cardprism-ckpt-")
+    sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df, eager: bool = True, target_bytes: int = 64 << 20):
-    """Reliable checkpoint into the shared ``spark.checkpoint.dir`` (never a
-    local checkpoint).  The input is persisted first so it is computed once
-    (an RDD checkpoint otherwise recomputes it for the write), narrowed to
-    about ``target_bytes`` per partition (estimated from the row count and
-    the schema's row width: one partition for a small per-card table, many
-    at scale), and the checkpointed frame is cached for the iterative passes
-    that follow; a lost cached block is rebuilt from the checkpoint files,
-    not from the original lineage."""
-    from pyspark import StorageLevel
-    ensure_checkpoint_dir(df.sparkSession)
-    src = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = src.count()
-    width = max(8, sum(_width(f.dataType) for f in df.schema.fields))
-    have = src.rdd.getNumPartitions()
-    parts = max(1, min(have, -(-n * width // target_bytes)))
-    narrowed = src.coalesce(parts) if parts < have else src
-    cp = narrowed.checkpoint(eager=eager)
-    out = cp.persist(StorageLevel.MEMORY_AND_DISK)
-    src.unpersist()
-    return out
+def cut_lineage(df: DataFrame, keep: bool = False) -> DataFrame:
+    """A table in the shared folder, reread: for loops, and for frames that
+    several later jobs read.  Unlike ``checkpoint()`` it also sheds what the
+    optimizer knows of the frame, which would grow with each round of a loop.
+    ``keep`` caches it, for passes that read it many times; a lost cached block
+    is read again from the table.  ``release`` deletes it."""
+    path = f"{shared_dir(df.sparkSession)}/cardprism-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    cut = df.sparkSession.read.schema(df.schema).parquet(path)
+    cut = cut.persist(StorageLevel.MEMORY_AND_DISK) if keep else cut
+    cut._cut_path = path
+    return cut
 
 
-def _width(dt) -> int:
-    """Rough in-memory width of a value (bytes) for partition sizing."""
-    from pyspark.sql import types as T
-    if isinstance(dt, (T.ByteType, T.BooleanType)):
-        return 1
-    if isinstance(dt, (T.ShortType,)):
-        return 2
-    if isinstance(dt, (T.IntegerType, T.FloatType, T.DateType)):
-        return 4
-    if isinstance(dt, (T.StringType, T.BinaryType)):
-        return 24
-    if isinstance(dt, T.ArrayType):
-        return 16 * _width(dt.elementType)
-    if isinstance(dt, T.MapType):
-        return 16 * (_width(dt.keyType) + _width(dt.valueType))
-    if isinstance(dt, T.StructType):
-        return sum(_width(f.dataType) for f in dt.fields)
-    return 8
+def release(*frames: DataFrame) -> None:
+    """Delete the tables of frames made by ``cut_lineage`` that nothing reads
+    any more."""
+    for df in frames:
+        path = getattr(df, "_cut_path", None)
+        if path:
+            df.unpersist()
+            sc = df.sparkSession.sparkContext
+            where = sc._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def partitioned(df: DataFrame, key: str, target_bytes: int = 16 << 20) -> DataFrame:
+    """A matrix ``(key, v)`` for model passes: cut, then dealt by ``key`` into
+    partitions of about ``target_bytes``, at least one per core (passes are
+    compute-bound) unless that leaves fewer than 1000 rows each; cached."""
+    from pyspark.sql import functions as F
+    cut = cut_lineage(df)
+    n, d = cut.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    by_size = -(-int(n) * max(d or 1, 1) * 8 // target_bytes)
+    by_core = min(df.sparkSession.sparkContext.defaultParallelism, -(-int(n) // 1000))
+    return cut.repartition(max(1, by_size, by_core), key).persist(StorageLevel.MEMORY_AND_DISK)

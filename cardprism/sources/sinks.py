@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardprism.session import ensure_checkpoint_dir
+from cardprism.session import shared_dir
 
 SINK_FORMATS = ("parquet", "csv", "json")
 TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
@@ -46,5 +46,5 @@ def save_documents(df: DataFrame, path: str, key_col: str | None = None, mode: s
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory (never a
     machine-local temp folder) for round trips and intermediate tables."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
+    base = shared_dir(spark).rstrip("/")
     return f"{base}/cardprism-scratch/{name}-{uuid.uuid4().hex}"

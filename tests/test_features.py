@@ -83,3 +83,15 @@ def test_day_parts_sum_to_one(spark):
     for r in rows:
         assert r["night_ratio"] + r["morning_ratio"] + r["afternoon_ratio"] + r["evening_ratio"] == pytest.approx(1.0)
         assert r["min_amount"] <= r["median_amount"] <= r["max_amount"]
+
+
+def test_sums_keep_small_amounts_and_stand_infinite_ones(spark):
+    ts = dt.datetime(2024, 6, 3, 12, 0)
+    rows = [tx_row(i, 1, ts, 1e-7) for i in range(10)] + [tx_row(20 + i, 2, ts, a) for i, a in enumerate((float("inf"), 5.0))] + \
+           [tx_row(30, 3, ts, 9e18), tx_row(31, 3, ts, 9e18)]
+    got = {r["card_id"]: r for r in customer_features(spark.createDataFrame(rows, TRANSACTION_SCHEMA)).collect()}
+    assert got[1]["total_amount"] == pytest.approx(1e-6, rel=1e-12) and got[1]["avg_amount"] == pytest.approx(1e-7, rel=1e-12)
+    assert got[2]["total_amount"] == float("inf")
+    assert got[3]["total_amount"] == pytest.approx(1.8e19)
+    clean = {r["card_id"]: r for r in clean_features(spark.createDataFrame(list(got.values()))).collect()}
+    assert clean[2]["total_amount"] == clean[3]["total_amount"]

@@ -58,3 +58,11 @@ def test_global_columns(spark):
     got = {r["feature"]: r["q"] for r in column_quantiles(df, ["a", "b"], [0.5], ["q"]).collect()}
     assert got["a"] == pytest.approx(np.median(a))
     assert got["b"] == pytest.approx(np.median(b))
+
+
+def test_windows_that_cannot_shrink_end_the_narrowing(spark):
+    """One value fills the window: the histogram holds it in one row."""
+    from cardprism.operators.quantiles import grouped_quantiles
+    df = spark.range(0, 5000).selectExpr("case when id < 4000 then 7.0 else id end as x", "1 as g")
+    q = grouped_quantiles(df, ["g"], "x", [0.5, 0.9], ["a", "b"], accuracy=50, max_window=20).first()
+    assert (q["a"], q["b"]) == (7.0, 4499.1)
