@@ -1,20 +1,27 @@
 """Shared machinery for iterative models evaluated in batched passes.
 
-One pass = one ``mapInPandas`` over the (id, v) matrix in which every still
-active candidate model computes partition-local sufficient statistics; one
-``applyInPandas`` per candidate sums them (a group holds #partitions x k
-rows, bounded by the partitioning of the card matrix, not by the rows).
-Only model-sized results reach the driver.
+One pass = one ``mapInPandas`` over the (id, v) matrix in which every active
+candidate model computes the sufficient statistics of a partition, and one
+JVM aggregation (``Summarizer.sum`` over vectors, partial-aggregated) that
+adds them per (candidate, component).  The state of a group is one vector,
+whatever the number of partitions, and only model-sized results reach the
+driver.
+
+A candidate whose numbers break down in a task (singular covariance,
+overflow) reports so with a marker row instead of failing the pass; the
+others are not touched by it.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-DRIVER_REDUCE_MAX_PARTITIONS = 64
-STATS_SCHEMA = "cand int, comp int, n double, ll double, s1 array<double>, s2 array<double>"
+FAILED = -1   # component number of the marker row of a failed candidate
 
 
 def matrix(pdf: pd.DataFrame, col: str = "v") -> np.ndarray:
@@ -22,56 +29,31 @@ def matrix(pdf: pd.DataFrame, col: str = "v") -> np.ndarray:
 
 
 def run_pass(points: DataFrame, partition_fn) -> dict:
-    """Apply ``partition_fn(iterator of X batches) -> dict[(cand, comp)] ->
-    (n, ll, s1, s2)`` to every partition, reduce per (cand, comp) and return
-    the sums on the driver as numpy arrays."""
+    """Apply ``partition_fn(iterator of X batches) -> {(cand, comp): vector}``
+    to every partition, add the vectors per (cand, comp), and return the sums
+    as numpy arrays.  Vectors of one (cand, comp) have one length; a candidate
+    with a vector that is not finite is reported as failed."""
 
     def mapper(it):
-        def batches():
-            for pdf in it:
-                if len(pdf):
-                    yield matrix(pdf)
-        acc = partition_fn(batches())
-        rows = [(c, k, float(v[0]), float(v[1]), np.asarray(v[2], float).ravel().tolist(),
-                 np.asarray(v[3], float).ravel().tolist()) for (c, k), v in acc.items()]
-        if rows:
-            yield pd.DataFrame(rows, columns=["cand", "comp", "n", "ll", "s1", "s2"])
+        acc = partition_fn(matrix(pdf) for pdf in it if len(pdf))
+        broken = {c for (c, _), v in acc.items() if not np.isfinite(v).all()}
+        acc = {k: v for k, v in acc.items() if k[0] not in broken} | {(c, FAILED): [1.0] for c in broken}
+        if acc:
+            yield pd.DataFrame([(c, k, np.asarray(v, float).ravel()) for (c, k), v in acc.items()], columns=["cand", "comp", "s"])
 
-    def reducer(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for (c, k), g in pdf.groupby(["cand", "comp"]):
-            s1 = np.sum(np.stack(g["s1"].to_numpy()), axis=0) if len(g["s1"].iloc[0]) else np.zeros(0)
-            s2 = np.sum(np.stack(g["s2"].to_numpy()), axis=0) if len(g["s2"].iloc[0]) else np.zeros(0)
-            out.append((int(c), int(k), float(g["n"].sum()), float(g["ll"].sum()), s1.tolist(), s2.tolist()))
-        return pd.DataFrame(out, columns=["cand", "comp", "n", "ll", "s1", "s2"])
+    parts = points.select("v").mapInPandas(mapper, "cand int, comp int, s array<double>")
+    total = parts.groupBy("cand", "comp").agg(vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s"))
+    return {(r["cand"], r["comp"]): np.array(r["s"]) for r in total.collect()}
 
-    mapped = points.select("v").mapInPandas(mapper, STATS_SCHEMA)
-    res = {}
-    if points.rdd.getNumPartitions() <= DRIVER_REDUCE_MAX_PARTITIONS:
-        # few partitions: the partials (partitions x model size, never rows)
-        # are summed on the driver, saving a shuffle stage per pass
-        for r in mapped.collect():
-            key = (r["cand"], r["comp"])
-            cur = res.get(key)
-            s1, s2 = np.array(r["s1"]), np.array(r["s2"])
-            if cur is None:
-                res[key] = [r["n"], r["ll"], s1, s2]
-            else:
-                cur[0] += r["n"]
-                cur[1] += r["ll"]
-                cur[2] = cur[2] + s1
-                cur[3] = cur[3] + s2
-        return {k: tuple(v) for k, v in res.items()}
-    stats = mapped.groupBy("cand").applyInPandas(reducer, STATS_SCHEMA)
-    for r in stats.collect():
-        res[(r["cand"], r["comp"])] = (r["n"], r["ll"], np.array(r["s1"]), np.array(r["s2"]))
-    return res
 
+def failed_candidates(stats: dict) -> set:
+    return {c for c, k in stats if k == FAILED}
 
-def sample_matrix(points: DataFrame, max_rows: int, seed: int) -> np.ndarray:
-    """Deterministic hash sample of at most ``max_rows`` points (a fixed bound,
-    independent of the data size) for seeding."""
-    from pyspark.sql import functions as F
-    key = F.xxhash64(F.col("id"), F.lit(seed))
-    rows = points.select("id", "v", key.alias("_k")).orderBy("_k", "id").limit(max_rows).select("v").collect()
-    return np.array([r["v"] for r in rows], dtype=np.float64)
+
+def column_variances(points: DataFrame) -> np.ndarray:
+    """Population variance of each dimension over all rows."""
+    if points.isEmpty():
+        return np.zeros(0)
+    row = points.agg(Summarizer.metrics("variance", "count").summary(array_to_vector("v")).alias("s")).select(
+        vector_to_array("s.variance").alias("var"), F.col("s.count").alias("n")).first()
+    return np.array(row["var"]) * (row["n"] - 1) / row["n"]

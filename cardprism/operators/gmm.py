@@ -5,9 +5,12 @@ as passes over the card matrix: per pass, every active candidate
 (components, covariance type) computes responsibilities for the partition's
 points in numpy (log-sum-exp, Cholesky) and emits N_k, sum r x, sum r x x^T
 and the log-likelihood; the reduced statistics (sum over candidates of
-k x d x d numbers) drive the M-step on the driver.  Candidates retire
-independently when the mean log-likelihood changes by less than ``tol``.
-Initialisation: K-Means centres per component count (hard responsibilities).
+k x d x d numbers) drive the M-step on the driver.  Second moments are taken
+around the current means, so large offsets cancel nothing.  Candidates retire
+independently when the mean log-likelihood changes by less than ``tol``, and a
+candidate whose covariance turns singular is marked as failed and left out;
+the others go on.  Initialisation: K-Means centres per component count (hard
+responsibilities).
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from cardprism.operators.batched import run_pass
+from cardprism.operators.batched import FAILED, failed_candidates, run_pass
 
 LOG2PI = np.log(2.0 * np.pi)
 EPS = 10 * np.finfo(float).eps
@@ -35,6 +38,7 @@ class GMM:
     converged: bool = False
     lower_bound: float = float("-inf")
     history: list = field(default_factory=list)
+    error: str | None = None
 
     def n_parameters(self) -> int:
         d = self.means.shape[1]
@@ -67,104 +71,119 @@ def log_resp(X: np.ndarray, g: GMM) -> tuple[np.ndarray, np.ndarray]:
     return lp, lse
 
 
-def _stats(X, resp, cov_type):
+def _stats(X, resp, cov_type, centers):
+    """Per component: N, log-likelihood slot, sum r (x - c), sum r (x - c)(x - c)^T
+    (or its diagonal), c the component's current mean."""
     N = resp.sum(0)
-    S1 = resp.T @ X
-    if cov_type in ("full", "tied"):
-        S2 = np.stack([(X * resp[:, j:j + 1]).T @ X for j in range(resp.shape[1])])
-    else:
-        S2 = resp.T @ (X * X)
-    return N, S1, S2
+    out = []
+    for j in range(resp.shape[1]):
+        Z = X - centers[j]
+        R = Z * resp[:, j:j + 1]
+        s2 = (R.T @ Z).ravel() if cov_type in ("full", "tied") else (R * Z).sum(0)
+        out.append(np.concatenate([[N[j], 0.0], R.sum(0), s2]))
+    return out
 
 
 def _estep_fn(models: dict, hard: dict):
     """models: cand -> GMM (soft E-step); hard: cand -> (cov_type, centers)."""
     def fn(batches):
-        acc = {}
+        acc, failed = {}, set()
         for X in batches:
             for cand, g in models.items():
-                lp, lse = log_resp(X, g)
-                resp = np.exp(lp - lse[:, None])
-                _add(acc, cand, X, resp, g.cov_type, float(lse.sum()))
+                if cand in failed:
+                    continue
+                try:
+                    lp, lse = log_resp(X, g)
+                    if not np.isfinite(lse).all():
+                        raise FloatingPointError("log-likelihood is not finite")
+                except (np.linalg.LinAlgError, FloatingPointError):
+                    failed.add(cand)
+                    continue
+                _add(acc, cand, X, np.exp(lp - lse[:, None]), g.cov_type, float(lse.sum()), g.means)
             for cand, (cov_type, C) in hard.items():
                 d2 = (X * X).sum(1)[:, None] + (C * C).sum(1)[None, :] - 2.0 * X @ C.T
                 resp = np.zeros((len(X), len(C)))
                 resp[np.arange(len(X)), d2.argmin(1)] = 1.0
-                _add(acc, cand, X, resp, cov_type, 0.0)
-        return acc
+                _add(acc, cand, X, resp, cov_type, 0.0, C)
+        return {k: v for k, v in acc.items() if k[0] not in failed} | {(c, FAILED): [1.0] for c in failed}
     return fn
 
 
-def _add(acc, cand, X, resp, cov_type, ll):
-    N, S1, S2 = _stats(X, resp, cov_type)
-    for j in range(resp.shape[1]):
-        key = (cand, j)
-        lj = ll if j == 0 else 0.0
-        if key in acc:
-            a = acc[key]
-            a[0] += N[j]
-            a[1] += lj
-            a[2] = a[2] + S1[j]
-            a[3] = a[3] + S2[j]
-        else:
-            acc[key] = [N[j], lj, S1[j].copy(), S2[j].copy()]
+def _add(acc, cand, X, resp, cov_type, ll, centers):
+    for j, s in enumerate(_stats(X, resp, cov_type, centers)):
+        if j == 0:
+            s[1] = ll
+        acc[(cand, j)] = acc.get((cand, j), 0.0) + s
 
 
-def mstep(stats: dict, cand: int, k: int, d: int, cov_type: str, n_total: float, reg: float) -> GMM:
-    N = np.array([stats[(cand, j)][0] if (cand, j) in stats else 0.0 for j in range(k)]) + EPS
-    S1 = np.array([stats[(cand, j)][2] if (cand, j) in stats else np.zeros(d) for j in range(k)])
-    means = S1 / N[:, None]
+def mstep(stats: dict, cand: int, k: int, cov_type: str, n_total: float, reg: float, centers: np.ndarray) -> GMM:
+    """``centers``: the means that the statistics were taken around."""
+    d = centers.shape[1]
+    S = np.array([stats[(cand, j)] for j in range(k)])
+    N = S[:, 0] + EPS
+    shift = S[:, 2:2 + d] / N[:, None]
+    means = centers + shift
     if cov_type in ("full", "tied"):
-        S2 = np.array([stats[(cand, j)][3].reshape(d, d) if (cand, j) in stats else np.zeros((d, d)) for j in range(k)])
+        S2 = S[:, 2 + d:].reshape(k, d, d)
         if cov_type == "full":
-            cov = S2 / N[:, None, None] - np.einsum("ki,kj->kij", means, means)
+            cov = S2 / N[:, None, None] - np.einsum("ki,kj->kij", shift, shift)
             cov = 0.5 * (cov + cov.transpose(0, 2, 1)) + reg * np.eye(d)[None]
         else:
-            cov = (S2.sum(0) - np.einsum("k,ki,kj->ij", N, means, means)) / N.sum()
+            cov = (S2.sum(0) - np.einsum("k,ki,kj->ij", N, shift, shift)) / N.sum()
             cov = 0.5 * (cov + cov.T) + reg * np.eye(d)
     else:
-        S2 = np.array([stats[(cand, j)][3] if (cand, j) in stats else np.zeros(d) for j in range(k)])
-        cov = S2 / N[:, None] - means ** 2 + reg
+        cov = S[:, 2 + d:] / N[:, None] - shift ** 2 + reg
         if cov_type == "spherical":
             cov = cov.mean(1)
     return GMM(k, cov_type, N / n_total, means, cov)
 
 
 def loglik_total(stats: dict, cand: int) -> float:
-    return float(stats[(cand, 0)][1]) if (cand, 0) in stats else float("nan")
+    return float(stats[(cand, 0)][1])
 
 
 def fit_many(points: DataFrame, specs, init_centers: dict, n_total: int, max_iter: int = 100,
              tol: float = 1e-3, reg: float = 1e-6) -> dict:
     """Fit every spec (cand -> (k, cov_type)) together.  ``init_centers``:
     k -> K-Means centres.  Returns cand -> fitted GMM whose ``lower_bound``
-    is the mean log-likelihood under the final parameters."""
-    d = len(next(iter(init_centers.values()))[0])
-    hard = {c: (cov, init_centers[k]) for c, (k, cov) in specs.items()}
-    stats = run_pass(points, _estep_fn({}, hard))
-    models = {c: mstep(stats, c, k, d, cov, n_total, reg) for c, (k, cov) in specs.items()}
-    active = dict(models)
-    for it in range(max_iter):
+    is the mean log-likelihood under the final parameters; a candidate that
+    broke down has ``error`` set."""
+    stats = run_pass(points, _estep_fn({}, {c: (cov, init_centers[k]) for c, (k, cov) in specs.items()}))
+    models = {}
+    for c, (k, cov) in specs.items():
+        if c in failed_candidates(stats):
+            models[c] = GMM(k, cov, np.full(k, 1 / k), init_centers[k], np.zeros(0), error="statistics not finite")
+        else:
+            models[c] = mstep(stats, c, k, cov, n_total, reg, init_centers[k])
+    active = {c: g for c, g in models.items() if g.error is None}
+
+    def drop_failed(stats, among):
+        for c in failed_candidates(stats):
+            models[c].error = "singular covariance or log-likelihood not finite"
+            models[c].lower_bound = float("nan")
+            among.pop(c, None)
+
+    for _ in range(max_iter):
         if not active:
             break
         stats = run_pass(points, _estep_fn(active, {}))
-        nxt = {}
+        drop_failed(stats, active)
+        moving = {}
         for c, g in active.items():
-            lb = loglik_total(stats, c) / n_total
-            new = mstep(stats, c, g.k, d, g.cov_type, n_total, reg)
-            new.n_iter = g.n_iter + 1
-            new.history = g.history + [lb]
-            prev = g.lower_bound
-            new.lower_bound = lb
+            bound = loglik_total(stats, c) / n_total
+            new = mstep(stats, c, g.k, g.cov_type, n_total, reg, g.means)
+            new.n_iter, new.history, new.lower_bound = g.n_iter + 1, g.history + [bound], bound
             models[c] = new
-            if abs(lb - prev) < tol:
+            if abs(bound - g.lower_bound) < tol:
                 new.converged = True
             else:
-                nxt[c] = new
-        active = nxt
+                moving[c] = new
+        active = moving
     # final parameters: log-likelihood under them (BIC / AIC use it)
-    final = run_pass(points, _estep_fn(models, {}))
-    for c, g in models.items():
+    good = {c: g for c, g in models.items() if g.error is None}
+    final = run_pass(points, _estep_fn(good, {}))
+    drop_failed(final, good)
+    for c, g in good.items():
         g.lower_bound = loglik_total(final, c) / n_total
     return models
 

@@ -1,10 +1,16 @@
-"""K-Means sweep (several k, several restarts) as batched Lloyd passes.
+"""K-Means sweep (several k, several restarts) as batched passes.
 
 All (k, restart) candidates advance together: each pass assigns every point
 to the nearest centre of every active candidate inside one pandas task per
-partition and returns per-cluster counts, sums and inertia.  Seeding is
-k-means++ on a bounded deterministic sample (a fixed number of points, not
-a fraction of the data).
+partition and returns per-cluster counts, sums and inertia.
+
+Seeding is k-means|| over all rows: ``INIT_ROUNDS`` passes draw about
+``2 * max(ks)`` points a round with probability proportional to their squared
+distance to what is drawn already, one more pass weighs the drawn points by
+the rows nearest to them, and k-means++ over these few weighted points (a
+number that depends on k only) gives each candidate's first centres.  Draws
+are made by a hash of the point's id, so they do not depend on the
+partitioning.
 """
 
 from __future__ import annotations
@@ -12,12 +18,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardprism.operators.batched import run_pass, sample_matrix
+from cardprism.operators.batched import column_variances, matrix, run_pass
 from cardprism.operators.vectors import lit_vector, sq_dist
 
+INIT_ROUNDS = 3
+
 
 @dataclass
 class KMeansResult:
@@ -28,98 +37,131 @@ class KMeansResult:
     n_iter: int
 
 
-def kmeanspp(X: np.ndarray, k: int, rng: np.random.RandomState) -> np.ndarray:
-    """Greedy k-means++ seeding (2 + log k local trials per centre)."""
-    n = len(X)
-    trials = 2 + int(np.log(k))
-    centers = [X[rng.randint(n)]]
+def sq_distances(X: np.ndarray, C: np.ndarray) -> np.ndarray:
+    return np.maximum((X * X).sum(1)[:, None] + (C * C).sum(1)[None, :] - 2.0 * X @ C.T, 0.0)
+
+
+def kmeanspp(X: np.ndarray, w: np.ndarray, k: int, rng: np.random.RandomState) -> np.ndarray:
+    """Greedy k-means++ over weighted points (2 + log k trials per centre)."""
+    draw = lambda p, size: np.clip(np.searchsorted(np.cumsum(p), rng.random_sample(size) * p.sum()), 0, len(X) - 1)
+    centers = [X[draw(w, 1)[0]]]
     d2 = ((X - centers[0]) ** 2).sum(1)
     for _ in range(1, k):
-        tot = d2.sum()
-        if tot <= 0:
-            centers.append(X[rng.randint(n)])
-            continue
-        cand = np.searchsorted(np.cumsum(d2), rng.random_sample(trials) * tot)
-        cand = np.clip(cand, 0, n - 1)
-        best, best_pot, best_d2 = None, None, None
-        for c in cand:
-            nd2 = np.minimum(d2, ((X - X[c]) ** 2).sum(1))
-            pot = nd2.sum()
-            if best_pot is None or pot < best_pot:
-                best, best_pot, best_d2 = c, pot, nd2
-        centers.append(X[best])
-        d2 = best_d2
+        p = w * d2
+        trials = draw(p if p.sum() > 0 else w, 2 + int(np.log(k)))
+        nearer = [np.minimum(d2, ((X - X[c]) ** 2).sum(1)) for c in trials]
+        best = min(range(len(trials)), key=lambda t: float((w * nearer[t]).sum()))
+        centers.append(X[trials[best]])
+        d2 = nearer[best]
     return np.array(centers)
 
 
+def _uniform(ids: np.ndarray, seed: int) -> np.ndarray:
+    """Hash of (id, seed) in [0, 1)."""
+    h = ids.astype(np.int64).view(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15 + 1) % 2**64)
+    for shift, mul in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(mul)
+    return ((h ^ (h >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
+
+
+def parallel_seeds(points: DataFrame, k: int, pools: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """k-means||: ``pools`` independent sets of weighted candidate points."""
+    first = points.select("id", "v").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(pools).collect()
+    drawn = [np.array([first[p % len(first)]["v"]], float) for p in range(pools)]
+
+    def cost(batches):
+        acc = {}
+        for X in batches:
+            for p, C in enumerate(drawn):
+                acc[(p, 0)] = acc.get((p, 0), 0.0) + sq_distances(X, C).min(1).sum()
+        return acc
+
+    for r in range(INIT_ROUNDS):
+        phi = {p: float(v[0]) for (p, _), v in run_pass(points, cost).items()}
+
+        def draw(it, phi=phi, r=r):
+            for pdf in it:
+                if not len(pdf):
+                    continue
+                X, ids = matrix(pdf), pdf["id"].to_numpy()
+                for p, C in enumerate(drawn):
+                    if phi.get(p, 0.0) > 0:
+                        hit = _uniform(ids, seed + 1009 * p + 100_003 * (r + 1)) < 2 * k * sq_distances(X, C).min(1) / phi[p]
+                        if hit.any():
+                            yield pd.DataFrame({"pool": p, "id": ids[hit], "v": list(X[hit])})
+
+        new = points.select("id", "v").mapInPandas(draw, "pool int, id long, v array<double>").orderBy("pool", "id").collect()
+        for p in range(pools):   # about 2 k points a pool and round
+            rows = [x["v"] for x in new if x["pool"] == p]
+            drawn[p] = np.vstack([drawn[p], *([np.array(rows, float)] if rows else [])])
+
+    def weigh(batches):
+        acc = {}
+        for X in batches:
+            for p, C in enumerate(drawn):
+                n = np.bincount(sq_distances(X, C).argmin(1), minlength=len(C)).astype(float)
+                acc[(p, 0)] = acc.get((p, 0), 0.0) + n
+        return acc
+
+    weights = run_pass(points, weigh)
+    return [(drawn[p], weights[(p, 0)]) for p in range(pools)]
+
+
 def _assign_fn(centers: dict):
+    """Per (candidate, cluster): count, inertia and the sum of its points."""
     def fn(batches):
         acc = {}
         for X in batches:
-            xn = (X * X).sum(1)
             for cand, C in centers.items():
-                d2 = xn[:, None] + (C * C).sum(1)[None, :] - 2.0 * X @ C.T
+                d2 = sq_distances(X, C)
                 lab = d2.argmin(1)
-                mind = np.maximum(d2[np.arange(len(X)), lab], 0.0)
+                own = np.zeros((len(X), len(C)))
+                own[np.arange(len(X)), lab] = 1.0
+                stat = np.column_stack([own.sum(0), own.T @ d2[np.arange(len(X)), lab], own.T @ X])
                 for j in range(len(C)):
-                    m = lab == j
-                    cnt = float(m.sum())
-                    s1 = X[m].sum(0) if cnt else np.zeros(X.shape[1])
-                    prev = acc.get((cand, j))
-                    inert = float(mind[m].sum())
-                    if prev is None:
-                        acc[(cand, j)] = [cnt, inert, s1, np.zeros(0)]
-                    else:
-                        prev[0] += cnt
-                        prev[1] += inert
-                        prev[2] = prev[2] + s1
+                    acc[(cand, j)] = acc.get((cand, j), 0.0) + stat[j]
         return acc
     return fn
 
 
+def farthest_points(points: DataFrame, centers: np.ndarray, m: int) -> np.ndarray:
+    """The ``m`` points farthest from their nearest centre."""
+    far = F.least(*[sq_dist(F.col("v"), lit_vector(c)) for c in centers])
+    rows = points.select("id", "v", far.alias("d")).orderBy(F.desc("d"), "id").limit(m).collect()
+    return np.array([r["v"] for r in rows], float)
+
+
 def kmeans_sweep(points: DataFrame, ks=(3, 4, 5, 6, 7, 8), restarts: int = 10, max_iter: int = 300,
-                 tol: float = 1e-4, seed: int = 42, sample_rows: int = 20000) -> list[KMeansResult]:
+                 tol: float = 1e-4, seed: int = 42) -> list[KMeansResult]:
     """Fit every (k, restart); return all results (callers keep the lowest
-    inertia per k).  ``points``: (id, v array<double>), ideally checkpointed."""
-    X0 = sample_matrix(points, sample_rows, seed)
-    var_mean = float(np.mean(X0.var(axis=0))) if len(X0) else 0.0
-    thr = tol * var_mean
-    cands = {}
-    meta = {}
-    cid = 0
-    for k in ks:
-        for r in range(restarts):
-            rng = np.random.RandomState(seed + r)
-            cands[cid] = kmeanspp(X0, k, rng)
-            meta[cid] = (k, r)
-            cid += 1
-    active = dict(cands)
-    iters = {c: 0 for c in cands}
-    inertia = {c: float("inf") for c in cands}
+    inertia per k).  ``points``: (id, v array<double>), ideally cached.
+    Empty clusters move to the points farthest from their centres; the
+    inertia is that of the final centres, from a last pass."""
+    var = column_variances(points)
+    if not len(var):
+        return []
+    stop = tol * float(var.mean())
+    pools = parallel_seeds(points, max(ks), restarts, seed)
+    meta = {c: kr for c, kr in enumerate((k, r) for k in ks for r in range(restarts))}
+    cands = {c: kmeanspp(*pools[r], k, np.random.RandomState(seed + r)) for c, (k, r) in meta.items()}
+    active, iters = dict(cands), dict.fromkeys(cands, 0)
     for _ in range(max_iter):
         if not active:
             break
-        stats = run_pass(points, _assign_fn(active))
-        nxt = {}
+        stats, moving = run_pass(points, _assign_fn(active)), {}
         for c, C in active.items():
-            newC = C.copy()
-            tot_inertia = 0.0
-            for j in range(len(C)):
-                s = stats.get((c, j))
-                if s is None:
-                    continue
-                cnt, inert, s1, _ = s
-                tot_inertia += inert
-                if cnt > 0:
-                    newC[j] = s1 / cnt
-            inertia[c] = tot_inertia
-            iters[c] += 1
-            shift = float(((newC - C) ** 2).sum())
-            cands[c] = newC
-            if shift > thr:
-                nxt[c] = newC
-        active = nxt
-    return [KMeansResult(meta[c][0], meta[c][1], cands[c], inertia[c], iters[c]) for c in cands]
+            new = np.array([s[2:] / s[0] if (s := stats[(c, j)])[0] > 0 else C[j] for j in range(len(C))])
+            empty = [j for j in range(len(C)) if stats[(c, j)][0] == 0]
+            if empty:
+                far = farthest_points(points, C, len(empty))
+                new[empty[:len(far)]] = far
+            cands[c], iters[c] = new, iters[c] + 1
+            if float(((new - C) ** 2).sum()) > stop:
+                moving[c] = new
+        active = moving
+    final = run_pass(points, _assign_fn(cands))
+    inertia = {c: sum(float(final[(c, j)][1]) for j in range(len(C))) for c, C in cands.items()}
+    return [KMeansResult(*meta[c], cands[c], inertia[c], iters[c]) for c in cands]
 
 
 def best_per_k(results: list[KMeansResult]) -> dict:
@@ -144,26 +186,3 @@ def lloyd_step(points: DataFrame, centers) -> DataFrame:
     a = assign_nearest(points, centers)
     e = a.select("cluster", F.posexplode("v").alias("i", "x"))
     return e.groupBy("cluster", "i").agg(F.avg("x").alias("center"), F.count(F.lit(1)).alias("size"))
-
-
-def lloyd_local(X: np.ndarray, k: int, seed: int, max_iter: int = 300, tol: float = 1e-4) -> np.ndarray:
-    """K-Means (k-means++ seeding + Lloyd) in numpy on a bounded matrix.
-    Used only to initialise mixtures from a bounded sample (the sample size
-    is a fixed cap, independent of the data size)."""
-    rng = np.random.RandomState(seed)
-    C = kmeanspp(X, k, rng)
-    thr = tol * float(np.mean(X.var(axis=0))) if len(X) else 0.0
-    xn = (X * X).sum(1)
-    for _ in range(max_iter):
-        d2 = xn[:, None] + (C * C).sum(1)[None, :] - 2.0 * X @ C.T
-        lab = d2.argmin(1)
-        newC = C.copy()
-        for j in range(k):
-            m = lab == j
-            if m.any():
-                newC[j] = X[m].mean(0)
-        shift = float(((newC - C) ** 2).sum())
-        C = newC
-        if shift <= thr:
-            break
-    return C

@@ -13,10 +13,13 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardprism.config import SegmentationConfig
+from cardprism.operators.batched import run_pass
 from cardprism.operators.quantiles import column_quantiles
 from cardprism.schema import FEATURE_COLUMNS
 
@@ -58,48 +61,33 @@ def standard_scale(df: DataFrame, cols=FEATURE_COLUMNS, keep=("card_id",)) -> Da
 
 # --- correlation -------------------------------------------------------------------
 
-def covariance(df: DataFrame, cols) -> tuple[np.ndarray, np.ndarray, int]:
-    """Mean vector and sample covariance (d x d) in ONE pass: each partition
-    returns (n, mean, centred cross-products) computed in numpy, and the
-    partials are merged with the pairwise update of Chan et al. (stable for
-    large magnitudes, independent of partitioning up to rounding).  What
-    reaches the driver is partitions x d^2 numbers, never rows."""
-    import pandas as pd
-    cols = list(cols)
-    d = len(cols)
+def as_matrix(df: DataFrame, cols) -> DataFrame:
+    """(v): the columns as one vector, missing values as NaN."""
+    return df.select(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in cols]).alias("v"))
 
-    def mapper(it):
-        n, mean, m2 = 0, np.zeros(d), np.zeros((d, d))
-        for pdf in it:
-            X = pdf[cols].to_numpy(dtype=np.float64)
-            if not len(X):
-                continue
-            nb = len(X)
-            mb = X.mean(0)
-            C = X - mb
-            m2b = C.T @ C
-            delta = mb - mean
-            tot = n + nb
-            m2 = m2 + m2b + np.outer(delta, delta) * n * nb / tot
-            mean = mean + delta * nb / tot
-            n = tot
-        yield pd.DataFrame({"n": [n], "mean": [mean.tolist()], "m2": [m2.ravel().tolist()]})
-
-    parts = df.select(*[F.col(c).cast("double") for c in cols]).mapInPandas(
-        mapper, "n long, mean array<double>, m2 array<double>").collect()
-    n, mean, m2 = 0, np.zeros(d), np.zeros((d, d))
-    for r in parts:
-        nb = r["n"]
-        if not nb:
-            continue
-        mb, m2b = np.array(r["mean"]), np.array(r["m2"]).reshape(d, d)
-        delta = mb - mean
-        tot = n + nb
-        m2 = m2 + m2b + np.outer(delta, delta) * n * nb / tot
-        mean = mean + delta * nb / tot
-        n = tot
-    cov = m2 / (n - 1) if n > 1 else np.full((d, d), np.nan)
-    return mean, cov, n
+
+def covariance(df: DataFrame, cols) -> tuple[np.ndarray, np.ndarray, int]:
+    """Mean vector and sample covariance (d x d): a pass for the means, and one
+    for the cross-products around them (stable for large magnitudes).  Tasks
+    return one d x d sum each, added by ``run_pass``; the driver reads d x d
+    numbers, however many partitions there are."""
+    points, d = as_matrix(df, cols), len(list(cols))
+    if points.isEmpty():
+        return np.zeros(d), np.full((d, d), np.nan), 0
+    row = points.agg(Summarizer.metrics("mean", "count").summary(array_to_vector("v")).alias("s")).select(
+        vector_to_array("s.mean").alias("mean"), F.col("s.count").alias("n")).first()
+    n = int(row["n"])
+    mean = np.array(row["mean"])
+
+    def products(batches):
+        total = np.zeros((d, d))
+        for X in batches:
+            C = X - mean
+            total += C.T @ C
+        return {(0, 0): total}
+
+    m2 = run_pass(points, products).get((0, 0), np.full(d * d, np.nan)).reshape(d, d)   # missing: values not finite
+    return mean, m2 / (n - 1) if n > 1 else np.full((d, d), np.nan), n
 
 
 def correlation_matrix(df: DataFrame, cols) -> np.ndarray:
@@ -190,75 +178,48 @@ def yeo_johnson(x: Column, lam: Column | float) -> Column:
     return F.when(x >= 0, pos).otherwise(neg)
 
 
-def yj_loglik_grid(df: DataFrame, cols, grids: dict) -> DataFrame:
-    """Log-likelihood of every (column, lambda) candidate in ONE pass: each
-    partition evaluates psi for all candidates in numpy and returns
-    (n, mean, M2) of psi plus sum(sign * log1p|x|) per (column, lambda);
-    partials are merged with Chan's pairwise update on the driver
-    (partitions x d x grid numbers).  LL = -n/2 ln var_pop + (lambda - 1) sum."""
-    import pandas as pd
-    cols = list(cols)
-    G = {c: np.asarray(grids[c], dtype=np.float64) for c in cols}
-
-    def psi(x, lam):
-        """psi for all candidates: (x+1)^l = exp(l * log1p(x)) on the
-        non-negative part, (1-x)^(2-l) = exp((2-l) * log1p(-x)) on the rest."""
-        out = np.empty((len(x), len(lam)))
-        pos = x >= 0
-        lz = np.abs(lam) < 1e-12
-        l2 = np.abs(lam - 2.0) < 1e-12
+def _psi(x: np.ndarray, lam: np.ndarray) -> np.ndarray:
+    """psi of each x for each lambda: (x+1)^l = exp(l * log1p(x)) on the
+    non-negative part, (1-x)^(2-l) = exp((2-l) * log1p(-x)) on the rest."""
+    out = np.empty((len(x), len(lam)))
+    pos, lz, l2 = x >= 0, np.abs(lam) < 1e-12, np.abs(lam - 2.0) < 1e-12
+    with np.errstate(all="ignore"):
         lp = np.log1p(x[pos])[:, None]
-        with np.errstate(all="ignore"):
-            a = np.expm1(lp * lam[None, :]) / np.where(lz, 1.0, lam)[None, :]
-        out[pos] = np.where(lz[None, :], lp, a)
+        out[pos] = np.where(lz, lp, np.expm1(lp * lam) / np.where(lz, 1.0, lam))
         ln = np.log1p(-x[~pos])[:, None]
-        with np.errstate(all="ignore"):
-            b = -np.expm1(ln * (2.0 - lam)[None, :]) / np.where(l2, 1.0, 2.0 - lam)[None, :]
-        out[~pos] = np.where(l2[None, :], -ln, b)
-        return out
+        out[~pos] = np.where(l2, -ln, -np.expm1(ln * (2.0 - lam)) / np.where(l2, 1.0, 2.0 - lam))
+    return out
+
+
+def yj_loglik_grid(df: DataFrame, cols, grids: dict) -> DataFrame:
+    """Log-likelihood of every (column, lambda) candidate in ONE pass.  Tasks
+    return n, sum(sign * log1p|x|) and the first two moments of psi around
+    psi(column mean); ``run_pass`` adds them, so the driver reads columns x
+    grid numbers.  LL = -n/2 ln var_pop + (lambda - 1) sum."""
+    cols = list(cols)
+    grid = [np.asarray(grids[c], dtype=np.float64) for c in cols]
+    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in cols]).first()
+    origin = [_psi(np.array([means[c] or 0.0]), g)[0] for c, g in zip(cols, grid)]
 
-    def mapper(it):
+    def moments(batches):
         acc = {}
-        for pdf in it:
-            for c in cols:
-                x = pdf[c].to_numpy(dtype=np.float64)
+        for X in batches:
+            for i, g in enumerate(grid):
+                x = X[:, i]
                 x = x[~np.isnan(x)]
-                if not len(x):
-                    continue
-                P = psi(x, G[c])
-                nb, mb = len(x), P.mean(0)
-                m2b = ((P - mb) ** 2).sum(0)
-                sl = float((np.sign(x) * np.log1p(np.abs(x))).sum())
-                if c in acc:
-                    n, m, m2, s = acc[c]
-                    delta = mb - m
-                    tot = n + nb
-                    acc[c] = (tot, m + delta * nb / tot, m2 + m2b + delta ** 2 * n * nb / tot, s + sl)
-                else:
-                    acc[c] = (nb, mb, m2b, sl)
-        rows = [(c, int(v[0]), v[1].tolist(), v[2].tolist(), v[3]) for c, v in acc.items()]
-        if rows:
-            yield pd.DataFrame(rows, columns=["feature", "n", "mean", "m2", "slog"])
-
-    parts = df.select(*[F.col(c).cast("double") for c in cols]).mapInPandas(
-        mapper, "feature string, n long, mean array<double>, m2 array<double>, slog double").collect()
-    merged = {}
-    for r in parts:
-        c = r["feature"]
-        nb, mb, m2b, sl = r["n"], np.array(r["mean"]), np.array(r["m2"]), r["slog"]
-        if c in merged:
-            n, m, m2, s = merged[c]
-            delta = mb - m
-            tot = n + nb
-            merged[c] = (tot, m + delta * nb / tot, m2 + m2b + delta ** 2 * n * nb / tot, s + sl)
-        else:
-            merged[c] = (nb, mb, m2b, sl)
+                if len(x):
+                    P = _psi(x, g) - origin[i]
+                    stat = np.concatenate([[len(x), (np.sign(x) * np.log1p(np.abs(x))).sum()], P.sum(0), (P * P).sum(0)])
+                    acc[(i, 0)] = acc.get((i, 0), 0.0) + stat
+        return acc
+
     out = []
-    for c, (n, m, m2, s) in merged.items():
-        var = m2 / n
-        for lam, v in zip(G[c], var):
-            ll = float(-n / 2.0 * np.log(v) + (lam - 1.0) * s) if v > 0 and np.isfinite(v) else None
-            out.append((c, float(lam), ll))
+    for (i, _), s in sorted(run_pass(as_matrix(df, cols), moments).items()):
+        n, slog, k = s[0], s[1], len(grid[i])
+        var = s[2 + k:] / n - (s[2:2 + k] / n) ** 2
+        for lam, v in zip(grid[i], var):
+            ll = float(-n / 2.0 * np.log(v) + (lam - 1.0) * slog) if v > 0 and np.isfinite(v) else None
+            out.append((cols[i], float(lam), ll))
     return df.sparkSession.createDataFrame(out, "feature string, lam double, ll double")
 
 

@@ -16,9 +16,9 @@ COLS = list(FEATURE_COLUMNS)
 
 
 def features_table(spark, sf, adapter="orders"):
-    """Card features computed once and checkpointed: every preprocessing
-    fit makes several small passes over this table."""
-    return cut_lineage(features_of(spark, sf, adapter))
+    """Card features (a checkpointed table: every preprocessing fit makes
+    several small passes over it)."""
+    return features_of(spark, sf, adapter)
 
 
 FEAT = f"with {features_ctes('orders')}"

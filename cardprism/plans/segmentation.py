@@ -9,21 +9,23 @@ model pass reads them again.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cardprism.config import SegmentationConfig
+from cardprism.config import COVARIANCE_TYPES, SegmentationConfig
 from cardprism.operators import gmm as G
 from cardprism.operators import kmeans as KM
+from cardprism.operators.density import density_sweep
 from cardprism.operators.features import customer_features
 from cardprism.operators.preprocess import PreprocessModel, fit_preprocess
 from cardprism.operators.quality import balance_many, silhouette_many
 from cardprism.operators.selection import RUNS_SCHEMA, best_model, best_of, choose_n_components, model_score
-from cardprism.session import cut_lineage
+from cardprism.session import cut_lineage, partitioned
 
 
 @dataclass
@@ -35,6 +37,7 @@ class Candidate:
     model: object = None
     bic: float | None = None
     aic: float | None = None
+    error: str | None = None
 
 
 def predict_centers(points: DataFrame, centers: dict) -> DataFrame:
@@ -44,135 +47,116 @@ def predict_centers(points: DataFrame, centers: dict) -> DataFrame:
             if not len(pdf):
                 continue
             X = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-            out = []
             for c, C in centers.items():
-                d2 = (X * X).sum(1)[:, None] + (C * C).sum(1)[None, :] - 2.0 * X @ C.T
-                out.append(pd.DataFrame({"id": pdf["id"].to_numpy(), "cand": c, "cluster": d2.argmin(1).astype(np.int32)}))
-            yield pd.concat(out, ignore_index=True)
+                yield pd.DataFrame({"id": pdf["id"].to_numpy(), "cand": c, "cluster": KM.sq_distances(X, C).argmin(1).astype(np.int32)})
     return points.select("id", "v").mapInPandas(mapper, "id long, cand int, cluster int")
 
 
-def _score_candidates(spark, points, labels, cands: list[Candidate], block_size: int, sil_for=None) -> DataFrame:
-    """Balance of every candidate and silhouette of the candidates in
-    ``sil_for`` (default: all) - one blocked distance pass for all of them."""
-    labels = cut_lineage(labels)
-    sil_cands = [c for c in cands if sil_for is None or c.cand in sil_for]
-    idx = {c.cand: i for i, c in enumerate(sil_cands)}
-    remap = spark.createDataFrame([(c, i) for c, i in idx.items()], "cand int, pos int")
-    lab_pos = labels.where(F.col("cluster") >= 0).join(F.broadcast(remap), "cand") \
-                    .select("id", F.col("pos").alias("cand"), "cluster")
-    sil = {r["cand"]: r["silhouette"] for r in silhouette_many(points, lab_pos, block_size).collect()} if idx else {}
-    bal = {r["cand"]: r for r in balance_many(labels).collect()}
+def _score_candidates(spark, points, labels, cands: list[Candidate], block_size: int | None) -> DataFrame:
+    """Balance and silhouette of every candidate; one blocked distance pass
+    for all silhouettes.  Failed candidates become rows with their error."""
+    good = [c for c in cands if c.error is None]
+    sil, bal = {}, {}
+    if good:
+        place = {c.cand: i for i, c in enumerate(good)}
+        remap = F.create_map(*[F.lit(x) for kv in place.items() for x in kv])
+        placed = labels.where(F.col("cluster") >= 0).select("id", remap[F.col("cand")].alias("cand"), "cluster")
+        sil = {r["cand"]: r["silhouette"] for r in silhouette_many(points, placed, block_size).collect()}
+        sil = {c: sil.get(i) for c, i in place.items()}
+        bal = {r["cand"]: r for r in balance_many(labels).collect()}
     rows = []
     for seq, c in enumerate(cands):
-        b = bal[c.cand]
-        mcs, ms = c.model if c.algorithm == "hdbscan" else (None, None)
-        rows.append((c.cand, c.algorithm, c.k, c.cov_type, mcs, ms, c.bic, c.aic, b["n_clusters"],
-                     float(b["balance_ratio"]), float(b["largest_cluster_pct"]), float(b["noise_ratio"]),
-                     None if c.cand not in idx or sil.get(idx[c.cand]) is None else float(sil[idx[c.cand]]), seq))
+        mcs, ms = c.model if c.algorithm == "hdbscan" and c.model else (None, None)
+        if c.error is not None:
+            rows.append((c.cand, c.algorithm, c.k, c.cov_type, mcs, ms, None, None, None, None, None, None, None, seq, c.error))
+            continue
+        b, s = bal[c.cand], sil[c.cand]
+        rows.append((c.cand, c.algorithm, c.k, c.cov_type, mcs, ms, c.bic, c.aic, b["n_clusters"], float(b["balance_ratio"]),
+                     float(b["largest_cluster_pct"]), float(b["noise_ratio"]), None if s is None else float(s), seq, None))
     return spark.createDataFrame(rows, RUNS_SCHEMA)
 
 
-def gmm_candidates(points, specs: dict, algorithm: str, cfg: SegmentationConfig, n: int, start: int) -> list[Candidate]:
+def gmm_candidates(points, specs: dict, algorithm: str, cfg: SegmentationConfig, n: int) -> list[Candidate]:
+    """Fit all ``specs`` (cand -> (k, covariance type)) together, each from
+    one K-Means fit of its k over all rows."""
     ks = sorted({k for k, _ in specs.values()})
-    # initial centres: K-Means on a bounded deterministic sample (the whole
-    # matrix when it has at most ``init_sample`` rows); EM then uses all rows
-    from cardprism.operators.batched import sample_matrix
-    X0 = sample_matrix(points, int(cfg.extra.get("init_sample", 20000)), cfg.seed)
-    init = {k: KM.lloyd_local(X0, k, cfg.seed, cfg.kmeans_max_iter) for k in ks}
+    init = {k: r.centers for k, r in KM.best_per_k(KM.kmeans_sweep(points, ks, 1, cfg.kmeans_max_iter, seed=cfg.seed)).items()}
     models = G.fit_many(points, specs, init, n, cfg.gmm_max_iter, cfg.gmm_tol, cfg.gmm_reg_covar)
     out = []
     for c, (k, cov) in specs.items():
         g = models[c]
-        out.append(Candidate(c, algorithm, k, cov, g, float(G.bic(g, n)), float(G.aic(g, n))))
+        if g.error:
+            out.append(Candidate(c, algorithm, k, cov, g, error=g.error))
+        else:
+            out.append(Candidate(c, algorithm, k, cov, g, float(G.bic(g, n)), float(G.aic(g, n))))
     return out
 
 
-def size_partitions(points: DataFrame, target_bytes: int = 16 << 20) -> DataFrame:
-    """Partition the card matrix by its size (about ``target_bytes`` each),
-    not by the shuffle setting: every model pass schedules one task per
-    partition, so a 1 MB matrix in 200 partitions is pure overhead while a
-    100 GB matrix still gets thousands of tasks."""
-    n, d = points.select(F.count(F.lit(1)), F.max(F.size("v"))).first()
-    by_size = -(-int(n * max(d or 1, 1) * 8 * 2) // target_bytes)
-    # passes are compute-bound (numpy per candidate): use the cores even
-    # when the matrix is small, but keep >= ~2000 rows per task
-    cores = points.sparkSession.sparkContext.defaultParallelism
-    parts = max(1, by_size, min(cores, -(-int(n) // 2000)))
-    return cut_lineage(points.repartition(parts, "id"))
+FAMILIES = {"gmm_auto": ("gmm_auto",), "gmm": ("gmm",), "kmeans": ("kmeans",), "hdbscan": ("hdbscan",)}
+ALL_FAMILIES = ("gmm_auto", "gmm", "kmeans", "hdbscan")   # any other name
 
 
-def perform_clustering(points: DataFrame, cfg: SegmentationConfig = SegmentationConfig(), block_size: int = 2048):
-    """C01-C08 dispatch.  Returns (model_runs DataFrame, labels (id, cand,
-    cluster), best candidate id, candidates)."""
+def _fit_gmm_auto(points, cfg, n, first):
+    specs = {first + i: s for i, s in enumerate((k, cov) for k in range(cfg.gmm_auto_min, cfg.gmm_auto_max + 1) for cov in COVARIANCE_TYPES)}
+    cands = gmm_candidates(points, specs, "gmm_auto_search", cfg, n)
+    return cands, G.predict(points, {c.cand: c.model for c in cands if c.error is None})
+
+
+def _fit_gmm(points, cfg, n, first):
+    specs = {first + i: s for i, s in enumerate((k, cov) for k in cfg.gmm_components for cov in cfg.gmm_covariance_types)}
+    cands = gmm_candidates(points, specs, "gmm", cfg, n)
+    return cands, G.predict(points, {c.cand: c.model for c in cands if c.error is None})
+
+
+def _fit_kmeans(points, cfg, n, first):
+    best = KM.best_per_k(KM.kmeans_sweep(points, cfg.kmeans_k, cfg.kmeans_restarts, cfg.kmeans_max_iter, seed=cfg.seed))
+    cands = [Candidate(first + i, "kmeans", k, None, best[k]) for i, k in enumerate(cfg.kmeans_k)]
+    return cands, predict_centers(points, {c.cand: c.model.centers for c in cands})
+
+
+def _fit_density(points, cfg, n, first):
+    # the reference tries the first two values of each list (4 runs)
+    grid = [(mcs, ms) for mcs in cfg.density_min_cluster_sizes[:2] for ms in cfg.density_min_samples[:2]]
+    cands, labels = [], []
+    for i, (cell, found) in enumerate(zip(grid, density_sweep(points, grid), strict=True)):
+        cands.append(Candidate(first + i, "hdbscan", -1, None, cell))
+        labels.append(found.select("id", F.lit(first + i).alias("cand"), "cluster"))
+    return cands, functools.reduce(DataFrame.unionByName, labels)
+
+
+FITTERS = {"gmm_auto": _fit_gmm_auto, "gmm": _fit_gmm, "kmeans": _fit_kmeans, "hdbscan": _fit_density}
+
+
+def perform_clustering(points: DataFrame, cfg: SegmentationConfig = SegmentationConfig(), block_size: int | None = None):
+    """C01-C08 dispatch.  Any algorithm name but the four runs all four
+    families.  A family that raises becomes one failure row, and so does each
+    candidate that breaks down; the others go on.  Returns (model_runs
+    DataFrame, labels (id, cand, cluster), best candidate id, candidates);
+    the best is None if nothing could be fitted."""
     spark: SparkSession = points.sparkSession
-    points = size_partitions(points.select("id", "v"))
+    points = partitioned(points.select("id", "v"), "id")
     n = points.count()
-    alg = cfg.algorithm.lower()
+    families = FAMILIES.get(cfg.algorithm.lower(), ALL_FAMILIES)
     cands: list[Candidate] = []
     labels = []
-    nxt = 0
-    if alg in ("gmm_auto", "gmm") or alg not in ("kmeans", "hdbscan"):
-        if alg != "gmm":
-            specs = {}
-            for k in range(cfg.gmm_auto_min, cfg.gmm_auto_max + 1):
-                for cov in ("full", "tied", "diag", "spherical"):
-                    specs[nxt] = (k, cov)
-                    nxt += 1
-            auto = gmm_candidates(points, specs, "gmm_auto_search", cfg, n, 0)
-            cands += auto
-        if alg != "gmm_auto":
-            specs = {}
-            for k in cfg.gmm_components:
-                for cov in cfg.gmm_covariance_types:
-                    specs[nxt] = (k, cov)
-                    nxt += 1
-            cands += gmm_candidates(points, specs, "gmm", cfg, n, nxt)
-        gm = {c.cand: c.model for c in cands}
-        labels.append(G.predict(points, gm))
-    if alg == "kmeans" or alg not in ("gmm_auto", "gmm", "hdbscan"):
-        res = KM.best_per_k(KM.kmeans_sweep(points, cfg.kmeans_k, cfg.kmeans_restarts, cfg.kmeans_max_iter,
-                                            seed=cfg.seed))
-        centers = {}
-        for k in cfg.kmeans_k:
-            cands.append(Candidate(nxt, "kmeans", k, None, res[k]))
-            centers[nxt] = res[k].centers
-            nxt += 1
-        labels.append(predict_centers(points, centers))
-    if alg == "hdbscan" or (alg not in ("gmm_auto", "gmm", "kmeans") and cfg.extra.get("density_in_all", False)):
-        from cardprism.operators.density import density_cluster
-        # the reference tries the first two values of each list (4 runs)
-        for mcs in cfg.density_min_cluster_sizes[:2]:
-            for ms in cfg.density_min_samples[:2]:
-                d = density_cluster(points, mcs, ms)
-                labels.append(d.select("id", F.lit(nxt).alias("cand"), "cluster"))
-                cands.append(Candidate(nxt, "hdbscan", -1, None, (mcs, ms)))
-                nxt += 1
-    lab = labels[0]
-    for extra in labels[1:]:
-        lab = lab.unionByName(extra)
-    # Silhouettes (O(n^2)) are computed where they enter a decision: the
-    # auto-search candidates only need them for the "combined" criterion.
-    search = [c for c in cands if c.algorithm == "gmm_auto_search"]
-    pre_n = None
-    if search and cfg.gmm_auto_criterion in ("bic", "aic"):
-        crit = (lambda c: c.bic) if cfg.gmm_auto_criterion == "bic" else (lambda c: c.aic)
-        pre_n = min(search, key=lambda c: (crit(c), search.index(c))).k
-        sil_for = {c.cand for c in cands if c.algorithm != "gmm_auto_search" or c.k == pre_n}
-    else:
-        sil_for = None
-    runs = _score_candidates(spark, points, lab, cands, block_size, sil_for)
-    runs = cut_lineage(runs)
-    if search:
+    for family in families:
+        try:
+            more, lab = FITTERS[family](points, cfg, n, len(cands))
+            labels.append(cut_lineage(lab))
+        except Exception as e:  # noqa: BLE001  isolation: reported as a row
+            if len(families) == 1:
+                raise
+            more = [Candidate(len(cands), family, -1, error=f"{type(e).__name__}: {str(e)[:200]}")]
+        cands += more
+    lab = functools.reduce(DataFrame.unionByName, labels) if labels else spark.createDataFrame([], "id long, cand int, cluster int")
+    runs = _score_candidates(spark, points, lab, cands, block_size)
+    if any(c.algorithm == "gmm_auto_search" for c in cands):
         n_best = choose_n_components(runs, cfg.gmm_auto_criterion).first()[0]
-        auto_rows = runs.where((F.col("algorithm") == "gmm_auto_search") & (F.col("k") == n_best)) \
-                        .withColumn("algorithm", F.lit("gmm_auto"))
-        runs = runs.unionByName(auto_rows)
-    if alg in ("gmm_auto", "gmm", "kmeans"):
-        best = best_of(runs, alg).first()
-    else:
-        best = best_model(runs).where("is_best").first()
-    return model_score(runs), lab, int(best["cand"]), cands
+        chosen = runs.where((F.col("algorithm") == "gmm_auto_search") & (F.col("k") == n_best))
+        runs = runs.unionByName(chosen.withColumn("algorithm", F.lit("gmm_auto")))
+    best = (best_of(runs, families[0]) if len(families) == 1 else best_model(runs).where("is_best")).first()
+    points.unpersist()
+    return model_score(runs), lab, None if best is None else int(best["cand"]), cands
 
 
 def canonical_labels(labels: DataFrame, features: DataFrame, key: str = "card_id") -> DataFrame:
@@ -182,8 +166,8 @@ def canonical_labels(labels: DataFrame, features: DataFrame, key: str = "card_id
     order = j.where(F.col("cluster") != -1).groupBy("cluster").agg(
         F.avg("customer_lifetime_value").alias("clv"), F.min(key).alias("first"))
     mapping = order.select("cluster", (F.row_number().over(
-        __import__("pyspark.sql", fromlist=["Window"]).Window.orderBy(F.desc("clv"), "first")) - 1).alias("segment"))
-    return labels.join(F.broadcast(mapping), "cluster", "left").select(
+        Window.orderBy(F.desc("clv"), "first")) - 1).alias("segment"))   # one row per cluster
+    return labels.join(mapping, "cluster", "left").select(
         key, F.coalesce("segment", F.lit(-1)).cast("int").alias("cluster"))
 
 
@@ -198,7 +182,7 @@ class SegmentationResult:
 
 
 def run_segmentation(tx: DataFrame, cfg: SegmentationConfig = SegmentationConfig()) -> SegmentationResult:
-    features = cut_lineage(customer_features(tx, cfg))
+    features = customer_features(tx, cfg)
     model = fit_preprocess(features, cfg)
     matrix = cut_lineage(model.transform(features).select(F.col("card_id").alias("id"), "v"))
     runs, lab, best, _ = perform_clustering(matrix, cfg)

@@ -43,7 +43,7 @@ def test_single_component_diag_is_sample_moments(blobs):
     df, X = blobs
     g = G.GMM(1, "diag", np.array([1.0]), X.mean(0, keepdims=True), X.var(0, keepdims=True))
     stats = run_pass(df, G._estep_fn({0: g}, {}))
-    new = G.mstep(stats, 0, 1, 2, "diag", len(X), 0.0)
+    new = G.mstep(stats, 0, 1, "diag", len(X), 0.0, g.means)
     assert new.means[0] == pytest.approx(X.mean(0))
     assert new.cov[0] == pytest.approx(X.var(0))
 
@@ -57,12 +57,12 @@ def test_responsibilities_sum_to_one(blobs):
 
 def test_selection_rules(spark):
     rows = [
-        (0, "gmm_auto_search", 2, "full", None, None, 100.0, 90.0, 2, 0.9, 55.0, 0.0, 0.2, 0),
-        (1, "gmm_auto_search", 3, "full", None, None, 80.0, 95.0, 3, 0.8, 40.0, 0.0, None, 1),
-        (2, "gmm_auto_search", 4, "diag", None, None, 80.0, 70.0, 4, 0.7, 30.0, 0.0, 0.1, 2),
-        (3, "gmm", 3, "full", None, None, None, None, 3, 0.5, 40.0, 0.0, None, 3),
-        (4, "kmeans", 3, None, None, None, None, None, 3, 0.5, 40.0, 0.0, 0.75, 4),
-        (5, "kmeans", 4, None, None, None, None, None, 4, 0.5, 40.0, 0.0, 0.75, 5),
+        (0, "gmm_auto_search", 2, "full", None, None, 100.0, 90.0, 2, 0.9, 55.0, 0.0, 0.2, 0, None),
+        (1, "gmm_auto_search", 3, "full", None, None, 80.0, 95.0, 3, 0.8, 40.0, 0.0, None, 1, None),
+        (2, "gmm_auto_search", 4, "diag", None, None, 80.0, 70.0, 4, 0.7, 30.0, 0.0, 0.1, 2, None),
+        (3, "gmm", 3, "full", None, None, None, None, 3, 0.5, 40.0, 0.0, None, 3, None),
+        (4, "kmeans", 3, None, None, None, None, None, 3, 0.5, 40.0, 0.0, 0.75, 4, None),
+        (5, "kmeans", 4, None, None, None, None, None, 4, 0.5, 40.0, 0.0, 0.75, 5, None),
     ]
     runs = spark.createDataFrame(rows, RUNS_SCHEMA)
     assert choose_n_components(runs, "bic").first()[0] == 3          # tie on BIC -> first in sweep order
@@ -72,3 +72,76 @@ def test_selection_rules(spark):
     assert sc[1] == pytest.approx(0.6 * 0.8) and sc[0] == pytest.approx(0.6 * 0.9 + 0.4 * 0.2)
     best = best_model(runs).where("is_best").first()
     assert best["cand"] == 4                                        # kmeans 0.6, first of the tie
+
+
+def test_combined_criterion_at_its_pole(spark):
+    rows = [(0, "gmm_auto_search", 5, "full", None, None, -1000.0, 0.0, 5, 0.9, 40.0, 0.0, None, 0, None),
+            (1, "gmm_auto_search", 6, "full", None, None, 500.0, 0.0, 6, 0.1, 40.0, 0.0, None, 1, None)]
+    assert choose_n_components(spark.createDataFrame(rows, RUNS_SCHEMA), "combined").first()[0] == 6
+
+
+def test_failed_candidates_are_rows_and_never_chosen(spark):
+    rows = [(0, "gmm", 3, "full", None, None, None, None, None, None, None, None, None, 0, "singular"),
+            (1, "kmeans", 3, None, None, None, None, None, 3, 0.1, 40.0, 0.0, 0.1, 1, None)]
+    runs = spark.createDataFrame(rows, RUNS_SCHEMA)
+    assert model_score(runs).where("cand = 0").first()["combined_score"] is None
+    assert best_model(runs).where("is_best").first()["cand"] == 1
+
+
+def test_a_singular_candidate_leaves_the_others_fitted(blobs):
+    df, X = blobs
+    init = {2: np.array([[0.0, 0.0], [8.0, 0.0]]), 3: np.array([[0.0, 0.0], [8.0, 0.0], [0.0, 8.0]])}
+    good = G._estep_fn({0: G.GMM(1, "full", np.ones(1), X.mean(0, keepdims=True), np.zeros((1, 2, 2))),
+                        1: G.GMM(1, "diag", np.ones(1), X.mean(0, keepdims=True), np.ones((1, 2)))}, {})
+    stats = run_pass(df, good)
+    assert (0, -1) in stats and (1, 0) in stats and (0, 0) not in stats
+    far = X.copy()
+    far[0] = [np.inf, 0.0]
+    spark = df.sparkSession
+    bad = spark.createDataFrame([(i, [float(a), float(b)]) for i, (a, b) in enumerate(far)], "id long, v array<double>")
+    models = G.fit_many(bad, {0: (2, "full"), 1: (3, "diag")}, init, len(X), max_iter=5)
+    assert all(m.error for m in models.values())
+    models = G.fit_many(df, {0: (2, "full"), 1: (3, "diag")}, init, len(X), max_iter=30)
+    assert all(m.error is None and np.isfinite(m.lower_bound) for m in models.values())
+
+
+def test_large_offsets_keep_covariances_positive(spark):
+    rng = np.random.RandomState(0)
+    X = rng.normal(0, 0.01, size=(400, 2)) + np.array([1e6, -1e6])
+    df = spark.createDataFrame([(i, [float(a), float(b)]) for i, (a, b) in enumerate(X)], "id long, v array<double>").repartition(3)
+    g = G.fit_many(df, {0: (1, "full")}, {1: X[:1]}, len(X), max_iter=5)[0]
+    assert g.error is None and g.cov[0] == pytest.approx(np.cov(X.T, bias=True) + 1e-6 * np.eye(2), rel=1e-3)
+
+
+def test_seeding_reads_all_rows_and_inertia_is_final(spark):
+    """A far, tiny group beyond the first 20,000 rows gets its own centre."""
+    rng = np.random.RandomState(4)
+    X = np.vstack([rng.normal(0, 1, size=(24_000, 2)), rng.normal([300, 300], 1, size=(12, 2))])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)], "id long, v array<double>").repartition(4)
+    best = KM.best_per_k(KM.kmeans_sweep(df, [2], restarts=2, seed=1))[2]
+    assert best.centers.max() > 290
+    d2 = ((X[:, None] - best.centers[None]) ** 2).sum(-1).min(1)
+    assert best.inertia == pytest.approx(d2.sum(), rel=1e-9)
+
+
+def test_seeds_do_not_depend_on_partitions(blobs):
+    df, _ = blobs
+    a, b = (KM.parallel_seeds(d, 3, 2, 7) for d in (df, df.repartition(5)))
+    assert all(np.array_equal(x[0], y[0]) and np.array_equal(x[1], y[1]) for x, y in zip(a, b))
+
+
+def test_run_all_isolates_families(blobs, monkeypatch):
+    from cardprism.config import SegmentationConfig
+    from cardprism.plans import segmentation as S
+    df, _ = blobs
+
+    def broken(*_):
+        raise RuntimeError("no luck")
+    monkeypatch.setitem(S.FITTERS, "gmm", broken)
+    cfg = SegmentationConfig(algorithm="all", gmm_auto_max=3, kmeans_k=(3,), kmeans_restarts=2)
+    runs, lab, best, cands = S.perform_clustering(df, cfg)
+    rows = runs.collect()
+    assert {r["algorithm"] for r in rows} == {"gmm_auto_search", "gmm_auto", "gmm", "kmeans", "hdbscan"}
+    assert "no luck" in next(r for r in rows if r["algorithm"] == "gmm")["error"]
+    assert sum(r["algorithm"] == "gmm_auto_search" and r["silhouette"] is not None for r in rows) == 8
+    assert best is not None and lab.where(lab.cand == best).count() == 300
