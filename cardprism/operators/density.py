@@ -1,75 +1,67 @@
-"""Density clustering (HDBSCAN-style) as distributed DataFrame jobs.
+"""Density clustering (HDBSCAN) as distributed DataFrame jobs.
 
 * core distance (C06a): distance to the ``min_samples``-th nearest neighbour
   (the point itself counts as the first, as in the usual HDBSCAN convention;
-  ``include_self=False`` switches it off).  Blocked pair pass: each block
-  pair returns only the m smallest distances per point, then a window keeps
-  the m smallest over all blocks (<= blocks x m rows per point);
-* mutual reachability (C06b) on the k-NN edges: max(core a, core b, d(a, b));
-* connected components (C06d): partition-local contraction (vectorised
-  per-partition solve, only cross-partition root links go to the next
-  round), finished by pointer-jumping label propagation when contraction
-  stops shrinking; components below ``min_cluster_size`` are noise;
-* minimum spanning forest (C06c): Borůvka rounds - per component the
-  lightest outgoing edge (``min_by``), then components merged;
-* cluster selection (C06e): excess of mass over a bounded ladder of density
-  levels (quantiles of the forest's edge weights) instead of the library's
-  exact in-memory condensed tree - a documented approximation.
+  ``include_self=False`` switches it off), from a blocked pair pass that
+  returns the m smallest distances per point and block;
+* mutual reachability (C06b): max(core a, core b, d(a, b));
+* minimum spanning tree of the mutual reachability graph over ALL pairs
+  (C06c): Borůvka rounds.  A round is one blocked pair pass that reduces to
+  the lightest edge leaving each component, then a merge of components; it
+  ends when one component is left.  Nothing is cut to nearest neighbours;
+* components at one density level (C06d);
+* cluster choice by excess of mass over all levels (C06e).
+
+C06e needs no ladder of levels.  Let r(p) be the first edge, in the order of
+(weight, ends), with which p's component has ``min_cluster_size`` points.  A
+tree edge is a true split exactly if r of both its ends comes before it (both
+sides are clusters then); all other edges attach points to a cluster.  r is found by a bounded
+search from each point along its lightest edges (``min_cluster_size - 1``
+joins), the points between split edges are atoms, and the condensed tree over
+the atoms has one node per split.  A point leaves its cluster at level r(p),
+so stabilities are sums over points by cluster.  Only the split edges reach
+the driver: fewer than points / min_cluster_size, in practice a handful, as
+each stands for two clusters of the result's tree.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardprism.session import cut_lineage
+from cardprism.operators.blocks import block_pairs, sides, symmetric_tiles, vectors
+from cardprism.session import cut_lineage, release
 
 NOISE = -1
 
 
+# --- neighbours -------------------------------------------------------------------
+
 def _knn_fn(m: int):
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = pdf[pdf["side"] == 0]
-        right = pdf[pdf["side"] == 1]
-        if left.empty or right.empty:
-            return pd.DataFrame({"id": [], "other": [], "d": []})
-        L = np.stack(left["v"].to_numpy()).astype(np.float64)
-        R = np.stack(right["v"].to_numpy()).astype(np.float64)
-        lid, rid = left["id"].to_numpy(), right["id"].to_numpy()
-        kk = min(m, len(R))
         out = []
-        step = max(1, 2_000_000 // max(1, len(R) * L.shape[1]))
-        for s in range(0, len(L), step):
-            diff = L[s:s + step, None, :] - R[None, :, :]
-            D = np.sqrt((diff * diff).sum(-1))
-            # m smallest per row, ties broken by the neighbour id
-            order = np.lexsort((np.broadcast_to(rid, D.shape), D), axis=1)[:, :kk]
-            rows = np.arange(len(D))[:, None]
-            out.append(pd.DataFrame({"id": np.repeat(lid[s:s + step], kk), "other": rid[order].reshape(-1),
-                                     "d": D[rows, order].reshape(-1)}))
-        return pd.concat(out, ignore_index=True)
+        for left, right in sides(pdf):
+            right = right.sort_values("id", kind="stable")   # ties are broken by the neighbour's id
+            lid, rid = left["id"].to_numpy(), right["id"].to_numpy()
+            kk = min(m, len(rid))
+            for rows, D in symmetric_tiles(vectors(left), vectors(right)):
+                order = np.argsort(D, axis=1, kind="stable")[:, :kk]
+                out.append(pd.DataFrame({"id": np.repeat(lid[rows], kk), "other": rid[order].reshape(-1),
+                                         "d": np.take_along_axis(D, order, axis=1).reshape(-1)}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["id", "other", "d"])
     return fn
 
 
-def knn(points: DataFrame, m: int, include_self: bool = True, block_size: int = 2048) -> DataFrame:
+def knn(points: DataFrame, m: int, include_self: bool = True, block_size: int | None = None) -> DataFrame:
     """(id, other, d, rank): the m nearest neighbours of every point (rank 1 =
     nearest; with ``include_self`` the point itself is rank 1)."""
-    n = points.count()
-    nb = max(1, math.ceil(n / block_size))
-    blk = F.pmod(F.xxhash64("id"), F.lit(nb))
-    others = F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))
-    p = points.select("id", "v")
-    left = p.select("id", "v", blk.alias("bi"), others.alias("bj"), F.lit(0).alias("side"))
-    right = p.select("id", "v", others.alias("bi"), blk.alias("bj"), F.lit(1).alias("side"))
     k = m if include_self else m + 1
-    cand = left.unionByName(right).groupBy("bi", "bj").applyInPandas(_knn_fn(k), "id long, other long, d double")
+    cand = block_pairs(points.select("id", "v"), block_size).groupBy("bi", "bj").applyInPandas(_knn_fn(k), "id long, other long, d double")
     if not include_self:
         cand = cand.where(F.col("id") != F.col("other"))
-    w = Window.partitionBy("id").orderBy("d", "other")
+    w = Window.partitionBy("id").orderBy("d", "other")   # at most blocks x m rows a point
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= m)
 
 
@@ -89,277 +81,258 @@ def mutual_reachability(neigh: DataFrame, core: DataFrame) -> DataFrame:
     return e.join(cs, "src").join(cd, "dst").select("src", "dst", F.greatest("cs", "cd", "d").alias("weight"))
 
 
-def _local_components(it):
-    """Components of the edges held by one partition (numpy min-label
-    propagation with pointer doubling): every vertex seen -> smallest vertex
-    id of its local component.  The partition's Arrow batches are solved
-    together (partitions are size-bounded by ``cut_lineage``), so a graph
-    held in one partition contracts completely."""
-    parts = [b for b in it if len(b)]
-    if parts:
-        pdf = pd.concat(parts, ignore_index=True)
-        src, dst = pdf["src"].to_numpy(), pdf["dst"].to_numpy()
-        ids, inv = np.unique(np.concatenate([src, dst]), return_inverse=True)
-        a, b = inv[:len(src)], inv[len(src):]
-        lab = np.arange(len(ids))
-        while True:
-            nl = lab.copy()
-            np.minimum.at(nl, a, lab[b])
-            np.minimum.at(nl, b, lab[a])
-            while True:
-                nn = nl[nl]
-                if np.array_equal(nn, nl):
-                    break
-                nl = nn
-            if np.array_equal(nl, lab):
-                break
-            lab = nl
-        yield pd.DataFrame({"v": ids, "root": ids[lab]})
-
-
-def _propagate(vertices: DataFrame, edges: DataFrame, checkpoint_every: int = 4) -> DataFrame:
-    """(id, comp = smallest id of the component) by min-label propagation
-    with pointer jumping: each round every vertex takes the smallest label
-    among itself and its neighbours, then jumps to its label's label.  Runs
-    until no label changes (labels only decrease, so a round changed
-    something iff the label sum dropped)."""
-    from pyspark import StorageLevel
-    lab = cut_lineage(vertices.select("id", F.col("id").alias("comp")))
-    both = cut_lineage(edges.select("src", "dst").unionByName(
-        edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
-    last = lab.agg(F.sum("comp")).first()[0]
-    r = 0
+# --- components --------------------------------------------------------------------
+
+def _roots(picks: DataFrame) -> DataFrame:
+    """(comp, to): where following each component's pick ends.  Picks form
+    trees whose root is a pair that picked each other; the smaller of the pair
+    stands for the tree.  Pointer jumping: log(depth) rounds."""
+    back = picks.select(F.col("comp").alias("to"), F.col("to").alias("back"))
+    root = (F.col("back") == F.col("comp")) & (F.col("comp") < F.col("to"))
+    now = cut_lineage(picks.join(back, "to").select("comp", F.when(root, F.col("comp")).otherwise(F.col("to")).alias("to")))
     while True:
-        r += 1
-        nb = both.join(lab.select(F.col("id").alias("dst"), F.col("comp").alias("c")), "dst") \
-                 .groupBy("src").agg(F.min("c").alias("m"))
-        step = lab.join(nb.withColumnRenamed("src", "id"), "id", "left") \
-                  .select("id", F.least("comp", F.coalesce("m", "comp")).alias("comp"))
-        hop = step.select(F.col("id").alias("h"), F.col("comp").alias("hc"))
-        new = step.join(hop, step.comp == hop.h, "left").select("id", F.least("comp", F.coalesce("hc", "comp")).alias("comp"))
-        new = cut_lineage(new) if r % checkpoint_every == 0 else new.persist(StorageLevel.MEMORY_AND_DISK)
-        cur = new.agg(F.sum("comp")).first()[0]
-        lab = new
-        if cur == last:
-            return lab
-        last = cur
-
-
-def _local_components(it):
-    """Components of the edges held by one partition (numpy min-label
-    propagation with pointer doubling): every vertex seen -> smallest vertex
-    id of its local component.  The partition's Arrow batches are solved
-    together (partitions are size-bounded by ``cut_lineage``), so a graph
-    held in one partition contracts completely."""
-    parts = [b for b in it if len(b)]
-    if parts:
-        pdf = pd.concat(parts, ignore_index=True)
-        src, dst = pdf["src"].to_numpy(), pdf["dst"].to_numpy()
-        ids, inv = np.unique(np.concatenate([src, dst]), return_inverse=True)
-        a, b = inv[:len(src)], inv[len(src):]
-        lab = np.arange(len(ids))
-        while True:
-            nl = lab.copy()
-            np.minimum.at(nl, a, lab[b])
-            np.minimum.at(nl, b, lab[a])
-            while True:
-                nn = nl[nl]
-                if np.array_equal(nn, nl):
-                    break
-                nl = nn
-            if np.array_equal(nl, lab):
-                break
-            lab = nl
-        yield pd.DataFrame({"v": ids, "root": ids[lab]})
-
-
-def connected_components(vertices: DataFrame, edges: DataFrame, init: DataFrame | None = None) -> DataFrame:
-    """(id, comp = smallest id of the component).
-
-    Partition-local contraction first: each round every partition of the
-    (remaining) edges solves its own components in a vectorised task; a
-    vertex seen by several partitions links their local roots, and only
-    those root links go to the next round, in root space.  A graph held in
-    one partition finishes in one round.  Contraction continues while the
-    edge set at least halves per round; whatever remains (adversarially
-    scattered graphs) is solved by pointer-jumping label propagation in
-    root space.  Labels of successive stages are composed by joins.
-    ``init`` warm-starts from a finer partition (id, comp) whose labels are
-    the smallest member ids (as returned here)."""
-    e = edges.select("src", "dst")
-    maps = []
-    if init is not None:
-        m0 = init.select(F.col("id").alias("v"), F.col("comp").alias("r"))
-        maps.append(m0)
-        e = e.join(m0.withColumnRenamed("v", "src"), "src", "left") \
-             .select(F.coalesce("r", "src").alias("src"), "dst") \
-             .join(m0.withColumnRenamed("v", "dst"), "dst", "left") \
-             .select("src", F.coalesce("r", "dst").alias("dst"))
-    cur = cut_lineage(e.where(F.col("src") != F.col("dst")).distinct())
-    n_cur = cur.count()
-    while n_cur > 0:
-        local = cur.mapInPandas(_local_components, "v long, root long")
-        per_v = cut_lineage(local.groupBy("v").agg(F.min("root").alias("r"), F.collect_set("root").alias("rs")))
-        maps.append(per_v.select("v", "r"))
-        links = per_v.select(F.explode("rs").alias("src"), F.col("r").alias("dst")).where(F.col("src") != F.col("dst"))
-        nxt = cut_lineage(links.distinct())
-        n_nxt = nxt.count()
-        if n_nxt > 0 and 2 * n_nxt > n_cur:
-            # not shrinking: finish the root-space graph by propagation
-            roots = nxt.select(F.col("src").alias("id")).unionByName(nxt.select(F.col("dst").alias("id"))).distinct()
-            maps.append(_propagate(roots, nxt).select(F.col("id").alias("v"), F.col("comp").alias("r")))
-            break
-        cur, n_cur = nxt, n_nxt
-    lab = vertices.select("id", F.col("id").alias("comp"))
-    for m in maps:
-        lab = lab.join(m.select(F.col("v").alias("comp"), "r"), "comp", "left") \
-                 .select("id", F.coalesce("r", "comp").alias("comp"))
-    return cut_lineage(lab)
+        hop = now.select(F.col("comp").alias("to"), F.col("to").alias("next"))
+        new = cut_lineage(now.join(hop, "to").select("comp", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")))
+        release(now)
+        if not new.agg(F.max("moved")).first()[0]:
+            return new.select("comp", "to")
+        now = new.select("comp", "to")
+
+
+def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, comp = smallest id of the component).  Contraction: every
+    component picks its smallest neighbour, what hangs together by picks
+    becomes one component, and the edges are rewritten, until none is left;
+    each round at least halves the components that still have edges."""
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    now = cut_lineage(both.where("src <> dst").distinct())
+    lab = cut_lineage(vertices.select("id", F.col("id").alias("comp")))
+    while not now.isEmpty():
+        to = _roots(now.groupBy("src").agg(F.min("dst").alias("to")).withColumnRenamed("src", "comp"))
+        old = lab, now
+        lab = cut_lineage(lab.join(to, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")))
+        ends = now.join(to.toDF("src", "a"), "src").join(to.toDF("dst", "b"), "dst")
+        now = cut_lineage(ends.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
+        release(*old)
+    least = lab.groupBy("comp").agg(F.min("id").alias("least"))
+    return cut_lineage(lab.join(least, "comp").select("id", F.col("least").alias("comp")))
 
 
 def density_cut(points: DataFrame, edges: DataFrame, eps: float, min_cluster_size: int) -> DataFrame:
     """C06d: components of the graph of edges with weight <= eps; components
-    smaller than ``min_cluster_size`` are noise.  Returns (id, cluster) with
+    smaller than ``min_cluster_size`` are noise.  Returns (id, cluster), the
     clusters numbered 0.. by their smallest member id."""
     cc = connected_components(points.select("id"), edges.where(F.col("weight") <= eps))
-    sizes = cc.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    big = sizes.where(F.col("size") >= min_cluster_size).select(
-        "comp", (F.row_number().over(Window.orderBy("comp")) - 1).alias("cluster"))
-    return cc.join(big, "comp", "left").select("id", F.coalesce("cluster", F.lit(NOISE)).cast("int").alias("cluster"))
-
-
-def minimum_spanning_forest(points: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """Borůvka.  Each round every component picks its lightest
-    outgoing edge (ties by endpoint ids), the picked edges join the forest
-    and merge components.  log2(n) rounds; edges (src, dst, weight)."""
-    lab = cut_lineage(points.select("id", F.col("id").alias("comp")))
-    e = cut_lineage(edges.select("src", "dst", "weight"))
-    forest = None
-    for _ in range(max_rounds):
-        ec = (e.join(lab.select(F.col("id").alias("src"), F.col("comp").alias("cs")), "src")
-               .join(lab.select(F.col("id").alias("dst"), F.col("comp").alias("cd")), "dst")
-               .where(F.col("cs") != F.col("cd")))
-        both = ec.select(F.col("cs").alias("c"), "src", "dst", "weight") \
-                 .unionByName(ec.select(F.col("cd").alias("c"), "src", "dst", "weight"))
-        pick = both.groupBy("c").agg(F.min(F.struct("weight", "src", "dst")).alias("e")) \
-                   .select("e.src", "e.dst", "e.weight").distinct()
-        pick = cut_lineage(pick)
-        if pick.limit(1).count() == 0:
-            break
-        forest = pick if forest is None else cut_lineage(forest.unionByName(pick))
-        comp_edges = pick.join(lab.select(F.col("id").alias("src"), F.col("comp").alias("a")), "src") \
-                         .join(lab.select(F.col("id").alias("dst"), F.col("comp").alias("b")), "dst") \
-                         .select(F.col("a").alias("src"), F.col("b").alias("dst"))
-        comps = lab.select(F.col("comp").alias("id")).distinct()
-        merged = connected_components(comps, comp_edges)
-        lab = cut_lineage(lab.join(merged.select(F.col("id").alias("comp"), F.col("comp").alias("nc")), "comp")
-                          .select("id", F.col("nc").alias("comp")))
-    if forest is None:
-        return points.sparkSession.createDataFrame([], "src long, dst long, weight double")
-    return forest
-
-
-def eom_select(points: DataFrame, forest: DataFrame, min_cluster_size: int, levels: int = 8) -> DataFrame:
-    """C06e: excess-of-mass selection over a ladder of density levels.
-
-    Levels are quantiles of the forest's edge weights (a bounded number).  At
-    each level the components of the forest restricted to edges <= level
-    with at least ``min_cluster_size`` points are candidate clusters;
-    stability(C) = sum over the levels where C persists of
-    size x (lambda_next - lambda), lambda = 1 / level.  Bottom-up, a
-    cluster is kept when its stability beats the sum of its children's;
-    the root is not selectable.  Returns (id, cluster) with noise -1."""
-    qs = [i / levels for i in range(1, levels + 1)]
-    ws = forest.agg(F.percentile_approx("weight", qs, 10000).alias("q")).first()["q"] or []
-    ladder = sorted({float(w) for w in ws if w is not None and w > 0}, reverse=True)   # coarse -> fine
-    if not ladder:
-        return points.select("id", F.lit(NOISE).alias("cluster"))
-    comps = []
-    prev = None
-    for eps in reversed(ladder):              # fine -> coarse, warm-started
-        cc = connected_components(points.select("id"), forest.where(F.col("weight") <= eps), init=prev)
-        prev = cc
-        sizes = cc.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-        comps.append(cut_lineage(cc.join(sizes.where(F.col("size") >= min_cluster_size), "comp")))
-    comps.reverse()                            # index 0 = coarsest level
-    # small tree: nodes (level, comp) with sizes and parent (level-1, comp) - bounded by levels x n/min_cluster_size
-    nodes = {}
-    for li, c in enumerate(comps):
-        for r in c.groupBy("comp").agg(F.count(F.lit(1)).alias("size")).collect():
-            nodes[(li, r["comp"])] = r["size"]
-    parent = {}
-    for li in range(1, len(comps)):
-        rel = comps[li].alias("f").join(comps[li - 1].alias("c"), "id").groupBy(
-            F.col("f.comp").alias("fc")).agg(F.first(F.col("c.comp")).alias("pc")).collect()
-        for r in rel:
-            parent[(li, r["fc"])] = (li - 1, r["pc"])
-    lam = [1.0 / e for e in ladder] + [1.0 / ladder[-1] * 2.0]
-    children = {}
-    for node, par in parent.items():
-        children.setdefault(par, []).append(node)
-    # clusters: chains of single-child continuations form one cluster
-    cluster_of, births = {}, {}
-    for node in sorted(nodes):
-        par = parent.get(node)
-        if par is not None and len(children.get(par, [])) == 1:
-            cluster_of[node] = cluster_of[par]
-        else:
-            cluster_of[node] = node
-            births[node] = node
-    stability = {}
-    for node, size in nodes.items():
-        li = node[0]
-        stability[cluster_of[node]] = stability.get(cluster_of[node], 0.0) + size * (lam[li + 1] - lam[li])
-    kids = {}
-    for node, par in parent.items():
-        if cluster_of[node] != cluster_of[par]:
-            kids.setdefault(cluster_of[par], set()).add(cluster_of[node])
-    selected = {}
-
-    def solve(c):
-        ch = kids.get(c, set())
-        tot = sum(solve(k) for k in ch)
-        if ch and tot > stability[c]:
-            selected[c] = False
-            return tot
-        selected[c] = True
-        for k in ch:
-            _clear(k)
-        return stability[c]
-
-    def _clear(c):
-        selected[c] = False
-        for k in kids.get(c, set()):
-            _clear(k)
-
-    roots = [c for c in births if parent.get(c) is None]
-    for r in roots:
-        solve(r)
-        if len(roots) == 1 and kids.get(r):
-            selected[r] = False
-            for k in kids[r]:
-                solve(k)
-    chosen = [c for c, s in selected.items() if s]
-    spark = points.sparkSession
-    if not chosen:
-        return points.select("id", F.lit(NOISE).alias("cluster"))
-    pick = spark.createDataFrame([(int(li), int(cp), j) for j, (li, cp) in enumerate(sorted(chosen))],
-                                 "level int, comp long, cluster int")
-    members = None
-    for li, c in enumerate(comps):
-        sel = c.join(F.broadcast(pick.where(F.col("level") == li)), "comp").select("id", "cluster")
-        members = sel if members is None else members.unionByName(sel)
-    members = members.groupBy("id").agg(F.min("cluster").alias("cluster"))
-    return points.select("id").join(members, "id", "left").select(
+    sizes = cc.groupBy("comp").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_cluster_size)
+    return cc.join(_numbered(sizes.select("comp"), "comp", "cluster"), "comp", "left").select(
         "id", F.coalesce("cluster", F.lit(NOISE)).cast("int").alias("cluster"))
 
 
-def density_cluster(points: DataFrame, min_cluster_size: int, min_samples: int, levels: int = 8,
-                    block_size: int = 2048) -> DataFrame:
-    """Full density clustering: k-NN -> core distances -> mutual
-    reachability edges -> spanning forest -> excess-of-mass selection."""
-    neigh = cut_lineage(knn(points, min_samples, True, block_size))
-    core = core_distances(neigh, min_samples)
-    edges = cut_lineage(mutual_reachability(neigh, core))
-    forest = minimum_spanning_forest(points, edges)
-    return eom_select(points, forest, min_cluster_size, levels)
+def _numbered(df: DataFrame, key: str, out: str) -> DataFrame:
+    """Rows numbered 0.. in the order of ``key``, without one task for all:
+    sorted by range, numbered in each partition, plus the counts before it
+    (one number per partition)."""
+    placed = cut_lineage(df.select(key).orderBy(key).withColumn("_p", F.spark_partition_id()))
+    counts = {r["_p"]: r["n"] for r in placed.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, seen = {}, 0
+    for p in sorted(counts):
+        before[p], seen = seen, seen + counts[p]
+    if not before:
+        return placed.select(key, F.lit(0).cast("long").alias(out))
+    start = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[F.col("_p")]
+    w = Window.partitionBy("_p").orderBy(key)
+    return placed.select(key, (start + F.row_number().over(w) - 1).alias(out))
+
+
+# --- minimum spanning tree -------------------------------------------------------------
+
+def _lightest_fn(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Per component of a block: its lightest edge to another component, ties
+    by the smaller, then the larger end."""
+    out = [pd.DataFrame({"comp": np.zeros(0, np.int64), "weight": np.zeros(0), "src": np.zeros(0, np.int64), "dst": np.zeros(0, np.int64)})]
+    for left, right in sides(pdf):
+        right = right.sort_values("id", kind="stable")   # argmin takes the smallest id
+        lid, rid = left["id"].to_numpy(), right["id"].to_numpy()
+        lc, rc = left["comp"].to_numpy(), right["comp"].to_numpy()
+        lcore, rcore = left["core"].to_numpy(), right["core"].to_numpy()
+        for rows, D in symmetric_tiles(vectors(left), vectors(right)):
+            W = np.maximum(np.maximum(D, lcore[rows][:, None]), rcore[None, :])
+            W[lc[rows][:, None] == rc[None, :]] = np.inf
+            at = W.argmin(1)
+            low = W[np.arange(len(W)), at]
+            ok = np.isfinite(low)
+            a, b = lid[rows][ok], rid[at[ok]]
+            out.append(pd.DataFrame({"comp": lc[rows][ok], "weight": low[ok], "src": np.minimum(a, b), "dst": np.maximum(a, b)}))
+    found = pd.concat(out, ignore_index=True)
+    return found.sort_values(["comp", "weight", "src", "dst"]).drop_duplicates("comp")
+
+
+def minimum_spanning_tree(points: DataFrame, core: DataFrame, block_size: int | None = None) -> DataFrame:
+    """The minimum spanning tree of the mutual reachability graph over
+    all pairs, as edges (src < dst, weight), ordered by (weight, src, dst)
+    where weights tie."""
+    p = points.select("id", "v").join(core.select("id", F.col("core_distance").alias("core")), "id")
+    p = cut_lineage(p, keep=True)
+    lab, parts = cut_lineage(p.select("id", F.col("id").alias("comp"))), []
+    while lab.agg(F.min("comp") != F.max("comp")).first()[0]:
+        pairs = block_pairs(p.join(lab, "id"), block_size).groupBy("bi", "bj")
+        light = pairs.applyInPandas(_lightest_fn, "comp long, weight double, src long, dst long")
+        pick = light.groupBy("comp").agg(F.min(F.struct("weight", "src", "dst")).alias("e")).select("comp", "e.*")
+        pick = cut_lineage(pick)
+        parts.append(pick.select("src", "dst", "weight").distinct())
+        at = lab.select(F.col("id"), F.col("comp").alias("c"))
+        ends = pick.join(at.toDF("src", "a"), "src").join(at.toDF("dst", "b"), "dst")
+        merged = _roots(ends.select("comp", F.when(F.col("a") == F.col("comp"), F.col("b")).otherwise(F.col("a")).alias("to")))
+        lab = cut_lineage(lab.join(merged, "comp").select("id", F.col("to").alias("comp")))
+    p.unpersist()
+    if not parts:
+        return points.sparkSession.createDataFrame([], "src long, dst long, weight double")
+    tree = parts[0]
+    for part in parts[1:]:
+        tree = tree.unionByName(part)
+    return cut_lineage(tree)
+
+
+# --- cluster choice -----------------------------------------------------------------------
+
+def cluster_levels(points: DataFrame, tree: DataFrame, size: int) -> DataFrame:
+    """(id, level): the edge (weight, src, dst) with which the point's component
+    reaches ``size`` points, edges taken in that order (null if it never
+    does).  A search from each point along the first edge that leaves what it
+    has reached; from one vertex only its first ``size`` edges can matter."""
+    edge = "struct<weight:double,src:bigint,dst:bigint>"
+    ids = points.select("id")
+    if size <= 1:
+        return ids.withColumn("level", F.struct(F.lit(0.0).alias("weight"), F.lit(-1).cast("long").alias("src"), F.lit(-1).cast("long").alias("dst")))
+    both = tree.select(F.col("src").alias("at"), "weight", "src", "dst", F.col("dst").alias("to")).unionByName(
+        tree.select(F.col("dst").alias("at"), "weight", "src", "dst", F.col("src").alias("to")))
+    w = Window.partitionBy("at").orderBy("weight", "src", "dst")
+    near = both.withColumn("r", F.row_number().over(w)).where(F.col("r") <= size)
+    near = near.groupBy("at").agg(F.sort_array(F.collect_list(F.struct("weight", "src", "dst", "to"))).alias("edges"))   # at most ``size`` edges
+    near = cut_lineage(near)
+    none = F.array().cast("array<struct<weight:double,src:bigint,dst:bigint,to:bigint>>")
+    state = ids.select("id", F.col("id").alias("at"), F.array("id").alias("seen"), none.alias("open"), F.lit(None).cast(edge).alias("level"))
+    for step in range(size - 1):
+        state = state.join(near, "at", "left").select("id", "seen", "level", F.sort_array(F.concat("open", F.coalesce("edges", none))).alias("open"))
+        state = state.select("id", "seen", "level", F.filter("open", lambda e: ~F.array_contains(F.col("seen"), e["to"])).alias("open"))
+        first = F.get("open", F.lit(0))
+        state = state.select("id", first["to"].alias("at"), F.when(first["to"].isNotNull(), F.concat("seen", F.array(first["to"]))).otherwise(F.col("seen")).alias("seen"),
+                             F.slice("open", 2, size).alias("open"),
+                             F.greatest("level", F.struct(first["weight"].alias("weight"), first["src"].alias("src"), first["dst"].alias("dst")).cast(edge)).alias("level"))
+        if step % 4 == 3:
+            state = cut_lineage(state)
+    out = cut_lineage(state.select("id", F.when(F.size("seen") >= size, F.col("level")).alias("level")))
+    release(near)
+    return out
+
+
+class _Tree:
+    """Condensed tree over atoms: leaves are atoms, an inner node is a split."""
+
+    def __init__(self, atoms, splits):
+        """``splits``: ((weight, src, dst), atom, atom) ascending."""
+        self.parent, self.children, self.split = {}, {}, {}   # split: the edge below which the node falls apart
+        root_of, node_of = {a: a for a in atoms}, {a: ("atom", a) for a in atoms}
+
+        def find(x):
+            while root_of[x] != x:
+                root_of[x] = root_of[root_of[x]]
+                x = root_of[x]
+            return x
+
+        for a in atoms:
+            self.split["atom", a], self.children["atom", a] = (0.0,), []
+        for i, (edge, a, b) in enumerate(splits):
+            a, b = find(a), find(b)
+            node = ("split", i)
+            self.children[node], self.split[node] = [node_of[a], node_of[b]], edge
+            self.parent[node_of[a]] = self.parent[node_of[b]] = node
+            root_of[b], node_of[a] = a, node
+        self.order = [("atom", a) for a in atoms] + [("split", i) for i in range(len(splits))]   # children first
+        self.birth = {n: self.split[self.parent[n]] if n in self.parent else (float("inf"),) for n in self.order}
+        self.number = {n: i for i, n in enumerate(self.order)}
+
+    def select(self, inside: dict, own: dict) -> dict:
+        """Node to label (None: noise).  ``inside``: node to the number of
+        points assigned to it, ``own``: to the sum of 1 / r over them."""
+        below = {}
+        best, chosen = {}, {}
+        for n in self.order:
+            below[n] = sum(below[c] + inside.get(c, 0) for c in self.children[n])
+            if n not in self.parent:
+                continue   # a root is no cluster
+            birth = 1 / self.birth[n][0]
+            at_split = below[n] * (1 / self.split[n][0] - birth) if below[n] else 0.0
+            mass = at_split + own.get(n, 0.0) - inside.get(n, 0) * birth
+            kids = sum(best[c] for c in self.children[n])
+            chosen[n] = not self.children[n] or mass >= kids
+            best[n] = mass if chosen[n] else kids
+        label, taken = {}, 0
+        for n in reversed(self.order):
+            up = self.parent.get(n)
+            if up is not None and label.get(up) is not None:
+                label[n] = label[up]
+            elif chosen.get(n):
+                label[n], taken = taken, taken + 1
+            else:
+                label[n] = None
+        return label
+
+
+def eom_select(points: DataFrame, tree: DataFrame, min_cluster_size: int) -> DataFrame:
+    """C06e: excess-of-mass selection; (id, cluster), noise -1, clusters
+    numbered by their smallest member."""
+    level = cluster_levels(points, tree, min_cluster_size)
+    end = lambda c, r: level.select(F.col("id").alias(c), F.col("level").alias(r))
+    edges = tree.join(end("src", "rs"), "src").join(end("dst", "rd"), "dst")
+    own = F.struct("weight", "src", "dst")
+    is_split = F.coalesce((F.col("rs") < own) & (F.col("rd") < own), F.lit(False))
+    edges = cut_lineage(edges.select("src", "dst", "weight", is_split.alias("split")))
+    atoms = connected_components(points, edges.where("not split"))
+    end = lambda c, a: atoms.select(F.col("id").alias(c), F.col("comp").alias(a))
+    splits = [tuple(r) for r in edges.where("split").join(end("src", "a"), "src").join(end("dst", "b"), "dst").select("weight", "a", "b", "src", "dst").collect()]
+    splits = sorted(((w, src, dst), a, b) for w, a, b, src, dst in splits)
+    noise = points.select("id", F.lit(NOISE).alias("cluster"))
+    if not splits:
+        return noise
+    t = _Tree(sorted({x for _, a, b in splits for x in (a, b)}), splits)
+
+    def assign(batches):
+        """The lowest cluster on the point's path up that lives at its level."""
+        for pdf in batches:
+            nodes = []
+            for atom, *r in zip(pdf["comp"], pdf["weight"], pdf["src"], pdf["dst"], strict=True):
+                n, r = ("atom", atom), tuple(r)
+                while n in t.parent and not r < t.birth[n]:
+                    n = t.parent[n]
+                nodes.append(t.number.get(n, -1))
+            rows = pdf[["id", "weight"]].assign(node=nodes)
+            yield rows[rows["node"] >= 0]
+
+    levels = level.where("level is not null").select("id", "level.*")
+    placed = cut_lineage(atoms.join(levels, "id").mapInPandas(assign, "id long, weight double, node int"))
+    sums = placed.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum(1.0 / F.greatest("weight", F.lit(1e-300))).alias("s")).collect()   # a row per node of the tree
+    label = t.select({t.order[r["node"]]: r["n"] for r in sums}, {t.order[r["node"]]: r["s"] for r in sums})
+    rows = [(t.number[n], x) for n, x in label.items() if x is not None]
+    if not rows:
+        return noise
+    marks = points.sparkSession.createDataFrame(rows, "node int, label int")
+    members = placed.join(marks, "node").select("id", "label")
+    order = members.groupBy("label").agg(F.min("id").alias("first"))
+    numbers = _numbered(order.select("first"), "first", "cluster").join(order, "first").select("label", F.col("cluster").cast("int").alias("cluster"))
+    return points.select("id").join(members.join(numbers, "label").select("id", "cluster"), "id", "left").select(
+        "id", F.coalesce("cluster", F.lit(NOISE)).alias("cluster"))
+
+
+def density_sweep(points: DataFrame, grid, block_size: int | None = None) -> list[DataFrame]:
+    """Clusterings for each (min_cluster_size, min_samples): one neighbour pass
+    for all (smaller ``min_samples`` are prefixes of it), one tree per
+    ``min_samples``."""
+    neigh = cut_lineage(knn(points, max(ms for _, ms in grid), True, block_size))
+    trees = {ms: minimum_spanning_tree(points, core_distances(neigh, ms), block_size) for ms in sorted({ms for _, ms in grid})}
+    return [cut_lineage(eom_select(points, trees[ms], mcs)) for mcs, ms in grid]
+
+
+def density_cluster(points: DataFrame, min_cluster_size: int, min_samples: int, block_size: int | None = None) -> DataFrame:
+    """Full density clustering for one parameter pair."""
+    return density_sweep(points, [(min_cluster_size, min_samples)], block_size)[0]

@@ -2,24 +2,24 @@
 
 Per-cluster statistics are one aggregation; anything of size k or k x d
 (centroids, the k x k Davies-Bouldin ratios) is combined on the driver, which
-never sees a row of data.  The exact Euclidean silhouette is O(n^2): points
-are hashed into blocks, every (block, block) pair meets in one pandas task
-that evaluates the distances vectorised and immediately reduces them to
+never sees a row of data.  The exact Euclidean silhouette is O(n^2): blocks of
+points meet pairwise (``blocks``) and their distances are reduced at once to
 per-(point, cluster) sums - pairs never become rows.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cardprism.operators.blocks import block_pairs, sides, tiles, vectors
 from cardprism.operators.vectors import centroids, sq_dist
+from cardprism.session import cut_lineage
 
 NOISE = -1
+PAIR_SUMS = "id long, cand int, cluster long, other long, dsum double, cnt long"
 
 
 # --- sizes and balance ------------------------------------------------------
@@ -27,7 +27,7 @@ NOISE = -1
 def cluster_sizes(labels: DataFrame, cluster_col: str = "cluster") -> DataFrame:
     """Q01: size per cluster (noise included as -1) and share of non-noise points."""
     sizes = labels.groupBy(F.col(cluster_col).alias("cluster")).agg(F.count(F.lit(1)).alias("size"))
-    valid = F.sum(F.when(F.col("cluster") != NOISE, F.col("size"))).over(Window.partitionBy())
+    valid = F.sum(F.when(F.col("cluster") != NOISE, F.col("size"))).over(Window.partitionBy())   # over one row per cluster
     return sizes.select("cluster", "size",
                         F.when(F.col("cluster") != NOISE, F.col("size") * 100.0 / valid).alias("pct_of_valid"))
 
@@ -66,75 +66,61 @@ def size_stats(labels: DataFrame, cluster_col: str = "cluster") -> DataFrame:
          .when(F.count(F.lit(1)) == 1, F.lit(1.0)).alias("cluster_balance"))
 
 
-# --- silhouette ---------------------------------------------------------------
+def drop_noise(labelled: DataFrame, cluster_col: str = "cluster") -> DataFrame:
+    """The rows that belong to a cluster."""
+    return labelled.where(F.col(cluster_col) != NOISE)
 
-def _pair_sums_fn(clusters):
-    clusters = np.asarray(sorted(clusters))
 
+# --- silhouette ---------------------------------------------------------------
+
+def _many_fn(n_cands: int, kmax: int):
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = pdf[pdf["side"] == 0]
-        right = pdf[pdf["side"] == 1]
-        if left.empty or right.empty:
-            return pd.DataFrame({"id": [], "cluster": [], "other": [], "dsum": [], "cnt": []})
-        L = np.stack(left["v"].to_numpy()).astype(np.float64)
-        R = np.stack(right["v"].to_numpy()).astype(np.float64)
         out = []
-        rc = right["cluster"].to_numpy()
-        onehot = (rc[:, None] == clusters[None, :]).astype(np.float64)
-        cnt = onehot.sum(axis=0)
-        rn = (R * R).sum(axis=1)
-        step = max(1, 4_000_000 // max(1, len(R)))
-        for s in range(0, len(L), step):
-            Lb = L[s:s + step]
-            d2 = (Lb * Lb).sum(axis=1)[:, None] + rn[None, :] - 2.0 * Lb @ R.T
-            D = np.sqrt(np.maximum(d2, 0.0))
-            sums = D @ onehot
-            n_l = len(Lb)
-            out.append(pd.DataFrame({
-                "id": np.repeat(left["id"].to_numpy()[s:s + step], len(clusters)),
-                "cluster": np.repeat(left["cluster"].to_numpy()[s:s + step], len(clusters)),
-                "other": np.tile(clusters, n_l),
-                "dsum": sums.reshape(-1),
-                "cnt": np.tile(cnt, n_l).astype(np.int64),
-            }))
-        res = pd.concat(out, ignore_index=True)
-        return res[res["cnt"] > 0]
+        for left, right in sides(pdf):
+            L, R = vectors(left), vectors(right)
+            ids = left["id"].to_numpy()
+            LL, RL = np.stack(left["labs"].to_numpy()), np.stack(right["labs"].to_numpy())
+            onehots = [(RL[:, m][:, None] == np.arange(kmax)[None, :]).astype(np.float64) for m in range(n_cands)]
+            for rows, D in tiles(L, R):
+                for m, onehot in enumerate(onehots):
+                    # label -1: the point is noise (or unlabelled) in this labelling
+                    keep = LL[rows, m] >= 0
+                    cnt = onehot.sum(0)
+                    present = np.nonzero(cnt)[0]
+                    if not len(present) or not keep.any():
+                        continue
+                    sums, nl = D[keep] @ onehot[:, present], int(keep.sum())
+                    out.append(pd.DataFrame({
+                        "id": np.repeat(ids[rows][keep], len(present)), "cand": m, "cluster": np.repeat(LL[rows, m][keep], len(present)),
+                        "other": np.tile(present, nl), "dsum": sums.reshape(-1), "cnt": np.tile(cnt[present], nl).astype(np.int64)}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["id", "cand", "cluster", "other", "dsum", "cnt"])
     return fn
 
 
-def point_cluster_distance_sums(points: DataFrame, block_size: int = 2048) -> DataFrame:
-    """(id, cluster, other, dsum, cnt): sum and count of Euclidean distances
-    from each point to the points of every cluster (self included, distance 0).
-
-    Points are hashed into B = ceil(n / block_size) blocks; each point is
-    replicated B times as a 'left' and B times as a 'right' member so every
-    block pair meets in exactly one group.  Memory per task is bounded by the
-    block size; the reduction to per-(point, cluster) sums happens inside the
-    task, and the final sum over block pairs is a partial-aggregated shuffle."""
-    n, clusters = points.agg(F.count(F.lit(1)), F.collect_set("cluster")).first()
-    nb = max(1, math.ceil(n / block_size))
-    blk = F.pmod(F.xxhash64("id"), F.lit(nb))
-    others = F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))
-    left = points.select("id", "cluster", "v", blk.alias("bi"), others.alias("bj"), F.lit(0).alias("side"))
-    right = points.select("id", "cluster", "v", others.alias("bi"), blk.alias("bj"), F.lit(1).alias("side"))
-    sums = left.unionByName(right).groupBy("bi", "bj").applyInPandas(
-        _pair_sums_fn(clusters), "id long, cluster int, other int, dsum double, cnt long")
-    return sums.groupBy("id", "cluster", "other").agg(F.sum("dsum").alias("dsum"), F.sum("cnt").alias("cnt"))
-
-
-def silhouette_values(points: DataFrame, block_size: int = 2048) -> DataFrame:
-    """Per-point silhouette s = (b - a) / max(a, b); 0 for a singleton cluster."""
-    s = point_cluster_distance_sums(points, block_size)
-    per = s.groupBy("id", "cluster").agg(
-        F.max(F.when(F.col("other") == F.col("cluster"), F.col("dsum") / (F.col("cnt") - 1))).alias("a"),
-        F.max(F.when(F.col("other") == F.col("cluster"), F.col("cnt"))).alias("own"),
-        F.min(F.when(F.col("other") != F.col("cluster"), F.col("dsum") / F.col("cnt"))).alias("b"))
-    sil = F.when(F.col("own") <= 1, F.lit(0.0)).otherwise(
-        F.coalesce((F.col("b") - F.col("a")) / F.greatest("a", "b"), F.lit(0.0)))
-    return per.select("id", "cluster", sil.alias("s"))
-
-
-def silhouette(points: DataFrame, block_size: int = 2048, drop_noise: bool = True) -> DataFrame:
+def _mean_silhouettes(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """Per-point silhouettes (b - a) / max(a, b), 0 for a singleton cluster,
+    from the (id, cluster, other) distance sums."""
+    s = sums.groupBy(*keys, "id", "cluster", "other").agg(F.sum("dsum").alias("dsum"), F.sum("cnt").alias("cnt"))
+    own = F.col("other") == F.col("cluster")
+    per = s.groupBy(*keys, "id", "cluster").agg(
+        F.max(F.when(own, F.try_divide("dsum", F.col("cnt") - 1))).alias("a"),
+        F.max(F.when(own, F.col("cnt"))).alias("own"),
+        F.min(F.when(~own, F.col("dsum") / F.col("cnt"))).alias("b"))
+    sil = F.when(F.col("own") <= 1, F.lit(0.0)).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
+    return per.select(*keys, "id", "cluster", sil.alias("s"))
+
+
+def silhouette_values(points: DataFrame, block_size: int | None = None) -> DataFrame:
+    """Per-point silhouette (id, cluster, s); ``points``: (id, cluster >= 0, v)."""
+    kmax = points.agg(F.max("cluster")).first()[0]
+    if kmax is None:
+        return points.select("id", "cluster", F.lit(None).cast("double").alias("s"))
+    p = points.select("id", "v", F.array(F.col("cluster").cast("long")).alias("labs"))
+    sums = block_pairs(p, block_size).groupBy("bi", "bj").applyInPandas(_many_fn(1, kmax + 1), PAIR_SUMS)
+    return _mean_silhouettes(sums, [])
+
+
+def silhouette(points: DataFrame, block_size: int | None = None, drop_noise: bool = True) -> DataFrame:
     """Q03: mean Euclidean silhouette; NULL when fewer than 2 clusters or any
     cluster has fewer than 2 points (noise removed first)."""
     p = points.where(F.col("cluster") != NOISE) if drop_noise else points
@@ -145,23 +131,29 @@ def silhouette(points: DataFrame, block_size: int = 2048, drop_noise: bool = Tru
     return silhouette_values(p, block_size).agg(F.avg("s").alias("silhouette"))
 
 
-def silhouette_sampled(points: DataFrame, sample_size: int, seed: int = 42, block_size: int = 2048) -> DataFrame:
-    """Silhouette of a deterministic hash sample of the points (both the
-    scored points and their neighbours come from the sample, O(m^2))."""
-    key = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(2 ** 61))
-    sample = points.where(F.col("cluster") != NOISE).withColumn("_k", key).orderBy("_k", "id").limit(sample_size).drop("_k")
-    return silhouette(sample, block_size)
-
-
 def silhouette_sq_euclidean(points: DataFrame) -> DataFrame:
-    """Q03b at scale: Spark's O(n k) silhouette on squared Euclidean distance
-    (a different number from the Euclidean one; documented option)."""
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    from pyspark.ml.functions import array_to_vector
-    p = points.where(F.col("cluster") != NOISE).select(array_to_vector("v").alias("features"),
-                                                       F.col("cluster").cast("double").alias("prediction"))
-    value = ClusteringEvaluator(distanceMeasure="squaredEuclidean").evaluate(p)
-    return points.sparkSession.createDataFrame([(float(value),)], "silhouette_sq double")
+    """Silhouette on squared Euclidean distances over all points, O(n k):
+    a point's mean squared distance to a cluster follows from the cluster's
+    size, vector sum and sum of squared norms.  Another number than Q03, by
+    choice of the caller.  NULL under Q03's rules."""
+    p = points.where(F.col("cluster") != NOISE)
+    norm = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x)
+    per_dim = p.select("cluster", F.posexplode("v").alias("i", "x")).groupBy("cluster", "i").agg(F.sum("x").alias("s"))
+    sums = per_dim.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("i", "s"))).alias("a")).select("cluster", F.col("a.s").alias("s"))
+    sizes = p.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum(norm).alias("q"))
+    stats = sums.join(sizes, "cluster").select(F.col("cluster").alias("other"), "s", "n", "q")
+    ok = stats.agg((F.count(F.lit(1)) >= 2) & (F.min("n") >= 2)).first()[0]
+    if not ok:
+        return points.sparkSession.createDataFrame([(None,)], "silhouette_sq double")
+    every = stats.agg(F.collect_list(F.struct("other", "s", "n", "q")).alias("cl"))   # k rows of d numbers, as one array
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, z: acc + z)
+    rows = p.select("id", "cluster", "v", norm.alias("q0"), F.lit(1).alias("_k")).join(F.broadcast(every.withColumn("_k", F.lit(1))), "_k")
+    rows = rows.select("id", "cluster", "v", "q0", F.explode("cl").alias("c"))
+    total = F.col("c.n") * F.col("q0") + F.col("c.q") - 2.0 * dot(F.col("v"), F.col("c.s"))
+    own = F.col("c.other") == F.col("cluster")
+    per = rows.select("id", own.alias("own"), F.greatest(F.lit(0.0), total).alias("t"), F.col("c.n").alias("n")).groupBy("id").agg(
+        F.max(F.when(F.col("own"), F.col("t") / (F.col("n") - 1))).alias("a"), F.min(F.when(~F.col("own"), F.col("t") / F.col("n"))).alias("b"))
+    return per.agg(F.avg(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))).alias("silhouette_sq"))
 
 
 # --- centroid-based indices -------------------------------------------------------
@@ -214,7 +206,7 @@ def calinski_harabasz(points: DataFrame) -> DataFrame:
     return points.sparkSession.createDataFrame([(val,)], "calinski_harabasz double")
 
 
-def quality_report(points: DataFrame, algorithm: str = "", block_size: int = 2048) -> DataFrame:
+def quality_report(points: DataFrame, algorithm: str = "", block_size: int | None = None) -> DataFrame:
     """Q07: the full metric row; index metrics NULL when <= 1 cluster."""
     spark: SparkSession = points.sparkSession
     counts = points.agg(F.count(F.lit(1)).alias("total"),
@@ -238,39 +230,7 @@ def quality_report(points: DataFrame, algorithm: str = "", block_size: int = 204
 
 # --- many labelings at once (model selection) ---------------------------------------
 
-def _many_fn(n_cands: int, kmax: int):
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = pdf[pdf["side"] == 0]
-        right = pdf[pdf["side"] == 1]
-        if left.empty or right.empty:
-            return pd.DataFrame({"id": [], "cand": [], "cluster": [], "other": [], "dsum": [], "cnt": []})
-        L = np.stack(left["v"].to_numpy()).astype(np.float64)
-        R = np.stack(right["v"].to_numpy()).astype(np.float64)
-        LL = np.stack(left["labs"].to_numpy()).astype(np.int64)
-        RL = np.stack(right["labs"].to_numpy()).astype(np.int64)
-        d2 = (L * L).sum(1)[:, None] + (R * R).sum(1)[None, :] - 2.0 * L @ R.T
-        D = np.sqrt(np.maximum(d2, 0.0))
-        out = []
-        ids = left["id"].to_numpy()
-        for m in range(n_cands):
-            rl = RL[:, m]
-            # label -1: the point is noise (or unlabelled) in this labelling
-            keep = LL[:, m] >= 0
-            onehot = (rl[:, None] == np.arange(kmax)[None, :]).astype(np.float64)
-            cnt = onehot.sum(0)
-            present = np.nonzero(cnt)[0]
-            sums = D[keep] @ onehot[:, present]
-            nl = int(keep.sum())
-            out.append(pd.DataFrame({
-                "id": np.repeat(ids[keep], len(present)), "cand": m,
-                "cluster": np.repeat(LL[keep, m], len(present)),
-                "other": np.tile(present, nl), "dsum": sums.reshape(-1),
-                "cnt": np.tile(cnt[present], nl).astype(np.int64)}))
-        return pd.concat(out, ignore_index=True)
-    return fn
-
-
-def silhouette_many(points: DataFrame, labels: DataFrame, block_size: int = 2048) -> DataFrame:
+def silhouette_many(points: DataFrame, labels: DataFrame, block_size: int | None = None) -> DataFrame:
     """Euclidean silhouette of many labelings in ONE blocked pass: the
     distances are shared, each labeling only changes the per-cluster
     reduction.  ``labels``: (id, cand, cluster) with cand = 0..m-1 and
@@ -278,30 +238,17 @@ def silhouette_many(points: DataFrame, labels: DataFrame, block_size: int = 2048
     point may be labelled by some candidates only).  Returns (cand,
     silhouette) with NULL where a labeling has < 2 clusters or a cluster
     with < 2 points."""
-    info = labels.groupBy("cand").agg(F.max("cluster").alias("mx")).collect()
-    n_cands = max(r["cand"] for r in info) + 1
-    kmax = max(r["mx"] for r in info) + 1
+    top = labels.agg(F.max("cand").alias("m"), F.max("cluster").alias("k")).first()
+    if top["m"] is None:
+        return points.sparkSession.createDataFrame([], "cand int, silhouette double")
+    n_cands, kmax = top["m"] + 1, top["k"] + 1
     # dense per-point label vector (bounded by the number of candidates), -1 = absent
     m = labels.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("cand", "cluster"))).alias("_m"))
     labs = m.select("id", F.transform(F.sequence(F.lit(0), F.lit(n_cands - 1)),
-                                      lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(-1))).alias("labs"))
-    p = points.select("id", "v").join(labs, "id")
-    n = p.count()
-    nb = max(1, math.ceil(n / block_size))
-    blk = F.pmod(F.xxhash64("id"), F.lit(nb))
-    others = F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))
-    left = p.select("id", "v", "labs", blk.alias("bi"), others.alias("bj"), F.lit(0).alias("side"))
-    right = p.select("id", "v", "labs", others.alias("bi"), blk.alias("bj"), F.lit(1).alias("side"))
-    sums = left.unionByName(right).groupBy("bi", "bj").applyInPandas(
-        _many_fn(n_cands, kmax), "id long, cand int, cluster long, other long, dsum double, cnt long")
-    s = sums.groupBy("id", "cand", "cluster", "other").agg(F.sum("dsum").alias("dsum"), F.sum("cnt").alias("cnt"))
-    own = F.col("other") == F.col("cluster")
-    per = s.groupBy("id", "cand", "cluster").agg(
-        F.max(F.when(own, F.col("dsum") / (F.col("cnt") - 1))).alias("a"),
-        F.max(F.when(own, F.col("cnt"))).alias("own"),
-        F.min(F.when(~own, F.col("dsum") / F.col("cnt"))).alias("b"))
-    sil = F.when(F.col("own") <= 1, F.lit(0.0)).otherwise(F.coalesce((F.col("b") - F.col("a")) / F.greatest("a", "b"), F.lit(0.0)))
-    val = per.groupBy("cand").agg(F.avg(sil).alias("silhouette"))
+                                      lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(-1)).cast("long")).alias("labs"))
+    p = cut_lineage(points.select("id", "v").join(labs, "id"))
+    sums = block_pairs(p, block_size).groupBy("bi", "bj").applyInPandas(_many_fn(n_cands, kmax), PAIR_SUMS)
+    val = _mean_silhouettes(sums, ["cand"]).groupBy("cand").agg(F.avg("s").alias("silhouette"))
     sizes = labels.groupBy("cand", "cluster").agg(F.count(F.lit(1)).alias("n")).groupBy("cand").agg(
         ((F.count(F.lit(1)) >= 2) & (F.min("n") >= 2)).alias("ok"))
     return sizes.join(val, "cand", "left").select("cand", F.when(F.col("ok"), F.col("silhouette")).alias("silhouette"))

@@ -54,51 +54,118 @@ def _union_find(n, pairs):
     return {i: min(g) for g in groups.values() for i in g}
 
 
-def test_components_random_graph_and_fallback(spark):
+def test_components_random_graph(spark):
     rng = np.random.RandomState(11)
     n = 300
     pairs = [(int(a), int(b)) for a, b in rng.randint(0, n, size=(260, 2))]
-    # a long chain in shuffled order as well (many propagation rounds)
-    chain = list(range(200, 300))
+    chain = list(range(200, 300))   # a long chain in shuffled order as well
     rng.shuffle(chain)
     pairs += list(zip(chain[:-1], chain[1:]))
-    exp = _union_find(n, pairs)
     v = spark.createDataFrame([(i,) for i in range(n)], "id long")
     e = spark.createDataFrame(pairs, "src long, dst long").repartition(7)
     got = {r["id"]: r["comp"] for r in D.connected_components(v, e).collect()}
-    assert got == exp
-    # the propagation stage alone (the fallback when contraction stalls)
-    prop = {r["id"]: r["comp"] for r in D._propagate(v, e).collect()}
-    assert prop == exp
-    # warm start from a finer partition (components of the first half of the edges)
-    fine = D.connected_components(v, spark.createDataFrame(pairs[:150], "src long, dst long"))
-    warm = {r["id"]: r["comp"] for r in D.connected_components(v, e, init=fine).collect()}
-    assert warm == exp
-
-
-def test_forest_weight_is_minimal(spark):
-    rng = np.random.RandomState(2)
-    n = 12
-    w = {(i, j): float(rng.uniform(1, 10)) for i in range(n) for j in range(i + 1, n)}
-    edges = spark.createDataFrame([(i, j, x) for (i, j), x in w.items()], "src long, dst long, weight double")
-    v = spark.createDataFrame([(i,) for i in range(n)], "id long")
-    f = D.minimum_spanning_forest(v, edges).collect()
-    # Prim on the driver for the expected weight
-    inside, total = {0}, 0.0
-    while len(inside) < n:
-        best = min((x, i, j) for (i, j), x in w.items() if (i in inside) != (j in inside))
-        total += best[0]
-        inside |= {best[1], best[2]}
-    assert len(f) == n - 1
-    assert sum(r["weight"] for r in f) == pytest.approx(total)
-
-
-def test_density_cluster_finds_blobs(pts):
+    assert got == _union_find(n, pairs)
+
+
+def _reach(X, m):
+    Dm = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
+    core = np.sort(Dm, axis=1)[:, m - 1]
+    return np.maximum(np.maximum(Dm, core[:, None]), core[None])
+
+
+def _prim(W):
+    n, inside, edges = len(W), [0], []
+    out = set(range(1, n))
+    while out:
+        w, a, b, j = min((W[i, j], min(i, j), max(i, j), j) for i in inside for j in out)
+        edges.append((w, a, b))
+        inside.append(j)
+        out.remove(j)
+    return edges
+
+
+def _hdbscan(X, size, m):
+    """The textbook way: single linkage over all points, condensed tree,
+    excess of mass; returns the set of clusters (as frozen sets)."""
+    n = len(X)
+    edges = sorted(_prim(_reach(X, m)))
+    members, at = {i: [i] for i in range(n)}, {i: i for i in range(n)}
+    kids, dist = {}, {}
+    for k, (w, i, j) in enumerate(edges):
+        a, b, new = at[i], at[j], n + k
+        members[new], kids[new], dist[new] = members[a] + members[b], (a, b), w
+        for x in members[new]:
+            at[x] = new
+    clusters = {}   # condensed: birth level, point -> leaving level, children
+
+    def walk(node, cid):
+        stack = [node]
+        while stack:
+            x = stack.pop()
+            if x not in kids:
+                continue
+            lam = 1 / dist[x]
+            big = [c for c in kids[x] if len(members[c]) >= size]
+            if len(big) == 2:
+                for c in big:
+                    new = len(clusters)
+                    clusters[new] = {"birth": lam, "points": {}, "kids": [], "all": members[c]}
+                    clusters[cid]["kids"].append(new)
+                    clusters[cid]["points"].update({p: lam for p in members[c]})
+                    walk(c, new)
+            else:
+                for c in kids[x]:
+                    if c in big:
+                        stack.append(c)
+                    else:
+                        clusters[cid]["points"].update({p: lam for p in members[c]})
+
+    clusters[0] = {"birth": 0.0, "points": {}, "kids": [], "all": list(range(n))}
+    walk(max(kids), 0)
+    best, chosen = {}, {}
+    for c in sorted(clusters, reverse=True):
+        mass = sum(lam - clusters[c]["birth"] for lam in clusters[c]["points"].values())
+        below = sum(best[k] for k in clusters[c]["kids"])
+        chosen[c] = c != 0 and not (clusters[c]["kids"] and below > mass)
+        best[c] = mass if chosen[c] else below
+    found, stack = set(), [0]
+    while stack:
+        c = stack.pop()
+        if chosen[c]:
+            found.add(frozenset(clusters[c]["all"]))
+        else:
+            stack += clusters[c]["kids"]
+    return found
+
+
+def _blobs(seed, n=90):
+    rng = np.random.RandomState(seed)
+    centers = rng.uniform(0, 12, size=(5, 2))
+    return np.vstack([rng.normal(centers[i % 5], 0.2 + 0.25 * (i % 5), size=(1, 2)) for i in range(n)] + [rng.uniform(-4, 16, size=(15, 2))])
+
+
+@pytest.mark.parametrize("seed,size,m", [(1, 5, 3), (2, 8, 5), (3, 10, 3)])
+def test_density_clusters_equal_the_textbook_algorithm(spark, seed, size, m):
+    X = _blobs(seed)
+    df = spark.createDataFrame([(i, [float(a), float(b)]) for i, (a, b) in enumerate(X)], "id long, v array<double>")
+    neigh = D.knn(df, m, True, block_size=40)
+    tree = D.minimum_spanning_tree(df, D.core_distances(neigh, m), block_size=40)
+    got = tree.collect()
+    assert len(got) == len(X) - 1
+    assert sum(r["weight"] for r in got) == pytest.approx(sum(w for w, _, _ in _prim(_reach(X, m))))
+    labels = {}
+    for r in D.eom_select(df, tree, size).collect():
+        labels.setdefault(r["cluster"], set()).add(r["id"])
+    assert {frozenset(v) for k, v in labels.items() if k != -1} == _hdbscan(X, size, m)
+
+
+def test_sweep_shares_one_neighbour_pass(pts):
     df, X = pts
-    lab = {r["id"]: r["cluster"] for r in D.density_cluster(df, 10, 4, levels=6, block_size=32).collect()}
-    a = {lab[i] for i in range(40)} - {-1}
-    b = {lab[i] for i in range(40, 80)} - {-1}
+    one, other = D.density_sweep(df, [(10, 4), (10, 3)], block_size=32)
+    lab = {r["id"]: r["cluster"] for r in one.collect()}
+    a, b = {lab[i] for i in range(40)} - {-1}, {lab[i] for i in range(40, 80)} - {-1}
     assert len(a) == 1 and len(b) == 1 and a != b
+    assert other.count() == len(X)
 
 
 def test_export_report(spark, tmp_path):
