@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cardprism.operators.preprocess import pca_fit, pca_project
 from cardprism.operators.profiles import fmt_fixed, fmt_grouped
 from cardprism.operators.quantiles import grouped_quantiles
 
@@ -33,6 +34,7 @@ DIGITAL_NATIVE_WALLET = 0.6     # digital_wallet_ratio above -> digital natives
 ACTIVE_TRANSACTIONS = 1000      # avg_transactions above -> active users
 KEY_OPPORTUNITIES = ["Digital transformation acceleration", "Premium customer retention",
                      "Cross-selling optimization", "Risk management enhancement"]
+EXPECTED_IMPACT = {"revenue_growth": "15-20%", "customer_retention": "+10%", "cross_sell_rate": "+25%"}
 # ---------------------------------------------------------------------------------
 
 
@@ -65,11 +67,13 @@ def insight_rules(stats: DataFrame) -> DataFrame:
 
 
 def insight_summary(insights: DataFrame) -> DataFrame:
-    """Number of segments and their business names in segment order."""
+    """Number of segments, their business names in segment order, key
+    opportunities and expected impact."""
     return insights.agg(F.count(F.lit(1)).alias("total_segments"),
                         F.transform(F.sort_array(F.collect_list(F.struct("segment", "business_name"))),
                                     lambda s: s["business_name"]).alias("segment_names"),
-                        F.array(*[F.lit(x) for x in KEY_OPPORTUNITIES]).alias("key_opportunities"))
+                        F.array(*[F.lit(x) for x in KEY_OPPORTUNITIES]).alias("key_opportunities"),
+                        *[F.lit(v).alias(k) for k, v in EXPECTED_IMPACT.items()])
 
 
 SUMMARY_COLS = ("segment", "segment_name", "size", "percentage", "avg_amount", "total_revenue", "avg_transactions",
@@ -148,12 +152,12 @@ HEATMAP_METRICS = ("avg_amount", "tx_count", "digital_wallet_ratio", "contactles
                    "payment_sophistication")
 
 
-def chart_heatmap(labelled: DataFrame, clusters, cluster_col: str = "cluster") -> DataFrame:
-    """Metric x cluster matrix of means (pivot on the given cluster ids)."""
+def chart_heatmap(labelled: DataFrame, cluster_col: str = "cluster") -> DataFrame:
+    """Metric x cluster matrix of means, a column for each cluster of the
+    data (``pivot`` reads the distinct ids of the k-row table of means)."""
     long = chart_means(labelled, cluster_col, HEATMAP_METRICS)
-    name = lambda c: "cluster_noise" if c == -1 else f"cluster_{c}"
-    piv = long.groupBy("metric").pivot("cluster", list(clusters)).agg(F.first("value"))
-    return piv.select("metric", *[F.col(str(c)).alias(name(c)) for c in clusters])
+    name = F.when(F.col("cluster") == -1, F.lit("cluster_noise")).otherwise(F.concat(F.lit("cluster_"), F.col("cluster").cast("string")))
+    return long.withColumn("name", name).groupBy("metric").pivot("name").agg(F.first("value"))
 
 
 def chart_hist(labelled: DataFrame, cluster_col: str = "cluster", col: str = "digital_wallet_ratio",
@@ -163,6 +167,24 @@ def chart_hist(labelled: DataFrame, cluster_col: str = "cluster", col: str = "di
     return labelled.groupBy(F.col(cluster_col).alias("cluster"), b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def fround_col(c: str, digits: int):
-    from cardprism.plans.registry import fround
-    return fround(c, digits).alias(c)
+def _matrix_columns(points: DataFrame) -> tuple[DataFrame, list[str]]:
+    d = points.select(F.max(F.size("v"))).first()[0] or 0
+    cols = [f"x{i}" for i in range(d)]
+    return points.select("id", *[F.col("v")[i].alias(c) for i, c in enumerate(cols)]), cols
+
+
+def chart_pca(points: DataFrame, labels: DataFrame, dims: int = 3) -> DataFrame:
+    """Scores of the clustering matrix ``points`` (id, v) on its first
+    ``dims`` principal components (the first two are the 2-D chart), with the
+    cluster of each point."""
+    wide, cols = _matrix_columns(points)
+    fit = pca_fit(wide, cols, min(dims, len(cols)))
+    return pca_project(wide, cols, fit, keep=("id",)).join(labels.select("id", "cluster"), "id")
+
+
+def chart_pca_variance(points: DataFrame, charts=(2, 3)) -> DataFrame:
+    """Explained and cumulative variance of each chart's components."""
+    wide, cols = _matrix_columns(points)
+    ratio = pca_fit(wide, cols, None)["all_ratio"]
+    rows = [(n, k, float(ratio[k]), float(ratio[:k + 1].sum())) for n in charts for k in range(min(n, len(cols)))]
+    return points.sparkSession.createDataFrame(rows, "dims int, component int, ratio double, cumulative double")

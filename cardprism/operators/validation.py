@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cardprism.config import EXPECTED_COLUMNS
+from cardprism.session import cut_lineage
 
 
 def missing_columns(spark: SparkSession, df: DataFrame, expected=EXPECTED_COLUMNS) -> DataFrame:
@@ -17,6 +18,15 @@ def missing_columns(spark: SparkSession, df: DataFrame, expected=EXPECTED_COLUMN
     return exp.join(act, "column_name", "left_anti")
 
 
+def column_report(df: DataFrame, expected=EXPECTED_COLUMNS) -> DataFrame:
+    """V01 over the data: per expected column whether the table has it, and how
+    many of its rows hold a value (0 if it is missing).  One scan."""
+    have = set(df.columns)
+    counts = df.agg(*[F.count(F.col(c) if c in have else F.lit(None)).alias(c) for c in expected])
+    rows = [F.struct(F.lit(c).alias("column_name"), F.lit(c in have).alias("present"), F.col(c).alias("n_values")) for c in expected]
+    return counts.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 def type_violations(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Timestamp must be a timestamp, amount must be numeric."""
     rows = []
@@ -73,18 +83,23 @@ def dictionary_categories(dictionary: DataFrame) -> DataFrame:
 
 
 def table_profile(df: DataFrame) -> DataFrame:
-    """Shape, type histogram, missing cells and duplicate rows in one
-    shuffle: group by all columns (NULLs compare equal, as in ``distinct``),
-    then rows = sum(count), distinct rows = number of groups and missing
-    cells = sum(nulls in the row x count)."""
+    """Shape, type histogram, missing cells and duplicate rows.  Rows are
+    counted by two 64-bit hashes, pre-aggregated, so 24 bytes a row travel and
+    not the row.  Only where a pair of hashes occurs twice are whole rows
+    compared: equal ones are duplicates, chance hits are not."""
     types = {}
     for f in df.schema.fields:
         types[f.dataType.simpleString()] = types.get(f.dataType.simpleString(), 0) + 1
-    nulls = sum((F.col(c).isNull().cast("long") for c in df.columns), F.lit(0).cast("long"))
-    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_c")).select((nulls * F.col("_c")).alias("_m"), "_c")
+    cols = [F.col(c) for c in df.columns]
+    nulls = sum((c.isNull().cast("long") for c in cols), F.lit(0).cast("long"))
+    marks = F.concat(*[F.when(c.isNull(), "0").otherwise("1") for c in cols])   # hashes skip nulls
+    hashed = df.withColumns({"_h": F.xxhash64(marks, *cols), "_g": F.xxhash64(F.lit(1), *reversed(cols), marks), "_m": nulls})
+    groups = hashed.groupBy("_h", "_g").agg(F.count(F.lit(1)).alias("_c"), F.sum("_m").alias("_m"))
+    groups = cut_lineage(groups)
+    total = groups.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("n"), F.count_if(F.col("_c") == 1).alias("single"), F.coalesce(F.sum("_m"), F.lit(0)).alias("m"))
+    again = hashed.join(groups.where("_c > 1").select("_h", "_g"), ["_h", "_g"], "left_semi").select(*df.columns)
+    distinct = again.groupBy(*df.columns).agg(F.lit(1).alias("_one")).agg(F.count(F.lit(1)).alias("d"))   # one row
     th = F.to_json(F.create_map(*[x for k, v in sorted(types.items()) for x in (F.lit(k), F.lit(v))]))
-    return groups.agg(F.coalesce(F.sum("_c"), F.lit(0)).cast("long").alias("n_rows"),
-                      F.count(F.lit(1)).alias("n_distinct"),
-                      F.coalesce(F.sum("_m"), F.lit(0)).cast("long").alias("missing_cells")).select(
-        "n_rows", F.lit(len(df.columns)).cast("long").alias("n_columns"), th.alias("type_histogram"),
-        "missing_cells", (F.col("n_rows") - F.col("n_distinct")).alias("duplicate_rows"))
+    return total.withColumn("_k", F.lit(1)).join(distinct.withColumn("_k", F.lit(1)), "_k").select(
+        F.col("n").cast("long").alias("n_rows"), F.lit(len(df.columns)).cast("long").alias("n_columns"), th.alias("type_histogram"),
+        F.col("m").cast("long").alias("missing_cells"), (F.col("n") - F.col("single") - F.col("d")).cast("long").alias("duplicate_rows"))

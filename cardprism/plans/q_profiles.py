@@ -9,7 +9,7 @@ from cardprism.operators import profiles as PR
 from cardprism.operators import reports as RP
 from cardprism.plans.q_features import features_of
 from cardprism.plans.q_quality import ARCHETYPE_SQL, archetype
-from cardprism.plans.registry import MONEY, register, round_doubles
+from cardprism.plans.registry import MONEY, register, round_by_metric, round_doubles
 from cardprism.plans.sqlgen import features_ctes, rc, rnd
 
 
@@ -71,25 +71,24 @@ for _key, _cols in (("seg_metrics", PR.METRIC_COLS), ("seg_behaviour", PR.BEHAVI
     register(_key, f"{PROF} select cluster, {sel(_cols)} from prof")(_prof_query(_cols))
 
 
-def _name_case() -> str:
-    parts = []
-    for cl, _pr, amt, dmin, dmax, tx, soph, name in PR.NAME_RULES:
-        conds = [f"cluster = {cl}"]
-        if amt is not None:
-            conds.append(f"avg_amount > {amt}")
-        if dmin is not None:
-            conds.append(f"digital_wallet_usage > {dmin}")
-        if dmax is not None:
-            conds.append(f"digital_wallet_usage < {dmax}")
-        if tx is not None:
-            conds.append(f"avg_transactions > {tx}")
-        if soph is not None:
-            conds.append(f"payment_sophistication > {soph}")
-        parts.append(f"when {' and '.join(conds)} then {_sql_str(name)}")
-    return "case " + " ".join(parts) + " else 'Cluster ' || cluster::varchar end"
-
-
-NAME_SQL = _name_case()
+# literal thresholds and texts: the twin does not read the operator's tables
+NAME_SQL = """case
+  when cluster = 0 and avg_amount > 20000 and digital_wallet_usage > 0.7 then 'Segment 0: large tickets, wallet users'
+  when cluster = 0 and digital_wallet_usage > 0.6 then 'Segment 0: wallet users'
+  when cluster = 1 and digital_wallet_usage > 0.5 and avg_transactions > 8000 then 'Segment 1: wallet users, many payments'
+  when cluster = 1 and avg_transactions > 5000 then 'Segment 1: many payments'
+  when cluster = 2 and avg_amount > 25000 and payment_sophistication > 3.5 then 'Segment 2: large tickets, varied payments'
+  when cluster = 2 and avg_amount > 20000 then 'Segment 2: large tickets'
+  when cluster = 3 and digital_wallet_usage < 0.05 and avg_transactions > 1500 then 'Segment 3: few wallets, many payments'
+  when cluster = 3 and digital_wallet_usage < 0.1 then 'Segment 3: few wallets'
+  when cluster = 4 and avg_amount > 30000 and digital_wallet_usage > 0.5 then 'Segment 4: large tickets, wallet users'
+  when cluster = 4 and avg_amount > 25000 then 'Segment 4: large tickets'
+  when cluster = 5 and digital_wallet_usage > 0.55 and avg_transactions > 8000 then 'Segment 5: wallet users, many payments'
+  when cluster = 5 and avg_transactions > 5000 then 'Segment 5: many payments'
+  when cluster = 6 and digital_wallet_usage > 0.7 and avg_transactions > 15000 then 'Segment 6: wallet users, many payments'
+  when cluster = 6 and digital_wallet_usage > 0.7 then 'Segment 6: wallet users'
+  when cluster between 0 and 6 then 'Segment ' || cluster::varchar || ': all others'
+  else 'Cluster ' || cluster::varchar end"""
 register("seg_name", f"{PROF} select cluster, {NAME_SQL} as segment_name from prof")(
     lambda spark, sf: PR.name_segments(profiles(spark, sf)))
 
@@ -115,34 +114,65 @@ register("seg_description", f"{PROF} select cluster, {_desc_case()} as descripti
 
 _RANK_UNION = " union all ".join(
     f"select '{m}' as metric, cluster, {src}::double as value from prof" for m, src in PR.RANK_METRICS)
+_MONEY_KEYS = ("revenue", "highest_value", "most_profitable")
+
+
+def _by_key(key):
+    return f"case when {key} in {_MONEY_KEYS} then {rnd('value', 2)} else {rnd('value')} end as value"
+
+
 register("seg_rankings", f"""{PROF}, l as ({_RANK_UNION})
-select metric, row_number() over (partition by metric order by value desc, cluster) as rank, cluster, {rnd('value', 2)} as value from l""")(
-    lambda spark, sf: round_doubles(PR.rank_segments(profiles(spark, sf))))
+select metric, row_number() over (partition by metric order by value desc, cluster) as rank, cluster, {_by_key('metric')} from l""")(
+    lambda spark, sf: round_by_metric(PR.rank_segments(profiles(spark, sf)), "metric", _MONEY_KEYS))
 
 _LEAD_UNION = " union all ".join(
     f"select '{m}' as key, cluster, {src}::double as value from prof" for m, src in PR.LEADER_METRICS)
 register("seg_leaders", f"""{PROF}, l as ({_LEAD_UNION}),
 r as (select *, row_number() over (partition by key order by value desc, cluster) as rn from l)
-select key, cluster, {rnd('value', 2)} as value from r where rn = 1""")(
-    lambda spark, sf: round_doubles(PR.segment_leaders(profiles(spark, sf))))
+select key, cluster, {_by_key('key')} from r where rn = 1""")(
+    lambda spark, sf: round_by_metric(PR.segment_leaders(profiles(spark, sf)), "key", _MONEY_KEYS))
 
-register("seg_payload")(lambda spark, sf: (lambda p: PR.segment_payload(p, PR.name_segments(p)))(profiles(spark, sf)))
+PAYLOAD = ("segment_name string, size long, percentage double, avg_amount double, avg_transactions double, digital_wallet_usage double, "
+           "contactless_usage double, international_usage double, city_diversity double, clv double, payment_sophistication double")
+_PAYLOAD_DIGITS = (("percentage", 1), ("avg_amount", 0), ("avg_transactions", 0), ("digital_wallet_usage", 3), ("contactless_usage", 3),
+                   ("international_usage", 3), ("city_diversity", 1), ("clv", 0), ("payment_sophistication", 2))
+
+
+def _payload(spark, sf):
+    """The payload documents, read back."""
+    p = profiles(spark, sf)
+    docs = PR.segment_payload(p, PR.name_segments(p))
+    return round_doubles(docs.select("key", F.from_json("payload", PAYLOAD).alias("p")).select("key", "p.*"))
+
+
+register("seg_payload", f"""{PROF}, n as (select *, {NAME_SQL} as segment_name from prof)
+select 'cluster_' || cluster::varchar as key, segment_name, size::bigint as size,
+  {', '.join(rc(c, f'round({c}, {d})') for c, d in _PAYLOAD_DIGITS)} from n""")(_payload)
 
 PRIORITY_SQL = ("case when clv > 400000 then 'High' when clv > 200000 then 'Medium' else 'Standard' end as priority, "
                 "case when avg_amount > 25000 then 'Premium' else 'Standard' end as investment_level")
 register("seg_priority", f"{PROF} select cluster, {PRIORITY_SQL} from prof")(
     lambda spark, sf: PR.priority_levels(profiles(spark, sf)))
 
-_REC_CASE = "case " + " ".join(f"when cluster = {k} then {_sql_list(v)}" for k, v in PR.RECOMMENDATIONS.items()) + \
-            " else []::varchar[] end"
+_REC_CASE = """case when cluster between 0 and 6 then [
+  case when digital_wallet_usage > 0.6 then 'Put new card functions into the phone wallet first'
+       when digital_wallet_usage > 0.3 then 'Reward the second and third wallet payment of a month' else 'Show how to add the card to a phone wallet' end,
+  case when clv > 400000 then 'Assign a named adviser' when clv > 200000 then 'Offer a fee-free upgrade of the card'
+       else 'Keep the standard card, without added fees' end,
+  case when international_usage > 0.1 then 'Drop the currency surcharge' when international_usage > 0.05 then 'Announce travel cover before holidays'
+       else 'Leave foreign payments switched off unless asked for' end,
+  case when weekend_activity > 0.3 then 'Time offers for Friday evening' else 'Time offers for working days' end,
+  case when amount_volatility > 1.0 then 'Send an alert for unusually large payments' else 'Propose a standing monthly saving' end]
+  else []::varchar[] end"""
 register("seg_recommend", f"""{PROF} select cluster, {NAME_SQL} as segment_name, {_REC_CASE} as recommendations,
   {PRIORITY_SQL} from prof""")(
     lambda spark, sf: (lambda p: PR.recommend(p, PR.name_segments(p)))(profiles(spark, sf)))
 
-_FC = ("growth_potential", "digital_adoption_forecast", "revenue_forecast", "churn_risk", "recommended_focus")
-_FC_SQL = ", ".join(
-    "case " + " ".join(f"when cluster = {row[0]} then {_sql_str(row[i + 1])}" for row in PR.FORECASTS) + f" end as {c}"
-    for i, c in enumerate(_FC))
+_FC_SQL = """case when cluster between 0 and 6 then case when tx_frequency > 1.0 then 'large' when tx_frequency > 0.1 then 'some' else 'little' end end as growth_potential,
+  case when cluster between 0 and 6 then case when digital_wallet_usage > 0.6 then 'nearly complete' when digital_wallet_usage > 0.3 then 'under way' else 'still to come' end end as digital_adoption_forecast,
+  case when cluster between 0 and 6 then case when clv > 400000 then 'above the portfolio' when clv > 200000 then 'with the portfolio' else 'below the portfolio' end end as revenue_forecast,
+  case when cluster between 0 and 6 then case when activity_consistency > 0.5 then 'small' when activity_consistency > 0 then 'moderate' else 'considerable' end end as churn_risk,
+  case when cluster between 0 and 6 then case when payment_sophistication > 1.0 then 'new products' when payment_sophistication > 0.6 then 'more ways to pay' else 'first steps' end end as recommended_focus"""
 register("seg_forecast", f"{PROF} select cluster, {_FC_SQL} from prof")(
     lambda spark, sf: PR.forecast(profiles(spark, sf)))
 
@@ -165,18 +195,23 @@ register("seg_profile", f"""{PROF} select {sel(_BUNDLE_COLS)}, {NAME_SQL} as seg
     lambda spark, sf: round_doubles(PR.segment_bundle(labelled(spark, sf))))
 
 
-def _responses(spark, sf):
-    """Responses as a report service returns them (fenced JSON keyed
-    cluster_N), built from the data-derived payloads and recommendations."""
+def _parsed(spark, sf):
+    """A response as a report service returns it (fenced JSON keyed cluster_N,
+    with names of its own and without investment levels), and one that is no
+    JSON: that one falls back on the rules.  Names come from the profile."""
     p = profiles(spark, sf)
-    rec = PR.recommend(p, PR.name_segments(p))
-    obj = rec.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(
+    rules = PR.recommend(p, PR.name_segments(p))
+    body = rules.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(
         F.concat(F.lit("cluster_"), F.col("cluster").cast("string")),
-        F.struct("segment_name", "recommendations", "priority"))))).alias("j"))
-    return obj.select(F.concat(F.lit("```json\n"), F.col("j"), F.lit("\n```")).alias("response"))
+        F.struct(F.lit("a name of the service's own").alias("segment_name"), "recommendations", "priority"))))).alias("j"))
+    good = body.select(F.concat(F.lit("```json\n"), F.col("j"), F.lit("\n```")).alias("response"))
+    bad = body.select(F.concat(F.lit("I cannot answer in JSON: "), F.length("j").cast("string")).alias("response"))
+    return PR.parse_responses(good.unionByName(bad), rules)
 
 
-register("parse_responses")(lambda spark, sf: PR.parse_responses(_responses(spark, sf)))
+register("parse_responses", f"""{PROF}, rules as (select cluster, {NAME_SQL} as segment_name, {_REC_CASE} as recommendations, {PRIORITY_SQL} from prof)
+select cluster, segment_name, recommendations, priority, 'Standard' as investment_level, false as parse_error from rules
+union all select cluster, segment_name, recommendations, priority, investment_level, true from rules""")(_parsed)
 
 # --- Reports -----------------------------------------------------------------------
 
@@ -216,7 +251,7 @@ ins2 as (select segment, segment_name, {_rule_col(1)} as business_name, {_rule_c
 register("insight_rules", f"{INS} select * from ins2")(
     lambda spark, sf: RP.insight_rules(RP.segment_stats(seg_lab(spark, sf))))
 register("insight_summary", f"""{INS} select count(*) as total_segments, list(business_name order by segment) as segment_names,
-  {_sql_list(RP.KEY_OPPORTUNITIES)} as key_opportunities from ins2""")(
+  {_sql_list(RP.KEY_OPPORTUNITIES)} as key_opportunities, {", ".join(f"{_sql_str(v)} as {k}" for k, v in RP.EXPECTED_IMPACT.items())} from ins2""")(
     lambda spark, sf: RP.insight_summary(RP.insight_rules(RP.segment_stats(seg_lab(spark, sf)))))
 
 
@@ -241,9 +276,9 @@ register("chart_overview", f"""{LAB} select cluster, count(*)::bigint as size, {
 from lab group by cluster""")(lambda spark, sf: round_doubles(RP.chart_overview(labelled(spark, sf))))
 
 _MEANS_UNION = " union all ".join(
-    f"select cluster, '{m}' as metric, avg({m}::double) as value from lab group by cluster" for m in RP.CHART_METRICS)
-register("chart_means", f"{LAB}, l as ({_MEANS_UNION}) select cluster, metric, {rnd('value', 2)} as value from l")(
-    lambda spark, sf: round_doubles(RP.chart_means(labelled(spark, sf))))
+    f"select cluster, '{m}' as metric, {rnd(f'avg({m}::double)', 2 if m in MONEY else 6)} as value from lab group by cluster" for m in RP.CHART_METRICS)
+register("chart_means", f"{LAB} {_MEANS_UNION}")(
+    lambda spark, sf: round_by_metric(RP.chart_means(labelled(spark, sf)), "metric"))
 
 _BOX_UNION = " union all ".join(f"select cluster, '{m}' as metric, {m}::double as x from lab" for m in ("avg_amount", "tx_count"))
 register("chart_box", f"""{LAB}, l as ({_BOX_UNION}),
@@ -257,14 +292,20 @@ select q2.cluster, q2.metric, {rnd('q1', 2)} as q1, {rnd('median')} as median, {
 from q2 join l using (cluster, metric) group by all""")(
     lambda spark, sf: round_doubles(RP.chart_box(labelled(spark, sf))))
 
-_CL = (-1, 0, 1, 2, 3)
 _HM_UNION = " union all ".join(
-    f"select '{m}' as metric, " + ", ".join(
-        f"{rnd(f'avg(case when cluster = {c} then {m}::double end)', 2)} as {'cluster_noise' if c == -1 else f'cluster_{c}'}"
-        for c in _CL) + " from lab" for m in RP.HEATMAP_METRICS)
-register("chart_heatmap", f"{LAB} {_HM_UNION}")(
-    lambda spark, sf: (lambda df: df.select("metric", *[RP.fround_col(c, 2) for c in df.columns[1:]]))(
-        RP.chart_heatmap(labelled(spark, sf), _CL)))
+    f"select '{m}' as metric, cluster, {rnd(f'avg({m}::double)', 2 if m in MONEY else 6)} as value from lab group by cluster" for m in RP.HEATMAP_METRICS)
+
+
+def _heatmap(spark, sf):
+    """The matrix in long form; its columns are the clusters of the data."""
+    wide = RP.chart_heatmap(labelled(spark, sf))
+    ids = [c for c in wide.columns if c != "metric"]
+    long = wide.unpivot(["metric"], ids, "name", "value")
+    cluster = F.when(F.col("name") == "cluster_noise", F.lit(-1)).otherwise(F.regexp_extract("name", r"(\d+)$", 1).try_cast("int"))
+    return round_by_metric(long.select("metric", cluster.alias("cluster"), "value"), "metric")
+
+
+register("chart_heatmap", f"{LAB} {_HM_UNION}")(_heatmap)
 
 register("chart_hist", f"""{LAB} select cluster, least(floor(digital_wallet_ratio * 10), 9)::int as bin, count(*) as n
 from lab group by all""")(lambda spark, sf: RP.chart_hist(labelled(spark, sf)))

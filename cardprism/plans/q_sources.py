@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cardprism.config import EXPECTED_COLUMNS
-from cardprism.operators.validation import feature_quality, missing_columns, null_keys, table_profile
+from cardprism.operators.features import attach_labels
+from cardprism.operators.quality import drop_noise
+from cardprism.operators.validation import column_report, feature_quality, null_keys, table_profile
 from cardprism.plans.q_features import _inject, features_of
-from cardprism.plans.registry import register, round_doubles
+from cardprism.plans.q_quality import ARCHETYPE_SQL, archetype
+from cardprism.plans.registry import register, round_doubles, table
 from cardprism.plans.sqlgen import features_ctes, rc, tx_cte
 from cardprism.sources.adapters import events_transactions, orders_transactions
 from cardprism.sources.readers import load_stats, load_transactions, seeded_sample
@@ -37,6 +39,7 @@ def _roundtrip(fmt, ext):
 
 _TX_EVENTS = f"with {tx_cte('events')} select {TX_COLS.replace('transaction_amount_kzt', rc('transaction_amount_kzt'))} from tx"
 register("scan_csv", _TX_EVENTS)(_roundtrip("csv", ".csv"))
+register("sink_csv", _TX_EVENTS)(_roundtrip("csv", ".csv"))
 register("sink_roundtrip", _TX_EVENTS)(_roundtrip("parquet", ".parquet"))
 register("sink_json", _TX_EVENTS)(_roundtrip("json", ".json"))
 
@@ -49,9 +52,12 @@ order by ((cast(transaction_id as bigint) % 2147483647) * 48271 + 42) % 21474836
     lambda spark, sf: seeded_sample(events_transactions(spark, sf).withColumn("_id", F.col("transaction_id").cast("long")),
                                     1000, "_id", 42).select("transaction_id", "card_id", "transaction_type"))
 
-_KEPT = [c for c in EXPECTED_COLUMNS if c not in ("expiry_date", "merchant_id", "original_amount")]
-register("schema_missing", "select column_name from (values ('expiry_date'), ('merchant_id'), ('original_amount')) t(column_name)")(
-    lambda spark, sf: missing_columns(spark, events_transactions(spark, sf).select(*_KEPT)))
+# V01 on the raw table: what it has of the expected columns, and in how many rows
+_ASKED = ("event_id", "ts", "user_id", "value", "card_id", "merchant_mcc")
+register("schema_missing", " union all ".join(
+    f"select '{c}' as column_name, true as present, count({c}) as n_values from events" if c in ("event_id", "ts", "user_id", "value")
+    else f"select '{c}', false, 0::bigint" for c in _ASKED))(
+    lambda spark, sf: column_report(table(spark, sf, "events"), _ASKED))
 
 register("null_keys", f"""with {tx_cte('orders')}
 select count(*) as n_rows, count(*) filter (where card_id is null) as null_keys from tx""")(
@@ -83,3 +89,15 @@ select sum(c)::bigint as n_rows, 12::bigint as n_columns,
   (sum(c) - count(*))::bigint as duplicate_rows
 from g""")(
     lambda spark, sf: table_profile(_tx_cols(orders_transactions(spark, sf))))
+
+
+# Labels attached by key, noise dropped
+
+def _labels(spark, sf):
+    return features_of(spark, sf, "events").select("card_id", archetype().alias("cluster"))
+
+
+register("attach_labels", f"""with {features_ctes('events')} select card_id, tx_count, {rc('total_amount')}, {ARCHETYPE_SQL} as cluster from features""")(
+    lambda spark, sf: round_doubles(attach_labels(features_of(spark, sf, "events"), _labels(spark, sf)).select("card_id", "tx_count", "total_amount", "cluster")))
+register("noise_filter", f"""with {features_ctes('events')} select card_id, {ARCHETYPE_SQL} as cluster from features where {ARCHETYPE_SQL} <> -1""")(
+    lambda spark, sf: drop_noise(_labels(spark, sf)))

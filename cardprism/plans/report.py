@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from cardprism.config import SegmentationConfig
 from cardprism.operators import reports as RP
+from cardprism.operators.features import attach_labels
 from cardprism.operators.quality import quality_report
 from cardprism.sources.sinks import save_documents, save_table
 
@@ -27,7 +28,7 @@ def export_report(features: DataFrame, labels: DataFrame, points: DataFrame, run
                   path: str, cfg: SegmentationConfig = SegmentationConfig(), algorithm: str = "") -> dict:
     """``labels``: (card_id, cluster); ``points``: (id, v) clustering matrix."""
     base = path.rstrip("/")
-    seg = features.join(labels.withColumnRenamed("cluster", "segment"), "card_id")
+    seg = attach_labels(features, labels.withColumnRenamed("cluster", "segment"), "segment")
     out = {}
     out["segments"] = save_table(seg, f"{base}/segments", "parquet")
     out["segments_csv"] = save_table(seg, f"{base}/segments_csv", "csv")

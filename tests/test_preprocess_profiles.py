@@ -49,23 +49,71 @@ def test_profile_rules(spark):
     rows = []
     for cid, amt, dig, tx, clv in [(-1, 1000, 0.1, 10, 1000), (0, 25000, 0.8, 10, 500000), (1, 100, 0.6, 9000, 300000),
                                    (3, 100, 0.04, 2000, 10), (7, 100, 0.5, 10, 100)]:
-        rows.append((cid, float(amt), dig, float(tx), 0.5, float(clv)))
-    p = spark.createDataFrame(rows, "cluster int, avg_amount double, digital_wallet_usage double, avg_transactions double, "
-                                    "payment_sophistication double, clv double")
+        rows.append((cid, float(amt), dig, float(tx), 0.5, float(clv), 0.2, 0.6, 0.07, 0.31, 1.5))
+    p = spark.createDataFrame(rows, "cluster int, avg_amount double, digital_wallet_usage double, avg_transactions double, payment_sophistication double, "
+                                    "clv double, tx_frequency double, activity_consistency double, international_usage double, weekend_activity double, amount_volatility double")
     names = {r["cluster"]: r["segment_name"] for r in PR.name_segments(p).collect()}
-    assert names[0] == "Digital Premium Clients"
-    assert names[1] == "Hyperactive Digital Clients"
-    assert names[3] == "Traditionalists with Moderate Activity"
+    assert names[0] == "Segment 0: large tickets, wallet users"
+    assert names[1] == "Segment 1: wallet users, many payments"
+    assert names[3] == "Segment 3: few wallets, many payments"
     assert names[7] == "Cluster 7" and names[-1] == "Cluster -1"
     pr = {r["cluster"]: (r["priority"], r["investment_level"]) for r in PR.priority_levels(p).collect()}
     assert pr[0] == ("High", "Standard") and pr[1] == ("Medium", "Standard") and pr[3] == ("Standard", "Standard")
-    fc = {r["cluster"]: r["growth_potential"] for r in PR.forecast(p).collect()}
-    assert fc[7] is None and fc[-1] is None and fc[0] is not None
+    fc = {r["cluster"]: tuple(r)[1:] for r in PR.forecast(p).collect()}
+    assert set(fc[7]) == set(fc[-1]) == {None}
+    assert fc[0] == ("some", "nearly complete", "above the portfolio", "small", "first steps")
+    rec = {r["cluster"]: r for r in PR.recommend(p, PR.name_segments(p)).collect()}
+    assert rec[7]["recommendations"] == [] and len(rec[3]["recommendations"]) == 5
+    assert rec[0]["recommendations"][1] == "Assign a named adviser" and rec[0]["recommendations"][2] == "Announce travel cover before holidays"
+    bad = spark.createDataFrame([("no json",), ('```json\n{"cluster_1": {"segment_name": "x", "recommendations": ["a"], "priority": "High"}}\n```',), (None,)], "response string")
+    plain = PR.parse_responses(bad).collect()
+    assert sorted((r["cluster"] or -9, r["parse_error"]) for r in plain) == [(-9, True), (-9, True), (1, False)]
+    full = PR.parse_responses(bad, PR.recommend(p, PR.name_segments(p))).collect()
+    assert len(full) == 1 + 2 * 5
+    assert [r["segment_name"] for r in full if not r["parse_error"]] == ["Segment 1: wallet users, many payments"]
     p2 = p.withColumn("size", p.cluster * 0 + 5)
     ranks = [r["cluster"] for r in PR.rank_segments(p2).where("metric = 'size'").orderBy("rank").collect()]
     assert ranks == [-1, 0, 1, 3, 7]                                # ties keep cluster order
 
 
+def test_failing_power_transform_raises_or_is_skipped(spark, monkeypatch):
+    from cardprism.config import SegmentationConfig
+    rng = np.random.RandomState(1)
+    df = spark.createDataFrame([(i, *map(float, rng.normal(size=3))) for i in range(60)], "card_id int, a double, b double, c double")
+
+    def broken(*_, **__):
+        raise ArithmeticError("no lambda")
+    monkeypatch.setattr(PP, "yj_fit", broken)
+    with pytest.raises(ArithmeticError):
+        PP.fit_preprocess(df, SegmentationConfig(), cols=["a", "b", "c"])
+    model = PP.fit_preprocess(df, SegmentationConfig(power_on_error="skip"), cols=["a", "b", "c"])
+    assert model.lambdas is None and model.transform(df).count() == 60
+
+
+def test_statistics_do_not_depend_on_partitions(spark):
+    rng = np.random.RandomState(2)
+    X = rng.lognormal(size=(500, 3)) + 1e6
+    df = spark.createDataFrame([tuple(map(float, x)) for x in X], "a double, b double, c double")
+    for n in (1, 7):
+        mean, cov, k = PP.covariance(df.repartition(n), ["a", "b", "c"])
+        assert k == 500 and mean == pytest.approx(X.mean(0)) and cov == pytest.approx(np.cov(X.T), rel=1e-6)
+    assert np.isnan(PP.covariance(df.where("false"), ["a", "b"])[1]).all()
+
+
+def test_type_and_column_reports(spark):
+    from cardprism.operators.validation import column_report, table_profile, type_violations
+    bad = spark.createDataFrame([("2020", "x")], "transaction_timestamp string, transaction_amount_kzt string")
+    assert {r["column_name"] for r in type_violations(spark, bad).collect()} == {"transaction_timestamp", "transaction_amount_kzt"}
+    good = spark.sql("select timestamp'2020-01-01' as transaction_timestamp, 1.5D as transaction_amount_kzt")
+    assert type_violations(spark, good).count() == 0
+    df = spark.createDataFrame([(1, None, "a"), (1, None, "a"), (None, 1, "a"), (1, 2, None)], "x int, y int, z string")
+    got = {r["column_name"]: (r["present"], r["n_values"]) for r in column_report(df, ("x", "y", "nope")).collect()}
+    assert got == {"x": (True, 3), "y": (True, 2), "nope": (False, 0)}
+    r = table_profile(df).first()
+    assert (r["n_rows"], r["n_columns"], r["missing_cells"], r["duplicate_rows"]) == (4, 3, 4, 1)
+    assert table_profile(df.where("false")).first()["n_rows"] == 0
+
+
 def test_sources(spark, tmp_path):
     with pytest.raises(ValueError):
         detect_format("x.xlsx")
