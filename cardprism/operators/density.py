@@ -83,20 +83,25 @@ def mutual_reachability(neigh: DataFrame, core: DataFrame) -> DataFrame:
 
 # --- components --------------------------------------------------------------------
 
-def _roots(picks: DataFrame) -> DataFrame:
+def _roots(picks: DataFrame, jumps: int = 3) -> DataFrame:
     """(comp, to): where following each component's pick ends.  Picks form
     trees whose root is a pair that picked each other; the smaller of the pair
-    stands for the tree.  Pointer jumping: log(depth) rounds."""
+    stands for the tree.  Pointer jumping, ``jumps`` doublings between two
+    written tables, until the last of them moves nothing."""
     back = picks.select(F.col("comp").alias("to"), F.col("to").alias("back"))
     root = (F.col("back") == F.col("comp")) & (F.col("comp") < F.col("to"))
-    now = cut_lineage(picks.join(back, "to").select("comp", F.when(root, F.col("comp")).otherwise(F.col("to")).alias("to")))
+    now, old = picks.join(back, "to").select("comp", F.when(root, F.col("comp")).otherwise(F.col("to")).alias("to")), None
     while True:
-        hop = now.select(F.col("comp").alias("to"), F.col("to").alias("next"))
-        new = cut_lineage(now.join(hop, "to").select("comp", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")))
-        release(now)
+        new = now
+        for _ in range(jumps):
+            hop = new.select(F.col("comp").alias("to"), F.col("to").alias("next"))
+            new = new.select("comp", "to").join(hop, "to").select("comp", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved"))
+        new = cut_lineage(new)
+        if old is not None:
+            release(old)
         if not new.agg(F.max("moved")).first()[0]:
             return new.select("comp", "to")
-        now = new.select("comp", "to")
+        now, old = new.select("comp", "to"), new
 
 
 def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -108,7 +113,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     now = cut_lineage(both.where("src <> dst").distinct())
     lab = cut_lineage(vertices.select("id", F.col("id").alias("comp")))
     while not now.isEmpty():
-        to = _roots(now.groupBy("src").agg(F.min("dst").alias("to")).withColumnRenamed("src", "comp"))
+        to = _roots(cut_lineage(now.groupBy("src").agg(F.min("dst").alias("to")).withColumnRenamed("src", "comp")))
         old = lab, now
         lab = cut_lineage(lab.join(to, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")))
         ends = now.join(to.toDF("src", "a"), "src").join(to.toDF("dst", "b"), "dst")
@@ -178,11 +183,11 @@ def minimum_spanning_tree(points: DataFrame, core: DataFrame, block_size: int |
         pairs = block_pairs(p.join(lab, "id"), block_size).groupBy("bi", "bj")
         light = pairs.applyInPandas(_lightest_fn, "comp long, weight double, src long, dst long")
         pick = light.groupBy("comp").agg(F.min(F.struct("weight", "src", "dst")).alias("e")).select("comp", "e.*")
-        pick = cut_lineage(pick)
+        pick = cut_lineage(pick)   # a row per component
         parts.append(pick.select("src", "dst", "weight").distinct())
         at = lab.select(F.col("id"), F.col("comp").alias("c"))
         ends = pick.join(at.toDF("src", "a"), "src").join(at.toDF("dst", "b"), "dst")
-        merged = _roots(ends.select("comp", F.when(F.col("a") == F.col("comp"), F.col("b")).otherwise(F.col("a")).alias("to")))
+        merged = _roots(cut_lineage(ends.select("comp", F.when(F.col("a") == F.col("comp"), F.col("b")).otherwise(F.col("a")).alias("to"))))
         lab = cut_lineage(lab.join(merged, "comp").select("id", F.col("to").alias("comp")))
     p.unpersist()
     if not parts:
