@@ -9,7 +9,8 @@ source characters it stands for:
   Cyrillic and Greek letters that look Latin, odd dashes, dots and spaces;
   invisible characters vanish,
 * at/dot disguises: ``name (at) host [dot] org``, ``name at host dot org``,
-* spelled digits: a run of at least ``MIN_DIGITS`` number words and digits.
+* spelled digits: a run of at least ``MIN_DIGITS`` number words and digits, or
+  of at least ``MIN_IP`` with three ``dot`` or point joints between them.
 
 The same detectors read the result, and what they find is mapped back to
 source positions.  Every base span stays; a span found only after rewriting is
@@ -32,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 KINDS = ("email", "ip", "card", "phone")
-MIN_DIGITS = 7
+MIN_DIGITS, MIN_IP = 7, 4
 
 # The contract's patterns.
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -49,9 +50,12 @@ _LOOKALIKE = dict(zip(
 _DASHES = frozenset("‐‑‒–—―−﹘﹣－")
 _DOTS = frozenset("․。．｡﹒")
 _INVISIBLE = frozenset("­​‌‍⁠﻿᠎")
+_DOT_WORDS = "dot|punkt|point|punto"
 _AT_DOT = re.compile(
     r"(?P<at>\s*+[\[({<]\s*+at\s*+[\])}>]\s*+|\s++at\s++(?=[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+(?:\s*+[\[({<]\s*+dot\s*+[\])}>]|\s++dot\s++|\.[A-Za-z])))"
-    r"|(?P<dot>\s*+[\[({<]\s*+(?:dot|punkt|point|punto)\s*+[\])}>]\s*+|\s++dot\s++)", re.I)
+    r"|(?P<dot>\s*+[\[({<]\s*+(?:" + _DOT_WORDS + r")\s*+[\])}>]\s*+|\s++dot\s++)", re.I)
+#: What every match of ``_AT_DOT`` holds, quick to look for.
+_AT_DOT_HINT = re.compile(rf"\s(?:at|dot)\s|(?:at|{_DOT_WORDS})\s*+[\])}}>]", re.I)
 # The digits' names in the corpus's languages.
 _SPELLED = {w: str(d) for d, names in enumerate((
     "zero oh null zéro cero", "one eins un uno", "two zwei zwo deux dos", "three drei trois tres",
@@ -59,6 +63,7 @@ _SPELLED = {w: str(d) for d, names in enumerate((
     "eight acht huit ocho", "nine neun neuf nueve")) for w in names.split()}
 _NUMBER = "|".join(sorted(_SPELLED, key=len, reverse=True))
 _DIGIT_RUN = re.compile(rf"(?:\bplus[\s-]++|\+\s?)?\b(?:{_NUMBER}|[0-9])(?:[\s.-]{{0,2}}(?:\bdot\b\s?)?\b(?:{_NUMBER}|[0-9]))+\b", re.I)
+_JOINT = re.compile(r"\bdot\b|\.(?=\w)", re.I)
 _DIGIT_ATOM = re.compile(rf"\bplus\b|{_NUMBER}|[0-9]", re.I)
 
 
@@ -156,9 +161,7 @@ class Deobfuscator:
 
     def __call__(self, text: str) -> Mapped | None:
         odd = [] if text.isascii() else sorted(c for c in set(text) if not c.isascii() and self.form(c) != c)
-        lower = text.lower()
-        worded = any(w in lower for w in (" dot ", "at)", "at]", "at}", "at>", " at ", "dot)", "dot]"))
-        if not odd and not (worded and (_AT_DOT.search(text))) and not _runs(text):
+        if not odd and not (_AT_DOT_HINT.search(text) and _AT_DOT.search(text)) and not _runs(text):
             return None
         out = Mapped(text)
         if odd:
@@ -179,10 +182,15 @@ _BREAKS = str.maketrans("-.,:;()", "       ")
 
 def _runs(text: str) -> list:
     """Runs of number words and digits, long enough to be an identifier."""
-    marks = "".join(["s" if w in _SPELLED else "d" if w.isdigit() else "-" for w in text.lower().translate(_BREAKS).split()])
+    marks = "".join(["s" if w in _SPELLED else "d" if w.isdigit() else "" if w == "dot" else "-" for w in text.lower().translate(_BREAKS).split()])
     if "ss" not in marks and "sd" not in marks and "ds" not in marks:
         return []
-    return [m for m in _DIGIT_RUN.finditer(text) if re.search("[^\\W\\d]", m[0]) and len(_DIGIT_ATOM.findall(m[0])) >= MIN_DIGITS]
+    return [m for m in _DIGIT_RUN.finditer(text) if re.search("[^\\W\\d]", m[0]) and _long_enough(m[0])]
+
+
+def _long_enough(run: str) -> bool:
+    n = len(_DIGIT_ATOM.findall(run))
+    return n >= MIN_DIGITS or n >= MIN_IP and len(_JOINT.findall(run)) >= 3
 
 
 def _digit_edits(text: str):

@@ -71,3 +71,24 @@ def test_operator(docs):
     assert sorted((r.doc_id or 0, len(r.base), len(r.spans)) for r in got) == [(0, 0, 0), (1, 2, 2), (1, 2, 2), (2, 0, 0), (3, 0, 0)]
     assert tuple(next(r for r in got if r.doc_id == 1).spans[1]) == (6, 13, "ip")
     assert pii.detect_pii(docs(rows).where("false")).count() == 0
+
+
+def test_every_bracketed_dot_opens_the_gate():
+    for word in ("dot", "punkt", "point", "punto", "Dot", "PUNKT"):
+        for a, b in ("[]", "()", "{}", "<>"):
+            for blank in ("", " ", "\n"):
+                text = f"jane@host{blank}{a}{blank}{word}{blank}{b}{blank}fr"
+                assert spans(text)[1] == f"email:0:{len(text)}", text
+    for at in ("(at)", "{ AT }", "<at>", "[ at\n]"):
+        text = f"jane{at}host.de"
+        assert spans(text)[1] == f"email:0:{len(text)}", text
+    assert spans("jane\tat\thost\ndot\nde")[1] == "email:0:19"
+    assert pii._AT_DOT_HINT.search("a\ndot\nb") and not pii._AT_DOT_HINT.search("the data, (patterned) dots")
+
+
+def test_spelled_addresses_of_few_digits():
+    for text in ("eight dot eight dot eight dot eight", "one two seven dot zero dot zero dot one", "eight dot 8 dot eight dot 8",
+                 "one zero dot one dot two dot three", "eins dot zwei dot drei dot vier", "one two seven.zero.zero.one"):
+        assert spans(f"ip {text}, so")[1] == f"ip:3:{3 + len(text)}", text
+    for text in ("one dot two dot three", "nine nine nine dot one dot one dot one", "one. two. three. four", "one two three four"):
+        assert spans(text)[1] == "", text
