@@ -187,3 +187,14 @@ def test_seed_propagation():
     from cardprism.config import SegmentationConfig
     c = SegmentationConfig().with_seed(123)
     assert c.seed == 123 and SegmentationConfig().seed == 42
+
+
+def test_density_cut_links_all_pairs(spark, tmp_path):
+    """Two knots of six points within eps of each other, though each point's
+    nearest neighbours lie in its own knot; the far points are noise."""
+    from cardprism.plans import q_density
+    at = [0.01 * i for i in range(6)] + [1 + 0.01 * i for i in range(6)] + [100 + 3.0 * i for i in range(20)]
+    rows = [(i, [float(x), 0.0], 0) for i, x in enumerate(at)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: r.cluster for r in q_density._cut(spark, str(tmp_path)).collect()}
+    assert got == {i: 0 if i < 12 else -1 for i in range(32)}
