@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cardprism.llm import decontam, exact_dedup, html_extract, line_dedup, minhash, packing, pii, token_rollup, toxicity, url_filter
+from cardprism.llm import decontam, exact_dedup, html_extract, importance, line_dedup, minhash, packing, pii, token_rollup, toxicity, url_filter
 from cardprism.llm.common import table
 from cardprism.llm.registry import ORACLE, QUERIES, register
 
@@ -120,4 +120,36 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+_CRC = "3988292384"   # fixed value: the reversed polynomial of crc32
+OP13_SQL = rf"""
+with crc as (select list_transform(range(256), lambda x: list_reduce(list_concat([x], range(8)),
+    lambda c, i: case when (c & 1) = 1 then xor(c >> 1, {_CRC}) else c >> 1 end)) as tab),
+t as (select doc_id, coalesce(text, '') as text, 0 as side from documents union all select null, coalesce(text, ''), 1 from benchmark),
+r as (select row_number() over () as n, doc_id, side, regexp_extract_all(translate(text, {_AZ}), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') as words from t),
+w as (select n, side, unnest(words) as word from r),
+d as (select word, hex(encode(word)) as code from (select distinct word from w)),
+b as (select word, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(1, length(code) // 2 + 1),
+        lambda i: ('0x' || substr(code, (2 * i - 1)::int, 2))::bigint)),
+        lambda c, x: xor(c >> 8, tab[1 + (xor(c, x) & 255)]))) % 10000 as bucket from d, crc),
+f as (select n, side, bucket from w join b using (word)),
+s as (select bucket, count(*) filter (side = 0) as s, count(*) filter (side = 1) as t from f group by bucket),
+g as (select bucket, floor(1000 * ln(((t + 1)::double * (sum(s) over () + 10000)) / ((s + 1)::double * (sum(t) over () + 10000)))) as gain
+      from s),
+e as (select n, count(*) as n_features, floor(sum(gain) / count(*)) as weight from f join g using (bucket) where side = 0 group by n),
+x as (select doc_id, coalesce(n_features, 0) as n_features, coalesce(weight, 0)::bigint as weight,
+        ('0x' || substr(sha256('2024:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint as h
+      from r left join e using (n) where side = 0),
+y as (select *, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296.0::double)))::bigint as score from x),
+z as (select *, row_number() over (partition by n_features >= 20 order by score desc, doc_id nulls last) as place,
+        count(*) filter (n_features >= 20) over () as able from y)
+select doc_id, n_features::bigint as n_features, weight, score,
+  case when n_features >= 20 and place <= 10 * able // 100 then place end as rank from z"""
+
+
+@register("op13_importance_resampling", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 register("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
