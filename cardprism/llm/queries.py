@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cardprism.llm import decontam, exact_dedup, html_extract, importance, line_dedup, minhash, packing, pii, token_rollup, toxicity, url_filter
+from cardprism.llm import collocations, decontam, exact_dedup, html_extract, importance, line_dedup, minhash, packing, pii, token_rollup, toxicity, url_filter
 from cardprism.llm.common import table
 from cardprism.llm.registry import ORACLE, QUERIES, register
 
@@ -120,6 +120,34 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+OP11_SQL = rf"""
+with d as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), {_AZ}) as text from documents),
+p as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as words
+      from (select lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) as piece from d)),
+n as (select lang, sum(len(words)) as n from p group by lang),
+o as (select lang, k, array_to_string(words[i:i + k - 1], ' ') as phrase
+      from (select lang, words, k, unnest(generate_series(1, len(words) - k + 1)) as i from p, range(1, 5) as r(k))),
+f as (select lang, k, phrase, count(*) as f from o group by all),
+c as (select lang, k, phrase, string_split(phrase, ' ') as words, f as a from f where k >= 2 and f >= 30),
+s as (select distinct lang, array_to_string(words[i:i + m - 1], ' ') as phrase, phrase as longer, a
+      from (select *, unnest(generate_series(1, k - m + 1)) as i from c, range(2, 4) as r(m) where m < k)),
+absorbed as (select distinct lang, phrase from s join c using (lang, phrase) where 100 * s.a::hugeint >= 80 * c.a::hugeint),
+cuts as (select c.lang, c.phrase, c.a, j, l.f as l, r.f as r, (2000000 * c.a::hugeint) // (l.f + r.f) as score
+      from c cross join range(1, 4) as x(j)
+      join f l on l.lang = c.lang and l.phrase = array_to_string(words[1:j], ' ')
+      join f r on r.lang = c.lang and r.phrase = array_to_string(words[j + 1:c.k], ' ')
+      where j < c.k),
+best as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank
+      from best anti join absorbed using (lang, phrase))
+select lang, rank, phrase, a, l, r, n::bigint as n, score::bigint as score from ranked join n using (lang) where rank <= 2000"""
+
+
+@register("op11_phrase_collocations", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 _CRC = "3988292384"   # fixed value: the reversed polynomial of crc32
 OP13_SQL = rf"""
 with crc as (select list_transform(range(256), lambda x: list_reduce(list_concat([x], range(8)),
