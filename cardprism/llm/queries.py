@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cardprism.llm import collocations, decontam, exact_dedup, html_extract, importance, line_dedup, minhash, packing, pii, token_rollup, toxicity, url_filter
+from cardprism.llm import collocations, decontam, exact_dedup, html_extract, importance, line_dedup, minhash, neighbours, packing, pii, token_rollup, toxicity, url_filter
 from cardprism.llm.common import table
 from cardprism.llm.registry import ORACLE, QUERIES, register
 
@@ -148,6 +148,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
+@register("op12_nearest_neighbours")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 _CRC = "3988292384"   # fixed value: the reversed polynomial of crc32
 OP13_SQL = rf"""
 with crc as (select list_transform(range(256), lambda x: list_reduce(list_concat([x], range(8)),
