@@ -14,9 +14,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cardprism.session import cut_lineage
+
 BLOCK_BYTES = 4 << 20
 TILE = 2_000_000   # distances in memory at once
 
@@ -70,3 +72,15 @@ def symmetric_tiles(L: np.ndarray, R: np.ndarray):
             diff = part[:, k, None] - R[None, :, k]
             d2 += diff * diff
         yield slice(s, s + len(part)), np.sqrt(d2)
+
+
+def row_numbers(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """``df`` with its rows numbered 0.. by ``order``, without one task for
+    all: sorted by range, a row's number is its place in its range plus the
+    sizes of the ranges before it (one row per range)."""
+    placed = cut_lineage(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    start = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return placed.withColumn("_part", part).join(F.broadcast(start), "_part").select(*df.columns, (F.col("_start") + place).cast("long").alias(out))

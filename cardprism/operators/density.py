@@ -2,26 +2,23 @@
 
 * core distance (C06a): distance to the ``min_samples``-th nearest neighbour
   (the point itself counts as the first, as in the usual HDBSCAN convention;
-  ``include_self=False`` switches it off), from a blocked pair pass that
-  returns the m smallest distances per point and block;
+  ``include_self=False`` switches it off).  Points lie in metric blocks
+  (``metric_blocks.py``); a block is searched in itself first, which bounds the
+  distance asked for, and then only in blocks that may lie within the bound;
 * mutual reachability (C06b): max(core a, core b, d(a, b));
 * minimum spanning tree of the mutual reachability graph over ALL pairs
-  (C06c): Borůvka rounds.  A round is one blocked pair pass that reduces to
-  the lightest edge leaving each component, then a merge of components; it
-  ends when one component is left.  Nothing is cut to nearest neighbours;
+  (C06c): Borůvka rounds.  A component's lightest edge is bounded by what its
+  neighbour lists and the blocks' ranges tell; only block pairs that may hold a
+  lighter one, and that do not lie in one component, are formed.  Nothing is cut
+  to nearest neighbours;
 * components at one density level (C06d);
-* cluster choice by excess of mass over all levels (C06e).
-
-C06e needs no ladder of levels.  Let r(p) be the first edge, in the order of
-(weight, ends), with which p's component has ``min_cluster_size`` points.  A
-tree edge is a true split exactly if r of both its ends comes before it (both
-sides are clusters then); all other edges attach points to a cluster.  r is found by a bounded
-search from each point along its lightest edges (``min_cluster_size - 1``
-joins), the points between split edges are atoms, and the condensed tree over
-the atoms has one node per split.  A point leaves its cluster at level r(p),
-so stabilities are sums over points by cluster.  Only the split edges reach
-the driver: fewer than points / min_cluster_size, in practice a handful, as
-each stands for two clusters of the result's tree.
+* cluster choice by excess of mass over all levels (C06e), see
+  ``condensed.py``.
+
+Points whose vector is null or holds null or non-finite numbers can't be placed;
+``density_sweep`` sets them apart and returns them as noise
+(``unusable_points`` names the reason).  The steps below expect finite vectors
+of one length.
 """
 
 from __future__ import annotations
@@ -31,34 +28,80 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardprism.operators.blocks import block_pairs, sides, symmetric_tiles, vectors
+from cardprism.operators.blocks import row_numbers, sides, symmetric_tiles, vectors
+from cardprism.operators.components import connected_components, follow_picks
+from cardprism.operators.condensed import excess_of_mass
+from cardprism.operators.metric_blocks import MetricBlocks, metric_blocks
 from cardprism.session import cut_lineage, release
 
 NOISE = -1
 
 
+# --- points that can't be placed ----------------------------------------------------
+
+def _reason():
+    number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+    return F.when(F.col("v").isNull(), F.lit("no vector")).when(~F.forall("v", number), F.lit("null or non-finite number"))
+
+
+def unusable_points(points: DataFrame) -> DataFrame:
+    """(id, reason) of the points without a finite vector."""
+    return points.select("id", _reason().alias("reason")).where("reason is not null")
+
+
+def usable_points(points: DataFrame) -> DataFrame:
+    """The other ones."""
+    return points.where(_reason().isNull())
+
+
 # --- neighbours -------------------------------------------------------------------
 
-def _knn_fn(m: int):
+def _knn_fn(m: int, bounded: bool):
+    """The m nearest in the other block of each point that may have some there
+    (``bounded``: points carry the distance ``reach`` that they need not
+    look beyond)."""
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out = [pd.DataFrame({"id": np.zeros(0, np.int64), "other": np.zeros(0, np.int64), "d": np.zeros(0)})]
         for left, right in sides(pdf):
+            if bounded:
+                left = left[left["reach"] >= left["lower"]]
+                if left.empty:
+                    continue
             right = right.sort_values("id", kind="stable")   # ties are broken by the neighbour's id
             lid, rid = left["id"].to_numpy(), right["id"].to_numpy()
             kk = min(m, len(rid))
             for rows, D in symmetric_tiles(vectors(left), vectors(right)):
                 order = np.argsort(D, axis=1, kind="stable")[:, :kk]
-                out.append(pd.DataFrame({"id": np.repeat(lid[rows], kk), "other": rid[order].reshape(-1),
-                                         "d": np.take_along_axis(D, order, axis=1).reshape(-1)}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["id", "other", "d"])
+                near = pd.DataFrame({"id": np.repeat(lid[rows], kk), "other": rid[order].reshape(-1),
+                                     "d": np.take_along_axis(D, order, axis=1).reshape(-1)})
+                if bounded:
+                    near = near[near["d"].to_numpy() <= np.repeat(left["reach"].to_numpy()[rows], kk)]
+                out.append(near)
+        return pd.concat(out, ignore_index=True)
     return fn
 
 
-def knn(points: DataFrame, m: int, include_self: bool = True, block_size: int | None = None) -> DataFrame:
+def knn(points: DataFrame, m: int, include_self: bool = True, block_size: int | None = None, blocks: MetricBlocks | None = None,
+        formed: list | None = None) -> DataFrame:
     """(id, other, d, rank): the m nearest neighbours of every point (rank 1 =
-    nearest; with ``include_self`` the point itself is rank 1)."""
+    nearest; with ``include_self`` the point itself is rank 1).  ``formed``
+    receives the number of block pairs that were compared, and of all."""
     k = m if include_self else m + 1
-    cand = block_pairs(points.select("id", "v"), block_size).groupBy("bi", "bj").applyInPandas(_knn_fn(k), "id long, other long, d double")
+    blocks = blocks or metric_blocks(points, block_size)
+    schema = "id long, other long, d double"
+    own = blocks.points.select("id", "v", F.col("block").alias("bi"), F.col("block").alias("bj"), F.lit(False).alias("side"))
+    near = cut_lineage(own.groupBy("bi", "bj").applyInPandas(_knn_fn(k, False), schema))
+    reach = near.groupBy("id").agg(F.when(F.count(F.lit(1)) >= k, F.max("d")).otherwise(F.lit(float("inf"))).alias("reach"))
+    placed = cut_lineage(blocks.points.join(reach, "id"))
+    far = np.zeros(len(blocks))
+    for block, r in placed.groupBy("block").agg(F.max("reach")).collect():   # a row per block
+        far[block] = r
+    pairs = blocks.pairs(lambda i, lower: (lower <= np.maximum(far[i], far)) & (np.arange(len(far)) != i))
+    pairs = cut_lineage(pairs)
+    if formed is not None:
+        formed.append((pairs.count() + len(blocks), len(blocks) * (len(blocks) + 1) // 2))
+    others = blocks.meet(placed, pairs).groupBy("bi", "bj").applyInPandas(_knn_fn(k, True), schema)
+    cand = near.unionByName(others)
     if not include_self:
         cand = cand.where(F.col("id") != F.col("other"))
     w = Window.partitionBy("id").orderBy("d", "other")   # at most blocks x m rows a point
@@ -81,47 +124,7 @@ def mutual_reachability(neigh: DataFrame, core: DataFrame) -> DataFrame:
     return e.join(cs, "src").join(cd, "dst").select("src", "dst", F.greatest("cs", "cd", "d").alias("weight"))
 
 
-# --- components --------------------------------------------------------------------
-
-def _roots(picks: DataFrame, jumps: int = 3) -> DataFrame:
-    """(comp, to): where following each component's pick ends.  Picks form
-    trees whose root is a pair that picked each other; the smaller of the pair
-    stands for the tree.  Pointer jumping, ``jumps`` doublings between two
-    written tables, until the last of them moves nothing."""
-    back = picks.select(F.col("comp").alias("to"), F.col("to").alias("back"))
-    root = (F.col("back") == F.col("comp")) & (F.col("comp") < F.col("to"))
-    now, old = picks.join(back, "to").select("comp", F.when(root, F.col("comp")).otherwise(F.col("to")).alias("to")), None
-    while True:
-        new = now
-        for _ in range(jumps):
-            hop = new.select(F.col("comp").alias("to"), F.col("to").alias("next"))
-            new = new.select("comp", "to").join(hop, "to").select("comp", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved"))
-        new = cut_lineage(new)
-        if old is not None:
-            release(old)
-        if not new.agg(F.max("moved")).first()[0]:
-            return new.select("comp", "to")
-        now, old = new.select("comp", "to"), new
-
-
-def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, comp = smallest id of the component).  Contraction: every
-    component picks its smallest neighbour, what hangs together by picks
-    becomes one component, and the edges are rewritten, until none is left;
-    each round at least halves the components that still have edges."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    now = cut_lineage(both.where("src <> dst").distinct())
-    lab = cut_lineage(vertices.select("id", F.col("id").alias("comp")))
-    while not now.isEmpty():
-        to = _roots(cut_lineage(now.groupBy("src").agg(F.min("dst").alias("to")).withColumnRenamed("src", "comp")))
-        old = lab, now
-        lab = cut_lineage(lab.join(to, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")))
-        ends = now.join(to.toDF("src", "a"), "src").join(to.toDF("dst", "b"), "dst")
-        now = cut_lineage(ends.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
-        release(*old)
-    least = lab.groupBy("comp").agg(F.min("id").alias("least"))
-    return cut_lineage(lab.join(least, "comp").select("id", F.col("least").alias("comp")))
-
+# --- one density level --------------------------------------------------------------
 
 def density_cut(points: DataFrame, edges: DataFrame, eps: float, min_cluster_size: int) -> DataFrame:
     """C06d: components of the graph of edges with weight <= eps; components
@@ -129,33 +132,21 @@ def density_cut(points: DataFrame, edges: DataFrame, eps: float, min_cluster_siz
     clusters numbered 0.. by their smallest member id."""
     cc = connected_components(points.select("id"), edges.where(F.col("weight") <= eps))
     sizes = cc.groupBy("comp").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_cluster_size)
-    return cc.join(_numbered(sizes.select("comp"), "comp", "cluster"), "comp", "left").select(
+    return cc.join(row_numbers(sizes.select("comp"), ["comp"], "cluster"), "comp", "left").select(
         "id", F.coalesce("cluster", F.lit(NOISE)).cast("int").alias("cluster"))
 
 
-def _numbered(df: DataFrame, key: str, out: str) -> DataFrame:
-    """Rows numbered 0.. in the order of ``key``, without one task for all:
-    sorted by range, numbered in each partition, plus the counts before it
-    (one number per partition)."""
-    placed = cut_lineage(df.select(key).orderBy(key).withColumn("_p", F.spark_partition_id()))
-    counts = {r["_p"]: r["n"] for r in placed.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}
-    before, seen = {}, 0
-    for p in sorted(counts):
-        before[p], seen = seen, seen + counts[p]
-    if not before:
-        return placed.select(key, F.lit(0).cast("long").alias(out))
-    start = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[F.col("_p")]
-    w = Window.partitionBy("_p").orderBy(key)
-    return placed.select(key, (start + F.row_number().over(w) - 1).alias(out))
-
-
 # --- minimum spanning tree -------------------------------------------------------------
 
 def _lightest_fn(pdf: pd.DataFrame) -> pd.DataFrame:
     """Per component of a block: its lightest edge to another component, ties
-    by the smaller, then the larger end."""
+    by the smaller, then the larger end.  Points whose component has a lighter
+    edge than any in this pair of blocks are left out."""
     out = [pd.DataFrame({"comp": np.zeros(0, np.int64), "weight": np.zeros(0), "src": np.zeros(0, np.int64), "dst": np.zeros(0, np.int64)})]
     for left, right in sides(pdf):
+        left = left[left["bound"] >= left["lower"]]
+        if left.empty:
+            continue
         right = right.sort_values("id", kind="stable")   # argmin takes the smallest id
         lid, rid = left["id"].to_numpy(), right["id"].to_numpy()
         lc, rc = left["comp"].to_numpy(), right["comp"].to_numpy()
@@ -172,24 +163,73 @@ def _lightest_fn(pdf: pd.DataFrame) -> pd.DataFrame:
     return found.sort_values(["comp", "weight", "src", "dst"]).drop_duplicates("comp")
 
 
-def minimum_spanning_tree(points: DataFrame, core: DataFrame, block_size: int | None = None) -> DataFrame:
+def _leaving(edges: DataFrame, lab: DataFrame) -> DataFrame:
+    """(comp, weight, src, dst): the edges between components, for both ends."""
+    both = edges.join(lab.toDF("src", "a"), "src").join(lab.toDF("dst", "b"), "dst").where("a <> b")
+    return both.select(F.explode(F.array("a", "b")).alias("comp"), "weight", "src", "dst")
+
+
+def _bounds(blocks: MetricBlocks, info: pd.DataFrame) -> np.ndarray:
+    """Per block a weight that the lightest edge leaving each of its components
+    can't exceed: from known edges, and for a block within one component from
+    the farthest that the members of any block outside it may be."""
+    one, comp = (info["low"] == info["high"]).to_numpy(), info["low"].to_numpy()
+    core, known, ranges = info["core_high"].to_numpy(), info["known"].to_numpy(), blocks.ranges
+
+    def at(i):
+        if not one[i]:
+            return pd.DataFrame({"block": [i], "far": [np.inf]})
+        far = np.maximum(np.maximum(ranges.upper(i), core), core[i])
+        far[one & (comp == comp[i])] = np.inf
+        return pd.DataFrame({"block": [i], "far": [far.min()]})
+
+    far = blocks.each(at, "block long, far double").toPandas().sort_values("block")["far"].to_numpy()
+    least = pd.Series(far[one]).groupby(comp[one]).transform("min").to_numpy()
+    far[one] = least
+    return np.minimum(far, known)
+
+
+def minimum_spanning_tree(points: DataFrame, core: DataFrame, block_size: int | None = None, neigh: DataFrame | None = None,
+                          blocks: MetricBlocks | None = None, formed: list | None = None) -> DataFrame:
     """The minimum spanning tree of the mutual reachability graph over
     all pairs, as edges (src < dst, weight), ordered by (weight, src, dst)
-    where weights tie."""
-    p = points.select("id", "v").join(core.select("id", F.col("core_distance").alias("core")), "id")
-    p = cut_lineage(p, keep=True)
+    where weights tie.  ``neigh`` (from ``knn``) bounds the first rounds;
+    ``formed`` receives the number of block pairs of each round."""
+    blocks = blocks or metric_blocks(points, block_size)
+    p = cut_lineage(blocks.points.join(core.select("id", F.col("core_distance").alias("core")), "id"))
+    known = cut_lineage(mutual_reachability(neigh, core)) if neigh is not None else None
     lab, parts = cut_lineage(p.select("id", F.col("id").alias("comp"))), []
     while lab.agg(F.min("comp") != F.max("comp")).first()[0]:
-        pairs = block_pairs(p.join(lab, "id"), block_size).groupBy("bi", "bj")
-        light = pairs.applyInPandas(_lightest_fn, "comp long, weight double, src long, dst long")
-        pick = light.groupBy("comp").agg(F.min(F.struct("weight", "src", "dst")).alias("e")).select("comp", "e.*")
+        placed = p.join(lab, "id")
+        if known is not None:
+            light = cut_lineage(_leaving(known, lab).groupBy("comp").agg(F.min(F.struct("weight", "src", "dst")).alias("e")).select("comp", "e.*"))
+            placed = placed.join(light.select("comp", F.col("weight").alias("known")), "comp", "left")
+        else:
+            light, placed = None, placed.withColumn("known", F.lit(None).cast("double"))
+        placed = cut_lineage(placed.withColumn("known", F.coalesce("known", F.lit(float("inf")))))
+        info = placed.groupBy("block").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("core").alias("core_low"),
+                                           F.max("core").alias("core_high"), F.max("known").alias("known")).toPandas().sort_values("block")   # a row per block
+        low, high, least, bound = info["low"].to_numpy(), info["high"].to_numpy(), info["core_low"].to_numpy(), _bounds(blocks, info)
+
+        def wanted(i, lower, low=low, high=high, least=least, bound=bound):
+            apart = (low != high) | (low[i] != high[i]) | (low != low[i])
+            return apart & (np.maximum(np.maximum(lower, least[i]), least) <= np.maximum(bound[i], bound))
+
+        pairs = cut_lineage(blocks.pairs(wanted))
+        if formed is not None:
+            formed.append(pairs.count())
+        limit = points.sparkSession.createDataFrame(pd.DataFrame({"block": np.arange(len(bound)), "limit": bound}))   # a row per block
+        placed = placed.join(F.broadcast(limit), "block").withColumn("bound", F.least("known", "limit"))
+        found = blocks.meet(placed, pairs).groupBy("bi", "bj").applyInPandas(
+            _lightest_fn, "comp long, weight double, src long, dst long")
+        found = found if light is None else found.unionByName(light)
+        pick = found.groupBy("comp").agg(F.min(F.struct("weight", "src", "dst")).alias("e")).select("comp", "e.*")
         pick = cut_lineage(pick)   # a row per component
         parts.append(pick.select("src", "dst", "weight").distinct())
         at = lab.select(F.col("id"), F.col("comp").alias("c"))
         ends = pick.join(at.toDF("src", "a"), "src").join(at.toDF("dst", "b"), "dst")
-        merged = _roots(cut_lineage(ends.select("comp", F.when(F.col("a") == F.col("comp"), F.col("b")).otherwise(F.col("a")).alias("to"))))
+        merged = follow_picks(cut_lineage(ends.select("comp", F.when(F.col("a") == F.col("comp"), F.col("b")).otherwise(F.col("a")).alias("to"))))
         lab = cut_lineage(lab.join(merged, "comp").select("id", F.col("to").alias("comp")))
-    p.unpersist()
     if not parts:
         return points.sparkSession.createDataFrame([], "src long, dst long, weight double")
     tree = parts[0]
@@ -231,59 +271,6 @@ def cluster_levels(points: DataFrame, tree: DataFrame, size: int) -> DataFrame:
     return out
 
 
-class _Tree:
-    """Condensed tree over atoms: leaves are atoms, an inner node is a split."""
-
-    def __init__(self, atoms, splits):
-        """``splits``: ((weight, src, dst), atom, atom) ascending."""
-        self.parent, self.children, self.split = {}, {}, {}   # split: the edge below which the node falls apart
-        root_of, node_of = {a: a for a in atoms}, {a: ("atom", a) for a in atoms}
-
-        def find(x):
-            while root_of[x] != x:
-                root_of[x] = root_of[root_of[x]]
-                x = root_of[x]
-            return x
-
-        for a in atoms:
-            self.split["atom", a], self.children["atom", a] = (0.0,), []
-        for i, (edge, a, b) in enumerate(splits):
-            a, b = find(a), find(b)
-            node = ("split", i)
-            self.children[node], self.split[node] = [node_of[a], node_of[b]], edge
-            self.parent[node_of[a]] = self.parent[node_of[b]] = node
-            root_of[b], node_of[a] = a, node
-        self.order = [("atom", a) for a in atoms] + [("split", i) for i in range(len(splits))]   # children first
-        self.birth = {n: self.split[self.parent[n]] if n in self.parent else (float("inf"),) for n in self.order}
-        self.number = {n: i for i, n in enumerate(self.order)}
-
-    def select(self, inside: dict, own: dict) -> dict:
-        """Node to label (None: noise).  ``inside``: node to the number of
-        points assigned to it, ``own``: to the sum of 1 / r over them."""
-        below = {}
-        best, chosen = {}, {}
-        for n in self.order:
-            below[n] = sum(below[c] + inside.get(c, 0) for c in self.children[n])
-            if n not in self.parent:
-                continue   # a root is no cluster
-            birth = 1 / self.birth[n][0]
-            at_split = below[n] * (1 / self.split[n][0] - birth) if below[n] else 0.0
-            mass = at_split + own.get(n, 0.0) - inside.get(n, 0) * birth
-            kids = sum(best[c] for c in self.children[n])
-            chosen[n] = not self.children[n] or mass >= kids
-            best[n] = mass if chosen[n] else kids
-        label, taken = {}, 0
-        for n in reversed(self.order):
-            up = self.parent.get(n)
-            if up is not None and label.get(up) is not None:
-                label[n] = label[up]
-            elif chosen.get(n):
-                label[n], taken = taken, taken + 1
-            else:
-                label[n] = None
-        return label
-
-
 def eom_select(points: DataFrame, tree: DataFrame, min_cluster_size: int) -> DataFrame:
     """C06e: excess-of-mass selection; (id, cluster), noise -1, clusters
     numbered by their smallest member."""
@@ -293,38 +280,12 @@ def eom_select(points: DataFrame, tree: DataFrame, min_cluster_size: int) -> Dat
     own = F.struct("weight", "src", "dst")
     is_split = F.coalesce((F.col("rs") < own) & (F.col("rd") < own), F.lit(False))
     edges = cut_lineage(edges.select("src", "dst", "weight", is_split.alias("split")))
-    atoms = connected_components(points, edges.where("not split"))
-    end = lambda c, a: atoms.select(F.col("id").alias(c), F.col("comp").alias(a))
-    splits = [tuple(r) for r in edges.where("split").join(end("src", "a"), "src").join(end("dst", "b"), "dst").select("weight", "a", "b", "src", "dst").collect()]
-    splits = sorted(((w, src, dst), a, b) for w, a, b, src, dst in splits)
-    noise = points.select("id", F.lit(NOISE).alias("cluster"))
-    if not splits:
-        return noise
-    t = _Tree(sorted({x for _, a, b in splits for x in (a, b)}), splits)
-
-    def assign(batches):
-        """The lowest cluster on the point's path up that lives at its level."""
-        for pdf in batches:
-            nodes = []
-            for atom, *r in zip(pdf["comp"], pdf["weight"], pdf["src"], pdf["dst"], strict=True):
-                n, r = ("atom", atom), tuple(r)
-                while n in t.parent and not r < t.birth[n]:
-                    n = t.parent[n]
-                nodes.append(t.number.get(n, -1))
-            rows = pdf[["id", "weight"]].assign(node=nodes)
-            yield rows[rows["node"] >= 0]
-
-    levels = level.where("level is not null").select("id", "level.*")
-    placed = cut_lineage(atoms.join(levels, "id").mapInPandas(assign, "id long, weight double, node int"))
-    sums = placed.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum(1.0 / F.greatest("weight", F.lit(1e-300))).alias("s")).collect()   # a row per node of the tree
-    label = t.select({t.order[r["node"]]: r["n"] for r in sums}, {t.order[r["node"]]: r["s"] for r in sums})
-    rows = [(t.number[n], x) for n, x in label.items() if x is not None]
-    if not rows:
-        return noise
-    marks = points.sparkSession.createDataFrame(rows, "node int, label int")
-    members = placed.join(marks, "node").select("id", "label")
+    atoms = connected_components(points, edges.where("not split")).withColumnRenamed("comp", "atom")
+    end = lambda c, a: atoms.select(F.col("id").alias(c), F.col("atom").alias(a))
+    splits = edges.where("split").join(end("src", "a"), "src").join(end("dst", "b"), "dst").select("weight", "src", "dst", "a", "b")
+    members = excess_of_mass(atoms.join(level.where("level is not null"), "id"), splits)
     order = members.groupBy("label").agg(F.min("id").alias("first"))
-    numbers = _numbered(order.select("first"), "first", "cluster").join(order, "first").select("label", F.col("cluster").cast("int").alias("cluster"))
+    numbers = row_numbers(order, ["first"], "cluster").select("label", F.col("cluster").cast("int").alias("cluster"))
     return points.select("id").join(members.join(numbers, "label").select("id", "cluster"), "id", "left").select(
         "id", F.coalesce("cluster", F.lit(NOISE)).alias("cluster"))
 
@@ -332,10 +293,14 @@ def eom_select(points: DataFrame, tree: DataFrame, min_cluster_size: int) -> Dat
 def density_sweep(points: DataFrame, grid, block_size: int | None = None) -> list[DataFrame]:
     """Clusterings for each (min_cluster_size, min_samples): one neighbour pass
     for all (smaller ``min_samples`` are prefixes of it), one tree per
-    ``min_samples``."""
-    neigh = cut_lineage(knn(points, max(ms for _, ms in grid), True, block_size))
-    trees = {ms: minimum_spanning_tree(points, core_distances(neigh, ms), block_size) for ms in sorted({ms for _, ms in grid})}
-    return [cut_lineage(eom_select(points, trees[ms], mcs)) for mcs, ms in grid]
+    ``min_samples``.  Points without a finite vector are noise."""
+    placed = cut_lineage(usable_points(points).select("id", "v"))
+    blocks = metric_blocks(placed, block_size)
+    neigh = cut_lineage(knn(placed, max(ms for _, ms in grid), True, block_size, blocks))
+    trees = {ms: minimum_spanning_tree(placed, core_distances(neigh, ms), block_size, neigh.where(F.col("rank") <= ms), blocks)
+             for ms in sorted({ms for _, ms in grid})}
+    rest = unusable_points(points).select("id", F.lit(NOISE).alias("cluster"))
+    return [cut_lineage(eom_select(placed, trees[ms], mcs).unionByName(rest)) for mcs, ms in grid]
 
 
 def density_cluster(points: DataFrame, min_cluster_size: int, min_samples: int, block_size: int | None = None) -> DataFrame:
