@@ -11,22 +11,32 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_order(seq: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes sorted by their first ``depth`` symbols or a little more (the
-    length doubles); symbols behind the end count as 0."""
-    rank, length = seq.astype(np.int64), 1
-    while 2 * length < depth:
-        rank = np.unique(_joined(rank, length), return_inverse=True)[1]
-        length *= 2
-    key = _joined(rank, min(length, depth - length)) if depth > 1 else rank
-    return np.argsort(key, kind="stable")
+def order_of(key: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stable order of keys up to ``most``, and the sorted keys.  Key and place
+    are sorted as one number where they fit (several times as fast)."""
+    place = np.arange(len(key))
+    bits = max(1, len(key)).bit_length()
+    if most.bit_length() + bits < 64:
+        both = np.sort((key.astype(np.int64) << bits) | place)
+        return both & ((1 << bits) - 1), both >> bits
+    order = np.argsort(key, kind="stable")
+    return order, key[order]
 
 
-def _joined(rank: np.ndarray, by: int) -> np.ndarray:
-    """One number for each pair of ranks that stand ``by`` apart."""
-    after = np.zeros_like(rank)
-    after[:len(rank) - by] = rank[by:]
-    return rank * (int(rank.max()) + 1) + after
+def suffix_order(seq: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes sorted by their first ``depth`` symbols; symbols behind the end
+    count as 0."""
+    symbols = int(seq.max()) + 1
+    rank, ranks, order = seq.astype(np.int64), symbols, None
+    for d in range(1, depth):
+        key = rank * symbols
+        key[:len(seq) - d] += seq[d:]
+        order, key = order_of(key, ranks * symbols)
+        if d < depth - 1:
+            turn = np.cumsum(np.r_[False, key[1:] != key[:-1]])
+            rank, ranks = np.empty_like(rank), int(turn[-1]) + 1
+            rank[order] = turn
+    return order if depth > 1 else order_of(rank, symbols)[0]
 
 
 class Half:
@@ -35,23 +45,21 @@ class Half:
 
     def __init__(self, seq: np.ndarray, depth: int):
         self.bwt = seq[suffix_order(seq, depth) - 1]   # before the first symbol: the last one, a separator
-        self.step = np.empty(len(seq), np.int64)
-        self.step[np.argsort(self.bwt, kind="stable")] = np.arange(len(seq))
+        self.symbols = int(seq.max()) + 1
+        self.step = np.empty(len(seq), np.int32)
+        self.step[order_of(self.bwt, self.symbols)[0]] = np.arange(len(seq), dtype=np.int32)
 
     def extend(self, lo: np.ndarray, other: np.ndarray, n: np.ndarray):
         """All one-symbol extensions of the intervals ``lo, n`` (``other``:
         where they begin in the other half): parent, symbol, lo, other, n."""
         parent = np.repeat(np.arange(len(lo)), n)
         begin = np.cumsum(n) - n
-        at = np.arange(len(parent)) - begin[parent] + lo[parent]
-        symbol = self.bwt[at].astype(np.int64)
-        key = parent * (int(self.bwt.max()) + 1) + symbol
-        order = np.argsort(key, kind="stable")
-        key = key[order]
+        at = np.arange(len(parent)) + (lo - begin)[parent]
+        order, key = order_of(parent * self.symbols + self.bwt[at], max(1, len(lo)) * self.symbols)
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
         count = np.diff(np.r_[first, len(key)])
-        up, sym = parent[order[first]], symbol[order[first]]
-        ext = (up, sym, self.step[at[order[first]]], other[up] + first - begin[up], count)
+        up, sym = key[first] // self.symbols, key[first] % self.symbols
+        ext = (up, sym, self.step[at[order[first]]].astype(np.int64), other[up] + first - begin[up], count)
         real = sym > 0
         return tuple(x[real] for x in ext)
 

@@ -58,8 +58,8 @@ def corpus(seed, n=300, words="ab cd E'f gh é 日本 x-1 \x01 q".split(" ")):
 def test_against_brute_force(make, shard_tokens):
     rows = corpus(1)
     df = make([(lang, t, 1, 2, "x") for lang, t in rows], "lang string, text string, id int, n int, phrase string", 5)
-    for least, top in ((5, 2000), (30, 7)):
-        assert got(C.collocations(df, min_count=least, top=top, shard_tokens=shard_tokens)) == brute(rows, least, top=top)
+    for least, top, most in ((5, 2000, 10**6), (5, 2000, 0), (30, 7, 20)):   # phrases broadcast, joined, both
+        assert got(C.collocations(df, min_count=least, top=top, shard_tokens=shard_tokens, broadcast_phrases=most)) == brute(rows, least, top=top)
 
 
 def test_shorter_and_longer_limits(make):
@@ -119,14 +119,21 @@ def test_index_extends_to_all_phrases(depth):
 
 def test_shards_cover_every_word_once(make, spark):
     rows = corpus(3, 200)
-    made = C.shards(make(rows, "lang string, text string"), "lang", "text", 100)
-    f, n = counts(rows, 1)
-    seen, total = Counter(), Counter()
-    for r in made.collect():
-        assert C.unpack(r.seq)[-1] == 0
-        seen.update({(a, bytes(w).decode()): c for a, w, c in zip(r.langs, r.words, r.freq, strict=True)})
-        total.update({t.lang: t.n for t in r.totals})
+    f, seen = counts(rows, 1)[0], Counter()
+    made = C.shards(make(rows, "lang string, text string"), "lang", "text", 100, 12).collect()
+    words = {}
+    for r in made:
+        if r.seq is None:
+            words.update({(r.vocabulary, r.base + k): (w.lang, bytes(w.word).decode(), w.n) for k, w in enumerate(r.words)})
+    for r in made:
+        if r.seq is not None:
+            seq = C.unpack(r.seq)
+            assert seq[-1] == 0
+            seen.update(words[r.vocabulary, x][:2] for x in seq.tolist() if x)
     assert seen == {(a, w[0]): c for (a, w), c in f.items()}
-    assert {a: c for a, c in total.items() if c} == {a: c for a, c in n.items() if c}
+    again = Counter()
+    for lang, word, c in words.values():
+        again[lang, word] += c
+    assert again == seen and len({v for v, _ in words}) > 3
     tables, _ = C.phrases(make(rows, "lang string, text string"), Scratch(spark, "t"), 3, 2, shard_tokens=100)
     assert {(r.lang, r.phrase): r.a for r in tables[1].collect()} == {(a, " ".join(w)): c for (a, w), c in counts(rows)[0].items() if len(w) == 2 and c >= 3}
