@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardprism.config import SegmentationConfig
+from cardprism.functions.columns import nan_to_null
 from cardprism.operators.batched import run_pass
 from cardprism.operators.quantiles import column_quantiles
 from cardprism.schema import FEATURE_COLUMNS
@@ -178,19 +179,33 @@ def yeo_johnson(x: Column, lam: Column | float) -> Column:
     return F.when(x >= 0, pos).otherwise(neg)
 
 
-def _psi(x: np.ndarray, lam: np.ndarray) -> np.ndarray:
-    """psi of each x for each lambda: (x+1)^l = exp(l * log1p(x)) on the
-    non-negative part, (1-x)^(2-l) = exp((2-l) * log1p(-x)) on the rest."""
+def _psi(x: np.ndarray, lam: np.ndarray, scale: np.ndarray | float = 0.0) -> np.ndarray:
+    """psi of each x for each lambda, times exp(-scale): (x+1)^l = exp(l *
+    log1p(x)) on the non-negative part, (1-x)^(2-l) = exp((2-l) * log1p(-x)) on
+    the rest."""
     out = np.empty((len(x), len(lam)))
-    pos, lz, l2 = x >= 0, np.abs(lam) < 1e-12, np.abs(lam - 2.0) < 1e-12
+    pos, scale = x >= 0, np.broadcast_to(scale, lam.shape)
+
+    def side(t, power):   # (e^(t power) - 1) / power
+        flat = np.abs(power) < 1e-12
+        grown = np.where(scale > 0, np.exp(t * power - scale) - np.exp(-scale), np.expm1(t * power))
+        return np.where(flat, t * np.exp(-scale), grown / np.where(flat, 1.0, power))
+
     with np.errstate(all="ignore"):
-        lp = np.log1p(x[pos])[:, None]
-        out[pos] = np.where(lz, lp, np.expm1(lp * lam) / np.where(lz, 1.0, lam))
-        ln = np.log1p(-x[~pos])[:, None]
-        out[~pos] = np.where(l2, -ln, -np.expm1(ln * (2.0 - lam)) / np.where(l2, 1.0, 2.0 - lam))
+        out[pos] = side(np.log1p(x[pos])[:, None], lam)
+        out[~pos] = -side(np.log1p(-x[~pos])[:, None], 2.0 - lam)
     return out
 
 
+def _psi_scale(lam: np.ndarray, low: float, high: float) -> np.ndarray:
+    """Logarithm by which psi is divided where it would grow beyond e^200 on
+    [low, high]; 0 elsewhere."""
+    up = lam * np.log1p(high) if high > 0 else np.zeros(len(lam))
+    down = (2.0 - lam) * np.log1p(-low) if low < 0 else np.zeros(len(lam))
+    most = np.maximum(up, down)
+    return np.where(most > 200, most, 0.0)
+
+
 def yj_loglik_grid(df: DataFrame, cols, grids: dict) -> DataFrame:
     """Log-likelihood of every (column, lambda) candidate in ONE pass.  Tasks
     return n, sum(sign * log1p|x|) and the first two moments of psi around
@@ -198,8 +213,10 @@ def yj_loglik_grid(df: DataFrame, cols, grids: dict) -> DataFrame:
     grid numbers.  LL = -n/2 ln var_pop + (lambda - 1) sum."""
     cols = list(cols)
     grid = [np.asarray(grids[c], dtype=np.float64) for c in cols]
-    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in cols]).first()
-    origin = [_psi(np.array([means[c] or 0.0]), g)[0] for c, g in zip(cols, grid)]
+    real = [nan_to_null(F.col(c).cast("double")) for c in cols]
+    about = df.agg(*[F.struct(F.avg(x).alias("mean"), F.min(x).alias("low"), F.max(x).alias("high")) for x in real]).first()
+    scale = [_psi_scale(g, a["low"] or 0.0, a["high"] or 0.0) for a, g in zip(about, grid, strict=True)]
+    origin = [_psi(np.array([a["mean"] or 0.0]), g, s)[0] for a, g, s in zip(about, grid, scale, strict=True)]
 
     def moments(batches):
         acc = {}
@@ -208,7 +225,7 @@ def yj_loglik_grid(df: DataFrame, cols, grids: dict) -> DataFrame:
                 x = X[:, i]
                 x = x[~np.isnan(x)]
                 if len(x):
-                    P = _psi(x, g) - origin[i]
+                    P = _psi(x, g, scale[i]) - origin[i]
                     stat = np.concatenate([[len(x), (np.sign(x) * np.log1p(np.abs(x))).sum()], P.sum(0), (P * P).sum(0)])
                     acc[(i, 0)] = acc.get((i, 0), 0.0) + stat
         return acc
@@ -217,8 +234,8 @@ def yj_loglik_grid(df: DataFrame, cols, grids: dict) -> DataFrame:
     for (i, _), s in sorted(run_pass(as_matrix(df, cols), moments).items()):
         n, slog, k = s[0], s[1], len(grid[i])
         var = s[2 + k:] / n - (s[2:2 + k] / n) ** 2
-        for lam, v in zip(grid[i], var):
-            ll = float(-n / 2.0 * np.log(v) + (lam - 1.0) * slog) if v > 0 and np.isfinite(v) else None
+        for lam, v, log in zip(grid[i], var, scale[i], strict=True):
+            ll = float(-n / 2.0 * (np.log(v) + 2 * log) + (lam - 1.0) * slog) if v > 0 and np.isfinite(v) else None
             out.append((cols[i], float(lam), ll))
     return df.sparkSession.createDataFrame(out, "feature string, lam double, ll double")
 
@@ -228,27 +245,53 @@ def lambda_grid(lo: float, hi: float, points: int) -> list:
     return [round(lo + (hi - lo) * i / (points - 1), 12) for i in range(points)]
 
 
-def yj_fit(df: DataFrame, cols, rounds: int = 4, points: int = 41, lo: float = -2.0, hi: float = 2.0) -> dict:
-    """Per-column lambda maximising the log-likelihood: a grid over
-    [lo, hi], then ``rounds - 1`` finer grids around the best value
-    (bounded result: rounds x points x d numbers reach the driver)."""
-    cols = list(cols)
-    grids = {c: lambda_grid(lo, hi, points) for c in cols}
-    best = {}
-    for r in range(rounds):
-        ll = yj_loglik_grid(df, cols, grids).collect()
-        by = {}
-        for row in ll:
-            v = row["ll"]
-            if v is None or math.isnan(v):
+def yj_fit(df: DataFrame, cols, rounds: int | None = None, points: int = 17, start: float = 2.0, width: float = 2e-3) -> dict:
+    """Per-column lambda that maximises the log-likelihood, without
+    bounds.  Each step is one pass for all columns that are not done: ``points``
+    values over a column's bracket, at first [-start, start].  If the best one is
+    an end, the bracket moves past it and doubles; else it shrinks to the
+    neighbours of the best.  Below ``width`` the vertex of the parabola through
+    the best three ends the search.  A column without a likelihood (constant,
+    empty) gets 1.  ``rounds`` stops after so many passes with the best so far."""
+    best, open_ = {}, {c: (-start, start) for c in cols}
+    done = 0
+    while open_:
+        done += 1
+        grids = {c: lambda_grid(lo, hi, points) for c, (lo, hi) in open_.items()}
+        found = {c: {} for c in open_}
+        for row in yj_loglik_grid(df, list(open_), grids).collect():   # columns x points numbers
+            if row["ll"] is not None and not math.isnan(row["ll"]):
+                found[row["feature"]][row["lam"]] = row["ll"]
+        for c, (lo, hi) in list(open_.items()):
+            grid, ll, step = grids[c], found[c], (hi - lo) / (points - 1)
+            if not ll:
+                best[c] = 1.0
+                del open_[c]
                 continue
-            cur = by.get(row["feature"])
-            if cur is None or v > cur[1] or (v == cur[1] and row["lam"] < cur[0]):
-                by[row["feature"]] = (row["lam"], v)
-        best = {c: by.get(c, (1.0, float("nan"))) for c in cols}
-        step = (grids[cols[0]][1] - grids[cols[0]][0]) if points > 1 else 0.0
-        grids = {c: lambda_grid(best[c][0] - step, best[c][0] + step, points) for c in cols}
-    return {c: best[c][0] for c in cols}
+            at = max(ll, key=lambda x, ll=ll: (ll[x], -abs(x)))
+            left, right = grid[max(0, grid.index(at) - 1)], grid[min(points - 1, grid.index(at) + 1)]
+            if done == rounds:
+                best[c] = at
+                del open_[c]
+            elif at == grid[0] and at - step < at:
+                open_[c] = (at - 2 * (hi - lo), right)
+            elif at == grid[-1] and at + step > at:
+                open_[c] = (left, at + 2 * (hi - lo))
+            elif right - left > width and left in ll and right in ll:
+                open_[c] = (left, right)
+            elif right - left > 1e-9 * max(1.0, abs(at)) and not (left in ll and right in ll):
+                open_[c] = (left, right)   # the likelihood ends between them
+            else:
+                best[c] = _vertex(at, step, ll.get(left), ll[at], ll.get(right))
+                del open_[c]
+    return best
+
+
+def _vertex(at: float, step: float, left: float | None, middle: float, right: float | None) -> float:
+    """Highest point of the parabola through three values ``step`` apart."""
+    if left is None or right is None or left - 2 * middle + right >= 0:
+        return at
+    return at + 0.5 * step * (left - right) / (left - 2 * middle + right)
 
 
 def yj_apply(df: DataFrame, cols, lambdas: dict, standardize: bool = True, keep=("card_id",)) -> DataFrame:

@@ -45,6 +45,53 @@ def test_yeo_johnson_identity_and_fit(mat, spark):
     assert -2.0 <= lam["a"] <= 2.0
 
 
+def _yj_loglik(x, lam):
+    """Log-likelihood the plain way, for moderate values."""
+    pos, neg = np.maximum(x, 0), np.maximum(-x, 0)
+    a = np.log1p(pos) if abs(lam) < 1e-12 else ((1 + pos) ** lam - 1) / lam
+    b = np.log1p(neg) if abs(lam - 2) < 1e-12 else ((1 + neg) ** (2 - lam) - 1) / (2 - lam)
+    return -len(x) / 2 * np.log((a - b).var()) + (lam - 1) * (np.sign(x) * np.log1p(np.abs(x))).sum()
+
+
+def _golden(f, lo, hi):
+    g = (np.sqrt(5) - 1) / 2
+    while hi - lo > 1e-8:
+        a, b = hi - g * (hi - lo), lo + g * (hi - lo)
+        lo, hi = (lo, b) if f(a) > f(b) else (a, hi)
+    return (lo + hi) / 2
+
+
+def test_yeo_johnson_has_no_bounds(spark):
+    """Optima inside and far outside [-2, 2], on both sides; a constant, an
+    empty and an all but constant column."""
+    z = np.random.RandomState(8).normal(size=1500)
+    columns = {}
+    for name, lam in (("a", 0.4), ("b", 2.9), ("c", 10.0), ("d", 25.0)):
+        y = 1 + 0.1 * z / max(1.0, np.abs(z).max() / 4)
+        columns[name] = (lam * y + 1) ** (1 / lam) - 1   # psi(x) = y
+    for name in "bcd":
+        columns[f"m{name}"] = -columns[name]   # mirrored: 2 - lambda
+    columns["k"], columns["e"] = np.full(1500, 3.0), np.full(1500, np.nan)
+    names = sorted(columns)
+    df = spark.createDataFrame([[float(columns[c][i]) for c in names] for i in range(1500)], names).repartition(5)
+    got = PP.yj_fit(df, names)
+    assert got["k"] == 1.0 and got["e"] == 1.0
+    for c in names:
+        if c not in "ke":
+            # the likelihood itself is flat to about 1e-8 of lambda's scale
+            assert got[c] == pytest.approx(_golden(lambda lam, x=columns[c]: _yj_loglik(x, lam), -60, 60), abs=1e-4)
+    assert got["c"] > 5 and got["d"] > 15 and got["mc"] < -3 and got["md"] < -13
+
+
+def test_yeo_johnson_likelihood_does_not_overflow(spark):
+    x = np.exp(np.random.RandomState(9).normal(size=300) * 2 + 6)
+    df = spark.createDataFrame([(float(v), float(-v)) for v in x], "a double, b double")
+    grid = [-90.0, -3.0, 0.0, 2.0, 60.0, 150.0]
+    ll = {(r.feature, r.lam): r.ll for r in PP.yj_loglik_grid(df, ["a", "b"], {"a": grid, "b": [2 - g for g in grid]}).collect()}
+    assert all(ll["a", g] == pytest.approx(ll["b", 2 - g], rel=1e-9) for g in grid if ll["a", g] is not None)
+    assert ll["a", 60.0] is not None and ll["a", 150.0] is not None and ll["a", 150.0] < ll["a", 60.0] < ll["a", 2.0]
+
+
 def test_profile_rules(spark):
     rows = []
     for cid, amt, dig, tx, clv in [(-1, 1000, 0.1, 10, 1000), (0, 25000, 0.8, 10, 500000), (1, 100, 0.6, 9000, 300000),
