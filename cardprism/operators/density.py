@@ -171,17 +171,17 @@ def _leaving(edges: DataFrame, lab: DataFrame) -> DataFrame:
 
 def _bounds(blocks: MetricBlocks, info: pd.DataFrame) -> np.ndarray:
     """Per block a weight that the lightest edge leaving each of its components
-    can't exceed: from known edges, and for a block within one component from
-    the farthest that the members of any block outside it may be."""
+    can't exceed: from known edges; for a block within one component from the
+    farthest that the members of any block outside it may be; for any other
+    block from its own extent."""
     one, comp = (info["low"] == info["high"]).to_numpy(), info["low"].to_numpy()
     core, known, ranges = info["core_high"].to_numpy(), info["known"].to_numpy(), blocks.ranges
 
     def at(i):
-        if not one[i]:
-            return pd.DataFrame({"block": [i], "far": [np.inf]})
         far = np.maximum(np.maximum(ranges.upper(i), core), core[i])
-        far[one & (comp == comp[i])] = np.inf
-        return pd.DataFrame({"block": [i], "far": [far.min()]})
+        if one[i]:
+            far[one & (comp == comp[i])] = np.inf
+        return pd.DataFrame({"block": [i], "far": [far.min() if one[i] else far[i]]})
 
     far = blocks.each(at, "block long, far double").toPandas().sort_values("block")["far"].to_numpy()
     least = pd.Series(far[one]).groupby(comp[one]).transform("min").to_numpy()

@@ -1,16 +1,15 @@
 """Blocks of points that lie together, with bounds on their distances.
 
 Up to ``PIVOTS`` points are chosen far from each other.  Points are ordered by
-their nearest pivot and the distance to it, and cut into blocks of equal size,
-so a block is an annulus around a pivot, a part of one, or (at a border) a piece
-of two.  A block keeps the least and the largest distance of its members to
+their nearest pivot and the distance to it, and each pivot's points cut into
+blocks of equal size, so a block is an annulus around a pivot or a part of one.  A block keeps the least and the largest distance of its members to
 *every* pivot.  By the triangle inequality two blocks are at least as far apart
 as these ranges are, and at most as far as the ranges' ends add up to.  All
 bounds hold whatever the pivots; they are taken from a sample of about
 ``SAMPLE`` points, which decides about speed only.
 
 A pass forms the block pairs that its bounds can't rule out.  The table of
-blocks is bounded (``MAX_BLOCKS`` rows of ``2 * PIVOTS`` numbers, 17 MB): larger
+blocks is bounded (about ``MAX_BLOCKS`` rows of ``2 * PIVOTS`` numbers, 17 MB): larger
 inputs get larger blocks."""
 
 from __future__ import annotations
@@ -65,7 +64,7 @@ class Ranges:
 class MetricBlocks:
     points: DataFrame   # id, v, block
     ranges: Ranges
-    rows: int           # points in a block (the last one has fewer)
+    rows: int           # points in a block (each pivot's last one may have fewer)
 
     def __len__(self) -> int:
         return len(self.ranges.lo)
@@ -118,7 +117,12 @@ def metric_blocks(points: DataFrame, block_rows: int | None = None, pivots: int
             yield pdf.assign(cell=away.argmin(1), r=away.min(1))
 
     placed = row_numbers(points.mapInPandas(place, "id long, v array<double>, cell int, r double"), ["cell", "r", "id"], "nr")
-    placed = cut_lineage(placed.select("id", "v", F.floor(F.col("nr") / rows).alias("block")))
+    cells = placed.groupBy("cell").agg(F.min("nr"), F.count(F.lit(1))).orderBy("cell").collect()   # at most PIVOTS rows
+    first, begins = 0, {}
+    for cell, nr, size in cells:   # a block lies in one cell
+        begins[cell], first = first * rows - nr, first + math.ceil(size / rows)
+    begin = F.create_map(*[F.lit(x) for kv in begins.items() for x in kv])[F.col("cell")]
+    placed = cut_lineage(placed.select("id", "v", F.floor((F.col("nr") + begin) / rows).alias("block")))
 
     def ranges(batches):
         for pdf in batches:
@@ -129,6 +133,6 @@ def metric_blocks(points: DataFrame, block_rows: int | None = None, pivots: int
                 yield pd.DataFrame({"block": b, "pivot": np.arange(len(at)), "lo": own.min(0), "hi": own.max(0)})
 
     table = placed.mapInPandas(ranges, "block long, pivot int, lo double, hi double").groupBy("block", "pivot").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    table = table.toPandas().sort_values(["block", "pivot"])   # at most MAX_BLOCKS * PIVOTS rows
+    table = table.toPandas().sort_values(["block", "pivot"])   # about MAX_BLOCKS * PIVOTS rows at most
     shape = (-1, len(at))
     return MetricBlocks(placed, Ranges(table["lo"].to_numpy().reshape(shape), table["hi"].to_numpy().reshape(shape)), rows)

@@ -198,3 +198,133 @@ def test_density_cut_links_all_pairs(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {r.vec_id: r.cluster for r in q_density._cut(spark, str(tmp_path)).collect()}
     assert got == {i: 0 if i < 12 else -1 for i in range(32)}
+
+
+# --- pruning, deep trees, points that can't be placed ---------------------------------
+
+def _frame(spark, X, first=0):
+    return spark.createDataFrame([(first + i, [float(a) for a in x]) for i, x in enumerate(X)], "id long, v array<double>").repartition(3)
+
+
+def _fast_prim(W):
+    n = len(W)
+    best, frm, out, edges = W[0].copy(), np.zeros(n, int), np.ones(n, bool), []
+    out[0] = False
+    for _ in range(n - 1):
+        j = int(np.where(out, best, np.inf).argmin())
+        edges.append((best[j], min(frm[j], j), max(frm[j], j)))
+        out[j] = False
+        closer = out & (W[j] < best)
+        best[closer], frm[closer] = W[j][closer], j
+    return edges
+
+
+@pytest.mark.parametrize("kind", ["blobs", "equal", "grid", "line"])
+def test_neighbours_are_exact_and_blocks_pruned(spark, kind):
+    rng = np.random.RandomState(3)
+    X = {"blobs": lambda: np.vstack([rng.normal(rng.uniform(0, 60, 3), 0.4, size=(50, 3)) for _ in range(12)]),
+         "equal": lambda: np.ones((90, 2)), "grid": lambda: np.array([[i // 12, i % 12] for i in range(144)], float),
+         "line": lambda: 1.3 ** np.arange(80)[:, None]}[kind]()
+    df, m, formed = _frame(spark, X), 4, []
+    got = {}
+    for r in D.knn(df, m, True, block_size=30, formed=formed).orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append((r.d, r.other))
+    away = np.zeros((len(X), len(X)))
+    for k in range(X.shape[1]):
+        away += (X[:, None, k] - X[None, :, k]) ** 2
+    away = np.sqrt(away)
+    for i in range(len(X)):
+        assert got[i] == sorted(zip(away[i].tolist(), range(len(X)), strict=True))[:m]
+    if kind == "blobs":
+        assert formed[0][0] < 0.5 * formed[0][1]
+
+
+def test_spanning_tree_forms_fewer_block_pairs_each_round(spark):
+    rng = np.random.RandomState(4)
+    X = np.vstack([rng.normal(c, 0.3, size=(40, 2)) for c in [(0, 0), (9, 0), (0, 9), (9, 9), (30, 30), (33, 30), (60, 0), (60, 4)]])
+    df, m, formed = _frame(spark, X), 4, []
+    neigh = D.knn(df, m, True, block_size=20).cache()
+    core = D.core_distances(neigh, m)
+    tree = D.minimum_spanning_tree(df, core, 20, neigh, formed=formed)
+    plain = D.minimum_spanning_tree(df, core, 1000)
+    exp = _fast_prim(_reach(X, m))
+    for t in (tree, plain):
+        rows = t.collect()
+        assert len(rows) == len(X) - 1 and sum(r.weight for r in rows) == pytest.approx(sum(w for w, _, _ in exp))
+    assert sorted((r.src, r.dst) for r in tree.collect()) == sorted((r.src, r.dst) for r in plain.collect())
+    blocks = len(X) // 20
+    assert max(formed) < 0.5 * blocks * (blocks + 1) / 2 and formed[-1] < formed[0]
+
+
+def test_one_point_without_a_finite_vector_is_noise_alone(spark):
+    rng = np.random.RandomState(5)
+    X = np.vstack([rng.normal(c, 0.2, size=(20, 2)) for c in [(0, 0), (8, 0), (0, 8)]])
+    rows = [(i, [float(a), float(b)]) for i, (a, b) in enumerate(X)]
+    odd = [(60, [float("nan"), 1.0]), (61, [float("inf"), 1.0]), (62, None), (63, [1.0, None])]
+    df = spark.createDataFrame(rows + odd, "id long, v array<double>")
+    got = {r.id: r.cluster for r in D.density_cluster(df, 5, 3).collect()}
+    alone = {r.id: r.cluster for r in D.density_cluster(df.where("id < 60"), 5, 3).collect()}
+    assert {i: c for i, c in got.items() if i < 60} == alone and len(set(alone.values()) - {-1}) == 3
+    assert all(got[i] == -1 for i, _ in odd)
+    assert {r.id: r.reason for r in D.unusable_points(df).collect()} == {
+        60: "null or non-finite number", 61: "null or non-finite number", 62: "no vector", 63: "null or non-finite number"}
+
+
+def _select(X, size, m):
+    """Condensed tree and excess of mass from a fast spanning tree."""
+    global _prim
+    slow, _prim = _prim, _fast_prim
+    try:
+        return _hdbscan(X, size, m)
+    finally:
+        _prim = slow
+
+
+@pytest.mark.parametrize("kind", ["random", "chain"])
+def test_many_small_clusters_without_a_tree_on_the_driver(spark, kind, monkeypatch):
+    """Two thousand points, clusters from two points on; groups of 8 splits, so
+    that the halving is used.  The chain's tree is as deep as it has clusters."""
+    from cardprism.operators import condensed
+    rng = np.random.RandomState(6)
+    X = rng.uniform(0, 100, size=(2000, 2))
+    if kind == "chain":
+        at = np.cumsum(1.02 ** np.arange(200))
+        X = np.repeat(at, 2)[:, None] + np.tile([0.0, 0.01], 200)[:, None] * (1 + 0.001 * np.arange(400)[:, None])
+    df = _frame(spark, X)
+    neigh = D.knn(df, 2).cache()
+    tree = D.minimum_spanning_tree(df, D.core_distances(neigh, 2), neigh=neigh)
+    monkeypatch.setattr(condensed, "GROUP_BITS", 3)
+    monkeypatch.setattr(condensed.excess_of_mass, "__defaults__", (3,))
+    labels = {}
+    for r in D.eom_select(df, tree, 2).collect():
+        labels.setdefault(r.cluster, set()).add(r.id)
+    assert {frozenset(v) for k, v in labels.items() if k != -1} == _select(X, 2, 2)
+    firsts = [min(labels[c]) for c in sorted(labels) if c >= 0]
+    assert firsts == sorted(firsts)
+
+
+def test_tree_values_and_labels_against_plain_walks(spark):
+    from cardprism.operators import condensed
+    rng = np.random.RandomState(7)
+    for shape in ("random", "deep"):
+        roots, nodes = list(range(-60, 0)), {i: (None, None) for i in range(-60, 0)}
+        for new in range(59):
+            pick = [0, len(roots) - 1] if shape == "deep" else rng.choice(len(roots), 2, replace=False).tolist()
+            a, b = (roots[i] for i in pick)
+            roots = [r for r in roots if r not in (a, b)] + [new]
+            nodes[new] = (a, b)
+        c = {n: float(rng.randint(-5, 20)) for n in nodes}
+        k = {n: float(rng.randint(-3, 4)) for n in nodes}
+        value = {}
+        for n in sorted(nodes):
+            value[n] = max(c[n], k[n] + sum(value[x] for x in nodes[n] if x is not None))
+        df = spark.createDataFrame([(n, c[n], k[n], *nodes[n]) for n in nodes], "node long, c double, k double, a long, b long")
+        assert {r.node: r.value for r in condensed.tree_values(df).collect()} == value
+        parent = {x: n for n, ab in nodes.items() for x in ab if x is not None}
+        chosen = {n: bool(rng.randint(0, 2)) for n in nodes}
+        top = {}
+        for n in sorted(nodes, reverse=True):
+            above = top.get(parent.get(n))
+            top[n] = above if above is not None else n if chosen[n] else None
+        df = spark.createDataFrame([(n, parent.get(n), chosen[n]) for n in nodes], "node long, parent long, chosen boolean")
+        assert {r.node: r.top for r in condensed.topmost(df).collect()} == top
