@@ -60,6 +60,9 @@ class SegmentationConfig:
     kmeans_max_iter: int = 300
     density_min_cluster_sizes: tuple = (5, 10, 15, 20, 30, 50)
     density_min_samples: tuple = (3, 5, 10, 15)
+    # scoring of candidates: None = exact silhouettes, O(n^2); a number = an
+    # estimate from so many points of each cluster, O(n), with standard error
+    silhouette_sample: int | None = None
 
     def with_seed(self, seed: int) -> "SegmentationConfig":
         """Seed propagation: one value feeds every seeded stage."""

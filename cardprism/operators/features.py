@@ -1,15 +1,15 @@
 """Per-card behavioural features (row flags -> aggregation -> derived).
 
-The transactions are read once: projected to the columns that the features
-need and cached (memory, then local disk; a lost block is read again).  From
-there come the aggregation of 23 features, keyed by ``card_id`` with partial
-aggregation, and the (card, amount, count) histogram behind the exact median,
-keyed by both, so a card holding a third of all rows is spread over all tasks.
+One lazy plan: the aggregation of 23 features is keyed by ``card_id`` with
+partial aggregation; the exact median reads card and amount alone, in a second
+pruned scan, and is keyed by both (``ordered_quantiles``), so a card holding a
+third of all rows is spread over all tasks.  Nothing is cached or written, and
+no job runs before the caller's action; filters on the result reach the scan.
+Callers that read the features often cut them (``cut_lineage``).
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +18,7 @@ from cardprism.functions.columns import (
     day_part_flag, elapsed_days, flag_ratio, hour_of, is_holiday, is_weekend,
     month_of, nan_to_null, safe_div, weekday_mon0,
 )
-from cardprism.operators.quantiles import histogram_quantiles
-from cardprism.session import cut_lineage
+from cardprism.operators.quantiles import ordered_quantiles
 from cardprism.schema import AGGREGATE_FEATURES, DERIVED_FEATURES, INTEGER_FEATURES
 
 TS = "transaction_timestamp"
@@ -60,7 +59,6 @@ def aggregate_cards(tx: DataFrame, cfg: SegmentationConfig = SegmentationConfig(
     t = tx.where(F.col("card_id").isNotNull()).select(
         "card_id", "transaction_id", TS, nan_to_null(F.col(AMT).cast("double")).alias(AMT), "wallet_type", "transaction_currency",
         "pos_entry_mode", "transaction_type", "merchant_city", "merchant_mcc", "acquirer_country_iso", "issuer_bank_name")
-    t = t.persist(StorageLevel.MEMORY_AND_DISK)
     flagged = t.transform(lambda d: add_time_features(d, cfg)).transform(lambda d: add_behaviour_flags(d, cfg)) \
                .transform(lambda d: add_day_parts(d, cfg))
     first = F.min(TS)
@@ -91,10 +89,7 @@ def aggregate_cards(tx: DataFrame, cfg: SegmentationConfig = SegmentationConfig(
     agg = (agg.withColumn("avg_amount", safe_div(F.col("total_amount"), F.col("_n")))
               .withColumn("total_amount", F.coalesce("total_amount", F.lit(0.0)))
               .withColumn("tx_frequency", safe_div(F.col("_rows"), F.col("days_active"))))
-    agg = cut_lineage(agg)
-    out = cut_lineage(agg.join(card_medians(t, agg, cfg), "card_id", "left").select("card_id", *AGGREGATE_FEATURES))
-    t.unpersist()
-    return out
+    return agg.join(card_medians(t, cfg), "card_id", "left").select("card_id", *AGGREGATE_FEATURES)
 
 
 def distinct_count(c):
@@ -106,10 +101,10 @@ def distinct_count(c):
     return F.size(F.collect_set(c)).cast("long")
 
 
-def card_medians(t: DataFrame, sizes: DataFrame, cfg: SegmentationConfig) -> DataFrame:
+def card_medians(t: DataFrame, cfg: SegmentationConfig) -> DataFrame:
     if cfg.median_mode == "approx":
         return t.groupBy("card_id").agg(F.percentile_approx(AMT, 0.5, 10000).cast("double").alias("median_amount"))
-    return histogram_quantiles(t, ["card_id"], AMT, [0.5], ["median_amount"], sizes.select("card_id", "_n"))
+    return ordered_quantiles(t, ["card_id"], AMT, [0.5], ["median_amount"])
 
 
 def derive(features: DataFrame) -> DataFrame:
@@ -141,8 +136,7 @@ def fill_missing(features: DataFrame) -> DataFrame:
 
 
 def customer_features(tx: DataFrame, cfg: SegmentationConfig = SegmentationConfig()) -> DataFrame:
-    """card_id + 30 features (the flagship query), on a checkpointed
-    per-card table."""
+    """card_id + 30 features (the flagship query)."""
     return fill_missing(derive(aggregate_cards(tx, cfg)))
 
 

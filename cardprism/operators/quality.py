@@ -254,6 +254,75 @@ def silhouette_many(points: DataFrame, labels: DataFrame, block_size: int | None
     return sizes.join(val, "cand", "left").select("cand", F.when(F.col("ok"), F.col("silhouette")).alias("silhouette"))
 
 
+def silhouette_sampled_many(points: DataFrame, labels: DataFrame, per_cluster: int, seed: int = 42) -> DataFrame:
+    """An estimate of every labelling's silhouette and its standard
+    error: (cand, silhouette, error), NULL under the rules of Q03.
+
+    A stratified sample: of each cluster the ``per_cluster`` points whose hash
+    of seed and id is smallest (small clusters whole), each compared with ALL
+    points of its labelling, so every sampled silhouette is exact.  Strata are
+    weighted by their sizes; the error has the finite-population correction and
+    is 0 when all clusters are whole.  The sample (candidates x clusters x
+    ``per_cluster`` vectors, whatever the input) goes with the tasks; the work
+    is O(sample x n), and a task returns one row per sampled point and cluster."""
+    if per_cluster < 2:
+        raise ValueError("a stratum needs two points for an error")
+    spark = points.sparkSession
+    top = labels.agg(F.max("cand").alias("m"), F.max("cluster").alias("k")).first()
+    if top["m"] is None:
+        return spark.createDataFrame([], "cand int, silhouette double, error double")
+    n_cands, kmax = top["m"] + 1, top["k"] + 1
+    draw = Window.partitionBy("cand", "cluster").orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")), 256), "id")
+    drawn = labels.withColumn("nr", F.row_number().over(draw)).where(F.col("nr") <= per_cluster).select("id", "cand", "cluster")
+    drawn = drawn.groupBy("id").agg(F.collect_list(F.struct("cand", "cluster")).alias("of"))
+    sample = points.select("id", "v").join(F.broadcast(drawn), "id").toPandas()   # bounded by the sample's size
+    S = vectors(sample)
+    members = {}
+    for at, of in enumerate(sample["of"]):
+        for x in of:
+            members.setdefault(x["cand"], []).append((at, x["cluster"]))
+    place = {c: np.array([a for a, _ in rows]) for c, rows in members.items()}
+    ids = sample["id"].to_numpy()
+    labs = labels.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("cand", "cluster"))).alias("_m"))   # a row per candidate
+    labs = labs.select("id", F.transform(F.sequence(F.lit(0), F.lit(n_cands - 1)),
+                                         lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(-1)).cast("long")).alias("labs"))
+
+    def run(batches):
+        sums = {c: np.zeros((len(rows), kmax)) for c, rows in place.items()}
+        counts = {c: np.zeros(kmax, np.int64) for c in place}
+        for pdf in batches:
+            L = np.stack(pdf["labs"].to_numpy())
+            onehots = {c: (L[:, c][:, None] == np.arange(kmax)[None, :]).astype(np.float64) for c in place}
+            for c in place:
+                counts[c] += onehots[c].sum(0).astype(np.int64)
+            R = vectors(pdf)
+            for rows, D in tiles(S, R):
+                for c, at in place.items():
+                    here = np.flatnonzero((at >= rows.start) & (at < rows.stop))
+                    sums[c][here] += D[at[here] - rows.start] @ onehots[c]
+        for c, at in place.items():
+            here = np.flatnonzero(counts[c])
+            if len(here):
+                yield pd.DataFrame({"id": np.repeat(ids[at], len(here)), "cand": c, "cluster": np.repeat([k for _, k in members[c]], len(here)),
+                                    "other": np.tile(here, len(at)), "dsum": sums[c][:, here].reshape(-1), "cnt": np.tile(counts[c][here], len(at))})
+
+    near = points.select("id", "v").join(labs, "id").select("v", "labs").mapInPandas(run, PAIR_SUMS)
+    per = _mean_silhouettes(near, ["cand"]).groupBy("cand", "cluster").agg(
+        F.avg("s").alias("mean"), F.coalesce(F.var_samp("s"), F.lit(0.0)).alias("var"), F.count(F.lit(1)).alias("drawn"))
+    sizes = labels.groupBy("cand", "cluster").agg(F.count(F.lit(1)).alias("size"))
+    per = per.join(sizes, ["cand", "cluster"]).withColumn("w", F.col("size") / F.sum("size").over(Window.partitionBy("cand")))   # a row per cluster
+    spread = F.col("w") * F.col("w") * (1 - F.col("drawn") / F.col("size")) * F.col("var") / F.col("drawn")
+    ok = (F.count(F.lit(1)) >= 2) & (F.min("size") >= 2)
+    return per.groupBy("cand").agg(F.when(ok, F.sum(F.col("w") * F.col("mean"))).alias("silhouette"), F.when(ok, F.sqrt(F.sum(spread))).alias("error"))
+
+
+def silhouette_sampled(points: DataFrame, per_cluster: int, seed: int = 42) -> DataFrame:
+    """Q03b for one labelling (noise removed first): (silhouette, error)."""
+    p = points.where(F.col("cluster") != NOISE)
+    out = silhouette_sampled_many(p, p.select("id", F.lit(0).alias("cand"), "cluster"), per_cluster, seed)
+    return out.agg(F.max("silhouette").alias("silhouette"), F.max("error").alias("error"))
+
+
 def balance_many(labels: DataFrame) -> DataFrame:
     """Q02 for many labelings at once: (cand, n_clusters, balance_ratio,
     largest_cluster_pct, noise_ratio)."""

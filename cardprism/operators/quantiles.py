@@ -145,40 +145,67 @@ def column_quantiles(df: DataFrame, columns, probs, names=None, **kw) -> DataFra
     return grouped_quantiles(long, ["feature"], "x", probs, names, bounded_groups=True, **kw)
 
 
-def histogram_quantiles(df: DataFrame, keys, value: str, probs, names, group_sizes: DataFrame, *,
-                        max_group: int = 200_000) -> DataFrame:
-    """Exact quantiles for MANY groups (e.g. one median per card) in one pass.
-
-    ``group_sizes`` holds (keys, _n) with the non-null value count per group,
-    typically a by-product of an aggregation that already ran.  Groups with
-    at most ``max_group`` values are solved from a (group, value, count)
-    histogram - partial-aggregated, so ties collapse map-side - with a
-    running sum per group (bounded by ``max_group`` entries).  Larger groups
-    (a hot key) are routed to the sketch-bracketed ``grouped_quantiles``;
-    their ids are at most rows / max_group, a proven bound for broadcasting."""
+def _coarse(x):
+    """A long that rises with x: sign and 1/256 octaves of its size (``log2``
+    rises or stays as its argument rises, so equal or larger x never get a
+    smaller one).  At most about a million values."""
+    octave = F.when(F.abs(x) == float("inf"), F.lit(1_000_000)).otherwise(F.floor(F.log2(F.abs(x)) * 256) + 300_000)
+    return F.when(x == 0, F.lit(0)).otherwise(F.signum(x) * octave).cast("long")
+
+
+def ordered_quantiles(df: DataFrame, keys, value: str, probs, names) -> DataFrame:
+    """Exact quantiles for MANY groups of any size (e.g. one median per card),
+    as one lazy plan: no job before the caller's action, no cache, no list of
+    large groups, nothing broadcast by hand.
+
+    The order statistics are found digit by digit.  Rows collapse into (group,
+    value, count), spread by group *and* value.  A first digit (1/256 octave)
+    has at most a million values whatever the data: its counts, summed up per
+    group, tell in which bin each wanted rank lies.  Only these bins' rows are
+    looked at again: by their value as a float (some 20,000 in a bin), then by
+    the value itself (the doubles that round to one float).  So a group with a
+    third of all rows is never sorted or held by one task; its windows run over
+    bins.  The rows' second distribution, by group and bin, serves both
+    looks.  Groups without non-null values are absent (callers left-join)."""
     keys = list(keys)
-    probs = [float(p) for p in probs]
     x = F.col(value).cast("double")
     base = df.select(*keys, x.alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
-    heavy = group_sizes.where(F.col("_n") > max_group).select(*keys)
-    n_heavy = heavy.count()
-    hist = base.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"))
-    if n_heavy:
-        hist = hist.join(F.broadcast(heavy), keys, "left_anti")
-    w = Window.partitionBy(*keys).orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hist = hist.withColumn("_cum", F.sum("_c").over(w)) \
-               .withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
-    aggs = []
-    for p, name in zip(probs, names):
-        pos = F.lit(p) * (F.col("_n") - 1)
-        r0, r1 = F.floor(pos), F.ceil(pos)
-        v0 = F.min(F.when(F.col("_cum") > r0, F.col("_x")))
-        v1 = F.min(F.when(F.col("_cum") > r1, F.col("_x")))
-        aggs += [v0.alias(f"_v0_{name}"), v1.alias(f"_v1_{name}"), F.first(pos).alias(f"_pos_{name}")]
-    light = hist.groupBy(*keys).agg(*aggs).select(*keys, *[
-        (F.col(f"_v0_{n}") + (F.col(f"_v1_{n}") - F.col(f"_v0_{n}"))
-         * (F.col(f"_pos_{n}") - F.floor(F.col(f"_pos_{n}")))).alias(n) for n in names])
-    if not n_heavy:
-        return light
-    hot = grouped_quantiles(df.join(F.broadcast(heavy), keys, "left_semi"), keys, value, probs, names)
-    return light.unionByName(hot)
+    hist = base.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c")).withColumn("_e", _coarse(F.col("_x")))
+    spread = hist.select(*keys, "_e", "_x", "_c").repartition(*keys, "_e")
+
+    def sums(counts, within, order):
+        w = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return counts.withColumn("_to", F.sum("_c").over(w)).withColumn("_from", F.col("_to") - F.col("_c"))
+
+    def holds(rank):
+        return (rank >= F.col("_from")) & (rank < F.col("_to"))
+
+    bins = sums(hist.groupBy(*keys, "_e").agg(F.sum("_c").alias("_c")), keys, "_e")
+    bins = bins.withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
+    wanted = []
+    for i, p in enumerate(probs):
+        at = F.lit(float(p)) * (F.col("_n") - 1)
+        wanted += [F.struct(F.lit(2 * i + up).alias("_i"), at.alias("_pos"), rank.cast("long").alias("_rank")) for up, rank in enumerate((F.floor(at), F.ceil(at)))]
+    bins = bins.select(*keys, "_e", "_from", F.explode(F.filter(F.array(*wanted), lambda r: holds(r["_rank"]))).alias("_w"))
+    bins = bins.select(*keys, "_e", "_w._i", "_w._pos", (F.col("_w._rank") - F.col("_from")).alias("_rank"))
+    rank = [*keys, "_i"]
+    narrow = F.col("_x").cast("float")
+    floats = spread.join(bins, [*keys, "_e"]).groupBy(*rank, "_e", "_pos", "_rank", narrow.alias("_f")).agg(F.sum("_c").alias("_c"))
+    floats = sums(floats, rank, "_f").where(holds(F.col("_rank")))
+    floats = floats.select(*rank, "_e", "_pos", "_f", (F.col("_rank") - F.col("_from")).alias("_rank"))
+    # "not less and not more" instead of "=": so the rows stay where they are, spread by group and bin
+    exact = spread.join(floats, [*keys, "_e"]).where((narrow >= F.col("_f")) & (narrow <= F.col("_f")))
+    exact = exact.groupBy(*rank, "_pos", "_rank", "_x").agg(F.sum("_c").alias("_c"))
+    exact = sums(exact, rank, "_x").where(holds(F.col("_rank")))
+    out = []
+    for i, name in enumerate(names):
+        low, high = (F.max(F.when(F.col("_i") == 2 * i + up, F.col("_x"))) for up in (0, 1))
+        pos = F.max(F.when(F.col("_i") == 2 * i, F.col("_pos")))
+        out.append(F.when(low == high, low).otherwise(low + (high - low) * (pos - F.floor(pos))).alias(name))
+    return exact.groupBy(*keys).agg(*out)
+
+
+def histogram_quantiles(df: DataFrame, keys, value: str, probs, names, group_sizes: DataFrame | None = None, *,
+                        max_group: int | None = None) -> DataFrame:
+    """``ordered_quantiles``, which needs neither the groups' sizes nor a limit."""
+    return ordered_quantiles(df, keys, value, probs, names)

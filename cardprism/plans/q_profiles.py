@@ -11,10 +11,12 @@ from cardprism.plans.q_features import features_of
 from cardprism.plans.q_quality import ARCHETYPE_SQL, archetype
 from cardprism.plans.registry import MONEY, register, round_by_metric, round_doubles
 from cardprism.plans.sqlgen import features_ctes, rc, rnd
+from cardprism.session import cut_lineage
 
 
 def labelled(spark, sf, col="cluster"):
-    return features_of(spark, sf, "orders").withColumn(col, archetype())
+    """Labelled card features, as a table: profiles and reports read them several times."""
+    return cut_lineage(features_of(spark, sf, "orders").withColumn(col, archetype()))
 
 
 def profiles(spark, sf):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cardprism.operators.quality import (
     calinski_harabasz, cluster_balance, cluster_sizes, davies_bouldin, quality_report, silhouette,
-    silhouette_sq_euclidean, size_stats,
+    silhouette_sampled, silhouette_sq_euclidean, size_stats,
 )
 from cardprism.operators.vectors import as_points
 from cardprism.plans.q_features import features_of
@@ -62,6 +62,17 @@ per as (select id, cluster, max(case when other = cluster then dsum / (cnt - 1)
 select {rnd("avg(case when own <= 1 then 0.0 else coalesce((b - a) / greatest(a, b), 0.0) end)")} as silhouette from per"""
 
 register("silhouette_exact", SIL_SQL)(lambda spark, sf: round_doubles(silhouette(emb_points(spark, sf))))
+# At most SAMPLE points of each cluster, drawn by hash, against all points.
+SAMPLE = 20
+register("silhouette_sampled", f"""{SIL_SQL[:SIL_SQL.rindex("select")].rstrip()},
+drawn as (select id, row_number() over (partition by cluster order by sha256('42:' || id), id) as nr, count(*) over (partition by cluster) as size,
+            count(*) over () as total from p),
+st as (select cluster, max(size) as size, max(total) as total, count(*) as n, avg(s) as mean, coalesce(var_samp(s), 0) as var
+       from (select *, case when own <= 1 then 0.0 else coalesce((b - a) / greatest(a, b), 0.0) end as s from per) join drawn using (id)
+       where nr <= {SAMPLE} group by cluster)
+select {rnd("sum(size * mean / total)")} as silhouette,
+  {rnd("sqrt(sum((size / total) * (size / total) * (1 - n / size) * var / n))")} as error from st""")(
+    lambda spark, sf: round_doubles(silhouette_sampled(emb_points(spark, sf), SAMPLE)))
 register("silhouette_fast", SIL_SQL.replace("sum(list_distance(a.v, b.v))", "sum(list_distance(a.v, b.v) * list_distance(a.v, b.v))").replace(
     "as silhouette from", "as silhouette_sq from"))(lambda spark, sf: round_doubles(silhouette_sq_euclidean(emb_points(spark, sf))))
 

@@ -23,7 +23,7 @@ from cardprism.operators import kmeans as KM
 from cardprism.operators.density import density_sweep
 from cardprism.operators.features import customer_features
 from cardprism.operators.preprocess import PreprocessModel, fit_preprocess
-from cardprism.operators.quality import balance_many, silhouette_many
+from cardprism.operators.quality import balance_many, silhouette_many, silhouette_sampled_many
 from cardprism.operators.selection import RUNS_SCHEMA, best_model, best_of, choose_n_components, model_score
 from cardprism.session import cut_lineage, partitioned
 
@@ -52,16 +52,17 @@ def predict_centers(points: DataFrame, centers: dict) -> DataFrame:
     return points.select("id", "v").mapInPandas(mapper, "id long, cand int, cluster int")
 
 
-def _score_candidates(spark, points, labels, cands: list[Candidate], block_size: int | None) -> DataFrame:
+def _score_candidates(spark, points, labels, cands: list[Candidate], block_size: int | None, sample: int | None = None, seed: int = 42) -> DataFrame:
     """Balance and silhouette of every candidate; one blocked distance pass
-    for all silhouettes.  Failed candidates become rows with their error."""
+    for all silhouettes, or one pass against a sample of each cluster.  Failed candidates become rows with their error."""
     good = [c for c in cands if c.error is None]
     sil, bal = {}, {}
     if good:
         place = {c.cand: i for i, c in enumerate(good)}
         remap = F.create_map(*[F.lit(x) for kv in place.items() for x in kv])
         placed = labels.where(F.col("cluster") >= 0).select("id", remap[F.col("cand")].alias("cand"), "cluster")
-        sil = {r["cand"]: r["silhouette"] for r in silhouette_many(points, placed, block_size).collect()}
+        scored = silhouette_sampled_many(points, placed, sample, seed) if sample else silhouette_many(points, placed, block_size)
+        sil = {r["cand"]: r["silhouette"] for r in scored.collect()}
         sil = {c: sil.get(i) for c, i in place.items()}
         bal = {r["cand"]: r for r in balance_many(labels).collect()}
     rows = []
@@ -149,7 +150,7 @@ def perform_clustering(points: DataFrame, cfg: SegmentationConfig = Segmentation
             more = [Candidate(len(cands), family, -1, error=f"{type(e).__name__}: {str(e)[:200]}")]
         cands += more
     lab = functools.reduce(DataFrame.unionByName, labels) if labels else spark.createDataFrame([], "id long, cand int, cluster int")
-    runs = _score_candidates(spark, points, lab, cands, block_size)
+    runs = _score_candidates(spark, points, lab, cands, block_size, cfg.silhouette_sample, cfg.seed)
     if any(c.algorithm == "gmm_auto_search" for c in cands):
         n_best = choose_n_components(runs, cfg.gmm_auto_criterion).first()[0]
         chosen = runs.where((F.col("algorithm") == "gmm_auto_search") & (F.col("k") == n_best))
@@ -182,7 +183,7 @@ class SegmentationResult:
 
 
 def run_segmentation(tx: DataFrame, cfg: SegmentationConfig = SegmentationConfig()) -> SegmentationResult:
-    features = customer_features(tx, cfg)
+    features = cut_lineage(customer_features(tx, cfg))
     model = fit_preprocess(features, cfg)
     matrix = cut_lineage(model.transform(features).select(F.col("card_id").alias("id"), "v"))
     runs, lab, best, _ = perform_clustering(matrix, cfg)

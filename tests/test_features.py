@@ -95,3 +95,20 @@ def test_sums_keep_small_amounts_and_stand_infinite_ones(spark):
     assert got[3]["total_amount"] == pytest.approx(1.8e19)
     clean = {r["card_id"]: r for r in clean_features(spark.createDataFrame(list(got.values()))).collect()}
     assert clean[2]["total_amount"] == clean[3]["total_amount"]
+
+
+def test_features_are_one_lazy_plan(spark):
+    """Building the frame starts no job and caches nothing; a filter on the
+    card reaches the source."""
+    rows = spark.range(0, 50).selectExpr("cast(id as string) as transaction_id", "timestamp_ntz'2024-01-05 10:00:00' as transaction_timestamp", "id % 5 as card_id",
+                                         "cast(id as double) as transaction_amount_kzt", *[f"'x' as {c}" for c in (
+                                             "wallet_type", "transaction_currency", "pos_entry_mode", "transaction_type", "merchant_city", "acquirer_country_iso", "issuer_bank_name")],
+                                         "cast(1 as int) as merchant_mcc")
+    tracker, sc = spark.sparkContext.statusTracker(), spark.sparkContext
+    sc.setJobGroup("lazy", "features")
+    df = customer_features(rows)
+    assert not tracker.getJobIdsForGroup("lazy")
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    plan = df.where("card_id = 3")._jdf.queryExecution().toString()
+    assert "InMemoryRelation" not in plan
+    assert df.where("card_id = 3").first().median_amount == 25.5

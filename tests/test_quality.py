@@ -97,3 +97,55 @@ def test_db_ch(blobs):
     W = sum(((X[lab == k] - C[k]) ** 2).sum() for k in range(3))
     B = sum((lab == k).sum() * ((C[k] - X.mean(0)) ** 2).sum() for k in range(3))
     assert calinski_harabasz(df).first()[0] == pytest.approx((B / 2) / (W / (len(X) - 3)))
+
+
+# --- sampled silhouette -----------------------------------------------------------
+
+def test_sampled_silhouette_holds_the_exact_one_within_its_error(spark):
+    from cardprism.operators.quality import silhouette, silhouette_sampled
+    from cardprism.plans.q_quality import emb_points
+    p = emb_points(spark, "/root/testdata/sf0.01").cache()
+    exact = silhouette(p).first()[0]
+    for seed in range(20):
+        r = silhouette_sampled(p, 20, seed).first()
+        assert 0 < r.error < 0.01 and abs(r.silhouette - exact) <= 3 * r.error
+    whole = silhouette_sampled(p, 10_000).first()
+    assert whole.error == 0 and whole.silhouette == pytest.approx(exact, abs=1e-9)
+
+
+def test_sampled_silhouettes_of_many_labellings(spark):
+    """Noise absent from some labellings, a cluster of two, labellings without
+    a silhouette; small clusters are whole."""
+    from cardprism.operators.quality import silhouette_many, silhouette_sampled_many
+    rng = np.random.RandomState(2)
+    X = np.vstack([rng.normal(c, 0.5, size=(40, 2)) for c in [(0, 0), (4, 0), (0, 4)]])
+    pts = spark.createDataFrame([(i, [float(a) for a in x]) for i, x in enumerate(X)], "id long, v array<double>").repartition(3)
+    labs = [(i, 0, i // 40) for i in range(120)] + [(i, 1, 0 if i < 2 else 1) for i in range(100)] + [(i, 2, 0) for i in range(120)] + \
+           [(i, 3, 1 if i == 5 else 0) for i in range(120)]
+    labels = spark.createDataFrame(labs, "id long, cand int, cluster int")
+    exact = {r.cand: r.silhouette for r in silhouette_many(pts, labels).collect()}
+    whole = {r.cand: r for r in silhouette_sampled_many(pts, labels, 200).collect()}
+    some = {r.cand: r for r in silhouette_sampled_many(pts, labels, 15).collect()}
+    assert set(whole) == set(some) == set(exact) == {0, 1, 2, 3}
+    for c in (0, 1):
+        assert whole[c].silhouette == pytest.approx(exact[c]) and whole[c].error == 0
+        assert some[c].error > 0 and abs(some[c].silhouette - exact[c]) <= 4 * some[c].error
+    assert exact[2] is None and exact[3] is None and all(x[c].silhouette is None and x[c].error is None for x in (whole, some) for c in (2, 3))
+    with pytest.raises(ValueError):
+        silhouette_sampled_many(pts, labels, 1)
+    assert silhouette_sampled_many(pts, labels.limit(0), 5).count() == 0
+
+
+def test_model_selection_with_sampled_silhouettes(spark):
+    from cardprism.config import SegmentationConfig
+    from cardprism.plans.segmentation import perform_clustering
+    rng = np.random.RandomState(3)
+    X = np.vstack([rng.normal(c, 0.4, size=(80, 2)) for c in [(0, 0), (6, 0), (0, 6), (6, 6)]])
+    pts = spark.createDataFrame([(i, [float(a) for a in x]) for i, x in enumerate(X)], "id long, v array<double>")
+    out = {}
+    for sample in (None, 20):
+        cfg = SegmentationConfig(algorithm="kmeans", kmeans_k=(3, 4, 5), kmeans_restarts=2, kmeans_max_iter=50, silhouette_sample=sample)
+        runs, _, best, cands = perform_clustering(pts, cfg)
+        out[sample] = (cands[best].k, {r.k: r.silhouette for r in runs.collect()})
+    assert out[None][0] == out[20][0] == 4
+    assert all(out[20][1][k] == pytest.approx(out[None][1][k], abs=0.1) for k in (3, 4, 5))
