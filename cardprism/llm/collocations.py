@@ -40,6 +40,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -53,7 +54,7 @@ SHARD_TOKENS = 1 << 19
 VOCABULARY, CHUNK = 1 << 18, 1 << 14       # words of one vocabulary, and of one row of it
 BROADCAST_WORDS = 500_000                  # frequent words that are broadcast (some 50 MB)
 BROADCAST_PHRASES = 2_000_000              # frequent phrases that are broadcast (16 MB)
-HELD, ROWS = 1 << 20, 1 << 16              # phrases that a task adds up, and hands on at once
+HELD, ROWS = 1 << 21, 1 << 16              # phrases that a task adds up, and hands on at once
 SLICE = 4 << 20                            # bytes of a text read at once
 TASK_SHARDS = 1 << 12                      # shards of one task
 LOW = (1 << 32) - 1                        # a phrase's key is p << 32 | s
@@ -86,19 +87,19 @@ class _Vocabulary:
             self.by_lang[lang] = _Words(lang, self)
         return np.fromiter(map(self.by_lang[lang].__getitem__, tokens), np.int32, len(tokens))
 
-    def shard(self, number: int, parts: list[np.ndarray]) -> pd.DataFrame:
+    def shard(self, number: int, parts: list[np.ndarray]) -> dict:
         """Row of a finished shard."""
         seq = np.concatenate(parts)
         freq = np.bincount(seq, minlength=len(self.words) + 1)
         freq[:len(self.freq)] += self.freq
         self.freq = freq
-        return pd.DataFrame({"shard": [number], "vocabulary": [self.number], "seq": [pack(seq)], "base": [0], "words": [None]})
+        return {"shard": number, "vocabulary": self.number, "seq": pack(seq), "base": 0, "words": None}
 
     def rows(self):
         for a in range(0, len(self.words), CHUNK):
             words = [{"lang": x, "word": w, "n": n} for x, w, n in
                      zip(self.langs[a:a + CHUNK], self.words[a:a + CHUNK], self.freq[a + 1:a + 1 + CHUNK].tolist(), strict=True)]
-            yield pd.DataFrame({"shard": [0], "vocabulary": [self.number], "seq": [None], "base": [a + 1], "words": [words]})
+            yield {"shard": 0, "vocabulary": self.number, "seq": None, "base": a + 1, "words": words}
 
 
 def pack(seq: np.ndarray) -> bytes:
@@ -122,30 +123,38 @@ def slices(text: bytes, size: int = SLICE):
 def shards(docs: DataFrame, lang_col: str, text_col: str, tokens: int = SHARD_TOKENS, vocabulary: int = VOCABULARY) -> DataFrame:
     """Rows of two kinds: a shard's sequence (``seq``), or a part of a
     vocabulary (``words``, the first of them symbol ``base``)."""
+    columns = pa.schema([("shard", pa.int64()), ("vocabulary", pa.int64()), ("seq", pa.binary()), ("base", pa.int32()),
+                         ("words", pa.list_(pa.struct([("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64())])))])
+
+    def batch_of(row):
+        return pa.RecordBatch.from_pylist([row], columns)
+
     def run(batches):
         task = TaskContext.get().partitionId()
         made, size, parts, known = 0, 0, [], _Vocabulary(task * TASK_SHARDS)
-        for pdf in batches:
-            for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
-                for part in slices(text.translate(_TABLE)):
+        for batch in batches:
+            langs, texts = batch.column(0), batch.column(1)
+            for i in range(batch.num_rows):   # one text at a time leaves Arrow's memory
+                lang = langs[i].as_py()
+                for part in slices(texts[i].as_py().translate(_TABLE)):
                     symbols = known.symbols(lang, part.replace(b".", b" . ").split())   # what splits is blank or tab: line ends are "." by now
                     parts += [symbols, np.zeros(1, np.int32)]
                     size += len(symbols)
                     if size >= tokens:
-                        yield known.shard(task * TASK_SHARDS + made, parts)
+                        yield batch_of(known.shard(task * TASK_SHARDS + made, parts))
                         made, size, parts = made + 1, 0, []
                         if made == TASK_SHARDS or task >= 1 << 20:
                             raise ValueError("too many shards for their numbers: raise the shard size")
                         if len(known.words) >= vocabulary:
-                            yield from known.rows()
+                            yield from map(batch_of, known.rows())
                             known = _Vocabulary(task * TASK_SHARDS + made)
         if size:
-            yield known.shard(task * TASK_SHARDS + made, parts)
-        yield from known.rows()
+            yield batch_of(known.shard(task * TASK_SHARDS + made, parts))
+        yield from map(batch_of, known.rows())
 
     rows = docs.select(F.coalesce(F.col(f"`{lang_col}`"), F.lit("und")).alias("lang"),
                        F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"))
-    return rows.mapInPandas(run, "shard bigint, vocabulary bigint, seq binary, base int, words array<struct<lang:string,word:binary,n:bigint>>")
+    return rows.mapInArrow(run, "shard bigint, vocabulary bigint, seq binary, base int, words array<struct<lang:string,word:binary,n:bigint>>")
 
 
 def _lists(found: DataFrame, key: str, *columns: str) -> DataFrame:
@@ -269,12 +278,14 @@ def phrases(docs: DataFrame, scratch: Scratch, min_count: int, max_words: int =
     words = made.where("seq is null").select("vocabulary", "base", F.posexplode("words").alias("at", "w"))
     words = words.select("vocabulary", (F.col("base") + F.col("at")).alias("lo"), "w.lang", "w.word", "w.n")
     counts = scratch.put(words.groupBy("lang", "word").agg(F.sum("n").alias("a")), "words")
-    totals = counts.groupBy("lang").agg(F.sum("a").alias("n"))
+    totals = scratch.put(counts.groupBy("lang").agg(F.sum("a").alias("n")), "totals")
     frequent = counts.where(F.col("a") >= min_count)
     frequent = number_rows(frequent, ["lang", "word"], scratch, "frequent", "id")
     names = frequent.select("lang", "word", "id")
     known = words.join(F.broadcast(names) if _countable(names) <= BROADCAST_WORDS else names, ["lang", "word"])
     kept = scratch.put(_without_rare(made, known), "kept")
+    scratch.drop("shards")
+    scratch.drop("words")
     none, word = F.array().cast("array<bigint>"), F.col("word").cast("string")
     tables = [frequent.select("id", "lang", word.alias("phrase"), word.alias("last"), "a", none.alias("heads"), none.alias("tails"))]
     known = []
