@@ -58,7 +58,7 @@ def expected(rows, bench, labels):
         for e in sorted(sets):
             if e < d and sets[d] and sets[e]:
                 both = len(sets[d] & sets[e])
-                if 100 * both >= 85 * (len(sets[d]) + len(sets[e]) - both):
+                if 100 * both >= 80 * (len(sets[d]) + len(sets[e]) - both):
                     linked[d] = min(linked[d], linked[e])
     rows = [(d, t) for d, t in rows if d is None or linked[d] == d]
     joined = lambda t: " ".join(re.findall(r"\w+", (t or "").lower()))
@@ -76,7 +76,7 @@ def test_every_stage_takes_effect(tmp_path, spark):
 def test_stages_keep_columns_and_stand_empty_tables(tmp_path, spark):
     rows, bench, labels = corpus()
     sf = build(tmp_path, spark, rows[:40], bench, labels)
-    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("*", "doc_id as node", "'x' as leaks", "1 as row", "2 as name")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("*", "doc_id as node", "'x' as leaks", "1 as row", "2 as name", "3 as `meta.url`", "4 as `a``b`")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, sf)
         assert out.columns == docs.columns and out.dtypes == docs.dtypes and out.count() > 0
@@ -92,6 +92,6 @@ def test_repeated_rows_stay_once(spark, tmp_path):
 
 def test_every_operator_is_registered():
     heads = {q.split("_")[0] for q in QUERIES}
-    assert heads == {f"op{n}" for n in range(1, 11)} | {"pipeline"}
-    assert set(ORACLE) == {"op2_exact_dedup", "op8_url_filter", "op10_line_dedup"}
+    assert heads == {f"op{n}" for n in range(1, 14)} | {"pipeline"}
+    assert set(ORACLE) == {"op2_exact_dedup", "op8_url_filter", "op10_line_dedup", "op11_phrase_collocations", "op13_importance_resampling"}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact dedup", "near dedup", "decontamination", "packing"]
