@@ -60,21 +60,35 @@ def feature_quality(features: DataFrame, key: str = "card_id") -> DataFrame:
     return wide.select(F.explode(F.array(*pairs)).alias("s")).select("s.*")
 
 
+def field_names(df: DataFrame, json_col: str | None = None, attribute_col: str | None = None) -> DataFrame:
+    """(name): the fields that the data hold: the table's columns, the keys
+    found in a column of JSON objects, and the attributes named by a column of
+    a long table.  Keys and attributes are distinct values, summed up before
+    they are shuffled."""
+    names = df.sparkSession.createDataFrame([(c,) for c in df.columns if c not in (json_col, attribute_col)], "name string")
+    if json_col:
+        names = names.unionByName(df.select(F.explode(F.json_object_keys(F.col(json_col))).alias("name")).distinct())
+    if attribute_col:
+        names = names.unionByName(df.select(F.col(attribute_col).cast("string").alias("name")).where("name is not null").distinct())
+    return names.distinct()
+
+
 def dictionary_audit(spark: SparkSession, dictionary: DataFrame, columns, raw_category: str,
                      engineered=()) -> DataFrame:
     """Names documented but absent, and present but undocumented, for raw
-    and engineered fields.  Two anti joins over name tables."""
-    raw_doc = dictionary.where(F.col("category") == raw_category).select("name")
-    eng_doc = dictionary.where(F.col("category") != raw_category).select("name")
-    raw = spark.createDataFrame([(c,) for c in columns], "name string")
-    eng = spark.createDataFrame([(c,) for c in engineered], "name string")
+    and engineered fields.  ``columns`` and ``engineered`` are lists or, for
+    names found in the data, frames (name).  Anti joins over name tables."""
+    def names(found):
+        return found.select("name") if isinstance(found, DataFrame) else spark.createDataFrame([(c,) for c in found], "name string")
 
     def tag(d, kind, side):
         return d.select(F.lit(kind).alias("kind"), F.lit(side).alias("problem"), "name")
-    return (tag(raw.join(raw_doc, "name", "left_anti"), "raw", "undocumented")
-            .unionByName(tag(raw_doc.join(raw, "name", "left_anti"), "raw", "superfluous"))
-            .unionByName(tag(eng.join(eng_doc, "name", "left_anti"), "engineered", "undocumented"))
-            .unionByName(tag(eng_doc.join(eng, "name", "left_anti"), "engineered", "superfluous")))
+
+    out = []
+    for kind, found, documented in (("raw", columns, F.col("category") == raw_category), ("engineered", engineered, F.col("category") != raw_category)):
+        have, doc = names(found), dictionary.where(documented).select("name")
+        out += [tag(have.join(doc, "name", "left_anti"), kind, "undocumented"), tag(doc.join(have, "name", "left_anti"), kind, "superfluous")]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
 def dictionary_categories(dictionary: DataFrame) -> DataFrame:

@@ -6,14 +6,16 @@ from pyspark.sql import functions as F
 
 from cardprism.operators.features import attach_labels
 from cardprism.operators.quality import drop_noise
-from cardprism.operators.validation import column_report, feature_quality, null_keys, table_profile
+from cardprism.operators.validation import (
+    column_report, dictionary_audit, dictionary_categories, feature_quality, field_names, null_keys, table_profile,
+)
 from cardprism.plans.q_features import _inject, features_of
 from cardprism.plans.q_quality import ARCHETYPE_SQL, archetype
 from cardprism.plans.registry import register, round_doubles, table
 from cardprism.plans.sqlgen import features_ctes, rc, tx_cte
 from cardprism.sources.adapters import events_transactions, orders_transactions
-from cardprism.sources.readers import load_stats, load_transactions, seeded_sample
-from cardprism.sources.sinks import save_table, scratch_path
+from cardprism.sources.readers import load_stats, load_transactions, read_dictionary, seeded_sample
+from cardprism.sources.sinks import save_table, save_text, scratch_path
 
 TX_COLS = ("transaction_id, transaction_timestamp, card_id, issuer_bank_name, merchant_mcc, "
            "merchant_city, transaction_type, transaction_amount_kzt, transaction_currency, "
@@ -101,3 +103,46 @@ register("attach_labels", f"""with {features_ctes('events')} select card_id, tx_
     lambda spark, sf: round_doubles(attach_labels(features_of(spark, sf, "events"), _labels(spark, sf)).select("card_id", "tx_count", "total_amount", "cluster")))
 register("noise_filter", f"""with {features_ctes('events')} select card_id, {ARCHETYPE_SQL} as cluster from features where {ARCHETYPE_SQL} <> -1""")(
     lambda spark, sf: drop_noise(_labels(spark, sf)))
+
+
+# A data dictionary written from the events of a few users, with
+# comment lines, read back, and held against the fields of all events: columns,
+# JSON keys, and the attributes of the long form (event type and key value).
+# Attributes of odd key values are engineered fields, by event type.
+
+_ATTRIBUTE = {"spark": "concat(event_type, '_', get_json_object(props, '$.k'))", "duck": "event_type || '_' || json_extract_string(props, '$.k')"}
+_ODD = {"spark": "cast(get_json_object(props, '$.k') as int) % 2 = 1", "duck": "cast(json_extract_string(props, '$.k') as int) % 2 = 1"}
+_DOCUMENTED = "user_id % 29 = 1"
+
+
+def _dictionary(spark, sf):
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    names = events.where(_DOCUMENTED).selectExpr(f"{_ATTRIBUTE['spark']} as name", f"case when {_ODD['spark']} then event_type else 'raw' end as category").distinct()
+    names = names.select(F.lit(2).alias("place"), F.concat_ws(",", "name", "category").alias("value"))
+    head = ["# fields of the events table", "name,category", "event_id,raw", "ts,raw", "# the next one is not in the table", "channel,raw"]
+    lines = spark.createDataFrame([(min(i, 2), line) for i, line in enumerate(head)], "place int, value string").unionByName(names)
+    path = scratch_path(spark, "dictionary")
+    save_text(lines.repartition(1).sortWithinPartitions("place", "value").select("value"), path)   # a line per documented field
+    return read_dictionary(spark, path)
+
+
+def _audit(spark, sf):
+    events = spark.read.parquet(f"{sf}/events.parquet").withColumn("attribute", F.expr(_ATTRIBUTE["spark"])).withColumn("odd", F.expr(_ODD["spark"]))
+    raw = field_names(events.where("not odd").drop("odd"), "props", "attribute")
+    engineered = events.where("odd").select(F.col("attribute").alias("name")).distinct()
+    return dictionary_audit(spark, _dictionary(spark, sf), raw, "raw", engineered)
+
+
+_DICTIONARY_SQL = f"""dict as (
+  select distinct {_ATTRIBUTE['duck']} as name, case when {_ODD['duck']} then event_type else 'raw' end as category from events where {_DOCUMENTED}
+  union all values ('event_id', 'raw'), ('ts', 'raw'), ('channel', 'raw'))"""
+register("dictionary_audit", f"""with {_DICTIONARY_SQL},
+found as (
+  select distinct case when {_ODD['duck']} then 'engineered' else 'raw' end as kind, {_ATTRIBUTE['duck']} as name from events
+  union all select distinct 'raw', unnest(json_keys(props)) from events where not {_ODD['duck']}
+  union all select 'raw', unnest(['event_id', 'ts', 'user_id', 'event_type', 'value'])),
+doc as (select case when category = 'raw' then 'raw' else 'engineered' end as kind, name from dict)
+select kind, 'undocumented' as problem, name from (select * from found except select * from doc)
+union all select kind, 'superfluous', name from (select * from doc except select * from found)""")(_audit)
+register("dictionary_categories", f"""with {_DICTIONARY_SQL} select category, count(*) as n_fields from dict group by category""")(
+    lambda spark, sf: dictionary_categories(_dictionary(spark, sf)))

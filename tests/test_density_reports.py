@@ -183,6 +183,61 @@ def test_export_report(spark, tmp_path):
     assert doc["quality_metrics"]["n_clusters"] == 3
 
 
+def _report_inputs(spark, n=60):
+    from cardprism.schema import AGGREGATE_FEATURES, DERIVED_FEATURES, INTEGER_FEATURES
+    cols = [f"cast(1 + id % 7 as {'bigint' if c in INTEGER_FEATURES else 'double'}) as {c}" for c in AGGREGATE_FEATURES + DERIVED_FEATURES]
+    f = spark.range(n).selectExpr("id as card_id", *cols)
+    labels = f.selectExpr("card_id", "cast(card_id % 3 as int) as cluster")
+    return f, labels, f.selectExpr("card_id as id", "array(avg_amount, cast(tx_count as double), cast(card_id as double)) as v")
+
+
+def test_report_appears_as_a_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    """Killed after each of its seven writes, an export leaves the last one."""
+    from cardprism.plans import report
+    from cardprism.sources import sinks
+    f, labels, pts = _report_inputs(spark)
+    base = str(tmp_path / "rep")
+    calls, limit = [0], [None]
+
+    def killed(fn):
+        def run(*args, **kw):
+            if calls[0] == limit[0]:
+                raise RuntimeError("killed")
+            calls[0] += 1
+            return fn(*args, **kw)
+        return run
+
+    for name in ("save_table", "save_text", "save_documents"):
+        monkeypatch.setattr(report, name, killed(getattr(report, name)))
+    monkeypatch.setattr(report.Bundle, "commit", killed(report.Bundle.commit))
+    monkeypatch.setattr(report, "quality_report", lambda points, algorithm: spark.createDataFrame([(3,)], "n_clusters int"))
+    last = None
+    for round_, stops in enumerate((range(7), (3,))):
+        for stop in stops:
+            calls[0], limit[0] = 0, stop
+            with pytest.raises(RuntimeError):
+                report.export_report(f, labels, pts, None, base, run_id=f"broken{round_}-{stop}")
+            assert sinks.read_manifest(spark, base) == last
+        calls[0], limit[0] = 0, None
+        out = report.export_report(f.limit(30 + 30 * round_), labels, pts, None, base, run_id=f"whole{round_}")
+        last = sinks.read_manifest(spark, base)
+        assert calls[0] == 7 and last["run_id"] == f"whole{round_}" and last["files"] == out and len(out) == 6
+        assert spark.read.parquet(out["segments"]).count() == 30 + 30 * round_
+
+
+def test_a_completed_run_id_changes_nothing(spark, tmp_path, monkeypatch):
+    from cardprism.plans import report
+    from cardprism.plans.report import export_report
+    monkeypatch.setattr(report, "quality_report", lambda points, algorithm: spark.createDataFrame([(3,)], "n_clusters int"))
+    f, labels, pts = _report_inputs(spark, 30)
+    base = str(tmp_path / "rep")
+    one = export_report(f, labels, pts, None, base, run_id="a")
+    two = export_report(f.limit(0), labels, pts, None, base, run_id="a")
+    assert one == two and spark.read.parquet(two["segments"]).count() == 30
+    with pytest.raises(ValueError):
+        export_report(f, labels, pts, None, base, run_id="a/b")
+
+
 def test_seed_propagation():
     from cardprism.config import SegmentationConfig
     c = SegmentationConfig().with_seed(123)
