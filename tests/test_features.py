@@ -112,3 +112,28 @@ def test_features_are_one_lazy_plan(spark):
     plan = df.where("card_id = 3")._jdf.queryExecution().toString()
     assert "InMemoryRelation" not in plan
     assert df.where("card_id = 3").first().median_amount == 25.5
+
+
+def test_features_read_and_move_the_transactions_once(spark):
+    """One scan of the lines and no shuffle of them by supplier."""
+    from cardprism.plans.q_features import features_of
+    plan = features_of(spark, "/root/testdata/sf0.001", "orders")._jdf.queryExecution().executedPlan().toString()
+    assert sum("FileScan" in line and "l_orderkey" in line for line in plan.splitlines()) == 1
+    assert "hashpartitioning(l_suppkey" not in plan
+
+
+def test_medians_of_the_one_pass_equal_those_of_spread_cards(spark):
+    """Null, NaN and infinite amounts, ties, both zeros, a card with a third of the rows."""
+    import random
+
+    from cardprism.config import SegmentationConfig
+    rng, ts = random.Random(3), dt.datetime(2024, 6, 3, 12, 0)
+    odd = [None, float("nan"), float("inf"), float("-inf"), 0.0, -0.0, 5.0]
+    rows = [tx_row(i, i % 40 if i % 3 else 7, ts, rng.choice(odd) if i % 5 == 0 else rng.gauss(0, 100)) for i in range(3000)]
+    rows += [tx_row(9000 + i, 100 + i, ts, x) for i, x in enumerate(odd)] + [tx_row(9100, 200, ts, None), tx_row(9101, 200, ts, None)]
+    df = spark.createDataFrame(rows, TRANSACTION_SCHEMA).repartition(3)
+    one, spread = ({r.card_id: r for r in customer_features(df, SegmentationConfig(median_mode=m)).collect()} for m in ("exact", "spread"))
+    assert set(one) == set(spread)
+    for card, r in spread.items():
+        for c in ("median_amount", "tx_count", "city_diversity", "min_amount", "max_amount", "digital_wallet_ratio", "days_active"):
+            assert one[card][c] == r[c], (card, c)
