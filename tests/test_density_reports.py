@@ -383,3 +383,49 @@ def test_tree_values_and_labels_against_plain_walks(spark):
             top[n] = above if above is not None else n if chosen[n] else None
         df = spark.createDataFrame([(n, parent.get(n), chosen[n]) for n in nodes], "node long, parent long, chosen boolean")
         assert {r.node: r.top for r in condensed.topmost(df).collect()} == top
+
+
+def test_matrix_product_kernels_equal_plain_distances():
+    """Neighbours and lightest edges of two blocks, by the product and by all
+    distances, to the last bit: copies, ties on a grid, far offsets, overflow."""
+    import numpy as np
+    import pandas as pd
+
+    from cardprism.operators.blocks import near_squares, symmetric_tiles
+    from cardprism.operators.density import _knn_fn, _lightest_fn
+    rng = np.random.default_rng(5)
+    cases = [rng.normal(size=(300, 6)), rng.integers(0, 3, (300, 3)).astype(float), rng.normal(size=(300, 4)) * 1e-3 + 1e7,
+             np.repeat(rng.normal(size=(20, 5)), 15, axis=0), rng.normal(size=(60, 3)) * 1e160]
+    for X in cases:
+        n, half = len(X), len(X) // 2
+        ids, side = rng.permutation(n), np.arange(n) >= half
+        base = pd.DataFrame({"id": ids, "v": list(X), "bi": 0, "bj": 1, "side": side, "lower": 0.0})
+        D = np.empty((n, n))
+        with np.errstate(over="ignore"):
+            for rows, d in symmetric_tiles(X, X):
+                D[rows] = d
+        # neighbours in the other block, within reach
+        reach = np.sort(D, axis=1)[:, 9]
+        with np.errstate(over="ignore"):
+            got = _knn_fn(4, True)(base.assign(reach=reach))
+        want = []
+        for i in range(n):
+            other = np.flatnonzero(side != side[i])
+            best = other[np.lexsort((ids[other], D[i, other]))][:4]
+            want += [(ids[i], ids[j], D[i, j]) for j in best if D[i, j] <= reach[i]]
+        assert sorted(zip(got["id"], got["other"], got["d"])) == sorted(want)
+        # lightest edge of each component
+        core, comp = np.sort(D, axis=1)[:, 3], rng.integers(0, 7, n)
+        with np.errstate(over="ignore"):
+            got = _lightest_fn(base.assign(core=core, comp=comp, bound=np.inf))
+        best = {}
+        for i in range(n):
+            for j in np.flatnonzero((side != side[i]) & (comp != comp[i])):
+                e = (max(D[i, j], core[i], core[j]), min(ids[i], ids[j]), max(ids[i], ids[j]))
+                if np.isfinite(e[0]) and e < best.get(comp[i], (np.inf,)):
+                    best[comp[i]] = e
+        assert {r.comp: (r.weight, r.src, r.dst) for r in got.itertuples()} == best
+    # the product leaves few pairs to be compared in full
+    X = rng.normal(size=(2000, 8))
+    ((_, G, err),) = list(near_squares(X[:1000], X[1000:]))
+    assert (G <= (np.partition(G, 4, axis=1)[:, 4] + 2 * err)[:, None]).sum() == 5 * 1000
