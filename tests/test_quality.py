@@ -149,3 +149,40 @@ def test_model_selection_with_sampled_silhouettes(spark):
         out[sample] = (cands[best].k, {r.k: r.silhouette for r in runs.collect()})
     assert out[None][0] == out[20][0] == 4
     assert all(out[20][1][k] == pytest.approx(out[None][1][k], abs=0.1) for k in (3, 4, 5))
+
+
+def test_silhouettes_of_many_labellings_move_one_row_a_point_and_block_pair(spark):
+    """Few and very many clusters, noise, singletons and copies, in several
+    blocks: as by all distances; a task returns one row per point, not one per
+    point, labelling and cluster."""
+    import numpy as np
+    import pandas as pd
+    import pytest
+
+    from cardprism.operators.quality import _sums_fn, silhouette_many
+    rng = np.random.default_rng(2)
+    n = 1300
+    X = np.round(rng.normal(size=(n, 2)), 1)
+    labs = np.column_stack([rng.integers(0, 3, n), rng.permutation(np.arange(n) // 2), rng.integers(-1, 2, n), np.zeros(n, int)])
+    points = spark.createDataFrame([(i, X[i].tolist()) for i in range(n)], "id long, v array<double>")
+    rows = [(i, m, int(labs[i, m])) for i in range(n) for m in range(4) if labs[i, m] >= 0]
+    labels = spark.createDataFrame(rows, "id long, cand int, cluster int")
+    got = {r.cand: r.silhouette for r in silhouette_many(points, labels, 500).collect()}
+    D = np.sqrt(((X[:, None, :] - X[None, :, :]) ** 2).sum(-1))
+    for m in range(3):
+        here = np.flatnonzero(labs[:, m] >= 0)
+        total = 0.0
+        for i in here:
+            mean = {c: D[i, here[labs[here, m] == c]].sum() / ((labs[here, m] == c).sum() - (c == labs[i, m])) for c in set(labs[here, m].tolist())} if m != 1 else None
+            if m == 1:
+                sums = np.bincount(labs[:, 1], D[i]) / 2.0
+                a = 2 * sums[labs[i, 1]]
+                sums[labs[i, 1]] = np.inf
+                b = sums.min()
+            else:
+                a, b = mean[labs[i, m]], min(v for c, v in mean.items() if c != labs[i, m])
+            total += (b - a) / max(a, b) if max(a, b) > 0 else 0.0
+        assert got[m] == pytest.approx(total / len(here), abs=1e-6)
+    assert got[3] is None
+    pdf = pd.DataFrame({"id": np.arange(n), "v": list(X), "labs": list(labs.astype(np.int64)), "bi": 0, "bj": 1, "side": np.arange(n) % 2 == 1})
+    assert len(_sums_fn([np.unique(c[c >= 0]) for c in labs.T])(pdf)) == n
