@@ -2,13 +2,14 @@
 
 1. *Statistics*: in how many documents each of ``DIMS`` hashed terms occurs,
    over all documents; this gives the IDF weights.
-2. *Latent space*: randomised SVD of the TF-IDF matrix of passages.  Tasks
-   multiply their passages with the current basis and back, the sums of tasks
-   (``DIMS x rank`` numbers each) are orthonormalised, twice over; a last pass
-   gives the singular values.  It is fitted on about ``sample_docs`` documents
-   chosen by hash, their whole texts; every document is searched in it.  Which
-   items are found does not depend on the space (3.), only the reported cosine
-   and the choice among equally good places do.
+2. *Latent space*: randomised SVD of the TF-IDF matrix of passages.  With the
+   IDF, tasks add up all passages into ``RANK + 8`` random sums; then they
+   multiply all passages with an orthonormal basis of these and back, which
+   gives vectors and singular values.  Spark adds up what tasks give (``DIMS x
+   rank`` numbers each).  It is fitted on the whole texts of all documents:
+   their words are hashed once, into a table of two bytes a word.  Which items are found does not depend on the
+   space (3.), only the reported cosine and the choice among equally good places
+   do; a caller may therefore fit it on fewer documents (``sample_docs``).
 3. *Word gate*: an item that keeps ``need`` of its ``n`` words keeps at least
    ``k`` of any ``n - need + k`` of them.  So places with ``k`` hits among its
    rarest ones within ``reach`` words are all the places where the checks can
@@ -43,13 +44,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardprism.llm.common import Scratch
 from cardprism.llm.hashing import WordHasher, mix
 
-DIMS, RANK, PASSAGE, SAMPLE_DOCS = 8192, 64, 64, 1500
+DIMS, RANK, PASSAGE = 8192, 64, 64
 STEP, RATIO, SHORT, ITEM_BLOCK = 8, 1.6, 5, 20_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 _SIGNS = re.compile("[\xa0-\xbf\u2000-\u206f\u3000-\u303f\ufe30-\ufe6f\uff00-\uff0f\ufeff]")
@@ -70,6 +73,20 @@ class Words:
             text = _SIGNS.sub(" ", text)
         return self.hasher(text.lower().encode("utf-8", "surrogatepass"))
 
+    def several(self, texts, size: int = 1 << 15) -> Iterator[np.ndarray]:
+        """The hashes of each text; short texts are hashed about ``size`` bytes
+        at a time."""
+        parts, n = [], 0
+        for text in texts:
+            if text and not text.isascii():
+                text = _SIGNS.sub(" ", text)
+            parts.append(text.lower().encode("utf-8", "surrogatepass") if text else b"")
+            n += len(parts[-1]) + 1
+            if n >= size:
+                yield from self.hasher.several(parts)
+                parts, n = [], 0
+        yield from self.hasher.several(parts)
+
     def terms(self, hashes: np.ndarray) -> np.ndarray:
         return (hashes % self.dims).astype(np.int64)
 
@@ -80,86 +97,139 @@ def answer_of(text: str) -> str:
     return sentences[-1] if sentences else text or ""
 
 
-def inverse_frequencies(docs: DataFrame, dims: int = DIMS) -> np.ndarray:
-    """IDF of each hashed term over all rows of ``docs`` (column ``text``)."""
+def term_numbers(docs: DataFrame, scratch: Scratch, dims: int = DIMS) -> DataFrame:
+    """One row per text with words: ``draw``, a hash of its ``doc_id``, and
+    ``terms``, the term numbers of all its words.  Words are hashed once for
+    all passes that fit the space."""
 
     def run(batches):
-        words, seen, n, mark = Words(dims), np.zeros(dims + 1, np.int64), 0, np.zeros(dims, bool)
+        words, kind = Words(dims), np.min_scalar_type(dims - 1)
         for pdf in batches:
-            for text in pdf["text"]:
-                if len(h := words(text)):
-                    mark[:] = False
-                    mark[words.terms(h)] = True
-                    seen[:dims] += mark
-                    n += 1
-        seen[dims] = n
-        at = np.flatnonzero(seen)
-        yield pd.DataFrame({"term": at, "n": seen[at]})
-
-    n = np.zeros(dims + 1)
-    for term, k in docs.mapInPandas(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n")).collect():  # at most dims + 1 rows
-        n[term] = k
-    return np.log((1 + n[dims]) / (1 + n[:dims])) + 0.1
-
-
-def _passages(texts, words: Words, idf: np.ndarray, size: int):
-    """Dense TF-IDF rows of the passages of some texts, some at a time."""
-    rows = []
+            terms = [words.terms(h).astype(kind).tobytes() for h in words.several(pdf["text"])]
+            yield pd.DataFrame({"draw": pdf["draw"], "terms": terms}).loc[[len(t) > 0 for t in terms]]
+
+    return scratch.put(docs.select(F.xxhash64("doc_id", F.lit(9)).alias("draw"), "text").mapInPandas(run, "draw bigint, terms binary"), "terms")
+
+
+def _added_up(terms: DataFrame, run) -> dict[int, np.ndarray]:
+    """Sums over tasks of the arrays ``part`` that ``run`` gives by ``at``,
+    added up by Spark; there are as many numbers as one task gives."""
+    rows = terms.mapInPandas(run, "at int, part array<double>").groupBy("at").agg(Summarizer.sum(array_to_vector("part")).alias("part"))
+    return {r["at"]: r["part"].toArray() for r in rows.collect()}
+
+
+def _blocks(z: np.ndarray, size: int = 256) -> pd.DataFrame:
+    """A task's ``z`` in blocks of rows, for ``_added_up``."""
+    at = range(0, len(z), size)
+    return pd.DataFrame({"at": list(at), "part": [z[i:i + size].ravel().astype(float) for i in at]})
+
+
+def statistics(terms: DataFrame, dims: int = DIMS, width: int = RANK + 8, passage: int = PASSAGE) -> tuple[np.ndarray, np.ndarray]:
+    """Over all rows of ``term_numbers``: the IDF of each hashed term, and
+    ``width`` sums of all passages' word counts, each passage added to or taken
+    from one of them by its hash: together they span about what the passages do."""
+
+    def run(batches):
+        kind, seen, mark, z = np.min_scalar_type(dims - 1), np.zeros(dims + 1), np.zeros(dims, bool), np.zeros(dims * width, np.int64)
+        for pdf in batches:
+            for draw, t in zip(pdf["draw"], pdf["terms"]):
+                t = np.frombuffer(t, kind).astype(np.int64)
+                mark[:] = False
+                mark[t] = True
+                seen[:dims] += mark
+                seen[dims] += 1
+                h = mix((np.arange(-(-len(t) // passage), dtype=np.uint64) + np.uint64(draw % 2**64)) * _M)
+                column, sign = ((h >> np.uint64(1)) % np.uint64(width)).astype(np.int64), 1 - 2 * (h & np.uint64(1)).astype(np.int64)
+                np.add.at(z, t * width + np.repeat(column, passage)[:len(t)], np.repeat(sign, passage)[:len(t)])
+        if seen[dims]:
+            yield pd.concat([pd.DataFrame({"at": [-1], "part": [seen]}), _blocks(z.reshape(dims, width))])
+
+    found = _added_up(terms, run)
+    n = found.pop(-1, np.zeros(dims + 1))
+    z = np.concatenate([found[at] for at in sorted(found)]).reshape(dims, width) if found else np.zeros((dims, width))
+    return np.log((1 + n[dims]) / (1 + n[:dims])) + 0.1, z
+
+
+def _passages(texts, idf: np.ndarray, size: int, at_once: int = 32):
+    """TF-IDF rows of the passages of some texts (term numbers), about
+    ``at_once`` at a time: (the terms that occur, a row per passage over them)."""
+    kind, place, mark = np.min_scalar_type(len(idf) - 1), np.zeros(len(idf), np.int64), np.zeros(len(idf), bool)
+
+    def rows(parts):
+        t = np.concatenate(parts)
+        words = np.array([len(p) for p in parts])
+        passages = -(-words // size)
+        own = np.arange(len(t)) - np.repeat(np.cumsum(words) - words, words)   # place in the part
+        row = own // size + np.repeat(np.cumsum(passages) - passages, words)
+        mark[t] = True
+        here = np.flatnonzero(mark)
+        mark[here] = False
+        place[here] = np.arange(len(here))
+        n = int(passages.sum())
+        a = np.bincount(row * len(here) + place[t], minlength=n * len(here)).reshape(n, len(here)).astype(np.float32)
+        a *= idf[here]
+        a /= np.sqrt(np.einsum("ij,ij->i", a, a))[:, None]
+        return here, a
+
+    idf, parts, n = idf.astype(np.float32), [], 0
     for text in texts:
-        t = words.terms(words(text))
-        for i in range(0, len(t), size):
-            row = np.bincount(t[i:i + size], minlength=len(idf)) * idf
-            rows.append((row / np.linalg.norm(row)).astype(np.float32))
-            if len(rows) == 256:
-                yield np.stack(rows)
-                rows = []
-    if rows:
-        yield np.stack(rows)
-
-
-def latent_space(sample: DataFrame, idf: np.ndarray, rank: int = RANK, passage: int = PASSAGE, spare: int = 8, rounds: int = 2, seed: int = 9) -> np.ndarray:
+        t = np.frombuffer(text, kind)
+        for i in range(0, len(t), size * at_once):
+            parts.append(t[i:i + size * at_once])
+            n += -(-len(parts[-1]) // size)
+            if n >= at_once:
+                yield rows(parts)
+                parts, n = [], 0
+    if parts:
+        yield rows(parts)
+
+
+def latent_space(terms: DataFrame, idf: np.ndarray, start: np.ndarray, rank: int = RANK, passage: int = PASSAGE) -> np.ndarray:
     """``DIMS x rank``: right singular vectors over singular values of the
-    sample's passages, by distributed randomised SVD."""
-    dims, spark = len(idf), sample.sparkSession
-    rng = np.random.Generator(np.random.PCG64(seed))
-    basis = np.linalg.qr(rng.standard_normal((dims, rank + spare)))[0].astype(np.float32)
-    idf_b = spark.sparkContext.broadcast(idf)
-
-    def summed(step):
-        """Sum over tasks of one array per task (few tasks: a bounded sample)."""
-        def run(batches):
-            words, total = Words(dims), None
-            for pdf in batches:
-                for a in _passages(pdf["text"], words, idf_b.value, passage):
-                    part = step(a)
-                    total = part if total is None else total + part
-            if total is not None:
-                yield pd.DataFrame({"part": [total.astype(np.float32).tobytes()]})
-        parts = [np.frombuffer(r[0], np.float32) for r in sample.mapInPandas(run, "part binary").collect()]
-        return sum(parts) if parts else None
-
-    for _ in range(rounds):
-        q = spark.sparkContext.broadcast(basis)
-        z = summed(lambda a: a.T @ (a @ q.value))
-        if z is None:
-            return np.zeros((dims, rank), np.float32)
-        basis = np.linalg.qr(z.reshape(dims, -1).astype(float))[0].astype(np.float32)
-    q = spark.sparkContext.broadcast(basis)
-    gram = summed(lambda a: (p := a @ q.value).T @ p).reshape(rank + spare, -1).astype(float)
-    squares, turn = np.linalg.eigh((gram + gram.T) / 2)
-    top = np.argsort(-squares)[:rank]
-    sigma = np.sqrt(np.maximum(squares[top], 1e-9 * max(squares.max(), 1e-30)))
-    return (basis @ turn[:, top] / sigma).astype(np.float32)
-
-
-def fit_space(docs: DataFrame, scratch: Scratch, sample_docs: int = SAMPLE_DOCS, dims: int = DIMS, rank: int = RANK, idf: np.ndarray | None = None) -> np.ndarray:
-    """Term vectors: IDF times latent space.  ``docs`` has ``doc_id, text``."""
-    idf = inverse_frequencies(docs, dims) if idf is None else idf
-    n = docs.count()
-    share = 1_000_000 if n <= sample_docs else math.ceil(1_000_000 * sample_docs / n)
-    sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000)) < share).select("text")
-    sample = scratch.put(sample, "sample")
-    return (idf[:, None] * latent_space(sample.repartition(8), idf, rank)).astype(np.float32)
+    passages ``a`` of all rows of ``term_numbers``, by distributed randomised
+    SVD: with ``q`` an orthonormal basis of ``start`` and ``z = a.T a q`` summed
+    over all passages, ``a.T a`` is about ``z (q.T z)^-1 z.T``."""
+    dims, spark, (basis, _) = len(idf), terms.sparkSession, np.linalg.qr(start)
+    idf, q = spark.sparkContext.broadcast(idf), spark.sparkContext.broadcast(basis.astype(np.float32))
+
+    def run(batches):
+        z = None
+        for pdf in batches:
+            for here, a in _passages(pdf["terms"], idf.value, passage):
+                z = np.zeros(q.value.shape, np.float32) if z is None else z
+                z[here] += a.T @ (a @ q.value.take(here, 0))
+        if z is not None:
+            yield _blocks(z)
+
+    found, space = _added_up(terms.select("terms"), run), np.zeros((dims, rank), np.float32)
+    if not found:
+        return space
+    z = np.concatenate([found[at] for at in sorted(found)]).reshape(basis.shape)
+    inner = basis.T @ z
+    size, turn = np.linalg.eigh((inner + inner.T) / 2)
+    some = size > 1e-6 * size[-1]   # fewer directions than asked for: the others stay 0
+    v, sigma, _ = np.linalg.svd(z @ (turn[:, some] / np.sqrt(size[some])), full_matrices=False)
+    top = min(rank, len(sigma))
+    space[:, :top] = (v / sigma)[:, :top]
+    return space
+
+
+def fit_space(docs: DataFrame, scratch: Scratch, sample_docs: int | None = None, dims: int = DIMS, rank: int = RANK) -> np.ndarray:
+    """The term vectors of ``fit``."""
+    return fit(docs, scratch, sample_docs, dims, rank)[1]
+
+
+def fit(docs: DataFrame, scratch: Scratch, sample_docs: int | None = None, dims: int = DIMS, rank: int = RANK, spare: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """(IDF, term vectors: IDF times latent space) of ``docs`` (``doc_id,
+    text``), of all rows unless the caller sets ``sample_docs``: then the
+    vectors, not the IDF, come from about as many."""
+    terms = part = term_numbers(docs, scratch, dims)
+    idf, sums = statistics(terms, dims, rank + spare)
+    if sample_docs is not None and (n := docs.count()) > sample_docs:
+        part = terms.where(F.pmod("draw", F.lit(1_000_000)) < math.ceil(1_000_000 * sample_docs / n))
+    vectors = (idf[:, None] * latent_space(part, idf, idf[:, None] * sums, rank)).astype(np.float32)
+    scratch.drop("terms")
+    return idf, vectors
 
 
 def common_length(item: list, other: list) -> int:
@@ -370,10 +440,13 @@ class Searcher:
         return float(a @ b / max(np.linalg.norm(a) * np.linalg.norm(b), 1e-9))
 
     def __call__(self, text: str | None, chunk: int = 4096) -> list[tuple]:
+        return self.places(self.words(text), chunk)
+
+    def places(self, hashes: np.ndarray, chunk: int = 4096) -> list[tuple]:
         """(item_id, cosine, common words, item's words, by answer, first word)
-        per item found, best place first.  Long texts are read in overlapping
-        chunks, so memory stays bounded."""
-        hashes, best = self.words(text), {}
+        per item found in a text with these words, best place first.  Long texts
+        are read in overlapping chunks, so memory stays bounded."""
+        best: dict = {}
         if not len(hashes) or not self.items:
             return []
         widest = self.widest
@@ -414,13 +487,13 @@ def _search_udf(schema: str, vectors, idf, items, limits: tuple[float, float, fl
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         look = Searcher(vectors.value, items.value, *limits, idf.value)
         for texts in batches:
-            yield pd.Series([[dict(zip(names, r, strict=True)) for r in look(t)] for t in texts], dtype=object)
+            yield pd.Series([[dict(zip(names, r, strict=True)) for r in look.places(h)] for h in look.words.several(texts)], dtype=object)
 
     return search
 
 
 def mark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "leaks", cosine: float = 0.55,
-               coverage: float = 0.8, paraphrase: float = 0.6, sample_docs: int = SAMPLE_DOCS, item_block: int = ITEM_BLOCK) -> DataFrame:
+               coverage: float = 0.8, paraphrase: float = 0.6, sample_docs: int | None = None, item_block: int = ITEM_BLOCK) -> DataFrame:
     """``docs`` with an array column ``out`` of the items found in each text."""
     spark, item_kind = docs.sparkSession, dict(benchmark.dtypes)["item_id"]
     schema = f"array<struct<item_id:{item_kind},cosine:double,n_common:int,n_item:int,by_answer:boolean,first_word:int>>"
@@ -429,9 +502,7 @@ def mark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     if not blocks:
         return docs.withColumn(out, F.array().cast(schema))
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    idf = inverse_frequencies(rows)
-    vectors = spark.sparkContext.broadcast(fit_space(rows, Scratch(spark, "decontam"), sample_docs, idf=idf))
-    idf = spark.sparkContext.broadcast(idf)
+    idf, vectors = (spark.sparkContext.broadcast(x) for x in fit(rows, Scratch(spark, "decontam"), sample_docs))
     found = []
     for b in range(blocks):
         block = [Item(*r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]

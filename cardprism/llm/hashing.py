@@ -39,10 +39,24 @@ class WordHasher:
 
     def __call__(self, data: bytes) -> np.ndarray:
         a = np.frombuffer(data, np.uint8)
+        return self._words(data, a, *self._bounds(a))
+
+    def several(self, parts: list[bytes]) -> list[np.ndarray]:
+        """The hashes of each of some texts, computed together.  Byte 32 must
+        be among the separators."""
+        data = b" ".join(parts)
+        a = np.frombuffer(data, np.uint8)
+        starts, ends = self._bounds(a)
+        firsts = np.cumsum([0, *(len(p) + 1 for p in parts)])[1:-1]   # where all parts but the first begin
+        return np.split(self._words(data, a, starts, ends), np.searchsorted(starts, firsts)) if parts else []
+
+    def _bounds(self, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         space = np.ones(len(a) + 2, np.int8)
         space[1:-1] = self.blank[a]
         turn = np.diff(space)
-        starts, ends = np.flatnonzero(turn == -1), np.flatnonzero(turn == 1)
+        return np.flatnonzero(turn == -1), np.flatnonzero(turn == 1)
+
+    def _words(self, data: bytes, a: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         if not len(starts):
             return np.empty(0, np.uint64)
         if len(a) <= PIECE:

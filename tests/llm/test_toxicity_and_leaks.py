@@ -230,6 +230,33 @@ def test_recall_does_not_hang_on_the_sample(docs, make):
         assert len(want) >= 0.95 * len(rows) and sum(d >= 100_000 for d, _ in want) >= 3
 
 
+def test_latent_space_is_that_of_all_documents(docs, spark):
+    """Against a full SVD of all passages of more texts than a part of 1,500."""
+    rng = random.Random(51)
+    common, rare = [[f"{c}{i}" for i in range(7)] for c in "cr"]
+    rows = [(d, " ".join(rng.choices(rare if d % 40 == 7 else common, k=rng.randint(1, 150)))) for d in range(2400)] + [(None, None), (1, "")]
+    vectors = decontam.fit_space(docs(rows), Scratch(spark, "t"), rank=8)
+    numbers = [WORDS.terms(WORDS(t)) for _, t in rows if t]
+    seen = np.zeros(decontam.DIMS)
+    for t in numbers:
+        seen[np.unique(t)] += 1
+    idf, used = np.log((1 + len(numbers)) / (1 + seen)) + 0.1, np.flatnonzero(seen)
+    passages = [np.bincount(t[i:i + decontam.PASSAGE], minlength=decontam.DIMS) * idf for t in numbers for i in range(0, len(t), decontam.PASSAGE)]
+    a = np.stack([p / np.linalg.norm(p) for p in passages])[:, used]
+    space = vectors[used] / idf[used][:, None]   # columns: singular vectors over singular values
+    assert np.allclose((a @ space).T @ (a @ space), np.eye(8), atol=1e-3)
+    assert np.allclose(1 / np.linalg.norm(space, axis=0)[:2], np.linalg.svd(a, compute_uv=False)[:2], rtol=1e-3)
+
+
+def test_texts_hashed_together_as_alone():
+    rng = random.Random(52)
+    texts = [None, "", " ", "one", "a b", "\u00a1Hola! \u4e2d\u6587\u3002x", *(" ".join(f"w{rng.randrange(99)}" for _ in range(rng.randrange(3000))) for _ in range(30)), "x" * 50, ""]
+    for size in (1, 100, 1 << 15):
+        together = list(WORDS.several(texts, size))
+        assert len(together) == len(texts) and all(np.array_equal(h, WORDS(t)) for h, t in zip(together, texts, strict=True))
+    assert list(WORDS.several([])) == []
+
+
 def test_short_items_in_long_texts(docs, make):
     """Items of 1 to 9 words verbatim inside long texts, also across the ends
     of the parts in which texts are read."""
