@@ -2,12 +2,12 @@
 
 1. *Statistics*: in how many documents each of ``DIMS`` hashed terms occurs,
    over all documents; this gives the IDF weights.
-2. *Latent space*: randomised SVD of the TF-IDF matrix of passages.  With the
-   IDF, tasks add up all passages into ``RANK + 8`` random sums; then they
-   multiply all passages with an orthonormal basis of these and back, which
-   gives vectors and singular values.  Spark adds up what tasks give (``DIMS x
-   rank`` numbers each).  It is fitted on the whole texts of all documents:
-   their words are hashed once, into a table of two bytes a word.  Which items are found does not depend on the
+2. *Latent space*: randomised SVD of the TF-IDF matrix of passages.  Tasks
+   multiply their passages with the current basis and back, the sums of tasks
+   (``DIMS x rank`` numbers each, added up by Spark) are orthonormalised, twice
+   over; the second product also gives the singular values.  It is fitted on the
+   whole texts of all documents: their words are hashed once, into a table of
+   two bytes a word.  Which items are found does not depend on the
    space (3.), only the reported cosine and the choice among equally good places
    do; a caller may therefore fit it on fewer documents (``sample_docs``).
 3. *Word gate*: an item that keeps ``need`` of its ``n`` words keeps at least
@@ -124,30 +124,21 @@ def _blocks(z: np.ndarray, size: int = 256) -> pd.DataFrame:
     return pd.DataFrame({"at": list(at), "part": [z[i:i + size].ravel().astype(float) for i in at]})
 
 
-def statistics(terms: DataFrame, dims: int = DIMS, width: int = RANK + 8, passage: int = PASSAGE) -> tuple[np.ndarray, np.ndarray]:
-    """Over all rows of ``term_numbers``: the IDF of each hashed term, and
-    ``width`` sums of all passages' word counts, each passage added to or taken
-    from one of them by its hash: together they span about what the passages do."""
+def inverse_frequencies(terms: DataFrame, dims: int = DIMS) -> np.ndarray:
+    """IDF of each hashed term over all rows of ``term_numbers``."""
 
     def run(batches):
-        kind, seen, mark, z = np.min_scalar_type(dims - 1), np.zeros(dims + 1), np.zeros(dims, bool), np.zeros(dims * width, np.int64)
+        kind, seen, mark = np.min_scalar_type(dims - 1), np.zeros(dims + 1), np.zeros(dims, bool)
         for pdf in batches:
-            for draw, t in zip(pdf["draw"], pdf["terms"]):
-                t = np.frombuffer(t, kind).astype(np.int64)
+            for t in pdf["terms"]:
                 mark[:] = False
-                mark[t] = True
+                mark[np.frombuffer(t, kind)] = True
                 seen[:dims] += mark
                 seen[dims] += 1
-                h = mix((np.arange(-(-len(t) // passage), dtype=np.uint64) + np.uint64(draw % 2**64)) * _M)
-                column, sign = ((h >> np.uint64(1)) % np.uint64(width)).astype(np.int64), 1 - 2 * (h & np.uint64(1)).astype(np.int64)
-                np.add.at(z, t * width + np.repeat(column, passage)[:len(t)], np.repeat(sign, passage)[:len(t)])
-        if seen[dims]:
-            yield pd.concat([pd.DataFrame({"at": [-1], "part": [seen]}), _blocks(z.reshape(dims, width))])
+        yield pd.DataFrame({"at": [0], "part": [seen]})
 
-    found = _added_up(terms, run)
-    n = found.pop(-1, np.zeros(dims + 1))
-    z = np.concatenate([found[at] for at in sorted(found)]).reshape(dims, width) if found else np.zeros((dims, width))
-    return np.log((1 + n[dims]) / (1 + n[:dims])) + 0.1, z
+    n = _added_up(terms.select("terms"), run).get(0, np.zeros(dims + 1))
+    return np.log((1 + n[dims]) / (1 + n[:dims])) + 0.1
 
 
 def _passages(texts, idf: np.ndarray, size: int, at_once: int = 32):
@@ -184,27 +175,35 @@ def _passages(texts, idf: np.ndarray, size: int, at_once: int = 32):
         yield rows(parts)
 
 
-def latent_space(terms: DataFrame, idf: np.ndarray, start: np.ndarray, rank: int = RANK, passage: int = PASSAGE) -> np.ndarray:
+def latent_space(terms: DataFrame, idf: np.ndarray, rank: int = RANK, passage: int = PASSAGE, spare: int = 8, rounds: int = 2, seed: int = 9) -> np.ndarray:
     """``DIMS x rank``: right singular vectors over singular values of the
     passages ``a`` of all rows of ``term_numbers``, by distributed randomised
-    SVD: with ``q`` an orthonormal basis of ``start`` and ``z = a.T a q`` summed
-    over all passages, ``a.T a`` is about ``z (q.T z)^-1 z.T``."""
-    dims, spark, (basis, _) = len(idf), terms.sparkSession, np.linalg.qr(start)
-    idf, q = spark.sparkContext.broadcast(idf), spark.sparkContext.broadcast(basis.astype(np.float32))
-
-    def run(batches):
-        z = None
-        for pdf in batches:
-            for here, a in _passages(pdf["terms"], idf.value, passage):
-                z = np.zeros(q.value.shape, np.float32) if z is None else z
-                z[here] += a.T @ (a @ q.value.take(here, 0))
-        if z is not None:
-            yield _blocks(z)
-
-    found, space = _added_up(terms.select("terms"), run), np.zeros((dims, rank), np.float32)
-    if not found:
-        return space
-    z = np.concatenate([found[at] for at in sorted(found)]).reshape(basis.shape)
+    SVD.  The last round's ``z = a.T a q`` gives the singular values too:
+    ``a.T a`` is about ``z (q.T z)^-1 z.T``."""
+    dims, spark, space = len(idf), terms.sparkSession, np.zeros((len(idf), rank), np.float32)
+    rng = np.random.Generator(np.random.PCG64(seed))
+    basis = np.linalg.qr(rng.standard_normal((dims, rank + spare)))[0]
+    idf = spark.sparkContext.broadcast(idf)
+
+    def product(q):
+        """``a.T a q`` over all passages."""
+        def run(batches):
+            z = None
+            for pdf in batches:
+                for here, a in _passages(pdf["terms"], idf.value, passage):
+                    z = np.zeros(q.value.shape, np.float32) if z is None else z
+                    z[here] += a.T @ (a @ q.value.take(here, 0))
+            if z is not None:
+                yield _blocks(z)
+
+        found = _added_up(terms.select("terms"), run)
+        return np.concatenate([found[at] for at in sorted(found)]).reshape(basis.shape) if found else None
+
+    z = None
+    for _ in range(rounds):
+        basis = basis if z is None else np.linalg.qr(z)[0]
+        if (z := product(spark.sparkContext.broadcast(basis.astype(np.float32)))) is None:
+            return space
     inner = basis.T @ z
     size, turn = np.linalg.eigh((inner + inner.T) / 2)
     some = size > 1e-6 * size[-1]   # fewer directions than asked for: the others stay 0
@@ -219,15 +218,15 @@ def fit_space(docs: DataFrame, scratch: Scratch, sample_docs: int | None = None,
     return fit(docs, scratch, sample_docs, dims, rank)[1]
 
 
-def fit(docs: DataFrame, scratch: Scratch, sample_docs: int | None = None, dims: int = DIMS, rank: int = RANK, spare: int = 8) -> tuple[np.ndarray, np.ndarray]:
+def fit(docs: DataFrame, scratch: Scratch, sample_docs: int | None = None, dims: int = DIMS, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
     """(IDF, term vectors: IDF times latent space) of ``docs`` (``doc_id,
     text``), of all rows unless the caller sets ``sample_docs``: then the
     vectors, not the IDF, come from about as many."""
     terms = part = term_numbers(docs, scratch, dims)
-    idf, sums = statistics(terms, dims, rank + spare)
+    idf = inverse_frequencies(terms, dims)
     if sample_docs is not None and (n := docs.count()) > sample_docs:
         part = terms.where(F.pmod("draw", F.lit(1_000_000)) < math.ceil(1_000_000 * sample_docs / n))
-    vectors = (idf[:, None] * latent_space(part, idf, idf[:, None] * sums, rank)).astype(np.float32)
+    vectors = (idf[:, None] * latent_space(part, idf, rank)).astype(np.float32)
     scratch.drop("terms")
     return idf, vectors
 
