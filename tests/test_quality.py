@@ -186,3 +186,43 @@ def test_silhouettes_of_many_labellings_move_one_row_a_point_and_block_pair(spar
     assert got[3] is None
     pdf = pd.DataFrame({"id": np.arange(n), "v": list(X), "labs": list(labs.astype(np.int64)), "bi": 0, "bj": 1, "side": np.arange(n) % 2 == 1})
     assert len(_sums_fn([np.unique(c[c >= 0]) for c in labs.T])(pdf)) == n
+
+
+def test_one_labelling_of_many_clusters_leaves_the_others_to_the_product():
+    """All labellings side by side, whichever way they are added up; the
+    distances of a tile are those of its points."""
+    import numpy as np
+    import pandas as pd
+
+    from cardprism.operators.blocks import cached_tiles
+    from cardprism.operators.quality import _by_product, _sums_fn
+    rng = np.random.default_rng(4)
+    n = 1400
+    X = rng.normal(size=(n, 3))
+    labs = np.column_stack([rng.integers(0, 3, n), rng.permutation(n) // 2, rng.integers(-1, 4, n)])
+    found = [np.unique(c[c >= 0]) for c in labs.T]
+    assert _by_product(found).tolist() == [True, False, True]
+    assert _by_product([np.arange(300), np.arange(300)]).tolist() == [True, False]
+    D = np.sqrt(((X[:, None, :] - X[None, :, :]) ** 2).sum(-1))
+    side = np.arange(n) >= 200
+    pdf = pd.DataFrame({"id": np.arange(n), "v": list(X), "labs": list(labs.astype(np.int64)), "bi": 0, "bj": 1, "side": side})
+    got = _sums_fn(found)(pdf).set_index("id")["s"]
+    for i in (0, 150, 199, 200, 1399):
+        other = side != side[i]
+        want = np.concatenate([[D[i, other & (labs[:, m] == c)].sum() for c in ids] for m, ids in enumerate(found)])
+        assert np.allclose(got[i], want, atol=1e-6)
+    seen = np.full((200, n), np.nan)
+    for rows, cols, T in cached_tiles(X[:200], X):
+        assert T.nbytes <= 2 << 20
+        seen[rows, cols] = T
+    assert np.allclose(seen, D[:200], atol=1e-6)
+
+
+def test_pairs_of_blocks_get_tasks_of_their_own(spark):
+    """Adaptive execution joined them into about one task a core, by their bytes."""
+    from cardprism.operators.blocks import block_pairs, own_tasks
+    points = spark.range(2000).selectExpr("id", "array(double(id), 1.0) as v")
+    pairs = own_tasks(block_pairs(points, 250))   # 8 blocks, 36 pairs
+    tasks = pairs.groupBy("bi", "bj").applyInPandas(lambda pdf: pdf[["id"]][:1], "id long").rdd.getNumPartitions()
+    assert tasks == 36
+    assert own_tasks(block_pairs(points.where("false"))).count() == 0
