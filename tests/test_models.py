@@ -145,3 +145,26 @@ def test_run_all_isolates_families(blobs, monkeypatch):
     assert "no luck" in next(r for r in rows if r["algorithm"] == "gmm")["error"]
     assert sum(r["algorithm"] == "gmm_auto_search" and r["silhouette"] is not None for r in rows) == 8
     assert best is not None and lab.where(lab.cand == best).count() == 300
+
+
+def test_jobs_at_once_keep_order_and_own_properties(spark):
+    """Items run side by side, each with its own copy of the job properties;
+    the first failure is raised."""
+    import threading
+
+    from cardprism.session import at_once
+    together = threading.Barrier(3, timeout=60)
+    spark.sparkContext.setLocalProperty("cardprism.test", "mine")
+
+    def job(i):
+        together.wait()   # one after the other would never get here
+        n = spark.range(1000 + i).repartition(3).count()
+        return n, spark.sparkContext.getLocalProperty("cardprism.test")
+
+    try:
+        assert at_once(spark, job, range(3)) == [(1000 + i, "mine") for i in range(3)]
+    finally:
+        spark.sparkContext.setLocalProperty("cardprism.test", None)
+    assert at_once(spark, job, []) == []
+    with pytest.raises(ZeroDivisionError):
+        at_once(spark, lambda i: 1 // i, [1, 0, 2])
