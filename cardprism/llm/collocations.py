@@ -25,7 +25,7 @@ Why it holds at scale: a phrase moves at most once per shard, so a word pair
 that makes up a third of the text is no hot group; a task holds one shard.  Up
 to ``BROADCAST_PHRASES`` frequent phrases (of one length) are broadcast to the
 next round; more are joined with the phrases of each shard, so that a shard
-gets its own only.
+gets its own only.  Rows reach Python a few MB at a time.
 
 Defined results: null and empty texts and pieces without words add nothing; a
 null language is ``und``; repeated rows count as often as they stand there; an
@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardprism.llm.common import Scratch
+from cardprism.llm.common import Scratch, small_batches
 from cardprism.llm.fm_index import BiIndex
 from cardprism.llm.ranking import number_rows
 
@@ -224,6 +224,8 @@ def _longer(kept: DataFrame, known: list, k: int, by_shard: bool = False) -> Dat
 
         def rows(shard=0):
             key, n = add_up(keys, counts)
+            keys.clear()
+            counts.clear()
             for a in range(0, len(key), ROWS):
                 yield pd.DataFrame({"key": key[a:a + ROWS], "n": n[a:a + ROWS], "shard": shard})
 
@@ -241,7 +243,7 @@ def _longer(kept: DataFrame, known: list, k: int, by_shard: bool = False) -> Dat
                 size += len(key)
                 if by_shard or size >= HELD:
                     yield from rows(row.shard)
-                    keys, counts, size = [], [], 0
+                    size = 0
         if keys:
             yield from rows()
 
@@ -310,7 +312,8 @@ def collocations(docs: DataFrame, min_count: int = 30, max_words: int = 4, top:
     phrase, a, l, r, n, score, and the counts of the best frequent extension by
     one word, left_extension and right_extension (null: none)."""
     scratch = Scratch(docs.sparkSession, "collocations")
-    tables, totals = phrases(docs, scratch, min_count, max_words, lang_col, text_col, shard_tokens, broadcast_phrases)
+    with small_batches(docs.sparkSession):   # a row may be a shard with its vocabulary's frequent words
+        tables, totals = phrases(docs, scratch, min_count, max_words, lang_col, text_col, shard_tokens, broadcast_phrases)
     whole = "cast({} as decimal(19,0))"
     cuts = f"""array_min(zip_with(sequence(1, size(heads)), arrays_zip(heads, tails), (k, c) -> struct(
         cast({scale} as decimal(10,0)) * {whole.format('a')} div ({whole.format('c.heads')} + {whole.format('c.tails')}) as score,

@@ -137,3 +137,19 @@ def test_shards_cover_every_word_once(make, spark):
     assert again == seen and len({v for v, _ in words}) > 3
     tables, _ = C.phrases(make(rows, "lang string, text string"), Scratch(spark, "t"), 3, 2, shard_tokens=100)
     assert {(r.lang, r.phrase): r.a for r in tables[1].collect()} == {(a, " ".join(w)): c for (a, w), c in counts(rows)[0].items() if len(w) == 2 and c >= 3}
+
+
+def test_python_gets_few_wide_rows_at_once(make, spark, monkeypatch):
+    name, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before = spark.conf.get(name)
+    wide = spark.range(0, 40, 1, 1).selectExpr("id", "repeat('x', 1000000) as t")
+
+    def sizes(batches):
+        for pdf in batches:
+            yield pdf[["id"]].head(1).assign(id=len(pdf))
+
+    longer = C._longer
+    monkeypatch.setattr(C, "_longer", lambda *a, **k: seen.append(max(r.id for r in wide.mapInPandas(sizes, "id bigint").collect())) or longer(*a, **k))
+    C.collocations(make([("en", "a b c. a b")] * 3, "lang string, text string"), 2).collect()
+    assert len(seen) == 3 and max(seen) < 10   # 40 without a limit on bytes
+    assert spark.conf.get(name) == before
