@@ -429,3 +429,26 @@ def test_matrix_product_kernels_equal_plain_distances():
     X = rng.normal(size=(2000, 8))
     ((_, G, err),) = list(near_squares(X[:1000], X[1000:]))
     assert (G <= (np.partition(G, 4, axis=1)[:, 4] + 2 * err)[:, None]).sum() == 5 * 1000
+
+
+def test_every_cell_of_the_density_grid_is_fitted(spark):
+    """Six sizes and four numbers of samples are 24 cells (only the first two of
+    each list were tried); all are cut from the trees together, each as by itself."""
+    from cardprism.config import SegmentationConfig
+    from cardprism.plans.segmentation import _fit_density
+    X = _blobs(4)
+    ids = [3 * i + 10 for i in range(len(X))]
+    df = spark.createDataFrame([(i, [float(a), float(b)]) for i, (a, b) in zip(ids, X)] + [(1, None)], "id long, v array<double>")
+    cfg = SegmentationConfig()
+    cands, labels = _fit_density(df, cfg, len(X), 5)
+    cells = [(mcs, ms) for mcs in cfg.density_min_cluster_sizes for ms in cfg.density_min_samples]
+    assert len(cells) == 24 and [(c.cand, c.model) for c in cands] == list(enumerate(cells, 5))
+    found, sets = {}, {}
+    for r in labels.collect():
+        found.setdefault(r.cand, {})[r.id] = r.cluster
+        sets.setdefault(r.cand, {}).setdefault(r.cluster, set()).add((r.id - 10) // 3)
+    assert all(set(found[5 + i]) == {1, *ids} and found[5 + i][1] == -1 for i in range(24))
+    for i, (mcs, ms) in enumerate(cells):
+        got = {c: s for c, s in sets[5 + i].items() if c != -1}
+        assert set(map(frozenset, got.values())) == _select(X, mcs, ms), (mcs, ms)
+        assert [min(got[c]) for c in range(len(got))] == sorted(min(s) for s in got.values())
