@@ -168,3 +168,45 @@ def test_jobs_at_once_keep_order_and_own_properties(spark):
     assert at_once(spark, job, []) == []
     with pytest.raises(ZeroDivisionError):
         at_once(spark, lambda i: 1 // i, [1, 0, 2])
+
+
+def test_passes_over_packed_points_and_tiles(spark):
+    """Points packed for many passes give the sums of the points; candidates of
+    one k go through a tile together, equal centres and ties to the lowest."""
+    from cardprism.operators.batched import packed
+    rng = np.random.RandomState(9)
+    X = np.round(rng.normal(size=(1500, 3)), 1)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)], "id long, v array<double>").repartition(3)
+    centers = {0: X[:3], 1: X[[5, 5, 9]], 2: X[10:14], 3: X[[1, 0, 2]]}
+    pack = packed(df)
+    assert pack.columns == ["n", "x"] and pack.agg({"n": "sum"}).first()[0] == 1500
+    for got in (run_pass(df, KM._assign_fn(centers)), run_pass(pack, KM._assign_fn(centers))):
+        assert set(got) == {(c, j) for c, C in centers.items() for j in range(len(C))}
+        for c, C in centers.items():
+            d2 = KM.sq_distances(X, C)
+            lab = d2.argmin(1)
+            for j in range(len(C)):
+                own = X[lab == j]
+                assert got[(c, j)][0] == pytest.approx(len(own), abs=20)   # a tie within rounding may go either way
+            assert sum(got[(c, j)][0] for j in range(len(C))) == 1500
+            assert sum(got[(c, j)][1] for j in range(len(C))) == pytest.approx(d2.min(1).sum())
+            assert np.allclose(sum(got[(c, j)][2:] for j in range(len(C))), X.sum(0))
+        assert got[(1, 1)][0] == 0 < got[(1, 0)][0]
+    pack.unpersist()
+    assert KM._assign_fn(centers)(iter([])) == {}
+
+
+@pytest.mark.parametrize("cov_type", ["full", "tied", "diag", "spherical"])
+def test_tiles_give_the_statistics_of_all_points(cov_type):
+    rng = np.random.RandomState(10)
+    X = rng.normal(size=(1100, 3)) * [1, 2, 3] + 100
+    A = rng.normal(size=(2, 3, 3))
+    cov = {"full": A @ A.transpose(0, 2, 1) + np.eye(3), "tied": A[0] @ A[0].T + np.eye(3), "diag": rng.uniform(1, 4, (2, 3)), "spherical": np.array([2.0, 5.0])}[cov_type]
+    g = G.GMM(2, cov_type, np.array([0.3, 0.7]), X[:2], cov)
+    lp, lse = G.log_resp(X, g)
+    want = {}
+    G._add(want, 0, X, np.exp(lp - lse[:, None]), cov_type, lse.sum(), g.means)
+    got = G._estep_fn({0: g}, {})([X[:700], X[700:]])
+    assert set(got) == {(0, 0), (0, 1)} and all(np.allclose(got[k], want[k], rtol=1e-9, atol=1e-7) for k in want)
+    scale, const = G._scale(g)
+    assert np.allclose(G._tile_stats(np.ascontiguousarray(X[:50].T), g, scale, const)[0, 1], lse[:50].sum())
