@@ -226,3 +226,34 @@ def test_pairs_of_blocks_get_tasks_of_their_own(spark):
     tasks = pairs.groupBy("bi", "bj").applyInPandas(lambda pdf: pdf[["id"]][:1], "id long").rdd.getNumPartitions()
     assert tasks == 36
     assert own_tasks(block_pairs(points.where("false"))).count() == 0
+
+
+def test_distances_are_added_up_by_runs_of_equal_labels(spark):
+    """Blocks hold points with the same labels side by side, so that a tile has a
+    few runs whose sums serve all labellings; single points are no runs."""
+    import numpy as np
+
+    from cardprism.operators.blocks import block_pairs
+    from cardprism.operators.quality import _run_totals, _runs
+    rng = np.random.default_rng(5)
+    labs = np.repeat(rng.integers(-1, 3, (30, 2)), 20, axis=0)
+    found = [np.unique(c[c >= 0]) for c in labs.T]
+    tiles = _runs(labs, found, 256)
+    assert set(tiles) == {0, 256, 512}
+    D = rng.random((600, 7))
+    for s, (begin, columns) in tiles.items():
+        assert begin[0] == 0 and len(begin) <= 14
+        tile = slice(s, s + 256)
+        want = np.concatenate([[D[tile][labs[tile, m] == c].sum(0) for c in ids] for m, ids in enumerate(found)])
+        for total in (_run_totals(D[tile], begin), np.add.reduceat(D[tile], begin, axis=0)):
+            assert np.allclose(columns.T @ total, want)
+    many = np.repeat(np.arange(40)[:, None], 5, axis=0)
+    begin, columns = _runs(many, [np.arange(40)], 256)[0]
+    assert len(begin) == 40 and np.allclose(columns.T @ _run_totals(D[:200], begin), D[:200].reshape(40, 5, 7).sum(1))
+    assert _runs(rng.permutation(200)[:, None], [np.arange(200)], 256)[0][0] is None
+    points = spark.range(1000).selectExpr("id", "array(double(id)) as v", "id % 4 as label")
+    pairs = block_pairs(points, 250, ["label", "id"])
+    assert pairs.columns == ["id", "v", "label", "bi", "bj", "side"]
+    own = pairs.where("bi = bj").groupBy("bi").agg({"label": "max", "id": "count"}).collect()
+    assert len({r.bi for r in own}) == pairs.select("bj").distinct().count() and max(r["count(id)"] for r in own) <= 250
+    assert pairs.where("bi = bj").select("bi", "label").distinct().count() <= len(own) + 3
